@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: White space of the word definition used throughout: blank and the five ASCII controls.
 SPACE = r"\x20\x09-\x0D"
 #: Rows and bytes of text that are handled at once in Python.
-SLICE_ROWS, SLICE_BYTES = 2048, 16 << 20
+SLICE_ROWS, SLICE_BYTES = 2048, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -98,3 +100,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once an application, so that workers need no copy of their own."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[2]
+    path = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((top / "quarry").rglob("*.py")):
+            z.write(f, f.relative_to(top))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
