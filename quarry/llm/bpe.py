@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -18,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from quarry.llm.common import map_batches, texts_of
-from quarry.llm.pretokens import pieces
+from quarry.llm.pretokens import PieceMemo
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens whose ids a worker keeps; the memo starts anew beyond that.
-MEMO = 400_000
+MEMO = 600_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -101,7 +102,7 @@ class Encoder:
         self.hashed = hashed or PerfectHash(tokens)
         self.ids = self.hashed.order
         self.keys = [tokens[i] for i in self.ids]
-        self.memo: dict[str, bytes] = {}
+        self.memo = PieceMemo(lambda new: [struct.pack(f"<{len(i)}I", *i) for i in self.resolve(new)], MEMO)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a pre-token that is no token: the pair of lowest rank is joined first, the leftmost of equals."""
@@ -137,17 +138,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [pieces(t) for t in texts]
-        seen: set[str] = set()
-        for c in cut:
-            seen.update(c)
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        new = [p for p in seen if p not in self.memo]
-        for p, ids in zip(new, self.resolve(new), strict=True):
-            self.memo[p] = np.array(ids, "<u4").tobytes()
-        get = self.memo.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return self.memo.joined(texts)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_all([text])[0], "<u4").tolist()

@@ -8,6 +8,7 @@ since only Spark's own writers reach every store; their order is (shard, block),
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -21,13 +22,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import shared_dir, slices, texts_of
-from quarry.llm.pretokens import pieces
+from quarry.llm.pretokens import PieceMemo
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 MAGIC = b"QTOK1\0\0\0"
 #: A block is closed once it holds this many ids; a longer document has a block of its own.
 BLOCK_IDS = 2_000_000
-MEMO = 400_000
+#: Distinct pre-tokens whose ids a worker keeps; the memo starts anew beyond that.
+MEMO = 1_000_000
+#: Blocks up to this number have their places broadcast (24 bytes each); more are joined by a shuffle.
+BROADCAST_BLOCKS = 500_000
 
 
 class EliasFano:
@@ -139,32 +143,29 @@ class PieceEncoder:
     """The tokenizers library, asked once for each distinct pre-token; it encodes pre-tokens independently of each other."""
 
     def __init__(self, definition: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = [t for t in added if t]
-        self.memo: dict[str, bytes] = {}
+        self.memo = PieceMemo(self.resolve, MEMO)
+
+    def resolve(self, new: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(new), 4096):
+            for e in self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False):
+                ids = e.ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; a text with an added token's string goes to the library whole."""
         whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        cut = [[] if i in whole else pieces(t) for i, t in enumerate(texts)]
-        seen: set[str] = set()
-        for c in cut:
-            seen.update(c)
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        new = [p for p in seen if p not in self.memo]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[p] = struct.pack(f"<{len(i := e.ids)}I", *i)
-        get = self.memo.__getitem__
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if i in whole else b"".join(map(get, c))
-            for i, (t, c) in enumerate(zip(texts, cut, strict=True))
-        ]
+        out = self.memo.joined(["" if i in whole else t for i, t in enumerate(texts)])
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -217,7 +218,8 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
     before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
     inside = blocks.select("shard", "block", (F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_tokens")).alias("inside"))
     starts = inside.join(before, "shard").select("shard", "block", (F.col("inside") + F.col("before")).alias("first"))
-    return blocks.join(starts, ["shard", "block"])
+    few = blocks.count() <= BROADCAST_BLOCKS
+    return blocks.join(F.broadcast(starts) if few else starts, ["shard", "block"])
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
