@@ -360,3 +360,17 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     answer = named.join(least, "component").select(F.col("sig").alias("s"), "component_id")
     joined = rows.join(answer, (rows["sig"] == answer["s"]) & (rows["n"] > 0) & rows["doc_id"].isNotNull(), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs, all columns, with one document of each class: the one of the smallest doc_id.
+
+    Rows with a null id stay. Rows of one id are one document: equal texts of it are left once. Up to BROADCAST_IDS
+    dropped ids are broadcast and no text moves; more are joined by a shuffle.
+    """
+    found = stored(classes(docs, percent), "classes")
+    dropped = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    few = dropped.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"] == F.col("__id"), "left_anti")
+    repeated = found.filter("doc_id IS NOT NULL AND component_id = doc_id").groupBy("doc_id").count().filter("count > 1")
+    return kept if repeated.isEmpty() else kept.filter("doc_id IS NULL").unionByName(kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))

@@ -2,8 +2,8 @@
 
 Word counts are summed by source, each source's target and repetition rate follow from them, and a document is taken
 floor(rate) times plus once more if a draw seeded by its id falls below the fraction. All of it is DataFrame code:
-partial sums before the shuffle, then a join with one row a source, which AQE broadcasts if it is small and splits
-if a source is hot.
+partial sums before the shuffle, then a join with one row a source, broadcast if there are few sources and else split by
+AQE where a source is hot.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE
+from quarry.llm.common import SPACE, stored
 
 WEIGHTS = (3, 1, 2)
 #: Words to take, as a multiple of all words; most that a source gives, as a multiple of its words.
 TOTAL, MOST = 1.5, 2.0
 SEED = "mix-1"
+#: Targets of up to so many sources are broadcast, so that texts stay where they are; more are joined by a shuffle.
+BROADCAST_SOURCES = 20_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
@@ -51,7 +53,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
     per_source = targets(docs.select(F.col(source_col).alias("source"), size.alias("size")))
-    per_source = per_source.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    per_source = stored(per_source.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")), "targets")
+    if per_source.count() <= BROADCAST_SOURCES:
+        per_source = F.broadcast(per_source)
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -25,6 +25,8 @@ KINDS = ("assign", "access", "hex", "live")
 MAX_OWNERS, MAX_REPOSITORIES = 2, 4
 #: Bits of entropy a character that a live-looking value has at least.
 MIN_ENTROPY = 3.0
+#: Rows with spans that are broadcast at most (about 100 bytes each).
+BROADCAST_SPANS = 100_000
 
 
 def _either_case(word: str) -> str:
@@ -149,15 +151,19 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with every span of every text replaced by [SECRET]; needs unique ids, and null ids stay as they are.
+    """docs with every span of every text replaced by [SECRET].
 
-    The texts meet their spans in a join on id_col; rows without spans keep their text.
+    Spans meet their rows by two hashes of id and text, so nulls and repeated ids do no harm; with up to
+    BROADCAST_SPANS rows that have spans these are broadcast and no text moves, with more both sides are shuffled.
     """
-    spans = secrets(docs, id_col, text_col, **options).filter((F.size("all") > 0) & F.col(id_col).isNotNull())
-    spans = spans.select(F.col(id_col).alias("__id"), F.col("all").alias("__spans"))
-    joined_rows = docs.join(spans, F.col(id_col) == F.col("__id"), "left")
-    cut = _cut(text_col)
-    return joined_rows.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    key = F.concat_ws(":", F.hex(F.xxhash64(id_col, text_col)), F.hex(F.xxhash64(F.lit(3), text_col, id_col)))
+    keyed = docs.withColumn("__key", key)
+    spans = secrets(keyed, "__key", text_col, **options).filter(F.size("all") > 0)
+    spans = stored(spans.select("__key", F.col("all").alias("__spans")), "spans").dropDuplicates(["__key"])
+    size = spans.agg(F.count("*").alias("rows"), F.sum(F.size("__spans")).alias("spans")).first()
+    few = size["rows"] <= BROADCAST_SPANS and (size["spans"] or 0) <= 10 * BROADCAST_SPANS
+    joined_rows = keyed.join(F.broadcast(spans) if few else spans, "__key", "left")
+    return joined_rows.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(_cut(text_col))).select(*docs.columns)
 
 
 def _cut(text_col: str) -> F.Column:
