@@ -11,26 +11,17 @@ from quarry.llm.common import stored
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of edges(a, b), longs; self-links and repeats are allowed.
 
-    Each round joins every node to the smallest neighbour of it and of its parent (alternating large-star and
-    small-star), so rounds grow with the logarithm of a component's diameter. Rounds are stored tables: no lineage grows
-    and nothing but a count of changed rows comes to the driver. A hub's rows are met by partial minima.
+    Labels go along the edges and jump to their label's label, so rounds grow with the logarithm of a component's
+    diameter. Each round is a stored table: no lineage grows, and nothing but whether a row changed comes to the driver.
+    A hub's rows are met by partial minima.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    current = stored(both.filter("a <> b"), "edges")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
     while True:
-        # large-star: larger neighbours of a node go to its smallest neighbour (or itself)
-        pairs = current.select("a", "b")
-        least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = pairs.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        # small-star: a node and its smaller neighbours go to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = stored(small, "edges")
-        forward = current.filter("a > b").select("a", "b")
-        changed = down.exceptAll(forward).limit(1).count() + forward.exceptAll(down).limit(1).count()
-        if not changed:
-            break
-        current = stored(down.union(down.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    roots = down.groupBy("a").agg(F.min("b").alias("m"))
-    return nodes.join(roots, nodes["node"] == roots["a"], "left").select("node", F.coalesce("m", "node").alias("component"))
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
+        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
+        up = labels.select(F.col("node").alias("at"), F.col("component").alias("up"))
+        jumped = stored(lower.join(up, lower["component"] == up["at"], "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"), "was"), "labels")
+        labels = jumped.select("node", "component")
+        if jumped.filter("component <> was").isEmpty():
+            return labels

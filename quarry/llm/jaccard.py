@@ -25,39 +25,39 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import _arrow_schema, mix64, slices, stored, texts_of
 from quarry.llm.components import components
-from quarry.llm.words import Words
+from quarry.llm.words import hash_words
 
 SHINGLE, PERCENT = 5, 75
-#: Cells of the table of column counts that orders the shingles: 4 MB, whatever the corpus. It never decides a pair.
-CELLS, CELL_BLOCK = 1 << 20, 1 << 12
+#: Cells of the table of column counts that orders the shingles: 8 MB a task, whatever the corpus. It never decides a pair.
+CELLS, CELL_BLOCK = 1 << 22, 1 << 13
 #: Pivots that a document is compared with where documents meet, and documents of one key and task before the key is salted.
 PIVOTS, SALT_AFTER = 32, 256
 #: Pair counts that a block of columns gathers before it adds them up, and rows of one column multiplied at once.
 PAIRS, TILE = 2_000_000, 1024
+#: Percent of the smaller set that a pair must at least share in the multiplied columns, where these are enough.
+AMONG = 2
 #: Documents to verify up to this number are found by a broadcast of their ids (8 bytes each), more by a shuffled join.
 BROADCAST_IDS = 300_000
-_words: list[Words] = []
 
 
-def _worker_words() -> Words:
-    if not _words:
-        _words.append(Words())
-    return _words[0]
+_ONE = np.ones(1, bool)
 
 
 def shingles(texts: list[str], width: int = SHINGLE) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, ascending; a text of fewer words has one shingle of them all, one without words none."""
-    hashes, starts = _worker_words().of(texts, lower=True)
+    hashes, starts = hash_words(texts, lower=True)
     rolled = np.zeros(0, np.uint64)
     if len(hashes) >= width:
         rolled = hashes[: len(hashes) - width + 1].copy()
         for k in range(1, width):
-            rolled = mix64(rolled) + hashes[k : len(hashes) - width + 1 + k]
+            rolled *= np.uint64(0xD6E8FEB86659FD93)
+            rolled += hashes[k : len(hashes) - width + 1 + k]
         rolled = mix64(rolled)
     out = []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if b - a >= width:
-            out.append(np.unique(rolled[a : b - width + 1]))
+            own = np.sort(rolled[a : b - width + 1])
+            out.append(own[np.concatenate([_ONE, own[1:] != own[:-1]])])
         elif b > a:
             out.append(np.array([xxhash.xxh3_64_intdigest(hashes[a:b].tobytes())], np.uint64))
         else:
@@ -93,16 +93,16 @@ def column_counts(docs: DataFrame) -> np.ndarray:
                     seen.add(name)
                     fresh.append(s)
             if fresh:
-                cells += np.bincount((np.concatenate(fresh) >> np.uint64(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                cells += np.bincount((np.concatenate(fresh) >> np.uint64(42)).astype(np.int64), minlength=CELLS).astype(np.uint32)
         blocks = cells.reshape(-1, CELL_BLOCK)
         some = np.flatnonzero(blocks.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([np.minimum(blocks[i], 65535).astype(np.uint16).tobytes() for i in some], pa.binary())], names=["block", "cells"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for i, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(data.as_buffer(), np.uint32)
+                sums[i] = sums.get(i, 0) + np.frombuffer(data.as_buffer(), np.uint16).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], names=["block", "cells"])
 
     schema = "block int, cells binary"
@@ -120,7 +120,7 @@ def common_cells(counts: np.ndarray) -> np.ndarray:
 
 def ordered(own: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The set in the order of the product: the top bit tells common shingles, the rest is the hash."""
-    late = common[(own >> np.uint64(44)).astype(np.int64)]
+    late = common[(own >> np.uint64(42)).astype(np.int64)]
     return np.sort((own >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63)))
 
 
@@ -129,15 +129,16 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-_MET = "doc_id long, n long, sig long, star long, star_n long, last long, columns array<long>"
+_MET = "doc_id long, n long, sig long, star long, star_n long, columns array<long>"
 
 
 def met(docs: DataFrame, common, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n and sig; for one document of each set, as far as copies meet, also its pivot
-    (star), the pivot's size, the columns that enter the product and the last of them.
+    (star), the pivot's size and the columns that enter the product.
 
-    Texts go once to where the documents with the same first column are. Copies that a task has seen before go without
-    text and anywhere. A column with many documents in a task is salted by the set's name.
+    Texts go once to where the documents with the same smallest shingle are, those with the fewest uncommon shingles
+    first, since they make the best pivots. Copies that a task has seen before go without
+    text and anywhere. A shingle with many documents in a task is salted by the set's name.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +154,7 @@ def met(docs: DataFrame, common, percent: int = PERCENT) -> DataFrame:
                     continue
                 seen.add(sig)
                 order = ordered(own, common.value)
-                first = int(order[0])
+                first = int(own[0])
                 many[first] = many.get(first, 0) + 1
                 salt = sig % (many[first] // SALT_AFTER + 1)
                 light = int((order < np.uint64(1 << 63)).sum())
@@ -175,7 +176,7 @@ def met(docs: DataFrame, common, percent: int = PERCENT) -> DataFrame:
                 if k != key:
                     key, pivots, done = k, [], set()
                 if i not in sets or sig in done:
-                    rows.append((doc, n, sig, None, None, None, None))
+                    rows.append((doc, n, sig, None, None, None))
                     continue
                 own = sets[i]
                 done.add(sig)
@@ -185,7 +186,7 @@ def met(docs: DataFrame, common, percent: int = PERCENT) -> DataFrame:
                     if len(pivots) < PIVOTS:
                         pivots.append(star)
                 columns = ordered(own, common.value)[: prefix_length(n, percent)].astype(np.int64)
-                rows.append((doc, n, sig, star[0], len(star[1]), int(columns[-1]), columns))
+                rows.append((doc, n, sig, star[0], len(star[1]), columns))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
@@ -196,8 +197,8 @@ def met(docs: DataFrame, common, percent: int = PERCENT) -> DataFrame:
 
 
 def shared_columns(rows: DataFrame) -> DataFrame:
-    """The incidence (o, sig, star, n, last) of columns that more than one pivot's group has. rows: sig, star, n, last, columns."""
-    schema = "o long, sig long, star long, n long, last long"
+    """The incidence (o, sig, star, n, pos) of columns that more than one pivot's group has. rows: sig, star, n, columns in order."""
+    schema = "o long, sig long, star long, n long, pos long"
     fields = _arrow_schema(rows.sparkSession, schema)
     hold = 4096
 
@@ -227,14 +228,25 @@ def shared_columns(rows: DataFrame) -> DataFrame:
         if tail is not None and len(tail) and (tail[0, 0] == going or tail[:, 2].min() != tail[:, 2].max()):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in tail.T], schema=fields)
 
-    spread = rows.select(F.explode("columns").alias("o"), "sig", "star", "n", "last")
+    spread = rows.select(F.posexplode("columns").alias("pos", "o"), "sig", "star", "n").select("o", "sig", "star", "n", F.col("pos").cast("long").alias("pos"))
     return spread.repartition("o").sortWithinPartitions("o").mapInArrow(keep, schema)
 
 
+def demand(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Overlap that two sizes must reach, and the part of it that must lie in the columns that are multiplied.
+
+    If two sets share at least alpha columns, they share at least m among the first |x| - alpha + m of each. m is small
+    enough for those columns to be in both prefixes, and large enough for chance hits to fall out.
+    """
+    alpha = -(-percent * (a + b) // (100 + percent))
+    fits = np.minimum(alpha + percent * -a // 100 + 1, alpha + percent * -b // 100 + 1)
+    return alpha, np.maximum(1, np.minimum(np.minimum(a, b) * AMONG // 100, fits))
+
+
 def product(incidence: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b (a < b): pairs of sets in different groups whose overlap can still reach the bound after all shared columns.
+    """a, b (a < b): pairs of sets in different groups that share as much in the multiplied columns as their sizes demand.
 
-    incidence: o, sig, group, n, last. A task has a block of columns and adds up the counts of its pairs before it
+    incidence: o, sig, group, n, pos. A task has a block of columns and adds up the counts of its pairs before it
     hands them on; a long column is multiplied tile by tile.
     """
     schema = "a long, b long, shared long, need long"
@@ -256,14 +268,10 @@ def product(incidence: DataFrame, percent: int = PERCENT) -> DataFrame:
                         yield pairs(q[v], p[u])
 
         def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            small, large = np.minimum(a[:, 3], b[:, 3]), np.maximum(a[:, 3], b[:, 3])
-            fits = 100 * small >= percent * large
-            a, b = a[fits], b[fits]
-            # beyond the columns up to the smaller last one, at most the rest of that set can be common
-            first = np.where((a[:, 4].view(np.uint64) <= b[:, 4].view(np.uint64)), a[:, 3], b[:, 3])
-            rest = first - (first - -(-percent * first // 100) + 1)
-            need = -(-percent * (a[:, 3] + b[:, 3]) // (100 + percent)) - rest
-            return np.stack([a[:, 1], b[:, 1], need], 1)
+            alpha, need = demand(a[:, 3], b[:, 3], percent)
+            fits = 100 * np.minimum(a[:, 3], b[:, 3]) >= percent * np.maximum(a[:, 3], b[:, 3])
+            fits &= (a[:, 4] < a[:, 3] - alpha + need) & (b[:, 4] < b[:, 3] - alpha + need)
+            return np.stack([a[fits, 1], b[fits, 1], need[fits]], 1)
 
         def summed() -> pa.RecordBatch:
             x = np.concatenate(parts)
@@ -297,10 +305,20 @@ def product(incidence: DataFrame, percent: int = PERCENT) -> DataFrame:
         if parts:
             yield summed()
 
-    counted = incidence.select("o", "sig", "group", "n", "last").repartition("o").sortWithinPartitions("o").mapInArrow(multiply, schema)
+    counted = incidence.select("o", "sig", "group", "n", "pos").repartition("o").sortWithinPartitions("o").mapInArrow(multiply, schema)
     return counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
 
 
+def hubs(incidence: DataFrame, stars: DataFrame) -> DataFrame:
+    """a, b: for every pivot the pivot of a larger group that shares most columns with its own group. One pair a pivot
+    at most; it only spares pairs in the product and decides nothing else."""
+    sizes = stars.groupBy("star").agg(F.count("*").alias("size"))
+    rows = incidence.join(sizes, "star")
+    most = rows.groupBy("o").agg(F.max(F.struct("size", "star")).alias("hub"))
+    pairs = rows.join(most, "o").filter(F.struct("size", "star") < F.col("hub")).groupBy("star", F.col("hub.star").alias("hub")).agg(F.count("*").alias("n"))
+    return pairs.groupBy("star").agg(F.max(F.struct("n", "hub")).alias("m")).filter("m.n > 1").select(F.col("star").alias("a"), F.col("m.hub").alias("b"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that reach the bound on their whole sets. names: sig and a doc_id that has the set; a repeated id's other texts are told apart by sig."""
     spark = docs.sparkSession
@@ -339,21 +357,23 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = spark.sparkContext.broadcast(common_cells(column_counts(docs)))  # CELLS booleans
     rows = stored(met(docs, common, percent), "met")
-    sets = rows.filter("star IS NOT NULL").select("sig", "star", "n", "last", "columns", "doc_id")
+    sets = rows.filter("star IS NOT NULL").select("sig", "star", "star_n", "n", "columns", "doc_id")
     names = sets.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     incidence = stored(shared_columns(sets), "incidence")
+    stars = sets.select("sig", "star").distinct()
     # copies of a set that met under different salts are one node
     same = sets.groupBy("sig").agg(F.min("star").alias("a"), F.max("star").alias("b")).filter("a <> b").select("a", "b")
-    # first the pivots among each other, then whatever is still in different groups
-    pivots = incidence.filter("sig = star").withColumn("group", F.col("star")).select("o", "sig", "group", "n", "last")
-    first = stored(verified(product(pivots, percent), docs, names, percent).union(same), "links")
+    # a pivot is compared with the pivot of the largest group with which it shares most columns
+    first = stored(verified(hubs(incidence, stars), docs, names, percent).union(same), "links")
     groups = stored(components(first), "groups")
-    grouped = incidence.join(groups, incidence["star"] == groups["node"], "left").withColumn("group", F.coalesce("component", "star")).select("o", "sig", "group", "n", "last")
+    grouped = incidence.join(groups, incidence["star"] == groups["node"], "left").withColumn("group", F.coalesce("component", "star")).select("o", "sig", "group", "n", "pos")
+    # whatever is still in different groups is multiplied
     several = grouped.groupBy("o").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("o")
     rest = verified(product(grouped.join(several, "o"), percent), docs, names, percent)
-    stars = sets.select("sig", "star").distinct()
     between = rest.join(stars.select(F.col("sig").alias("a"), F.col("star").alias("u")), "a").join(stars.select(F.col("sig").alias("b"), F.col("star").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    whole = stored(components(first.union(between).union(sets.select(F.col("sig").alias("a"), F.col("star").alias("b")))), "classes")
+    joined_stars = components(first.union(between))
+    lone = stars.groupBy("sig").agg(F.min("star").alias("star"))
+    whole = stored(lone.join(joined_stars, lone["star"] == joined_stars["node"], "left").select(F.col("sig").alias("node"), F.coalesce("component", "star").alias("component")), "classes")
     # every set's component, named by its smallest document
     named = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least")).join(whole, F.col("sig") == F.col("node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

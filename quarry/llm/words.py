@@ -28,3 +28,52 @@ class Words:
         cut = [(t.encode().lower() if lower else t.encode()).split() for t in texts]
         starts = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
         return self.hashes([w for c in cut for w in c]), starts
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTES = np.random.default_rng(31).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at once: the arrays stay in cache.
+_PIECE = 1 << 17
+_powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _up_down(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2**64."""
+    if len(_powers[0]) < n:
+        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(n, x, np.uint64)
+            p[0] = 1
+            _powers[i] = np.multiply.accumulate(p)
+    return _powers
+
+
+def hash_words(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """As Words.of, without a memo: polynomial hashes of all words at once, from sums over the bytes modulo 2**64."""
+    raw = [t.encode() for t in texts]
+    data = b"\n".join(raw)
+    data = np.frombuffer(data.lower() if lower else data, np.uint8)
+    out, at_byte, a = [], [], 0
+    while a < len(data):
+        b = min(a + _PIECE, len(data))
+        if b < len(data):  # end behind white space; a longer word makes the piece longer
+            gaps = np.flatnonzero(_SPACE[data[a:b]])
+            while not len(gaps) and b < len(data):
+                b = min(b + _PIECE, len(data))
+                gaps = np.flatnonzero(_SPACE[data[a:b]])
+            b = a + int(gaps[-1]) + 1 if len(gaps) and b < len(data) else b
+        part = data[a:b]
+        up, down = _up_down(len(part) + 1)
+        inside = np.concatenate([[False], ~_SPACE[part], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, end = edges[::2], edges[1::2]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * up[: len(part)], out=sums[1:])
+        out.append((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
+        at_byte.append(first + a)
+        a = b
+    hashes = np.concatenate(out) if out else np.zeros(0, np.uint64)
+    bounds = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
+    starts = np.searchsorted(np.concatenate(at_byte), bounds) if at_byte else np.zeros(len(bounds), np.int64)
+    return hashes, starts.astype(np.int64)
