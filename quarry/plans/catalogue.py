@@ -6,6 +6,7 @@ Every query reads whole tables. A fixed query vector (that of row 0) or a fixed
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def first_vector(spark: SparkSession, d: str) -> list[float]:
 
 
 def r6(c) -> F.Column:
-    return F.round(c, 6)
+    return F.round(c, 6) + F.lit(0.0)  # no negative zero
 
 
 _Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
@@ -662,11 +663,13 @@ def graph_reach(spark, d):
 
 
 @query(f"""{_PAIRS.replace("WITH u", "WITH RECURSIVE u")}, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT a AS node, [a] AS path FROM (SELECT min(a) AS a FROM p) UNION ALL SELECT e.b, list_append(r.path, e.b) FROM r JOIN e ON e.a = r.node WHERE len(r.path) <= 4 AND NOT list_contains(r.path, e.b)),
-g AS (SELECT path FROM r WHERE node = (SELECT max(b) FROM p)) SELECT array_to_string(path, '>') AS path, len(path) - 1 AS length FROM g WHERE len(path) = (SELECT min(len(path)) FROM g) ORDER BY path LIMIT 1""")
+g AS (SELECT path FROM r WHERE node = (SELECT max(node) FROM r)) SELECT array_to_string(path, '>') AS path, len(path) - 1 AS length FROM g WHERE len(path) = (SELECT min(len(path)) FROM g) ORDER BY path LIMIT 1""")
 def graph_trace(spark, d):
     half = graph.written(_similar_graph(spark, d))
     edges = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return graph.trace(edges, half.agg(F.min("src").alias("node")), half.agg(F.max("dst").alias("node")), 4).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")
+    start = half.agg(F.min("src").alias("node"))
+    goal = graph.reach(edges, start, 4).agg(F.max("node").alias("node"))
+    return graph.trace(edges, start, goal, 4).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")
 
 
 @query("""WITH e AS (SELECT DISTINCT page_id AS src, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS dst FROM pages), u AS (SELECT e.*, (SELECT count(*) FROM pages p WHERE p.url = e.dst) AS n FROM e)
@@ -714,8 +717,21 @@ def latest_state(spark, d):
     return watch.latest_state(read(spark, d, "events")).select("user_id", "ts", "event_id", "event_type")
 
 
+#: Counted columns, of which Spark makes integers and SQL makes longs.
+_LONGS = ("rank", "dimension", "line", "pick", "distance", "place", "length", "first_rank")
+
+
+def _with_longs(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = f(spark, d)
+        return df.withColumns({c: F.col(c).cast("long") for c in _LONGS if c in df.columns})
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {name: _with_longs(f) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
