@@ -30,7 +30,7 @@ SPAN = LENGTH - GRAM + 1
 #: Bits of each bitmap of anchor hashes (8 MB) and of the parts in which it is put together.
 BITS, PART = 1 << 26, 1 << 16
 #: Rows of an anchor hash with different runs from which on it is cut into windows; at most HOT_MOST hashes are.
-HOT, HOT_MOST = 4_000, 50_000
+HOT, HOT_MOST = 40_000, 50_000
 #: Bytes that are hashed at once; a longer text goes in parts that overlap by a window.
 PIECE = 1 << 20
 #: Runs that are sorted at once, and bytes to which multikey quicksort goes.
@@ -148,7 +148,7 @@ def bitmaps(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[tuple[int, bool], np.ndarray] = {}
         for b in batches:
-            at = (b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+            at = _bit(b.column(0).to_numpy().view(np.uint64))
             some = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for kind, chosen in ((False, at), (True, at[some])):
                 for part in np.unique(chosen // PART).tolist():
@@ -175,8 +175,13 @@ def bitmaps(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out[0].ravel(), out[1].ravel()
 
 
+def _bit(hashes: np.ndarray) -> np.ndarray:
+    """The bit of an anchor hash. Anchors are smallest hashes, so they are mixed again before their top bits are taken."""
+    return (mix64(hashes) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+
+
 def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    at = _bit(hashes)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
