@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 SPACE = r"\x20\x09-\x0D"
 #: Rows and bytes of text that are handled at once in Python.
 SLICE_ROWS, SLICE_BYTES = 2048, 4 << 20
+#: Rows that Spark hands to Python at once, instead of its 10,000: texts are long.
+ARROW_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -108,6 +110,8 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send this package's modules to the executors, once an application, so that workers need no copy of their own."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # unless set otherwise
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if app in _shipped:
         return
     top = Path(__file__).resolve().parents[2]
@@ -117,3 +121,14 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(top))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+_held: dict[str, object] = {}
+
+
+def held(name: str, build: Callable[[], object]) -> object:
+    """A worker's state from task to task: only the operator that ran last keeps any, so that memory is not taken twice."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = build()
+    return _held[name]
