@@ -18,12 +18,12 @@ import public_tokenizers
 import xxhash
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import map_batches, texts_of
+from quarry.llm.common import held, map_batches, texts_of
 from quarry.llm.pretokens import PieceMemo
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens whose ids a worker keeps; the memo starts anew beyond that.
-MEMO = 600_000
+MEMO = 400_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -147,16 +147,9 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.asarray(ids).tolist()))
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def _shared(value: tuple[str, list[bytes], PerfectHash]) -> Encoder:
     """A worker's encoder for a broadcast vocabulary; kept from task to task."""
-    key = value[0]
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(value[1], value[2])
-    return _encoders[key]
+    return held(f"bpe {value[0]}", lambda: Encoder(value[1], value[2]))
 
 
 def _prepared(df: DataFrame, vocabulary: str):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import _arrow_schema, mix64, slices, stored, texts_of
+from quarry.llm.common import _arrow_schema, held, mix64, slices, stored, texts_of
 from quarry.llm.components import components
 from quarry.llm.words import hash_words
 
@@ -84,6 +84,7 @@ def column_counts(docs: DataFrame) -> np.ndarray:
     """Documents that have a shingle of each cell, over all documents; exact copies inside a task count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("jaccard", dict)
         cells, seen = np.zeros(CELLS, np.uint32), set()
         for batch in slices(batches):
             sets = [s for s in shingles(texts_of(batch)) if len(s)]
@@ -142,6 +143,7 @@ def met(docs: DataFrame, common, percent: int = PERCENT) -> DataFrame:
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("jaccard", dict)
         seen: set[int] = set()
         many: dict[int, int] = {}
         for batch in slices(batches):
@@ -166,6 +168,7 @@ def met(docs: DataFrame, common, percent: int = PERCENT) -> DataFrame:
         return xxhash.xxh3_64_intdigest(str(doc)) >> 1
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("jaccard", dict)
         key, pivots, done = None, [], set()
         for batch in slices(batches):
             rows = []
@@ -204,6 +207,7 @@ def shared_columns(rows: DataFrame) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A column's rows are held until a second group shows; once more than ``hold`` are, they go on as they are."""
+        held("jaccard", dict)
         tail: np.ndarray | None = None
         going = None  # a column whose rows go on at once
         for batch in batches:
@@ -253,6 +257,7 @@ def product(incidence: DataFrame, percent: int = PERCENT) -> DataFrame:
     fields = _arrow_schema(incidence.sparkSession, schema)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("jaccard", dict)
         parts: list[np.ndarray] = []
         size, tail = 0, None
 
@@ -328,6 +333,7 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int =
     fields = _arrow_schema(spark, "sig long, own binary")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("jaccard", dict)
         for batch in slices(batches):
             own = shingles(texts_of(batch))
             rows = [(s, x.tobytes()) for s, x in zip(batch.column(0).to_pylist(), own, strict=True) if len(x) and signature(x) == s]
@@ -337,6 +343,7 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int =
     known = stored(chosen.mapInArrow(sets, "sig long, own binary"), "sets").dropDuplicates(["sig"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("jaccard", dict)
         for b in batches:
             xs, ys = (b.column(i) for i in (2, 3))
             good = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(xs, ys, strict=True)]

@@ -8,6 +8,7 @@ since only Spark's own writers reach every store; their order is (shard, block),
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 import uuid
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_dir, slices, texts_of
+from quarry.llm.common import held, shared_dir, slices, texts_of
 from quarry.llm.pretokens import PieceMemo
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -168,14 +169,8 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def _encoder(definition: str) -> PieceEncoder:
-    if definition not in _encoders:
-        _encoders.clear()
-        _encoders[definition] = PieceEncoder(definition)
-    return _encoders[definition]
+    return held(f"tokenizer {hashlib.sha256(definition.encode()).hexdigest()}", lambda: PieceEncoder(definition))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
@@ -189,21 +184,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, encoder = TaskContext.get().partitionId(), 0, _encoder(definition.value)
-        held: tuple[list, list, int] = ([], [], 0)
+        own: tuple[list, list, int] = ([], [], 0)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "n_docs": [len(held[0])], "n_tokens": [held[2]], "data": [write_block(*held[:2])]}, schema=fields)
+            return pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "n_docs": [len(own[0])], "n_tokens": [own[2]], "data": [write_block(*own[:2])]}, schema=fields)
 
         for batch in slices(batches):
             for doc, packed in zip(batch.column(0).to_pylist(), encoder.encode_all(texts_of(batch)), strict=True):
                 ids = np.append(np.frombuffer(packed, "<u4"), np.uint32(end_id))
-                if held[0] and held[2] + len(ids) > BLOCK_IDS:
+                if own[0] and own[2] + len(ids) > BLOCK_IDS:
                     yield out()
-                    held, block = ([], [], 0), block + 1
-                held[0].append(doc)
-                held[1].append(ids.astype(np.uint16) if int(ids.max()) < 1 << 16 else ids)
-                held = (held[0], held[1], held[2] + len(ids))
-        if held[0]:
+                    own, block = ([], [], 0), block + 1
+                own[0].append(doc)
+                own[1].append(ids.astype(np.uint16) if int(ids.max()) < 1 << 16 else ids)
+                own = (own[0], own[1], own[2] + len(ids))
+        if own[0]:
             yield out()
 
     fields = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, texts_of
+from quarry.llm.common import held, map_batches, texts_of
 
 WIDTHS, FILTERS, DIM, TABLE = (1, 2, 3), 8, 12, 1 << 17
 #: Beginnings of a word, in characters, that have vectors of their own.
@@ -279,18 +279,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
     return train([t or "" for t in rows["text"]], rows["toxic"].to_numpy(), list(rows["lang"]))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, lang, score of every row; an empty or null text gets the score of no words at all."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(batch: pa.RecordBatch) -> dict:
-        if id(shared.value) not in _scorers:
-            _scorers.clear()
-            _scorers[id(shared.value)] = Scorer(shared.value)
-        return {"doc_id": batch.column(0), "lang": batch.column(1), "score": _scorers[id(shared.value)].scores(texts_of(batch))}
+        scorer = held(f"toxicity {id(shared.value)}", lambda: Scorer(shared.value))
+        return {"doc_id": batch.column(0), "lang": batch.column(1), "score": scorer.scores(texts_of(batch))}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs, ["doc_id", "lang", "text"], make, f"doc_id {kind}, lang string, score double")
