@@ -18,7 +18,7 @@ import public_tokenizers
 import xxhash
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import held, map_batches, texts_of
+from quarry.llm.common import SLICE_BYTES, held, map_batches, texts_of
 from quarry.llm.pretokens import PieceMemo
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -96,13 +96,13 @@ class PerfectHash:
 class Encoder:
     """Encodes and decodes with the tokens of a rank file."""
 
-    def __init__(self, tokens: list[bytes], hashed: PerfectHash | None = None) -> None:
+    def __init__(self, tokens: list[bytes], hashed: PerfectHash | None = None, memo: int = MEMO) -> None:
         self.tokens = tokens
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.hashed = hashed or PerfectHash(tokens)
         self.ids = self.hashed.order
         self.keys = [tokens[i] for i in self.ids]
-        self.memo = PieceMemo(lambda new: [struct.pack(f"<{len(i)}I", *i) for i in self.resolve(new)], MEMO)
+        self.memo = PieceMemo(lambda new: [struct.pack(f"<{len(i)}I", *i) for i in self.resolve(new)], memo)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a pre-token that is no token: the pair of lowest rank is joined first, the leftmost of equals."""
@@ -147,9 +147,9 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.asarray(ids).tolist()))
 
 
-def _shared(value: tuple[str, list[bytes], PerfectHash]) -> Encoder:
+def _shared(value: tuple[str, list[bytes], PerfectHash], memo: int = MEMO) -> Encoder:
     """A worker's encoder for a broadcast vocabulary; kept from task to task."""
-    return held(f"bpe {value[0]}", lambda: Encoder(value[1], value[2]))
+    return held(f"bpe {value[0]} {memo}", lambda: Encoder(value[1], value[2], memo))
 
 
 def _prepared(df: DataFrame, vocabulary: str):
@@ -185,16 +185,17 @@ def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voca
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, decoded binary")
 
 
-def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, memo: int = MEMO, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Encode every text, decode the ids, and return per row: id_col, n_tokens, ids_sha256, decoded_sha256.
 
     Empty and null texts have 0 ids and the digests of no bytes; an empty table gives no rows; of the input only the
-    two named columns are read, whatever the others are called; repeated rows give repeated results.
+    two named columns are read, whatever the others are called; repeated rows give repeated results. memo and
+    slice_bytes bound what a worker holds (about 200 bytes a pre-token, 15 a byte of text) and change no result.
     """
     shared = _prepared(df, vocabulary or public_tokenizers.path(VOCABULARY))
 
     def make(batch: pa.RecordBatch) -> dict:
-        encoder = _shared(shared.value)
+        encoder = _shared(shared.value, memo)
         packed = encoder.encode_all(texts_of(batch, "text"))
         return {
             "id": batch.column(0),
@@ -204,5 +205,5 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
         }
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = map_batches(df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), ["id", "text"], make, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = map_batches(df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), ["id", "text"], make, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", slice_bytes)
     return out.withColumnRenamed("id", id_col)

@@ -47,7 +47,7 @@ def clean_shared(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice holds few bytes of text; a single long text stays whole."""
     for batch in batches:
         lengths = np.asarray(
@@ -57,7 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         ends = np.cumsum(lengths)
         while at < n:
             before = ends[at - 1] if at else 0
-            end = int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))
+            end = int(np.searchsorted(ends, before + most, side="right"))
             end = min(max(end, at + 1), at + SLICE_ROWS, n)
             yield batch.slice(at, end - at)
             at = end
@@ -69,13 +69,13 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
 
 
 def map_batches(
-    df: DataFrame, columns: list[str], make: Callable[[pa.RecordBatch], dict | None], schema: str
+    df: DataFrame, columns: list[str], make: Callable[[pa.RecordBatch], dict | None], schema: str, most: int = SLICE_BYTES
 ) -> DataFrame:
     """mapInArrow over df's columns, slice by slice; make returns arrays by name in the order of schema."""
     fields = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=most):
             out = make(part)
             if out is not None:
                 yield pa.RecordBatch.from_arrays(

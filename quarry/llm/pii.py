@@ -129,7 +129,10 @@ class Boosted:
         return " + ".join([repr(self.prior) + "D", *(f"({t.sql(x)})" for t in self.trees)])
 
     def value(self, row: dict) -> float:
-        return self.prior + sum(t.value(row) for t in self.trees)
+        out = self.prior
+        for t in self.trees:  # added in the order of the SQL, so that both give the same number
+            out += t.value(row)
+        return out
 
 
 def boost(rows: list[dict], trees: int = TREES, rate: float = RATE) -> tuple[float, tuple[Tree, ...]]:

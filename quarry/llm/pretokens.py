@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import public_tokenizers
 import regex
@@ -35,7 +36,7 @@ def _newer() -> regex.Pattern | None:
     """
     doubtful = [
         c
-        for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000)))
+        for c in map(chr, chain(range(0x80, 0xD800), range(0xE000, 0x110000)))
         if unicodedata.category(c) == "Cn" and regex.match(r"[\p{L}\p{N}]", c)
     ]
     ranks = {bytes([i]): i for i in range(256)}
