@@ -224,7 +224,7 @@ def python_parsed(content: str, lim: Limits, least: int = 50) -> Parsed:
                         ast.get_docstring(n) is not None, python_complexity(n), tuple(f"@{d}" for d in decorators),
                     )
                 )
-            if not is_class and n.end_lineno > n.body[0].lineno:
+            if not is_class and n.end_lineno > max(n.lineno, n.body[0].lineno - 1):
                 out.regions.append(Region("method" if parent else "function", n.name, start, n.end_lineno, max(n.lineno, n.body[0].lineno - 1), re.match(r"\s*", lines[n.lineno - 1])[0]))
             if is_class:
                 visit(n, n.name, depth + 1)
@@ -287,12 +287,12 @@ def matching(code: str, at: int) -> int:
 
 _MODIFIERS = r"(?P<mods>(?:(?:export|default|declare|public|private|protected|static|abstract|async|final|readonly|override|synchronized|native|sealed)\s+)*)"
 _DECLARED = re.compile(
-    rf"^[ \t]*(?P<deco>(?:@[\w.]+(?:\([^()\n]*\))?\s+)*){_MODIFIERS}(?:(?P<kind>class|interface|enum|namespace|module|record|@interface|function\*?|type)\s+(?P<name>[A-Za-z_$][\w$]*)"
+    rf"(?:^|(?<=[{{;}}]))[ \t]*(?P<deco>(?:@[\w.]+(?:\([^()\n]*\))?\s+)*){_MODIFIERS}(?:(?P<kind>class|interface|enum|namespace|module|record|@interface|function\*?|type)\s+(?P<name>[A-Za-z_$][\w$]*)"
     r"|(?:const|let|var)\s+(?P<var>[A-Za-z_$][\w$]*)(?:\s*:[^=\n]+)?\s*=)",
     re.MULTILINE,
 )
 _MEMBER = re.compile(
-    rf"^[ \t]*(?P<deco>(?:@[\w.]+(?:\([^()\n]*\))?\s+)*){_MODIFIERS}(?:(?:get|set)\s+)?(?P<ret>[\w$<>\[\],.? ]+\s+)?(?P<name>[A-Za-z_$#][\w$]*)\s*(?:<[^>{{}}()]*>)?\((?P<args>[^{{}};]*)\)[^{{}};=]*\{{", re.MULTILINE
+    rf"(?:^|(?<=[{{;}}]))[ \t]*(?P<deco>(?:@[\w.]+(?:\([^()\n]*\))?\s+)*){_MODIFIERS}(?:(?:get|set)\s+)?(?P<ret>[\w$<>\[\],.? ]+\s+)?(?P<name>[A-Za-z_$#][\w$]*)\s*(?:<[^>{{}}()]*>)?\((?P<args>[^{{}};]*)\)[^{{}};=]*\{{", re.MULTILINE
 )
 _NO_MEMBER = {"if", "for", "while", "switch", "catch", "return", "function", "new", "else", "do", "try", "super", "synchronized"}
 _BRANCH = re.compile(r"\b(if|for|while|case|catch)\b|\?(?![.?:])")
