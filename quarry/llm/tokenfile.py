@@ -150,24 +150,30 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = [t for t in added if t]
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4  # bytes of an id
         self.memo = PieceMemo(self.resolve, MEMO)
 
     def resolve(self, new: list[str]) -> list[bytes]:
         out: list[bytes] = []
+        code = "H" if self.width == 2 else "I"
         for at in range(0, len(new), 4096):
             for e in self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False):
                 ids = e.ids
-                out.append(struct.pack(f"<{len(ids)}I", *ids))
+                out.append(struct.pack(f"<{len(ids)}{code}", *ids))
         return out
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers; a text with an added token's string goes to the library whole."""
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned integers of ``width`` bytes; a text with an added token's string goes to the library whole."""
         whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
         out = self.memo.joined(["" if i in whole else t for i, t in enumerate(texts)])
         for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, f"<u{self.width}").tobytes()
         return out
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        return [np.frombuffer(b, f"<u{self.width}").astype("<u4").tobytes() for b in self.packed(texts)]
+
 
 def _encoder(definition: str) -> PieceEncoder:
     return held(f"tokenizer {hashlib.sha256(definition.encode()).hexdigest()}", lambda: PieceEncoder(definition))
@@ -190,13 +196,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
             return pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "n_docs": [len(own[0])], "n_tokens": [own[2]], "data": [write_block(*own[:2])]}, schema=fields)
 
         for batch in slices(batches):
-            for doc, packed in zip(batch.column(0).to_pylist(), encoder.encode_all(texts_of(batch)), strict=True):
-                ids = np.append(np.frombuffer(packed, "<u4"), np.uint32(end_id))
+            end = end_id.to_bytes(encoder.width, "little")
+            for doc, packed in zip(batch.column(0).to_pylist(), encoder.packed(texts_of(batch)), strict=True):
+                ids = np.frombuffer(packed + end, f"<u{encoder.width}")
                 if own[0] and own[2] + len(ids) > BLOCK_IDS:
                     yield out()
                     own, block = ([], [], 0), block + 1
                 own[0].append(doc)
-                own[1].append(ids.astype(np.uint16) if int(ids.max()) < 1 << 16 else ids)
+                own[1].append(ids)
                 own = (own[0], own[1], own[2] + len(ids))
         if own[0]:
             yield out()
