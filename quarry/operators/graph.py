@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +23,7 @@ def written(df: DataFrame) -> DataFrame:
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.quarry.loops.dir", None)
     if top is None:
         top = tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, top, ignore_errors=True)
         spark.conf.set("spark.quarry.loops.dir", top)
     path = f"{top.rstrip('/')}/loop-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
