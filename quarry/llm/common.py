@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -28,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         path = spark.conf.get("spark.quarry.own.dir", None)
         if path is None:
             path = tempfile.mkdtemp(prefix="quarry-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
             spark.conf.set("spark.quarry.own.dir", path)
     return f"{path.rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
 
