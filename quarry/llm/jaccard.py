@@ -314,13 +314,12 @@ def product(incidence: DataFrame, percent: int = PERCENT) -> DataFrame:
     return counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
 
 
-def hubs(incidence: DataFrame, stars: DataFrame) -> DataFrame:
-    """a, b: for every pivot the pivot of a larger group that shares most columns with its own group. One pair a pivot
-    at most; it only spares pairs in the product and decides nothing else."""
-    sizes = stars.groupBy("star").agg(F.count("*").alias("size"))
-    rows = incidence.join(sizes, "star")
-    most = rows.groupBy("o").agg(F.max(F.struct("size", "star")).alias("hub"))
-    pairs = rows.join(most, "o").filter(F.struct("size", "star") < F.col("hub")).groupBy("star", F.col("hub.star").alias("hub")).agg(F.count("*").alias("n"))
+def hubs(incidence: DataFrame) -> DataFrame:
+    """a, b: for every pivot the pivot whose group is the largest in most of the columns that both groups have. One pair
+    a pivot at most; it only spares pairs in the product and decides nothing else."""
+    sizes = incidence.groupBy("o", "star").agg(F.count("*").alias("size"))
+    most = sizes.groupBy("o").agg(F.max(F.struct("size", "star")).alias("hub"))
+    pairs = sizes.join(most, "o").filter("star <> hub.star").groupBy("star", F.col("hub.star").alias("hub")).agg(F.count("*").alias("n"))
     return pairs.groupBy("star").agg(F.max(F.struct("n", "hub")).alias("m")).filter("m.n > 1").select(F.col("star").alias("a"), F.col("m.hub").alias("b"))
 
 
@@ -370,8 +369,8 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = sets.select("sig", "star").distinct()
     # copies of a set that met under different salts are one node
     same = sets.groupBy("sig").agg(F.min("star").alias("a"), F.max("star").alias("b")).filter("a <> b").select("a", "b")
-    # a pivot is compared with the pivot of the largest group with which it shares most columns
-    first = stored(verified(hubs(incidence, stars), docs, names, percent).union(same), "links")
+    # a pivot is compared with the pivot of the largest group with which its own shares most columns
+    first = stored(verified(hubs(incidence), docs, names, percent).union(same), "links")
     groups = stored(components(first), "groups")
     grouped = incidence.join(groups, incidence["star"] == groups["node"], "left").withColumn("group", F.coalesce("component", "star")).select("o", "sig", "group", "n", "pos")
     # whatever is still in different groups is multiplied
