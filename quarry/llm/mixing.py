@@ -45,14 +45,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     return s.select("source", "source_size", F.when(capped, F.col("cap")).otherwise(F.col("first.level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """docs' columns with __size, __source_size, __target and __copies for every row.
+def words_of(text_col: str) -> F.Column:
+    """The size of a text in words; 0 for null."""
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
-    A null or empty text has size 0; a source without words has target 0 and gives no copies; a null id draws as an
-    empty one, and rows of equal ids draw alike; an empty table gives no rows.
-    """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    per_source = targets(docs.select(F.col(source_col).alias("source"), size.alias("size")))
+
+def with_copies(rows: DataFrame, sizes: DataFrame, id_col: str, source_col: str, seed: str) -> DataFrame:
+    """rows with __source_size, __target and __copies, by the rates that follow from sizes(source, size)."""
+    per_source = targets(sizes)
     per_source = stored(per_source.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")), "targets")
     if per_source.count() <= BROADCAST_SOURCES:
         per_source = F.broadcast(per_source)
@@ -60,21 +60,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     copies = F.floor("__rate") + F.when(draw < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    joined = docs.withColumn("__size", size).join(per_source, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__rate", rate)
+    joined = rows.join(per_source, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__rate", rate)
     return joined.withColumn("__copies", copies.cast("long")).drop("__source", "__rate")
 
 
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+    """docs' columns with __source_size, __target and __copies for every row.
+
+    A null or empty text has size 0; a source without words has target 0 and gives no copies; a null id draws as an
+    empty one, and rows of equal ids draw alike; an empty table gives no rows. Texts are read once to be counted and
+    once to be passed on.
+    """
+    return with_copies(docs, docs.select(F.col(source_col).alias("source"), words_of(text_col).alias("size")), id_col, source_col, seed)
+
+
 def emit(docs: DataFrame, **names: str) -> DataFrame:
     """Every document as often as the mix takes it, with docs' own columns."""
     mixed = mix(docs, **names).filter("__copies > 0")
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words taken, repeats counted) of every document."""
-    return mix(docs.select("doc_id", "text", "source")).select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken")
-    )
+def report(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words taken, repeats counted) of every document; texts are read once."""
+    sized = stored(docs.select("doc_id", "source", words_of("text").alias("size")), "sizes")
+    mixed = with_copies(sized, sized, "doc_id", "source", seed)
+    return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
 
 
 #: DuckDB: the rows of report().
