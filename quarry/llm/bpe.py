@@ -22,7 +22,7 @@ from quarry.llm.common import SLICE_BYTES, held, map_batches, texts_of
 from quarry.llm.pretokens import PieceMemo
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens whose ids a worker keeps; the memo starts anew beyond that.
+#: Pre-tokens whose ids a worker keeps; beyond that only short ones stay.
 MEMO = 400_000
 
 

@@ -60,6 +60,10 @@ def pieces(text: str) -> list[str]:
     return [text[m.start() : m.end()] for m in _SPLIT.finditer(newer.sub(_OTHER, text))]
 
 
+#: Pieces up to this length stay in a memo that is full.
+SHORT = 7
+
+
 class PieceMemo:
     """What was found for pieces seen before: looked up once for each piece of a batch of texts, then only for what was missing."""
 
@@ -69,8 +73,9 @@ class PieceMemo:
 
     def joined(self, texts: list[str]) -> list[bytes]:
         """For each text the joined values of its pieces."""
-        if len(self.known) > self.most:
-            self.known = {}
+        if len(self.known) > self.most:  # short pieces come again soonest
+            short = {k: v for k, v in self.known.items() if len(k) <= SHORT}
+            self.known = short if len(short) <= self.most // 2 else {}
         flat: list[str] = []
         ends = []
         for t in texts:

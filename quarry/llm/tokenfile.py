@@ -29,8 +29,8 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 MAGIC = b"QTOK1\0\0\0"
 #: A block is closed once it holds this many ids; a longer document has a block of its own.
 BLOCK_IDS = 2_000_000
-#: Distinct pre-tokens whose ids a worker keeps; the memo starts anew beyond that.
-MEMO = 1_000_000
+#: Distinct pre-tokens whose ids a worker keeps; beyond that only short ones stay.
+MEMO = 1_300_000
 #: Blocks up to this number have their places broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_BLOCKS = 500_000
 
