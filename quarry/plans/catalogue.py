@@ -71,7 +71,7 @@ def knn_per_label(spark, d):
     return knn.per_group(read(spark, d, "embeddings"), first_vector(spark, d), "label").select("label", "vec_id", r6("similarity").alias("similarity"), "rank")
 
 
-@query(f"SELECT vec_id, round(1 - (1 - s), 6) AS cosine, round(1 - (1 - s) * (1 - s) / 2, 6) AS l2, round(1 - s, 6) AS dot FROM ({_KNN})")
+@query(f"SELECT vec_id, round(1 - (1 - s), 6) AS cosine, round(1 - (1 - s) * (1 - s) / 2, 6) AS l2, round(1 - s, 6) + 0.0::DOUBLE AS dot FROM ({_KNN})")
 def distance_to_similarity(spark, d):
     q = F.array(*map(F.lit, first_vector(spark, d)))
     distance = F.lit(1.0) - V.cosine(F.col("embedding"), q)
