@@ -516,7 +516,7 @@ def duplicate_levels(spark, d):
 
 def _as_chunks(spark, d) -> DataFrame:
     docs, vectors = read(spark, d, "documents"), read(spark, d, "embeddings")
-    joined = docs.join(vectors, F.col("doc_id") == F.col("vec_id"))
+    joined = docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left")  # a document without a vector stays
     return joined.select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("doc_id").alias("start"), (F.col("doc_id") + F.size(F.split("text", "\n"))).alias("end"), F.lit("function").alias("symbol_type"), F.col("lang").alias("symbol"), F.col("text").alias("content"), F.col("lang").alias("language"), F.lit(1).alias("complexity"), "embedding")
 
 
