@@ -55,12 +55,14 @@ def combined_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return value / total
 
 
-def clusters(pairs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, least: int = 2, attach: bool = True) -> DataFrame:
+def clusters(pairs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, least: int = 2, attach: bool = True, vectors: DataFrame | None = None, chunk: int = 2048) -> DataFrame:
     """id, cluster of every row of nodes(id): components of pairs(a, b, similarity) over the threshold; a row alone joins
     the cluster of at least ``least`` rows to which its mean similarity is highest, if that is high enough.
 
-    pairs must have every pair that counts for that mean; members that a row is not paired with count as 0. All single
-    rows are attached at once to the clusters as they were, so the result does not depend on an order.
+    Without vectors, pairs must have every pair that counts for that mean; members that a row is not paired with count as
+    0. With vectors(id, v), where similarity is the cosine of v, pairs need only those over the threshold: the mean is a
+    row's product with the sum of a cluster's unit vectors. All single rows are attached at once to the clusters as they
+    were, so the result does not depend on an order.
     """
     linked = graph.components(pairs.filter(F.col("similarity") >= threshold))
     own = nodes.select("id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
@@ -68,15 +70,31 @@ def clusters(pairs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, l
     sized = graph.written(own.join(sizes, "cluster"))
     if not attach:
         return sized.select("id", "cluster")
-    both = pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     single = sized.filter("n = 1").select(F.col("id").alias("a"))
     large = sized.filter(F.col("n") >= least).select(F.col("id").alias("b"), F.col("cluster").alias("to"), "n")
-    mean = both.join(single, "a").join(large, "b").groupBy("a", "to", "n").agg(F.sum("similarity").alias("s")).withColumn("mean", F.col("s") / F.col("n"))
+    if vectors is None:
+        both = pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+        mean = both.join(single, "a").join(large, "b").groupBy("a", "to", "n").agg(F.sum("similarity").alias("s")).withColumn("mean", F.col("s") / F.col("n"))
+    else:
+        mean = _means(single, large, vectors, chunk)
     good = mean.filter(F.col("mean") >= max(ATTACH_LEAST, threshold - ATTACH_SLACK) if threshold >= ATTACH_LEAST else F.col("mean") >= threshold - ATTACH_SLACK)
     best = good.groupBy("a").agg(F.max(F.struct("mean", (-F.col("to")).alias("less"))).alias("m")).select(F.col("a").alias("id"), (-F.col("m.less")).alias("to"))
     return sized.join(best, "id", "left").select("id", F.coalesce("to", "cluster").alias("cluster"))
 
 
+def _means(single: DataFrame, large: DataFrame, vectors: DataFrame, chunk: int) -> DataFrame:
+    """a, to, mean of every single(a) and every cluster of large(b, to, n); clusters are dealt into chunks, each a key of an equi-join."""
+    units = vectors.select("id", V.l2_normalize(F.col("v")).alias("v"))
+    sums = large.join(units, large["b"] == units["id"]).select("to", "n", F.posexplode("v").alias("at", "x")).groupBy("to", "n", "at").agg(F.sum("x").alias("x"))
+    sums = sums.groupBy("to", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("s"))
+    sums = graph.written(sums)
+    tiles = max(1, -(-sums.count() // chunk))
+    rows = single.join(units, F.col("a") == F.col("id")).select("a", "v", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("o"), F.pmod(F.xxhash64("a"), F.lit(64)).alias("c"))
+    dealt = sums.withColumn("o", F.pmod(F.xxhash64("to"), F.lit(tiles)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
+    both = rows.join(dealt, ["o", "c"]).filter(F.size("v") == F.size("s"))
+    return both.select("a", "to", (V.dot(F.col("v"), F.col("s")) / F.col("n")).alias("mean"))
+
+
 def cluster_summary(members: DataFrame, score: str = "score", file: str = "file") -> DataFrame:
     """cluster, n, files, score (mean), weight = mean * log2(n + 1), place."""
     sums = members.groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct(file).alias("files"), F.avg(score).alias("score"))

@@ -483,7 +483,8 @@ def cluster_rank(spark, d):
 @query()
 def cluster_attachment(spark, d):
     vectors = read(spark, d, "embeddings")
-    return groups.clusters(knn.similar_pairs(vectors, 0.25), vectors.select(F.col("vec_id").alias("id")), 0.35)
+    rows = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return groups.clusters(knn.similar_pairs(vectors, 0.35), rows.select("id"), 0.35, vectors=rows)
 
 
 @query("SELECT min(doc_id) AS first, count(*) AS n, (sum(n_chars) - any_value(n_chars))::BIGINT AS savings FROM documents GROUP BY text HAVING count(*) > 1")

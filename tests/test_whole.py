@@ -5,6 +5,7 @@ import random
 import re
 
 from quarry.functions import text as T
+from quarry.operators import groups, knn
 from quarry.plans import catalogue
 
 
@@ -78,3 +79,22 @@ def test_duplicate_groups_of_documents_without_vectors(spark, tmp_path):
     want = sorted(",".join(map(str, g)) for g in groups if len(g) > 1)
     assert sorted(r.members for r in catalogue.duplicate_groups(spark, str(tmp_path)).collect()) == want
     assert any(i not in vectors for g in want for i in map(int, g.split(",")))
+
+
+def test_cluster_attachment_means_over_all_members(spark, tmp_path):
+    rng = random.Random(1)
+    gauss = {i: [rng.gauss(0, 1) for _ in range(64)] for i in range(80)}
+    put(spark, tmp_path, "embeddings", [(i, v, 0) for i, v in gauss.items()], EMBEDDINGS)
+    s = {(i, j): cosine(gauss[i], gauss[j]) for i in gauss for j in gauss}
+    least = components(gauss, [(i, j) for (i, j), x in s.items() if i < j and x >= 0.35])
+    members = {c: [i for i in gauss if least[i] == c] for c in set(least.values())}
+    want = dict(least)
+    for i in gauss:
+        means = [(sum(s[i, j] for j in m) / len(m), -c) for c, m in members.items() if len(m) > 1]
+        if len(members[least[i]]) == 1 and max(means)[0] >= 0.35 - groups.ATTACH_SLACK:
+            want[i] = -max(means)[1]
+    assert sum(want[i] != least[i] for i in gauss) == 2
+    assert {r.id: r.cluster for r in catalogue.cluster_attachment(spark, str(tmp_path)).collect()} == want
+    rows = spark.createDataFrame(list(gauss.items()), "id long, v array<double>")
+    pairs = knn.similar_pairs(rows, 0.35, "v", "id")
+    assert {r.id: r.cluster for r in groups.clusters(pairs, rows.select("id"), 0.35, vectors=rows, chunk=2).collect()} == want
