@@ -115,7 +115,9 @@ def normal_code(code: Column, language: str = "javascript") -> Column:
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring tokens: names, runs of digits, single other characters."""
     tokens = F.regexp_extract_all(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*|\d+|[^\s]"), 0)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(tokens, i - 1), F.get(tokens, i)))
+    # the tokens are an argument, or they would be cut anew for each pair
+    of = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i)))
+    pairs = F.get(F.transform(F.array(tokens), of), F.lit(0))
     return F.struct(F.size(tokens).alias("n"), F.when(F.size(tokens) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>")).alias("pairs"))
 
 

@@ -509,6 +509,12 @@ def duplicate_text_similarity(spark, d):
     return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), r6(value).alias("similarity"))
 
 
+@query()
+def duplicate_text_pairs(spark, d):
+    """Text similarity over the whole table, without the blocks that duplicate_text_similarity has from its SQL."""
+    return duplicates.text_pairs(read(spark, d, "documents")).withColumn("similarity", r6("similarity"))
+
+
 @query(f"{_PAIRS} SELECT CASE WHEN s >= 0.5 THEN 'exact' WHEN s >= 0.45 THEN 'high' WHEN s >= 0.4 THEN 'medium' WHEN s >= 0.35 THEN 'low' END AS level, count(*) AS n FROM p GROUP BY ALL")
 def duplicate_levels(spark, d):
     found = knn.similar_pairs(read(spark, d, "embeddings"), 0.35)

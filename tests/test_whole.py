@@ -98,3 +98,22 @@ def test_cluster_attachment_means_over_all_members(spark, tmp_path):
     rows = spark.createDataFrame(list(gauss.items()), "id long, v array<double>")
     pairs = knn.similar_pairs(rows, 0.35, "v", "id")
     assert {r.id: r.cluster for r in groups.clusters(pairs, rows.select("id"), 0.35, vectors=rows, chunk=2).collect()} == want
+
+
+def test_text_pairs_across_sources_languages_and_sizes(spark, tmp_path):
+    rng = random.Random(3)
+    base = [" ".join(rng.choice("abcdefghijkl") + rng.choice("xyz") for _ in range(n)) for n in (49, 12, 80, 3)]
+    texts = ["", " ", None, "one", "one", "two", *base]
+    for t in base * 12:
+        w = t.split()
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice("abcdefghijkl") + "9"
+        texts.append(" ".join(w + ["more", "words"][: rng.randint(0, 2)]))
+    texts += base
+    docs = [(i, t, rng.choice(["en", "fr"]), f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    put(spark, tmp_path, "documents", docs, DOCUMENTS)
+    want = {(i, j): s for i, x in enumerate(texts) for j, y in enumerate(texts) if i < j and x is not None and y is not None and (s := similarity(x, y)) is not None and s >= 0.7}
+    got = [((r.a, r.b), r.similarity) for r in catalogue.duplicate_text_pairs(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and {p: round(s, 6) for p, s in got} == {p: round(s, 6) for p, s in want.items()}
+    across = [(i, j) for i, j in want if docs[i][2:4] != docs[j][2:4]]
+    assert len(across) > 20 and any(want[p] < 1 for p in across)
