@@ -359,6 +359,11 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Documents without words, null texts included, link with nothing; a null id takes no part in links and has a null
     component. Rows of equal ids all stay, each with the component of its own text. An empty table gives no rows.
     """
+    return _classed(docs, percent).drop("sig")
+
+
+def _classed(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows of classes with the signature of each row's set."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = spark.sparkContext.broadcast(common_cells(column_counts(docs)))  # CELLS booleans
@@ -385,18 +390,36 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     answer = named.join(least, "component").select(F.col("sig").alias("s"), "component_id")
     joined = rows.join(answer, (rows["sig"] == answer["s"]) & (rows["n"] > 0) & rows["doc_id"].isNotNull(), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "sig")
 
 
 def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with one document of each class: the one of the smallest doc_id.
 
-    Rows with a null id stay. Rows of one id are one document: equal texts of it are left once. Up to BROADCAST_IDS
-    dropped ids are broadcast and no text moves; more are joined by a shuffle.
+    Rows with a null id stay. Of the rows of one id, those go whose own text is a copy of a smaller id's, and equal texts
+    are left once. Up to BROADCAST_IDS dropped ids are broadcast and no text moves; more are joined by a shuffle.
     """
-    found = stored(classes(docs, percent), "classes")
-    dropped = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    few = dropped.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"] == F.col("__id"), "left_anti")
-    repeated = found.filter("doc_id IS NOT NULL AND component_id = doc_id").groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.filter("doc_id IS NULL").unionByName(kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
+    found = stored(_classed(docs, percent), "classes").filter("doc_id IS NOT NULL").withColumn("copy", F.col("component_id") != F.col("doc_id"))
+    ids = stored(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n"), F.min("copy").alias("every"), F.max("copy").alias("some")).filter("some OR n > 1"), "ids")
+
+    def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        few = gone.count() <= BROADCAST_IDS
+        return rows.join(F.broadcast(gone) if few else gone, rows["doc_id"] == F.col("__id"), "left_anti")
+
+    kept = without(docs, ids.filter("every").select("__id"))
+    if ids.filter("n > 1 AND NOT every").isEmpty():
+        return kept
+    mixed = ids.filter("some AND NOT every").select("__id")
+    gone = found.filter("copy").select(F.col("doc_id").alias("__id"), F.col("sig").alias("__gone")).join(mixed, "__id", "left_semi").distinct()
+    if not mixed.isEmpty():
+        schema = docs.select("*", F.lit(0).cast("long").alias("__sig")).schema
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                sigs = [signature(s) if len(s) else 0 for s in shingles(texts_of(batch))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.int64())], names=[*batch.schema.names, "__sig"])
+
+        some = kept.join(mixed, kept["doc_id"] == F.col("__id"), "left_semi").mapInArrow(named, schema)
+        some = some.join(gone, (some["doc_id"] == gone["__id"]) & (some["__sig"] == gone["__gone"]), "left_anti").drop("__sig")
+        kept = without(kept, mixed).unionByName(some)
+    return kept.filter("doc_id IS NULL").unionByName(kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))

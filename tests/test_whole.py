@@ -5,6 +5,7 @@ import random
 import re
 
 from quarry.functions import text as T
+from quarry.llm import jaccard
 from quarry.operators import groups, knn
 from quarry.plans import catalogue
 
@@ -117,3 +118,11 @@ def test_text_pairs_across_sources_languages_and_sizes(spark, tmp_path):
     assert len(got) == len(want) and {p: round(s, 6) for p, s in got} == {p: round(s, 6) for p, s in want.items()}
     across = [(i, j) for i, j in want if docs[i][2:4] != docs[j][2:4]]
     assert len(across) > 20 and any(want[p] < 1 for p in across)
+
+
+def test_distinct_documents_of_repeated_ids(spark):
+    a, b = ("one two three four five six seven " + w for w in ("eight nine", "other words follow"))
+    b = "quite different " + b[::-1]
+    rows = [(3, a), (5, a), (5, b), (9, b), (10, "alone here"), (10, "alone here"), (None, a)]
+    kept = jaccard.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(0, a), (3, a), (5, b), (10, "alone here")])
