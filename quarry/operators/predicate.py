@@ -173,6 +173,6 @@ def suggest(value: str, allowed: list[str]) -> str | None:
 
 
 def nearest_names(values: DataFrame, allowed: DataFrame, value: str = "value", name: str = "name") -> DataFrame:
-    """value, suggestion, distance: the nearest of allowed by Levenshtein distance, ties by name; allowed is a short list."""
-    pairs = values.join(F.broadcast(allowed.limit(1000)), how="cross").withColumn("distance", F.levenshtein(F.lower(value), F.lower(name)))
+    """value, suggestion, distance: the nearest of allowed by Levenshtein distance, ties by name, over all of allowed; meant for a short list."""
+    pairs = values.join(allowed, how="cross").withColumn("distance", F.levenshtein(F.lower(value), F.lower(name)))
     return pairs.groupBy(value).agg(F.min(F.struct("distance", F.col(name).alias("suggestion"))).alias("best")).select(value, "best.suggestion", "best.distance")

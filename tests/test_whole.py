@@ -6,7 +6,7 @@ import re
 
 from quarry.functions import text as T
 from quarry.llm import jaccard
-from quarry.operators import groups, knn
+from quarry.operators import groups, knn, predicate
 from quarry.plans import catalogue
 
 
@@ -126,3 +126,9 @@ def test_distinct_documents_of_repeated_ids(spark):
     rows = [(3, a), (5, a), (5, b), (9, b), (10, "alone here"), (10, "alone here"), (None, a)]
     kept = jaccard.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(0, a), (3, a), (5, b), (10, "alone here")])
+
+
+def test_nearest_names_of_a_long_list(spark):
+    names = spark.createDataFrame([(f"name {i:04d} and more",) for i in range(1500)] + [("target",)], "name string")
+    got = predicate.nearest_names(spark.createDataFrame([("targets",)], "value string"), names).first()
+    assert (got.suggestion, got.distance) == ("target", 1)
