@@ -4,8 +4,10 @@ import math
 import random
 import re
 
+import numpy as np
+
 from quarry.functions import text as T
-from quarry.llm import jaccard
+from quarry.llm import jaccard, quality
 from quarry.operators import groups, knn, predicate
 from quarry.plans import catalogue
 
@@ -132,3 +134,9 @@ def test_nearest_names_of_a_long_list(spark):
     names = spark.createDataFrame([(f"name {i:04d} and more",) for i in range(1500)] + [("target",)], "name string")
     got = predicate.nearest_names(spark.createDataFrame([("targets",)], "value string"), names).first()
     assert (got.suggestion, got.distance) == ("target", 1)
+
+
+def test_repeated_words_among_very_many():
+    ids = np.array([5, 0, 0, 1 << 21, 7, 8, 0, 1, 0, 9])  # no window is there twice
+    assert quality.repeat_words(ids) == 0
+    assert quality.repeat_words(np.concatenate([ids, [6, 0, 0, 1 << 21]])) == 6
