@@ -8,7 +8,7 @@ the overlap that both sizes demand. Those that are left are verified on their wh
 
 Exact copies are one row of the matrix. Near copies are contracted before the product: documents with the same
 smallest shingle meet once and join the first pivot that they are verified to link with; pairs inside one contracted
-group need no further look, since only components (and links) are asked for, so a group of n copies costs n
+group need no further look, since only components are returned, so a group of n copies costs n
 comparisons instead of n**2. Pairs of different groups are all examined by the product: the result is exact, up to
 collisions of 64-bit hashes.
 """
