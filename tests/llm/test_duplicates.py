@@ -50,6 +50,31 @@ def test_texts_longer_than_a_piece(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == removed(rows)
 
 
+def test_anchors_do_not_depend_on_the_buffer():
+    rng = np.random.default_rng(9)
+    passage = rng.integers(97, 101, 400).astype(np.uint8)
+    alone = substrings.anchors(passage, np.array([400]))
+    for more in (300, 20_000, 200_000):
+        data = np.concatenate([rng.integers(97, 101, more).astype(np.uint8), passage])
+        first, last, anchor, hashes = substrings.anchors(data, np.array([len(data)]))
+        inside = {(max(a, more) - more, b - more, m - more, h) for a, b, m, h in zip(first.tolist(), last.tolist(), anchor.tolist(), hashes.tolist(), strict=True) if b >= more}
+        assert {x[1:] for x in inside} >= {x[1:] for x in zip(*(y.tolist() for y in alone), strict=True)}
+
+
+def test_different_runs_go_through_in_pieces(spark):
+    """A hash whose runs come in several pieces is told as a whole, and once."""
+    runs = np.zeros(9000, substrings.RUN)
+    runs["hash"], runs["d1"], runs["k1"] = np.arange(9000) % 4500, np.arange(9000), np.arange(9000)
+    runs["hash"][:3] = 9999, 9998, 7  # two hashes alone
+    rows = [(0, substrings.RUNS, bytearray(r.tobytes()), None) for r in runs]
+    df = spark.createDataFrame(rows, "part int, kind int, data binary, bytes binary").coalesce(1)
+    out = substrings.different_runs(df, 4, 2).collect()
+    told = np.concatenate([np.frombuffer(r.data, substrings.RUN) for r in out if r.kind == substrings.RUNS])
+    hashes, n = np.unique(runs["hash"], return_counts=True)
+    assert sorted(told["d1"].tolist()) == sorted(runs["d1"][np.isin(runs["hash"], hashes[n > 1])].tolist())
+    assert [np.frombuffer(r.data, "<u8").tolist() for r in out if r.kind == substrings.HOTS] == [hashes[n > 2].tolist()]
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(3)
     base = rng.integers(97, 100, (12, 200)).astype(np.uint8)
