@@ -36,8 +36,8 @@ HOT = 40_000
 PIECE, PLACE_BITS = 1 << 18, 20
 #: Runs that are sorted at once, and bytes to which multikey quicksort goes.
 SORTED, SHALLOW = 40_000, 64
-#: Records that a task gathers before it sends them, and parts for each shuffle partition.
-FLUSH, PARTS = 400_000, 4
+#: Records that a task gathers before it sends them.
+FLUSH = 400_000
 _rng = np.random.default_rng(20)
 _TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -125,18 +125,18 @@ def _raw(batch: pa.RecordBatch) -> list[bytes]:
     return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text").cast(pa.binary())]
 
 
-#: A run: its anchor hash, its digest, its row's name, where its first window starts, windows, bytes before the anchor,
-#: and how often it is known to occur (2: its places are told already).
-RUN = np.dtype([("hash", "<u8"), ("d1", "<u8"), ("d2", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("start", "<i8"), ("windows", "<u2"), ("anchor", "<u2"), ("n", "u1")])
+#: A run: its anchor hash, its digest, its row's name (96 bits each), where its first window starts, windows, bytes before
+#: the anchor, and how often it is known to occur (2: its places are told already). No text has more than 2**31 bytes.
+RUN = np.dtype([("hash", "<u8"), ("d1", "<u8"), ("d2", "<u4"), ("k1", "<i8"), ("k2", "<i4"), ("start", "<u4"), ("windows", "u1"), ("anchor", "u1"), ("n", "u1")])
 #: Repeated bytes of a row, end exclusive.
-PLACE = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("a", "<i8"), ("b", "<i8")])
+PLACE = np.dtype([("k1", "<i8"), ("k2", "<i4"), ("a", "<u4"), ("b", "<u4")])
 #: Kinds of rows: places (before texts), texts; runs to be cut, hot anchor hashes; runs with their bytes, windows.
 PLACES, TEXTS, RUNS, HOTS, BYTES, WINDOWS = range(6)
 _DEALT = "part int, kind int, data binary, bytes binary"
 
 
 def _parts(spark: SparkSession) -> int:
-    return PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _cut(x: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -157,12 +157,12 @@ def _by(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (mix64(np.ascontiguousarray(hashes)) % np.uint64(parts)).astype(np.int64)
 
 
-def _places(x: np.ndarray, parts: int) -> list[tuple[int, int, bytes, None]]:
-    """Rows with the places of whole runs, dealt by the name of the text."""
+def _places(x: np.ndarray) -> np.ndarray:
+    """The places of whole runs."""
     out = np.empty(len(x), PLACE)
     out["k1"], out["k2"], out["a"] = x["k1"], x["k2"], x["start"]
-    out["b"] = x["start"] + x["windows"] + (LENGTH - 1)
-    return [(p, PLACES, r.tobytes(), None) for p, r in _cut(out, x["k1"] % parts)]
+    out["b"] = x["start"] + x["windows"].astype(np.uint32) + np.uint32(LENGTH - 1)
+    return out
 
 
 def equal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +179,7 @@ def equal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _digests(data: bytes, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     own = b"".join(xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(first.tolist(), stop.tolist(), strict=True))
     both = np.frombuffer(own, "<u8").reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+    return both[:, 0], both[:, 1].astype(np.uint32)
 
 
 def sent_runs(docs: DataFrame, parts: int) -> DataFrame:
@@ -189,6 +189,14 @@ def sent_runs(docs: DataFrame, parts: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("substrings", dict)
         gathered: list[np.ndarray] = []
+        ones, places = _Sender(fields, parts, _to_digest, RUNS), _Sender(fields, parts, _to_text, PLACES)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            whole, one = equal(np.concatenate(gathered))
+            gathered.clear()
+            yield from ones.put(one)
+            yield from places.put(_places(whole))
+
         for batch in slices(batches):
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for data, text, offset, first, last, anchor, hashes in runs(_raw(batch), piece):
@@ -198,14 +206,11 @@ def sent_runs(docs: DataFrame, parts: int) -> DataFrame:
                     x["d1"], x["d2"] = _digests(data, first, last + LENGTH)
                     gathered.append(x)
                 if sum(map(len, gathered)) >= flush:
-                    yield from out(gathered)
-                    gathered = []
-        yield from out(gathered)
-
-    def out(gathered: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+                    yield from out()
         if gathered:
-            whole, one = equal(np.concatenate(gathered))
-            yield from _rows([(p, RUNS, r.tobytes(), None) for p, r in _cut(one, _by(one["d1"], parts))] + _places(whole, parts), fields)
+            yield from out()
+        yield from ones.rest()
+        yield from places.rest()
 
     return docs.select("k1", "k2", "text").mapInArrow(send, _DEALT)
 
@@ -229,8 +234,40 @@ def _joined(own: list[tuple], dtype: np.dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(d, dtype) for d, _ in own])
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("part").sortWithinPartitions("part", "kind")
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows of a part in the partition of its number."""
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
+
+
+class _Sender:
+    """Gathers records of a task, so that few rows leave it."""
+
+    def __init__(self, fields: pa.Schema, parts: int, by, kind: int) -> None:
+        self.fields, self.parts, self.by, self.kind = fields, parts, by, kind
+        self.held: list[np.ndarray] = []
+
+    def put(self, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(x)
+        if sum(map(len, self.held)) >= FLUSH:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate(self.held) if self.held else ()
+        self.held = []
+        if len(x):
+            yield from _rows([(p, self.kind, r.tobytes(), None) for p, r in _cut(x, self.by(x, self.parts))], self.fields)
+
+
+def _to_text(x: np.ndarray, parts: int) -> np.ndarray:
+    return x["k1"] % parts
+
+
+def _to_hash(x: np.ndarray, parts: int) -> np.ndarray:
+    return _by(x["hash"], parts)
+
+
+def _to_digest(x: np.ndarray, parts: int) -> np.ndarray:
+    return _by(x["d1"], parts)
 
 
 def equal_runs(sent: DataFrame, parts: int) -> DataFrame:
@@ -238,14 +275,18 @@ def equal_runs(sent: DataFrame, parts: int) -> DataFrame:
     fields = _arrow_schema(sent.sparkSession, _DEALT)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, kind, own in _gathered(batches):
+        ones, places = _Sender(fields, parts, _to_hash, RUNS), _Sender(fields, parts, _to_text, PLACES)
+        for _, kind, own in _gathered(batches):
             if kind == PLACES:
-                yield from _rows([(part, kind, d.to_pybytes(), None) for d, _ in own], fields)
+                yield from places.put(_joined(own, PLACE))
             else:
                 whole, one = equal(_joined(own, RUN))
-                yield from _rows(_places(whole, parts) + [(p, RUNS, r.tobytes(), None) for p, r in _cut(one, _by(one["hash"], parts))], fields)
+                yield from places.put(_places(whole))
+                yield from ones.put(one)
+        yield from ones.rest()
+        yield from places.rest()
 
-    return _dealt(sent).mapInArrow(count, _DEALT)
+    return _dealt(sent, parts).mapInArrow(count, _DEALT)
 
 
 def different_runs(runs_: DataFrame, parts: int, hot: int) -> DataFrame:
@@ -256,6 +297,7 @@ def different_runs(runs_: DataFrame, parts: int, hot: int) -> DataFrame:
     fields = _arrow_schema(runs_.sparkSession, _DEALT)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _Sender(fields, parts, _to_text, RUNS)
         for _, _, own in _gathered(batches):
             known, told, counts = np.zeros(0, RUN), np.zeros(0, bool), np.zeros(0, np.int64)
             for i in range(0, len(own), 4096):
@@ -268,22 +310,22 @@ def different_runs(runs_: DataFrame, parts: int, hot: int) -> DataFrame:
                 first = np.flatnonzero(new)
                 sums = np.add.reduceat(n, first)
                 several = (sums > 1)[np.cumsum(new) - 1]
-                chosen = x[several & ~old]
-                yield from _rows([(p, RUNS, r.tobytes(), None) for p, r in _cut(chosen, chosen["k1"] % parts)], fields)
+                yield from wanted.put(x[several & ~old])
                 known, told, counts = x[first], sums > 1, sums
             most = known["hash"][counts > hot]
             if len(most):
                 yield from _rows([(0, HOTS, np.ascontiguousarray(most).tobytes(), None)], fields)
+        yield from wanted.rest()
 
-    return _dealt(runs_).mapInArrow(keep, _DEALT)
+    return _dealt(runs_, parts).mapInArrow(keep, _DEALT)
 
 
 def _beside(docs: DataFrame, records: DataFrame, parts: int) -> DataFrame:
     """Records and texts of a part together, records first: part, kind, data, k1, k2, doc_id, text."""
     kind = docs.schema["doc_id"].dataType
     texts = docs.select(F.pmod("k1", F.lit(parts)).cast("int").alias("part"), F.lit(TEXTS).alias("kind"), F.lit(None).cast("binary").alias("data"), "k1", "k2", "doc_id", "text")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("k1", "long"), ("k2", "long"), ("doc_id", kind), ("text", "string"))]
-    return _dealt(texts.unionByName(records.select("part", F.lit(PLACES).alias("kind"), "data", *none)))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("k1", "long"), ("k2", "int"), ("doc_id", kind), ("text", "string"))]
+    return _dealt(texts.unionByName(records.select("part", F.lit(PLACES).alias("kind"), "data", *none)), parts)
 
 
 def _met(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -324,7 +366,7 @@ def cut_runs(docs: DataFrame, wanted: DataFrame, hot, parts: int) -> DataFrame:
                 cut_up = np.isin(own["hash"], hot.value)
                 for r in own[cut_up]:
                     x = np.zeros(int(r["windows"]), RUN)
-                    begin = int(r["start"]) + np.arange(len(x))
+                    begin = int(r["start"]) + np.arange(len(x), dtype=np.int64)
                     x["k1"], x["k2"], x["start"], x["windows"], x["n"] = k1, k2, begin, 1, r["n"]
                     x["d1"], x["d2"] = _digests(raw, begin, begin + LENGTH)
                     windows.append(x)
@@ -348,7 +390,8 @@ def cut_runs(docs: DataFrame, wanted: DataFrame, hot, parts: int) -> DataFrame:
         if windows:
             x = np.concatenate(windows)
             whole, one = equal(x)
-            rows += _places(whole, parts) + [(p, WINDOWS, r.tobytes(), None) for p, r in _cut(one, _by(one["d1"], parts))]
+            rows += [(p, PLACES, r.tobytes(), None) for p, r in _cut(_places(whole), _to_text(whole, parts))]
+            rows += [(p, WINDOWS, r.tobytes(), None) for p, r in _cut(one, _to_digest(one, parts))]
         if rows:
             yield from _rows(rows, fields)
 
@@ -484,11 +527,12 @@ def sorted_runs(cut: DataFrame, parts: int) -> DataFrame:
     fields = _arrow_schema(cut.sparkSession, _DEALT)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, kind, own in _gathered(batches):
+        places = _Sender(fields, parts, _to_text, PLACES)
+        for _, kind, own in _gathered(batches):
             if kind == PLACES:
-                yield from _rows([(part, kind, d.to_pybytes(), None) for d, _ in own], fields)
+                yield from places.put(_joined(own, PLACE))
             elif kind == WINDOWS:
-                yield from _rows(_places(equal(_joined(own, RUN))[0], parts), fields)
+                yield from places.put(_places(equal(_joined(own, RUN))[0]))
             else:
                 x = _joined(own, RUN)
                 order = np.argsort(x["hash"], kind="stable")
@@ -503,20 +547,20 @@ def sorted_runs(cut: DataFrame, parts: int) -> DataFrame:
                         b += 1
                     which = order[edges[a] : edges[b]]
                     group = np.repeat(np.arange(b - a), np.diff(edges[a : b + 1]))
-                    yield from told(x[which], group, [data[e - z : e] for e, z in zip(ends[which].tolist(), sizes[which].tolist(), strict=True)])
+                    yield from places.put(told(x[which], group, [data[e - z : e] for e, z in zip(ends[which].tolist(), sizes[which].tolist(), strict=True)]))
                     a = b
+        yield from places.rest()
 
-    def told(x: np.ndarray, group: np.ndarray, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def told(x: np.ndarray, group: np.ndarray, data: list[bytes]) -> np.ndarray:
         out = []
         for r, w in zip(x, repeated_windows(group, x["n"].astype(np.int64), x["anchor"].astype(np.int64), data), strict=True):
             if r["n"] == 1 and w.any():  # other runs are repeated as a whole
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], w.astype(np.int8), [0]])))
-                out += [(r["k1"], r["k2"], r["start"] + i, r["start"] + j + LENGTH - 1) for i, j in zip(edges[::2], edges[1::2], strict=True)]
-        if out:
-            places = np.array(out, PLACE)
-            yield from _rows([(p, PLACES, y.tobytes(), None) for p, y in _cut(places, places["k1"] % parts)], fields)
+                start = int(r["start"])
+                out += [(r["k1"], r["k2"], start + i, start + j + LENGTH - 1) for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+        return np.array(out, PLACE)
 
-    return _dealt(cut).mapInArrow(sort, _DEALT)
+    return _dealt(cut, parts).mapInArrow(sort, _DEALT)
 
 
 def with_spans(docs: DataFrame, make, schema: str) -> DataFrame:
@@ -557,7 +601,7 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def named(docs: DataFrame) -> DataFrame:
     """doc_id and text with two hashes that name a row; equal rows have equal names and equal results."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(3), "text", "doc_id").alias("k2"))
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash(F.lit(3), "text", "doc_id").alias("k2"))
 
 
 def report(docs: DataFrame) -> DataFrame:
