@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +31,13 @@ from quarry.llm.words import hash_words
 SHINGLE, PERCENT = 5, 75
 #: Cells of the table of column counts that orders the shingles: 8 MB a task, whatever the corpus. It never decides a pair.
 CELLS, CELL_BLOCK = 1 << 22, 1 << 13
-#: Pivots that a document is compared with where documents meet, and documents of one key and task before the key is salted.
-PIVOTS, SALT_AFTER = 32, 256
+#: Pivots that a document is compared with where documents meet; documents of one key, over all tasks, that a salt gets,
+#: and cells of the table that counts them. Tasks from which copies of one set meet.
+PIVOTS, SALT_AFTER, FIRST_CELLS, TASKS = 32, 256, 1 << 18, 256
 #: Pair counts that a block of columns gathers before it adds them up, and rows of one column multiplied at once.
 PAIRS, TILE = 2_000_000, 1024
+#: Rows of one column in a task of the product, and in a task that looks for shared columns; longer columns are dealt out.
+COLUMN, HOT_COLUMN = 4096, 1_000_000
 #: Percent of the smaller set that a pair must at least share in the multiplied columns, where these are enough.
 AMONG = 2
 #: Documents to verify up to this number are found by a broadcast of their ids (8 bytes each), more by a shuffled join.
@@ -80,12 +84,13 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def column_counts(docs: DataFrame) -> np.ndarray:
-    """Documents that have a shingle of each cell, over all documents; exact copies inside a task count once."""
+def column_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that have a shingle of each cell, and documents whose smallest shingle falls in each of FIRST_CELLS cells,
+    over all documents; exact copies inside a task count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("jaccard", dict)
-        cells, seen = np.zeros(CELLS, np.uint32), set()
+        cells, seen = np.zeros(CELLS + FIRST_CELLS, np.uint32), set()
         for batch in slices(batches):
             sets = [s for s in shingles(texts_of(batch)) if len(s)]
             fresh = []
@@ -94,7 +99,8 @@ def column_counts(docs: DataFrame) -> np.ndarray:
                     seen.add(name)
                     fresh.append(s)
             if fresh:
-                cells += np.bincount((np.concatenate(fresh) >> np.uint64(42)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                cells[:CELLS] += np.bincount((np.concatenate(fresh) >> np.uint64(42)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                cells[CELLS:] += np.bincount(first_cell(np.array([s[0] for s in fresh], np.uint64)), minlength=FIRST_CELLS).astype(np.uint32)
         blocks = cells.reshape(-1, CELL_BLOCK)
         some = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([np.minimum(blocks[i], 65535).astype(np.uint16).tobytes() for i in some], pa.binary())], names=["block", "cells"])
@@ -103,14 +109,24 @@ def column_counts(docs: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for i, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(data.as_buffer(), np.uint16).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], names=["block", "cells"])
+                sums[i] = sums.get(i, 0) + np.frombuffer(data.as_buffer(), np.uint16).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "cells"])
 
     schema = "block int, cells binary"
-    out = np.zeros((CELLS // CELL_BLOCK, CELL_BLOCK), np.int64)
-    for r in docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():  # CELLS numbers
-        out[r["block"]] += np.frombuffer(r["cells"], np.uint32)
-    return out.ravel()
+    out = np.zeros(((CELLS + FIRST_CELLS) // CELL_BLOCK, CELL_BLOCK), np.int64)
+    for r in docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toLocalIterator():  # CELLS + FIRST_CELLS numbers
+        out[r["block"]] += np.frombuffer(r["cells"], np.int64)
+    return out.ravel()[:CELLS], out.ravel()[CELLS:]
+
+
+def first_cell(first: np.ndarray) -> np.ndarray:
+    """The cell of a smallest shingle; these crowd at small hashes, so they are mixed again."""
+    return (mix64(first) >> np.uint64(64 - FIRST_CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def salts(counts: np.ndarray, after: int) -> np.ndarray:
+    """Into how many parts the documents of each cell of smallest shingles go: one for ``after`` documents over the mean."""
+    return (1 + np.maximum(counts - 2 * counts.mean(), 0) // after).astype(np.uint64)
 
 
 def common_cells(counts: np.ndarray) -> np.ndarray:
@@ -133,19 +149,20 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 _MET = "doc_id long, n long, sig long, star long, star_n long, columns array<long>"
 
 
-def met(docs: DataFrame, common, percent: int = PERCENT) -> DataFrame:
+def met(docs: DataFrame, common, parts, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n and sig; for one document of each set, as far as copies meet, also its pivot
     (star), the pivot's size and the columns that enter the product.
 
     Texts go once to where the documents with the same smallest shingle are, those with the fewest uncommon shingles
     first, since they make the best pivots. Copies that a task has seen before go without
-    text and anywhere. A shingle with many documents in a task is salted by the set's name.
+    text and anywhere. A shingle of a cell that has many documents, over all tasks, is salted by the set's name and by
+    the task, TASKS of them together, so that neither near copies nor copies of one set crowd in one place.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("jaccard", dict)
         seen: set[int] = set()
-        many: dict[int, int] = {}
+        near = TaskContext.get().partitionId() // TASKS
         for batch in slices(batches):
             texts = texts_of(batch)
             rows = []
@@ -156,11 +173,10 @@ def met(docs: DataFrame, common, percent: int = PERCENT) -> DataFrame:
                     continue
                 seen.add(sig)
                 order = ordered(own, common.value)
-                first = int(own[0])
-                many[first] = many.get(first, 0) + 1
-                salt = sig % (many[first] // SALT_AFTER + 1)
+                n = parts.value[first_cell(own[:1])[0]]
+                salt = mix64(np.array([sig + near], np.int64).view(np.uint64)) % n if n > 1 else 0
                 light = int((order < np.uint64(1 << 63)).sum())
-                rows.append((int(mix64(np.array([first + salt], np.uint64))[0] >> np.uint64(1)), light, doc, len(own), sig, text))
+                rows.append((int(mix64(own[:1] + salt)[0] >> np.uint64(1)), light, doc, len(own), sig, text))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), sent, strict=True)], schema=sent)
 
@@ -199,11 +215,15 @@ def met(docs: DataFrame, common, percent: int = PERCENT) -> DataFrame:
     return docs.mapInArrow(send, sending).repartition("key").sortWithinPartitions("key", "light", "sig").mapInArrow(meet, _MET)
 
 
-def shared_columns(rows: DataFrame) -> DataFrame:
-    """The incidence (o, sig, star, n, pos) of columns that more than one pivot's group has. rows: sig, star, n, columns in order."""
-    schema = "o long, sig long, star long, n long, pos long"
-    fields = _arrow_schema(rows.sparkSession, schema)
+def shared_columns(rows: DataFrame, counts: np.ndarray | None = None) -> DataFrame:
+    """The incidence (o, sig, star, at) of columns that more than one pivot's group has; at is the set's size and the
+    column's place in it, packed. rows: sig, star, n, columns in order. counts: documents by cell; columns of a cell with
+    very many are dealt out by the set and all kept, since no task sees a whole one."""
+    schema = "o long, sig long, star long, at long"
+    spark = rows.sparkSession
+    fields = _arrow_schema(spark, schema)
     hold = 4096
+    hot = np.zeros(0, np.int64) if counts is None else np.flatnonzero(counts > max(HOT_COLUMN, 8 * counts.mean()))  # CELLS / 8 at most
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A column's rows are held until a second group shows; once more than ``hold`` are, they go on as they are."""
@@ -212,6 +232,11 @@ def shared_columns(rows: DataFrame) -> DataFrame:
         going = None  # a column whose rows go on at once
         for batch in batches:
             x = np.stack([c.to_numpy() for c in batch.columns], 1)
+            if len(hot):
+                dealt_out = np.isin(_cell(x[:, 0]), hot)
+                if dealt_out.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in x[dealt_out].T], schema=fields)
+                    x = x[~dealt_out]
             if tail is not None and len(tail):
                 x = np.concatenate([tail, x])
             bounds = np.flatnonzero(np.diff(x[:, 0])) + 1
@@ -232,10 +257,21 @@ def shared_columns(rows: DataFrame) -> DataFrame:
         if tail is not None and len(tail) and (tail[0, 0] == going or tail[:, 2].min() != tail[:, 2].max()):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in tail.T], schema=fields)
 
-    spread = rows.select(F.posexplode("columns").alias("pos", "o"), "sig", "star", "n").select("o", "sig", "star", "n", F.col("pos").cast("long").alias("pos"))
+    at = F.shiftleft("n", 32) + F.col("pos").cast("long")
+    spread = rows.select(F.posexplode("columns").alias("pos", "o"), "sig", "star", "n").select("o", "sig", "star", at.alias("at"))
+    if len(hot):
+        table = spark.createDataFrame([(int(c), int(counts[c] // HOT_COLUMN) + 1) for c in hot], "cell long, parts long")
+        cell = F.shiftrightunsigned("o", 63 - CELLS.bit_length() + 1).bitwiseAND(F.lit(CELLS - 1))
+        spread = spread.join(F.broadcast(table), cell == F.col("cell"), "left").withColumn("part", F.coalesce(F.pmod("sig", "parts"), F.lit(0).cast("long")))
+        return spread.repartition("o", "part").select("o", "sig", "star", "at").sortWithinPartitions("o").mapInArrow(keep, schema)
     return spread.repartition("o").sortWithinPartitions("o").mapInArrow(keep, schema)
 
 
+def _cell(o: np.ndarray) -> np.ndarray:
+    """The cell of a column in the order of the product, whose top bit is not the hash's."""
+    return (o.view(np.uint64) >> np.uint64(63 - CELLS.bit_length() + 1)).astype(np.int64) & (CELLS - 1)
+
+
 def demand(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Overlap that two sizes must reach, and the part of it that must lie in the columns that are multiplied.
 
@@ -247,11 +283,16 @@ def demand(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> tuple[np.nda
     return alpha, np.maximum(1, np.minimum(np.minimum(a, b) * AMONG // 100, fits))
 
 
+#: A tile is two parts and a row's own part, 20 bits each.
+_PART = (1 << 20) - 1
+
+
 def product(incidence: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b (a < b): pairs of sets in different groups that share as much in the multiplied columns as their sizes demand.
 
-    incidence: o, sig, group, n, pos. A task has a block of columns and adds up the counts of its pairs before it
-    hands them on; a long column is multiplied tile by tile.
+    incidence: o, sig, group, at, rows (of the column). A task has a block of columns and adds up the counts of its pairs
+    before it hands them on. A column of more than COLUMN rows is cut into parts by the set, and each pair of parts is a
+    tile that goes to a task of its own.
     """
     schema = "a long, b long, shared long, need long"
     fields = _arrow_schema(incidence.sparkSession, schema)
@@ -266,16 +307,20 @@ def product(incidence: DataFrame, percent: int = PERCENT) -> DataFrame:
                 p = x[i : i + TILE]
                 for j in range(i, len(x), TILE):
                     q = x[j : j + TILE]
-                    u, v = np.nonzero((p[:, None, 2] != q[None, :, 2]) & (p[:, None, 1] < q[None, :, 1]) if i != j else (p[:, None, 2] != p[None, :, 2]) & (p[:, None, 1] < p[None, :, 1]))
+                    may = p[:, None, 2] != q[None, :, 2]
+                    if x[0, 4] >> 40 != (x[0, 4] >> 20) & _PART:  # two parts: pairs inside one belong to that part's own tile
+                        may &= (p[:, None, 4] & _PART) != (q[None, :, 4] & _PART)
+                    u, v = np.nonzero(may & (p[:, None, 1] < q[None, :, 1]))
                     yield pairs(p[u], q[v])
-                    if i != j:  # the other order of the two tiles
-                        u, v = np.nonzero((p[:, None, 2] != q[None, :, 2]) & (p[:, None, 1] > q[None, :, 1]))
+                    if i != j:  # the other order of the two stretches
+                        u, v = np.nonzero(may & (p[:, None, 1] > q[None, :, 1]))
                         yield pairs(q[v], p[u])
 
         def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            alpha, need = demand(a[:, 3], b[:, 3], percent)
-            fits = 100 * np.minimum(a[:, 3], b[:, 3]) >= percent * np.maximum(a[:, 3], b[:, 3])
-            fits &= (a[:, 4] < a[:, 3] - alpha + need) & (b[:, 4] < b[:, 3] - alpha + need)
+            (m, i), (n, j) = ((x[:, 3] >> 32, x[:, 3] & 0xFFFFFFFF) for x in (a, b))
+            alpha, need = demand(m, n, percent)
+            fits = 100 * np.minimum(m, n) >= percent * np.maximum(m, n)
+            fits &= (i < m - alpha + need) & (j < n - alpha + need)
             return np.stack([a[fits, 1], b[fits, 1], need[fits]], 1)
 
         def summed() -> pa.RecordBatch:
@@ -292,7 +337,7 @@ def product(incidence: DataFrame, percent: int = PERCENT) -> DataFrame:
             for batch in batches:
                 x = np.stack([c.to_numpy() for c in batch.columns], 1)
                 x = x if tail is None else np.concatenate([tail, x])
-                bounds = (np.flatnonzero(np.diff(x[:, 0])) + 1).tolist()
+                bounds = (np.flatnonzero((np.diff(x[:, 0]) != 0) | (np.diff(x[:, 4] >> 20) != 0)) + 1).tolist()
                 yield from (x[a:b] for a, b in zip([0, *bounds[:-1]], bounds, strict=False) if b - a > 1)
                 tail = x[bounds[-1] :] if bounds else x
             if tail is not None and len(tail) > 1:
@@ -310,7 +355,11 @@ def product(incidence: DataFrame, percent: int = PERCENT) -> DataFrame:
         if parts:
             yield summed()
 
-    counted = incidence.select("o", "sig", "group", "n", "pos").repartition("o").sortWithinPartitions("o").mapInArrow(multiply, schema)
+    parts = F.ceil(F.col("rows") / F.lit(COLUMN)).cast("long")
+    own, every = F.pmod("sig", parts), F.sequence(F.lit(0).cast("long"), parts - 1)
+    tile = lambda u: F.shiftleft(F.least(own, u), 40) + F.shiftleft(F.greatest(own, u), 20) + own
+    dealt = incidence.select("o", "sig", "group", "at", F.explode(F.when(F.col("rows") <= COLUMN, F.array(F.lit(0).cast("long"))).otherwise(F.transform(every, tile))).alias("tile"))
+    counted = dealt.repartition("o", F.shiftright("tile", 20)).sortWithinPartitions("o", "tile").mapInArrow(multiply, schema)
     return counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
 
 
@@ -366,20 +415,22 @@ def _classed(docs: DataFrame, percent: int) -> DataFrame:
     """The rows of classes with the signature of each row's set."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    common = spark.sparkContext.broadcast(common_cells(column_counts(docs)))  # CELLS booleans
-    rows = stored(met(docs, common, percent), "met")
+    counts, firsts = column_counts(docs)
+    common = spark.sparkContext.broadcast(common_cells(counts))  # CELLS booleans
+    parts = spark.sparkContext.broadcast(salts(firsts, SALT_AFTER))  # FIRST_CELLS numbers
+    rows = stored(met(docs, common, parts, percent), "met")
     sets = rows.filter("star IS NOT NULL").select("sig", "star", "star_n", "n", "columns", "doc_id")
     names = sets.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    incidence = stored(shared_columns(sets), "incidence")
+    incidence = stored(shared_columns(sets, counts), "incidence")
     stars = sets.select("sig", "star").distinct()
     # copies of a set that met under different salts are one node
     same = sets.groupBy("sig").agg(F.min("star").alias("a"), F.max("star").alias("b")).filter("a <> b").select("a", "b")
     # a pivot is compared with the pivot of the largest group with which its own shares most columns
     first = stored(verified(hubs(incidence), docs, names, percent).union(same), "links")
     groups = stored(components(first), "groups")
-    grouped = incidence.join(groups, incidence["star"] == groups["node"], "left").withColumn("group", F.coalesce("component", "star")).select("o", "sig", "group", "n", "pos")
+    grouped = incidence.join(groups, incidence["star"] == groups["node"], "left").withColumn("group", F.coalesce("component", "star")).select("o", "sig", "group", "at")
     # whatever is still in different groups is multiplied
-    several = grouped.groupBy("o").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("o")
+    several = grouped.groupBy("o").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("rows")).filter("low <> high").select("o", "rows")
     rest = verified(product(grouped.join(several, "o"), percent), docs, names, percent)
     between = rest.join(stars.select(F.col("sig").alias("a"), F.col("star").alias("u")), "a").join(stars.select(F.col("sig").alias("b"), F.col("star").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
     joined_stars = components(first.union(between))

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import components, jaccard, substrings
@@ -133,8 +134,11 @@ def test_classes(docs, nothing, monkeypatch):
     assert shown(nothing) == []
 
 
-def test_classes_of_a_large_group(spark, monkeypatch):
+@pytest.mark.parametrize("column", [4096, 8])
+def test_classes_of_a_large_group(spark, monkeypatch, column):
     monkeypatch.setattr(jaccard, "SALT_AFTER", 10)
+    monkeypatch.setattr(jaccard, "COLUMN", column)  # of the small ones, long columns go in tiles, and hot ones are dealt out
+    monkeypatch.setattr(jaccard, "HOT_COLUMN", column)
     monkeypatch.setattr(jaccard, "TILE", 16)
     monkeypatch.setattr(jaccard, "PAIRS", 500)
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 5)
