@@ -115,6 +115,11 @@ def glob_pattern(glob: str) -> str:
     return "^" + _glob(glob.removeprefix("./")) + "$"
 
 
+def glob_part(glob: str) -> str:
+    """As glob_pattern, without its ends."""
+    return _glob(glob)
+
+
 def _glob(glob: str) -> str:
     out, i = "", 0
     while i < len(glob):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import keyword
 import re
 from functools import reduce
 
@@ -27,13 +26,33 @@ DOMAINS = (
     ("persistence / data", ("repository", "repositories", "dao", "daos", "persistence", "database", "db"), ()),
     ("ui / pages", ("component", "components", "page", "pages", "view", "views", "screen", "screens"), ()),
 )
-_BRACES = (
-    "abstract as async await break case catch class const continue debugger default delete do else enum export extends false finally for from "
-    "function if implements import in instanceof interface let new null of package private protected public return static super switch this "
-    "throw true try type typeof undefined var void while with yield"
-).split()
-_JAVA = "boolean byte char double final float int long native record short synchronized throws transient volatile".split()
-RESERVED = {"javascript": tuple(_BRACES), "python": (*keyword.kwlist, "self", "cls"), "java": (*_BRACES, *_JAVA)}
+# Words that normal forms of code keep, by language.
+RESERVED = {
+    "javascript": (
+        "abstract", "any", "as", "asserts", "async", "await", "bigint", "boolean", "break", "case", "catch", "class", "const", "continue",
+        "debugger", "declare", "default", "delete", "do", "else", "enum", "export", "extends", "false", "finally", "for", "from", "function",
+        "get", "if", "implements", "import", "in", "infer", "instanceof", "interface", "is", "keyof", "let", "module", "namespace", "never",
+        "new", "null", "number", "object", "of", "package", "private", "protected", "public", "readonly", "require", "return", "set", "static",
+        "string", "super", "switch", "symbol", "this", "throw", "true", "try", "type", "typeof", "undefined", "unknown", "var", "void", "while",
+        "with", "yield", "$NUM", "$STR", "$ID",
+    ),
+    "python": (
+        "False", "None", "True", "and", "as", "assert", "async", "await", "break", "class", "continue", "def", "del", "elif", "else", "except",
+        "finally", "for", "from", "global", "if", "import", "in", "is", "lambda", "nonlocal", "not", "or", "pass", "raise", "return", "try",
+        "while", "with", "yield", "self", "cls", "int", "str", "float", "bool", "list", "dict", "set", "tuple", "type", "object", "print", "len",
+        "range", "enumerate", "zip", "map", "filter", "sorted", "reversed", "any", "all", "isinstance", "issubclass", "hasattr", "getattr",
+        "setattr", "property", "staticmethod", "classmethod", "super", "$NUM", "$STR", "$ID",
+    ),
+    "java": (
+        "abstract", "assert", "boolean", "break", "byte", "case", "catch", "char", "class", "const", "continue", "default", "do", "double",
+        "else", "enum", "extends", "false", "final", "finally", "float", "for", "goto", "if", "implements", "import", "instanceof", "int",
+        "interface", "long", "native", "new", "null", "package", "private", "protected", "public", "record", "return", "short", "static",
+        "strictfp", "super", "switch", "synchronized", "this", "throw", "throws", "transient", "true", "try", "var", "void", "volatile",
+        "while", "$NUM", "$STR", "$ID",
+    ),
+}
+#: White space of code: ASCII's and the Unicode blanks.
+_BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def identifier_tokens(text: Column) -> Column:
@@ -96,18 +115,24 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def normal_code(code: Column, language: str = "javascript") -> Column:
-    """Code with numbers, strings and names replaced by one placeholder, without comments, white space collapsed."""
+    """Code without comments, white space collapsed; a number becomes $NUM, a string's body $STR, and every name that the
+    language doesn't reserve $ID. $NUM and $STR are names behind a dollar themselves, so they end as $$ID: a number and a
+    name stay different."""
     reserved = "|".join(map(re.escape, RESERVED.get(language, RESERVED["javascript"])))
+    w, any_line = "[A-Za-z0-9_]", r"[^\n\r\u2028\u2029]*"
+    keep = rf"(?!(?:{reserved})(?!\$*{w}))"
+    # a name begins and ends at a word's edge, so a dollar begins one only behind a word's character, and never ends one
+    name = rf"(?<!{w}){keep}[A-Za-z_](?:[A-Za-z0-9_$]*{w})?|(?<={w}){keep}\$[A-Za-z0-9_$]*{w}"
     steps = (
-        (r"(?<![A-Za-z0-9_])\d+\.?\d*(?![A-Za-z0-9_])", "Nn"),
-        (r'"[^"]*"', '"Ss"'),
-        ("'[^']*'", "'Ss'"),
-        ("`[^`]*`", "`Ss`"),
+        (rf"(?<!{w})[0-9]+[.]?[0-9]*(?:(?<={w})(?!{w})|(?<!{w})(?={w}))", r"\$NUM"),
+        (r'"[^"]*"', r'"\$STR"'),
+        ("'[^']*'", r"'\$STR'"),
+        ("`[^`]*`", r"`\$STR`"),
         (r"(?s)/\*.*?\*/", ""),
-        ("//.*", ""),
-        ("#.*", ""),
-        (rf"(?<![A-Za-z0-9_$])(?!(?:{reserved})(?![A-Za-z0-9_$]))[A-Za-z_$][A-Za-z0-9_$]*", r"\$ID"),
-        (r"\s+", " "),
+        (f"//{any_line}", ""),
+        (f"#{any_line}", ""),
+        (name, r"\$ID"),
+        (f"{_BLANK}+", " "),
     )
     return F.trim(reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, code))
 

@@ -6,10 +6,13 @@ import json
 import re
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import graph
+
 
 def read_cases(text: str) -> list[dict]:
     """Cases from JSON, or from the simple YAML form: items with query and lists under expectedFirstFiles, requiredSymbols, requiredKinds."""
@@ -76,6 +79,21 @@ def benchmark(spark: SparkSession, embedders: dict[str, Callable[[list[str]], li
     return spark.createDataFrame([(*r, r[0] == best) for r in rows], "name string, seconds double, inputs_per_s double, tokens_per_s double, fastest boolean")
 
 
+def investigate(hits: DataFrame, nodes: DataFrame, edges: DataFrame, symbols: int = 3, references: int = 50, impact: int = 100) -> tuple[DataFrame, DataFrame]:
+    """References (symbol, src, kind) and impact (symbol, node, depth) of the symbols of the best hits (symbol, file, start, score).
+
+    What a search found leads to what calls it and to what a change would reach; literal evidence and the context are the
+    caller's next steps, by ``lexical.literal`` and ``ranking.within_budget``.
+    """
+    best = hits.filter(F.coalesce("symbol", F.lit("")) != "").orderBy(F.col("score").desc(), "file", "start").limit(symbols).select("symbol", "file", "start")
+    placed = best.join(nodes, (nodes["name"] == best["symbol"]) & (nodes["file"] == best["file"]) & best["start"].between(nodes["start"], nodes["end"])).select("symbol", "node")
+    used = edges.join(placed.select("symbol", F.col("node").alias("dst")), "dst").select("symbol", "src", "kind")
+    own = [r["symbol"] for r in placed.select("symbol").distinct().collect()]  # ``symbols`` at most
+    reached = [graph.impact(edges, placed.filter(F.col("symbol") == s), limit=impact).withColumn("symbol", F.lit(s)) for s in own]
+    empty = placed.limit(0).select("node", F.lit(0).alias("depth"), "symbol")
+    return used.distinct().orderBy("symbol", "src", "kind").limit(references * symbols), reduce(lambda a, b: a.unionByName(b), reached, empty)
+
+
 def token_estimate(content: Column) -> Column:
     """A quarter of the characters, rounded up."""
     return F.ceil(F.length(content) / 4)

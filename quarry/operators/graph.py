@@ -18,10 +18,12 @@ MAX_REFERENCES, MAX_IMPACT, IMPACT_DEPTH, TRACE_DEPTH = 100, 200, 3, 6
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written and read again: ends the lineage of a loop. The folder is spark.checkpoint.dir, or our own where that is unset."""
+    """df written and read again: ends the lineage of a loop. The folder is spark.checkpoint.dir, or on a local master our own."""
     spark: SparkSession = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.quarry.loops.dir", None)
     if top is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, top, ignore_errors=True)
         spark.conf.set("spark.quarry.loops.dir", top)
@@ -36,7 +38,7 @@ def calls(chunks: DataFrame) -> Column:
     guessed = F.array_except(seen, F.array(*map(F.lit, NOT_CALLS), F.coalesce("symbol", F.lit(""))))
     if "calls" not in chunks.columns:
         return guessed
-    stored = F.filter(F.transform(F.split(F.coalesce("calls", F.lit("")), ","), F.trim), lambda c: c != "")
+    stored = F.filter(F.transform(F.split(F.coalesce("calls", F.lit("")), ","), lambda t: F.trim(t)), lambda c: c != "")
     return F.when(F.size(stored) > 0, F.array_distinct(stored)).otherwise(guessed)
 
 
@@ -84,7 +86,7 @@ def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = full.withColumn("dst", F.when(F.col("n2") == 1, F.col("only2")).when(F.col("n_here") == 1, F.col("here"))).withColumn("confidence", F.when(F.col("n2") == 1, "high").when(F.col("n_here") == 1, "medium"))
     made = placed.select("src", F.explode(F.transform(F.regexp_extract_all("content", F.lit(r"(?<![A-Za-z0-9_])db\.(?:query|insert|patch|replace|delete|get)\s*\(\s*[\"']([^\"']+)[\"']"), 1), lambda t: F.concat(F.lit("table:"), t))).alias("dst"), F.lit("schema-table").alias("kind"))
     if "imports" in chunks.columns:
-        modules = F.filter(F.transform(F.split(F.coalesce("imports", F.lit("")), ","), F.trim), lambda i: i != "")
+        modules = F.filter(F.transform(F.split(F.coalesce("imports", F.lit("")), ","), lambda t: F.trim(t)), lambda i: i != "")
         made = made.unionByName(placed.select("src", F.explode(F.transform(modules, lambda i: F.concat(F.lit("module:"), i))).alias("dst"), F.lit("import").alias("kind")))
     resolved = found.filter("dst IS NOT NULL AND dst <> src").select("src", "dst", "kind", "confidence").unionByName(made.withColumn("confidence", F.lit("high")))
     edges = resolved.groupBy("src", "dst", "kind").agg(F.min("confidence").alias("confidence"))
@@ -95,6 +97,12 @@ def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return n.unionByName(extra), edges, totals.withColumn("coverage", coverage)
 
 
+def extracted(rows: DataFrame, src: str, content: str, pattern: str) -> DataFrame:
+    """src, dst: what the first group of a pattern finds in each row's content, each once."""
+    found = F.array_distinct(F.regexp_extract_all(content, F.lit(pattern), 1))
+    return rows.select(F.col(src).cast("string").alias("src"), F.explode(found).alias("dst")).distinct()
+
+
 def references(edges: DataFrame, targets: DataFrame, limit: int = MAX_REFERENCES) -> DataFrame:
     """Edges into the nodes of targets(node)."""
     return edges.join(targets.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").orderBy("src", "dst").limit(limit)

@@ -28,28 +28,90 @@ def normalized(df: DataFrame, vector: str = "embedding", key: str = "vec_id", bl
     return df.select(F.col(key).alias("id"), (F.col(block) if block else F.lit(0)).alias("block"), V.l2_normalize(F.col(vector)).alias("v"))
 
 
+def _tiles(rows: DataFrame, chunk: int):
+    """Rows (id, block, v) on both sides of tiles (block, i, j) with i <= j, each pair of chunks of a block in one tile.
+
+    A block of m rows has ceil(m / chunk) chunks; a row of chunk c is on the left of the tiles (c, j) and on the right of
+    the tiles (i, c), so every pair of rows meets once, and a task has two chunks, whatever the block's size.
+    """
+    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
+    dealt = rows.join(sizes, "block").withColumn("c", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    left = dealt.select("block", F.col("c").alias("i"), F.explode(F.sequence("c", F.col("chunks") - 1)).alias("j"), "id", "v")
+    new = [F.col(c).alias(c) for c in ("block", "id", "v")]  # the sides are of one table
+    right = dealt.select(new[0], F.explode(F.sequence(F.lit(0), "c")).alias("i"), F.col("c").alias("j"), *new[1:])
+    return left.groupBy("block", "i", "j").cogroup(right.groupBy("block", "i", "j"))
+
+
+def _products(best: int | None, threshold: float):
+    """A function of a tile's two sides: a, b, similarity of its pairs from the threshold on (a < b), or for every row of
+    either side its ``best`` partners (a is the row). Vectors of different lengths and with nulls have no similarity."""
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(side: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        v = side.column("v").combine_chunks()
+        v = v if isinstance(v, pa.Array) else pa.concat_arrays(v.chunks)
+        lengths = np.array([len(x) if x.is_valid else -1 for x in v])
+        out = {}
+        for n in set(lengths.tolist()) - {-1, 0}:
+            which = np.flatnonzero(lengths == n)
+            flat = v.take(pa.array(which)).flatten().to_numpy(zero_copy_only=False)
+            out[n] = (which, np.asarray(flat, float).reshape(len(which), n))
+        return out
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, s = [], [], []
+        if left.num_rows and right.num_rows:
+            same = left.column("i")[0] == left.column("j")[0]
+            ids = [np.array(side.column("id").to_pylist()) for side in (left, right)]
+            xs, ys = matrix(left), matrix(right)
+            for n in xs.keys() & ys.keys():
+                (wx, x), (wy, y) = xs[n], ys[n]
+                p, q, products = ids[0][wx], ids[1][wy], x @ y.T
+                if best is None:
+                    good = products >= threshold
+                    if same:
+                        good &= p[:, None] < q[None, :]
+                    i, j = np.nonzero(good)
+                    flip = p[i] > q[j]
+                    a.append(np.where(flip, q[j], p[i]))
+                    b.append(np.where(flip, p[i], q[j]))
+                    s.append(products[i, j])
+                    continue
+                sides = [(p, q, products)] if same else [(p, q, products), (q, p, products.T)]
+                for own, other, m in sides:
+                    for k, row in enumerate(m):
+                        ok = np.flatnonzero((row >= threshold) & (other != own[k]))
+                        if len(ok) > best:  # those as near as the last of the best stay, for ties
+                            ok = ok[row[ok] >= np.partition(row[ok], -best)[-best]]
+                            ok = ok[np.lexsort((other[ok], -row[ok]))[:best]]
+                        a.append(np.repeat(own[k : k + 1], len(ok)))
+                        b.append(other[ok])
+                        s.append(row[ok])
+        kind = left.schema.field("id").type
+        join = lambda parts, t: pa.array(np.concatenate(parts).tolist() if parts else [], t)
+        return pa.table({"a": join(a, kind), "b": join(b, kind), "similarity": join(s, pa.float64())})
+
+    return tile
+
+
 def similar_pairs(df: DataFrame, threshold: float, vector: str = "embedding", key: str = "vec_id", block: str | None = None, chunk: int = 2048) -> DataFrame:
     """a, b, similarity of all pairs (a < b) of one block with at least the threshold.
 
-    Rows are dealt into chunks and each pair of chunks is one key of an equi-join: no cross join of the table, and a
-    task has two chunks, whatever the block's size.
+    Each pair of chunks of a block is one tile, whose products are one matrix product in numpy: no cross join of the
+    table, each pair is looked at once, and only pairs over the threshold leave a tile. Equal keys are no pair.
     """
-    rows = normalized(df, vector, key, block)
-    n = max(1, -(-rows.count() // chunk))
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    tile = lambda own, other: F.concat_ws(":", F.least(own, other), F.greatest(own, other))
-    left = rows.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("c").alias("ca"), "block", F.explode(every).alias("o")).withColumn("tile", tile(F.col("ca"), F.col("o"))).drop("o")
-    right = rows.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("c").alias("cb"), "block", F.explode(every).alias("o")).withColumn("tile", tile(F.col("cb"), F.col("o"))).drop("o")
-    own_tile = F.col("tile") == F.concat_ws(":", F.least("ca", "cb"), F.greatest("ca", "cb"))
-    pairs = left.join(right, ["block", "tile"]).filter((F.col("a") < F.col("b")) & own_tile & (F.size("va") == F.size("vb")))
-    return pairs.select("a", "b", V.dot(F.col("va"), F.col("vb")).alias("similarity")).filter(F.col("similarity") >= threshold)
-
-
-def self_knn(df: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", block: str | None = None, include_self: bool = False, threshold: float = -2.0) -> DataFrame:
-    """a, b, similarity, rank: the k nearest of every row among the others of its block, ties by id."""
-    half = similar_pairs(df, threshold, vector, key, block)
-    both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    rows = normalized(df, vector, key, block).filter("id IS NOT NULL AND v IS NOT NULL AND block IS NOT NULL")
+    kind = rows.schema["id"].dataType.simpleString()
+    found = _tiles(rows, chunk).applyInArrow(_products(None, float(threshold)), f"a {kind}, b {kind}, similarity double")
+    return found.filter("a < b")
+
+
+def self_knn(df: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", block: str | None = None, include_self: bool = False, threshold: float = -2.0, chunk: int = 2048) -> DataFrame:
+    """a, b, similarity, rank: the k nearest of every row among the others of its block, ties by id. A tile hands on k a row."""
+    rows = normalized(df, vector, key, block).filter("id IS NOT NULL AND v IS NOT NULL AND block IS NOT NULL")
+    kind = rows.schema["id"].dataType.simpleString()
+    both = _tiles(rows, chunk).applyInArrow(_products(k, float(threshold)), f"a {kind}, b {kind}, similarity double")
     if include_self:
         both = both.unionByName(df.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("similarity")))
     w = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
@@ -62,18 +124,29 @@ def strong_evidence(hits: DataFrame, similarity: str = "similarity", best: float
     return hits.agg(F.count("*").alias("n"), at(1).alias("first"), at(3).alias("third")).withColumn("strong", F.coalesce((F.col("n") >= 3) & (F.col("first") >= best) & (F.col("third") >= third), F.lit(False)))
 
 
-def hyperplane_buckets(df: DataFrame, dimension: int, bits: int = 12, tables: int = 8, vector: str = "embedding", seed: int = 5) -> DataFrame:
-    """df with buckets: one sign pattern a table, for an optional index on large tables."""
+def planes(dimension: int, bits: int, tables: int, seed: int = 5) -> list[list[list[float]]]:
+    """The normals of a table's hyperplanes, by table."""
     import random
 
     rng = random.Random(seed)
+    return [[[rng.gauss(0, 1) for _ in range(dimension)] for _ in range(bits)] for _ in range(tables)]
+
+
+def hyperplane_buckets(df: DataFrame, dimension: int, bits: int = 12, tables: int = 8, vector: str = "embedding", seed: int = 5) -> DataFrame:
+    """df with buckets: one sign pattern a table, for an optional index on large tables (``bucket_search`` reads it)."""
 
-    def pattern(t: int) -> Column:
-        planes = [F.array(*(F.lit(rng.gauss(0, 1)) for _ in range(dimension))) for _ in range(bits)]
-        value = sum(((V.dot(F.col(vector), p) > 0).cast("long") * (1 << i) for i, p in enumerate(planes)), F.lit(0).cast("long"))
+    def pattern(t: int, normals: list[list[float]]) -> Column:
+        value = sum(((V.dot(F.col(vector), F.array(*map(F.lit, p))) > 0).cast("long") * (1 << i) for i, p in enumerate(normals)), F.lit(0).cast("long"))
         return value + F.lit(t << bits)
 
-    return df.withColumn("buckets", F.array(*(pattern(t) for t in range(tables))))
+    return df.withColumn("buckets", F.array(*(pattern(t, p) for t, p in enumerate(planes(dimension, bits, tables, seed)))))
+
+
+def bucket_search(indexed: DataFrame, query: list[float], k: int = 20, bits: int = 12, tables: int = 8, vector: str = "embedding", key: str = "vec_id", where: Column | None = None, seed: int = 5) -> DataFrame:
+    """top_k among the rows that share a bucket with the query: approximate. indexed has buckets of the same bits, tables and seed."""
+    own = [sum((sum(x * y for x, y in zip(query, p, strict=True)) > 0) << i for i, p in enumerate(normals)) + (t << bits) for t, normals in enumerate(planes(len(query), bits, tables, seed))]
+    near = F.arrays_overlap("buckets", F.array(*(F.lit(b).cast("long") for b in own)))
+    return top_k(indexed.filter(near), query, k, vector, key, where)
 
 
 def hydrate(results: DataFrame, table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -84,6 +84,51 @@ def one(df: DataFrame, x: Condition, compat: bool = False) -> Column | None:
     return OPERATORS[x.operator](F.col(x.column), x.value)
 
 
+# What parameters of a search may be.
+SYMBOL_TYPES = ("function", "class", "method", "type", "variable", "enum", "module")
+FILE_ROLES = ("implementation", "test", "generated", "contract", "configuration", "documentation", "migration", "fixture", "build-artifact")
+CHOICES = {
+    "hybridMode": ("adaptive", "parallel"), "symbolType": SYMBOL_TYPES, "purpose": ("understand", "implement", "review", "test"), "preferRole": FILE_ROLES,
+    "includeRole": FILE_ROLES, "excludeRole": FILE_ROLES, "resultDetail": ("minimal", "compact", "content", "diagnostic", "full"),
+}
+RANGES = {
+    "minScore": (0.0, 1.0, float), "minComplexity": (0, None, float), "maxComplexity": (0, None, float), "maxTokens": (1, 1_000_000, int),
+    "embeddingTimeoutMs": (1, 300_000, int), "latencyBudgetMs": (1, 300_000, int), "limit": (1, 500, int), "maxPerFile": (0, None, int), "maxPerSymbol": (0, None, int),
+}
+FLAGS = ("exact", "hybrid", "rerank", "isExported", "isAsync", "isStatic", "isAbstract", "hasDocumentation", "explainFilters", "strictParent", "strictImports", "shake", "gitChanged")
+TEXTS = ("pattern", "include", "exclude", "symbol", "name", "variant", "decorator", "language", "parentScope", "imports", "semanticKind", "gitBase")
+DEFAULTS = {"hybrid": True, "rerank": False, "shake": True, "limit": 10, "maxPerFile": 2, "maxPerSymbol": 2}
+
+
+def checked(given: dict[str, Any]) -> dict[str, Any]:
+    """Parameters of a search with defaults; ValueError names every one that is unknown, of the wrong kind or out of range."""
+    faults, out = [], dict(DEFAULTS)
+    for key, v in given.items():
+        if v is None:
+            continue
+        if key == "query" or key in TEXTS:
+            good = isinstance(v, str) and (key not in ("query", "language") or v.strip() != "")
+            v = v.strip() if good and key == "query" else v
+        elif key in FLAGS:
+            good = isinstance(v, bool)
+        elif key in CHOICES:
+            good = v in CHOICES[key]
+        elif key in RANGES:
+            low, high, kind = RANGES[key]
+            good = isinstance(v, (int, float) if kind is float else int) and not isinstance(v, bool) and v >= low and (high is None or v <= high)
+        else:
+            good = False
+        if good:
+            out[key] = v
+        else:
+            faults.append(key)
+    if not str(out.get("query", "")):
+        faults.append("query")
+    if faults:
+        raise ValueError(f"invalid parameters: {', '.join(sorted(set(faults)))}")
+    return out
+
+
 def equality(values: dict[str, Any]) -> Predicate:
     """A plain map of column to value."""
     return Predicate(all=[Condition(k, "equals", v) for k, v in values.items()])

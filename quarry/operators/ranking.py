@@ -163,6 +163,33 @@ def truncated(content: Column, budget: int, file: Column, symbol: Column) -> Col
     return F.when(F.length(content) <= room, content).when((at >= F.floor(room / 2)) & F.contains(head, F.lit("\n")), F.substring(head, F.lit(1), at)).otherwise(head)
 
 
+def over_fetch(limit: int, what: str = "search") -> int:
+    """Rows to fetch for ``limit`` that are shown, since later steps drop some: twice as many, three times with a pattern,
+    six times and at least 60 for a survey, eight times and at least 70 for clusters."""
+    return {"search": 2 * limit, "pattern": 3 * limit, "survey": max(60, 6 * limit), "cluster": max(70, 8 * limit)}[what]
+
+
+def at_least(rows: DataFrame, least: float, score: str = "similarity", rerank: str = "rerank") -> DataFrame:
+    """Rows whose rerank score, or score where there is none, is at least ``least``."""
+    own = F.coalesce(rerank, score) if rerank in rows.columns else F.col(score)
+    return rows.filter(own >= least)
+
+
+def byte_fit(rows: DataFrame, max_bytes: int, order: list[str], content: str = "content", frame: Column | None = None) -> DataFrame:
+    """prefix_budget by bytes of content (and frame), and of the next row the beginning of its content that still fits; adds partial.
+
+    Cut between characters. Rows of no size count too, so the table is one result list.
+    """
+    own = F.octet_length(content) + (F.lit(0) if frame is None else frame)
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("__before", F.coalesce(F.sum(own).over(w), F.lit(0))).withColumn("__room", F.lit(max_bytes) - F.col("__before"))
+    whole = own <= F.col("__room")
+    ends = F.aggregate(F.transform(F.split(content, ""), F.octet_length), F.struct(F.lit(0).alias("n"), F.lit(0).alias("b"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + ((s["b"] + x <= F.col("__room") - (F.lit(0) if frame is None else frame)) & s["on"]).cast("int")).alias("n"), (s["b"] + x).alias("b"), (s["on"] & (s["b"] + x <= F.col("__room") - (F.lit(0) if frame is None else frame))).alias("on")), lambda s: s["n"])
+    # only the first row that does not fit whole may be cut: all before it fit, so its room is what they left
+    cut = placed.filter(F.col("__before") <= max_bytes).withColumn("partial", ~whole).withColumn(content, F.when(whole, F.col(content)).otherwise(F.substring(content, F.lit(1), ends)))
+    return cut.filter(~F.col("partial") | (F.length(content) > 0)).drop("__before", "__room")
+
+
 def prefix_budget(rows: DataFrame, size: Column, budget: int, order: list[str]) -> DataFrame:
     """The longest beginning of rows whose sizes add up to the budget at most."""
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -54,6 +54,17 @@ def cards(rows: DataFrame, mode: str = "minimal") -> DataFrame:
     return rows.select(F.to_json(F.struct(*base, *([F.col("content")] if mode == "content" else []))).alias("card"))
 
 
+def markdown(rows: DataFrame, content: str | None = "content") -> DataFrame:
+    """text: one section a row, its place and symbol as heading and its content as a block."""
+    head = F.concat(F.lit("### "), F.col("file"), F.lit(":"), F.concat_ws("-", "start", "end"), F.when(F.col("symbol") != "", F.concat(F.lit(" `"), F.col("symbol"), F.lit("`"))).otherwise(F.lit("")))
+    return rows.select("id", F.concat(head, F.concat(F.lit("\n```\n"), F.col(content), F.lit("\n```"))).alias("text") if content else head.alias("text"))
+
+
+def json_lines(rows: DataFrame, path: str) -> None:
+    """Rows as lines of JSON in a folder, nulls left out."""
+    rows.write.mode("overwrite").json(path)
+
+
 def warning_code(message: Column) -> Column:
     """The code of a warning by what it mentions, the first that fits."""
     low = F.lower(message)

@@ -114,11 +114,6 @@ def evidence_gate(spark, d):
     return knn.strong_evidence(knn.top_k(read(spark, d, "embeddings"), first_vector(spark, d))).select("n", r6("first").alias("first"), r6("third").alias("third"), "strong")
 
 
-@query()
-def hyperplane_buckets(spark, d):
-    return knn.hyperplane_buckets(read(spark, d, "embeddings"), 64, bits=4, tables=2).select("vec_id", "buckets")
-
-
 @query("""WITH n AS (SELECT doc_id, md5(text) AS h, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS nth FROM documents),
 o AS (SELECT doc_id AS old_id, md5(text) AS h, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS nth FROM documents WHERE source <> 'src0')
 SELECT doc_id, old_id FROM n LEFT JOIN o USING (h, nth)""")
@@ -134,11 +129,6 @@ def vector_hydration(spark, d):
     return knn.hydrate(hits, read(spark, d, "embeddings")).select("vec_id", "rank", F.size("embedding").alias("dimension"))
 
 
-@query()
-def embed_texts(spark, d):
-    return embed.embed_column(read(spark, d, "documents").select("doc_id", "text"), embed.HashingEmbedder(), "text").select("doc_id", "embedding")
-
-
 # lines and words
 
 _LINES = "SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
@@ -188,12 +178,6 @@ def pattern_semi_join(spark, d):
     return lexical.chunks_with_line(_chunks10(docs), found).select("chunk_id")
 
 
-@query()
-def literal_verb(spark, d):
-    docs = read(spark, d, "documents")
-    return lexical.literal(docs.withColumn("file", F.col("doc_id").cast("string")), _chunks10(docs), "License", limit=20, max_bytes=2000)
-
-
 _TOK = r"list_filter(string_split_regex(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^A-Za-z0-9]+'), lambda x: x <> '')"
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 
@@ -326,18 +310,6 @@ def symbol_islands(spark, d):
     return ranking.islands(rows, ["conv_id", "role"], 1).groupBy("conv_id", "role", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("chunks"))
 
 
-@query()
-def symbol_reconstruction(spark, d):
-    rows = read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("start"), F.col("l_linenumber").alias("end"), F.col("l_linenumber").alias("id"), F.col("l_quantity").alias("score"))
-    return ranking.reconstruct(rows, ["l_orderkey"])
-
-
-@query()
-def dedupe_overlap(spark, d):
-    rows = read(spark, d, "events").select(F.col("user_id").alias("file"), F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id")).alias("rank"), F.dayofyear("ts").alias("start"), (F.dayofyear("ts") + 2).alias("end"), (F.col("value") / 100).alias("score"), F.lit("function").alias("symbol_type"))
-    return ranking.drop_overlaps(rows)
-
-
 @query("""WITH RECURSIVE c AS (SELECT conv_id, turn, greatest(1, ceil((length(text) + length(conv_id::VARCHAR) + length(role) + 80) / 4.0))::INT AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
 k AS (SELECT conv_id, turn, n, cost AS used, true AS kept FROM c WHERE n = 1
  UNION ALL SELECT c.conv_id, c.turn, c.n, CASE WHEN k.used < 150 AND k.used + c.cost <= 150 THEN k.used + c.cost ELSE k.used END, k.used < 150 AND k.used + c.cost <= 150 FROM k JOIN c ON c.conv_id = k.conv_id AND c.n = k.n + 1)
@@ -480,19 +452,6 @@ def cluster_rank(spark, d):
     return groups.cluster_summary(members, "label", "label").select("cluster", "n", "files", r6("score").alias("score"), r6("weight").alias("weight"))
 
 
-@query()
-def cluster_attachment(spark, d):
-    vectors = read(spark, d, "embeddings")
-    rows = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return groups.clusters(knn.similar_pairs(vectors, 0.35), rows.select("id"), 0.35, vectors=rows)
-
-
-@query("SELECT min(doc_id) AS first, count(*) AS n, (sum(n_chars) - any_value(n_chars))::BIGINT AS savings FROM documents GROUP BY text HAVING count(*) > 1")
-def duplicate_exact(spark, d):
-    same = read(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), (F.sum("n_chars") - F.first("n_chars")).alias("savings"))
-    return same.filter("n > 1").drop("text")
-
-
 _BIG = r"regexp_extract_all(trim(regexp_replace({0}, '\s+', ' ', 'g')), '[A-Za-z_$][A-Za-z0-9_$]*|\d+|[^\s]')"
 
 
@@ -590,33 +549,11 @@ def uncovered_files(spark, d):
     return render.uncovered(changed, read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("file")))
 
 
-@query("SELECT count(*) AS chunks, count(DISTINCT source) AS files FROM documents")
-def table_stats(spark, d):
-    return read(spark, d, "documents").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("files"))
-
-
-@query("SELECT lang AS language, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY lang")
-def language_share(spark, d):
-    counted = read(spark, d, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("n"))
-    return counted.withColumn("share", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
-
-
 @query("SELECT doc_id, (n >= 50000 AND (k <= 5 OR m >= 20000 OR (ceil(n / k) >= 2000 AND m >= 10000))) AS minified FROM (SELECT doc_id, length(text) AS n, len(string_split(text, chr(10)))::DOUBLE AS k, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS m FROM documents)")
 def minified_guard(spark, d):
     return read(spark, d, "documents").select("doc_id", classify.is_minified(F.col("source"), F.col("text")).alias("minified"))
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n > 2 AND ts < TIMESTAMP '2024-01-20'")
-def retention(spark, d):
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return read(spark, d, "events").withColumn("n", F.row_number().over(w)).filter("n > 2 AND ts < TIMESTAMP '2024-01-20'").select("user_id", "event_id")
-
-
-@query("SELECT doc_id FROM documents WHERE lang = 'en' UNION SELECT doc_id FROM labels WHERE quality = 1")
-def set_union(spark, d):
-    return read(spark, d, "documents").filter("lang = 'en'").select("doc_id").union(read(spark, d, "labels").filter("quality = 1").select("doc_id")).distinct()
-
-
 @query("SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT doc_id FROM labels")
 def set_difference(spark, d):
     return read(spark, d, "documents").filter("lang = 'en'").select("doc_id").subtract(read(spark, d, "labels").select("doc_id"))
@@ -635,11 +572,6 @@ def _links(spark, d) -> DataFrame:
     return read(spark, d, "pages").select(F.col("page_id").cast("string").alias("src"), F.explode(found).alias("dst"))
 
 
-@query("""SELECT DISTINCT page_id::VARCHAR AS src, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS dst FROM pages""")
-def graph_edges(spark, d):
-    return _links(spark, d)
-
-
 @query("""WITH e AS (SELECT DISTINCT page_id::VARCHAR AS src, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS dst FROM pages), i AS (SELECT dst AS node, count(*) AS n_in FROM e GROUP BY dst), o AS (SELECT src AS node, count(*) AS n_out FROM e GROUP BY src)
 SELECT coalesce(i.node, o.node) AS node, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out FROM i FULL JOIN o ON i.node = o.node""")
 def graph_degree(spark, d):
@@ -679,15 +611,6 @@ def graph_trace(spark, d):
     return graph.trace(edges, start, goal, 4).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")
 
 
-@query("""WITH e AS (SELECT DISTINCT page_id AS src, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS dst FROM pages), u AS (SELECT e.*, (SELECT count(*) FROM pages p WHERE p.url = e.dst) AS n FROM e)
-SELECT count(*) FILTER (WHERE n = 1) AS resolved, count(*) FILTER (WHERE n = 0) AS unresolved, count(*) FILTER (WHERE n > 1) AS ambiguous, CASE WHEN count(*) = 0 THEN 1 ELSE round(count(*) FILTER (WHERE n = 1)::DOUBLE / count(*), 6) END AS coverage FROM u""")
-def graph_metrics(spark, d):
-    pages = read(spark, d, "pages").groupBy(F.col("url").alias("dst")).agg(F.count("*").alias("n"))
-    e = _links(spark, d).join(pages, "dst", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sums = e.agg(F.count_if(F.col("n") == 1).alias("resolved"), F.count_if(F.col("n") == 0).alias("unresolved"), F.count_if(F.col("n") > 1).alias("ambiguous"), F.count("*").alias("all"))
-    return sums.select("resolved", "unresolved", "ambiguous", F.when(F.col("all") == 0, F.lit(1.0)).otherwise(r6(F.col("resolved") / F.col("all"))).alias("coverage"))
-
-
 # evaluation, events
 
 
@@ -738,8 +661,12 @@ def _with_longs(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from quarry.plans import more  # noqa: F401  registers its own
+
     return {name: _with_longs(f) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from quarry.plans import more  # noqa: F401  registers its own
+
     return dict(_SQL)

@@ -7,13 +7,20 @@ import json
 import math
 import re
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
+from quarry.operators import knn, ranking
+
+#: Seconds that a query's vector may take.
+QUERY_DEADLINE_S = 15.0
+
 
 class Embedder(Protocol):
     """Anything that turns texts into vectors of one dimension, in order."""
@@ -40,7 +47,7 @@ class HashingEmbedder:
         tokens = [t.lower() for t in cut if t]
         v = [0.0] * self.dimension
         for unit, weight in [(t, 1.0) for t in tokens] + [(f"{a} {b}", 0.5) for a, b in zip(tokens, tokens[1:], strict=False)]:
-            h = int.from_bytes(hashlib.blake2b(unit.encode(), digest_size=8).digest(), "little")
+            h = int.from_bytes(hashlib.md5(unit.encode(), usedforsecurity=False).digest()[:8], "little")
             v[h % self.dimension] += weight if h >> 63 else -weight
         n = math.sqrt(sum(x * x for x in v))
         return [x / n for x in v] if n else v
@@ -109,6 +116,31 @@ def embed_column(df: DataFrame, embedder: Embedder, text: str = "content", to: s
     return df.mapInArrow(run, schema)
 
 
+def search(table: DataFrame, query: str, embedder: Embedder, k: int = 20, vector: str = "embedding", key: str = "vec_id", where: Column | None = None, least: float | None = None, cache: QueryCache | None = None, deadline_s: float = QUERY_DEADLINE_S, pattern: str | None = None, content: str = "content") -> DataFrame:
+    """The k rows nearest to a text: it is embedded (or taken from the cache), then more rows than k are fetched, and those
+    that a pattern or the least similarity refuse fall out. DeadlineExceeded if no vector is there in time."""
+    found = within(deadline_s, lambda: cache.vector(embedder, query) if cache else embedder.embed([query])[0])
+    hits = knn.top_k(table, [float(x) for x in found], ranking.over_fetch(k, "pattern" if pattern else "search"), vector, key, where)
+    hits = hits if pattern is None else hits.filter(T.matches(F.col(content), pattern))
+    hits = ranking.at_least(hits, least) if least is not None else hits
+    return hits.orderBy("rank").limit(k)
+
+
+class DeadlineExceeded(ProviderError):
+    """No vector of the query in time; the caller may fall back to words."""
+
+
+def within(seconds: float, step: Callable[[], list[float]]) -> list[float]:
+    """step's result, or DeadlineExceeded after the time; the step itself runs on in its thread."""
+    with_thread = ThreadPoolExecutor(1)
+    try:
+        return with_thread.submit(step).result(timeout=seconds)
+    except TimeoutError as e:
+        raise DeadlineExceeded(f"no query vector within {seconds} s") from e
+    finally:
+        with_thread.shutdown(wait=False)
+
+
 class QueryCache:
     """Vectors of queries in a folder of small files: kept for ttl_s, and the most files last used."""
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import subprocess
 from dataclasses import dataclass, replace
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import classify
@@ -17,17 +19,62 @@ from quarry.functions import classify
 def file_tree(spark: SparkSession, root: str, glob: str | None = None, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
     """path, size, modified_ms, text of readable files under root that aren't ignored; paths are relative to root.
 
-    The listing and the reading are Spark's own, so root may be on any file system that it knows.
+    The listing and the reading are Spark's own, so root may be on any file system that it knows. Ignored files are
+    those of fixed folders and globs and of the rules in .gitignore, .ignore and .rgignore files; they are listed, but
+    their content is not read. ``include`` overrides the fixed ones only.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    raw = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
     full = F.regexp_replace("path", "^[a-z]+:/*", "/")
     top = "/" + root.split(":", 1)[-1].strip("/")
     relative = F.substring(full, F.lit(len(top) + 2), F.length(full))
-    listed = raw.select(relative.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_ms"), "content")
-    kept = listed.filter((F.col("size") <= classify.MAX_BYTES) & ~classify.is_ignored(F.col("path"), include, exclude))
-    text = kept.select("path", "size", "modified_ms", F.try_to_binary(F.base64("content"), F.lit("base64")).cast("string").alias("text"))
-    return text.filter(classify.is_readable(F.col("path"), F.col("text")))
+    listed = (reader.option("pathGlobFilter", glob) if glob else reader).load(root).select(F.col("path").alias("at"), relative.alias("path"), "length")
+    listed = listed.filter((F.col("length") <= classify.MAX_BYTES) & ~classify.is_ignored(F.col("path"), include, exclude))
+    folders = [r[0] for r in listed.select(F.regexp_replace("path", "/?[^/]*$", "")).distinct().collect()]
+    kept = listed.filter(~ignored_by(F.col("path"), ignore_files(spark, root, folders)))
+    paths = [r["at"] for r in kept.select("at").collect()]  # names alone, as Spark's own listing has them on the driver
+    if not paths:
+        return spark.createDataFrame([], "path string, size long, modified_ms long, text string")
+    raw = spark.read.format("binaryFile").load([p.replace("{", "?").replace("[", "?").replace("*", "?") for p in paths])
+    text = raw.select(relative.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_ms"), F.col("content").cast("string").alias("text"))
+    return text.dropDuplicates(["path"]).filter(classify.is_readable(F.col("path"), F.col("text")))
+
+
+def ignore_files(spark: SparkSession, root: str, folders: list[str]) -> list[tuple[str, str]]:
+    """(folder, text) of the ignore files in folders below root and in those above them, outer ones first."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    above = {"/".join(f.split("/")[:n]) for f in folders for n in range(f.count("/") + 2)} | {""}
+    out = []
+    for folder in sorted(above, key=lambda f: (f.count("/") + bool(f), f)):
+        for name in (".gitignore", ".ignore", ".rgignore"):
+            at = jvm.org.apache.hadoop.fs.Path("/".join(x for x in (root.rstrip("/"), folder, name) if x))
+            if fs.exists(at):
+                stream = fs.open(at)
+                out.append((folder, jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+                stream.close()
+    return out
+
+
+def ignored_by(path: Column, rules: list[tuple[str, str]]) -> Column:
+    """Whether ignore files (folder, text), the outer ones first, leave out a path: the last rule that fits it or one of
+    its folders counts, and one with a ! takes it in again."""
+    out = F.lit(False)
+    for folder, text in rules:
+        for line in text.splitlines():
+            rule = line.rstrip()
+            if not rule or rule.startswith("#"):
+                continue
+            again, rule = rule.startswith("!"), rule.removeprefix("!").removeprefix("\\")
+            only_folders, rule = rule.endswith("/"), rule.rstrip("/")
+            anywhere = "/" not in rule
+            pattern = "^" + (re.escape(folder) + "/" if folder else "") + ("(?:.*/)?" if anywhere else "") + classify.glob_part(rule.removeprefix("/")) + ("/.*" if only_folders else "(?:/.*)?") + "$"
+            out = F.when(path.rlike(pattern), F.lit(not again)).otherwise(out)
+    return out
+
+
+def union_of(*parts: DataFrame) -> DataFrame:
+    """Distinct rows of all parts, which have the same columns."""
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
 
 
 def indexable(files: DataFrame, include_docs: bool = False, include_config: bool = False, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:

@@ -1,4 +1,8 @@
-"""A versioned table on plain Parquet: generations, a manifest that is swapped atomically, differences, plans, retention."""
+"""A versioned table on plain Parquet: generations, a manifest that is swapped atomically, differences, plans, retention.
+
+Rows are dealt into BUCKETS folders by a hash of their file. A change writes only the buckets that it touches; for the
+others the generation's map names the folder of an older generation, so a batch costs what it touches, not the table.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +14,14 @@ import uuid
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 REQUIRED = ("id", "content", "file", "start", "end", "symbol", "embedding")
 READABLE = ("id", "content", "file", "start", "end")
 INDEX_ROWS, KEEP, KEEP_S = 10_000, 2, 24 * 3600
+BUCKETS, _BUCKET = 64, "__bucket"
 
 
 class SchemaMismatch(ValueError):
@@ -70,44 +76,118 @@ class Store:
         found = generation or (self.manifest() or {}).get("generation")
         if found is None:
             raise FileNotFoundError(f"nothing is published in {self.path}")
-        df = self.spark.read.parquet(f"{self.path}/{found}")
+        df = self._rows(found)
         check_schema(df, required)
+        df = df.drop(_BUCKET)
+        return df.select(*columns) if columns else df
+
+    def scan(self, where: Column | None = None, limit: int | None = None, columns: list[str] | None = None, generation: str | None = None) -> DataFrame:
+        """Rows of a generation that fit where, of them any ``limit``, and of those the columns."""
+        df = self.read(generation)
+        df = df if where is None else df.filter(where)
+        df = df if limit is None else df.limit(limit)
         return df.select(*columns) if columns else df
 
     def write(self, df: DataFrame, generation: str | None = None, append: bool = False) -> str:
         """Rows as a new generation (or added to one); readers see it once it is published."""
         name = generation or f"chunks_{int(time.time() * 1000):013d}_{uuid.uuid4().hex[:8]}"
-        df.write.mode("append" if append else "errorifexists").parquet(f"{self.path}/{name}")
+        before = self._map(name) if append else {}
+        self._write(df, name, append)
+        self._put_map(name, before | {b: sorted({*before.get(b, ()), name}) for b in self._own(name)}, df.schema.json())
         return name
 
     def replace_files(self, new: DataFrame, touched: DataFrame, file: str = "file") -> str:
         """A generation in which rows of touched(file) give way to new; nothing changes if that fails."""
-        kept = self.read().join(touched.select(file).distinct(), file, "left_anti")
-        generation = self.write(kept.unionByName(new, allowMissingColumns=True))
-        self.publish(generation)
-        return generation
+        return self._change(touched, file, new)
 
     def upsert(self, new: DataFrame, key: str = "id") -> str:
         """A generation in which rows of equal key give way to new."""
-        return self.replace_files(new, new, key)
+        return self._change(new, key, new)
 
     def delete(self, gone: DataFrame, key: str = "id") -> str:
         """A generation without rows of gone(key)."""
-        generation = self.write(self.read().join(gone.select(key).distinct(), key, "left_anti"))
-        self.publish(generation)
-        return generation
+        return self._change(gone, key, None)
+
+    # buckets
+
+    def _rows(self, generation: str) -> DataFrame:
+        """All rows of a generation, with their bucket."""
+        found = self._map(generation)
+        schema = StructType.fromJson(json.loads(self._read_json(f"{generation}/_map.json")["schema"]))
+        paths = [f"{self.path}/{g}/{_BUCKET}={b}" for b, folders in sorted(found.items()) for g in folders]
+        if not paths:
+            return self.spark.createDataFrame([], schema.add(_BUCKET, "int"))
+        rows = self.spark.read.schema(schema).parquet(*paths)
+        return rows.withColumn(_BUCKET, _bucket())
+
+    def _change(self, touched: DataFrame, key: str, new: DataFrame | None) -> str:
+        """Write anew the buckets that have rows of touched(key) or get new ones, and publish them beside all others."""
+        active = self._active()
+        old, gone = self._rows(active), touched.select(key).distinct()
+        hit = old.join(gone, key, "left_semi").select(_BUCKET)
+        hit = hit if new is None else hit.union(new.select(_bucket()))
+        buckets = [r[0] for r in hit.distinct().collect()]  # BUCKETS at most
+        kept = old.filter(F.col(_BUCKET).isin(buckets)).drop(_BUCKET).join(gone, key, "left_anti")
+        rows = kept if new is None else kept.unionByName(new, allowMissingColumns=True)
+        name = f"chunks_{int(time.time() * 1000):013d}_{uuid.uuid4().hex[:8]}"
+        self._write(rows, name, False)
+        others = {b: folders for b, folders in self._map(active).items() if int(b) not in buckets}
+        self._put_map(name, others | {b: [name] for b in self._own(name)}, rows.schema.json())
+        self.publish(name)
+        return name
+
+    def _active(self) -> str:
+        found = (self.manifest() or {}).get("generation")
+        if found is None:
+            raise FileNotFoundError(f"nothing is published in {self.path}")
+        return found
+
+    def _write(self, df: DataFrame, name: str, append: bool) -> None:
+        """Few files a bucket: rows of one bucket meet in a task, or in several if there are many."""
+        dealt = df.withColumn(_BUCKET, _bucket())
+        dealt.repartition(_BUCKET, F.pmod(F.xxhash64("file", F.lit(1)), F.lit(4))).write.partitionBy(_BUCKET).mode("append" if append else "errorifexists").parquet(f"{self.path}/{name}")
+
+    def _own(self, name: str) -> list[str]:
+        """The buckets that a generation's own folder has."""
+        return [s.getPath().getName().split("=")[1] for s in self._fs.listStatus(self._at(name)) if s.isDirectory() and s.getPath().getName().startswith(_BUCKET)]
+
+    def _map(self, generation: str) -> dict[str, list[str]]:
+        """Bucket to the generations whose folders hold it."""
+        return self._read_json(f"{generation}/_map.json")["buckets"]
+
+    def _put_map(self, generation: str, buckets: dict[str, list[str]], schema: str) -> None:
+        out = self._fs.create(self._at(f"{generation}/_map.json"), True)
+        out.write(bytearray(json.dumps({"buckets": buckets, "schema": schema}).encode()))
+        out.close()
+
+    def _read_json(self, name: str) -> dict:
+        stream = self._fs.open(self._at(name))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def generations(self) -> DataFrame:
         """generation, modified_ms, active."""
         active = (self.manifest() or {}).get("generation")
         found = [(s.getPath().getName(), s.getModificationTime()) for s in self._fs.listStatus(self._at(".")) if s.isDirectory()] if self._fs.exists(self._at(".")) else []
-        return self.spark.createDataFrame([(n, t, n == active) for n, t in found if n.startswith("chunks_")], "generation string, modified_ms long, active boolean")
+        found = [(n, t) for n, t in found if n.startswith("chunks_") and self._fs.exists(self._at(f"{n}/_map.json"))]
+        return self.spark.createDataFrame([(n, t, n == active) for n, t in found], "generation string, modified_ms long, active boolean")
 
     def collect_garbage(self, keep: int = KEEP, older_s: float = KEEP_S, now_ms: int | None = None) -> list[str]:
-        """Drop inactive generations beyond the newest ``keep`` that are older than older_s."""
+        """Drop inactive generations beyond the newest ``keep`` that are older than older_s, but for buckets that a kept one uses."""
         dropped = [r["generation"] for r in expired(self.generations(), keep, older_s, now_ms or int(time.time() * 1000)).collect()]
+        kept = [r["generation"] for r in self.generations().collect() if r["generation"] not in dropped]
+        used = {(g, b) for name in kept for b, folders in self._map(name).items() for g in folders}
         for name in dropped:
-            self._fs.delete(self._at(name), True)
+            own = self._own(name)
+            for b in own:
+                if (name, b) not in used:
+                    self._fs.delete(self._at(f"{name}/{_BUCKET}={b}"), True)
+            if not any((name, b) in used for b in own):
+                self._fs.delete(self._at(name), True)
+            else:  # its buckets live on, as a generation it is gone
+                self._fs.delete(self._at(f"{name}/_map.json"), False)
         return dropped
 
     def stats(self) -> DataFrame:
@@ -131,6 +211,10 @@ class Store:
             self._fs.delete(target, False)
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("file"), F.lit(BUCKETS)).cast("int").alias(_BUCKET)
+
+
 def check_schema(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> None:
     missing = sorted(set(required) - set(df.columns))
     if missing:
@@ -169,6 +253,25 @@ def plan(now: DataFrame, before: DataFrame, chunks: DataFrame, batch: int = 256)
     return counts.join(work, how="cross").withColumn("requests", F.ceil(F.col("chunks") / batch))  # one row each
 
 
+def universe(files: DataFrame, searched: DataFrame | None = None) -> DataFrame:
+    """One row: files searched, chunks expected in all, files left out. files: path, chunks (number); searched: path, None for all."""
+    marked = files.withColumn("__in", F.lit(1)) if searched is None else files.join(searched.select("path").distinct().withColumn("__in", F.lit(1)), "path", "left")
+    return marked.agg(F.count("__in").alias("files"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), (F.count("*") - F.count("__in")).alias("excluded"))
+
+
+def cached_graph(store: Store, make) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the published generation: read from beside it, or made by make(rows) and written there once."""
+    generation = store._active()
+    out = []
+    if not store._fs.exists(store._at(f"{generation}/_graph/edges/_SUCCESS")):
+        nodes, edges = make(store.read(generation))[:2]
+        nodes.write.mode("overwrite").parquet(f"{store.path}/{generation}/_graph/nodes")
+        edges.write.mode("overwrite").parquet(f"{store.path}/{generation}/_graph/edges")
+    for name in ("nodes", "edges"):
+        out.append(store.spark.read.parquet(f"{store.path}/{generation}/_graph/{name}"))
+    return out[0], out[1]
+
+
 def missing_rows(documents: DataFrame, written: DataFrame, key: str = "id") -> DataFrame:
     """Documents that an interrupted build has not written yet."""
     return documents.join(written.select(key), key, "left_anti")
