@@ -2,9 +2,16 @@
 
 Generators with high recall propose overlapping spans as arrays of structs, cut out of the text by one regular
 expression replacement each. Base kinds (email, ip, card, phone) are validated by rule. Further candidates are scored
-by small boosted trees over format and context features; a threshold calibrated for each kind selects them. The trees
-are fitted on counts of feature combinations, whose number is bounded by the features' values, and compiled to CASE
-expressions. Nothing is shuffled but those counts.
+by small boosted trees over format and context features; a threshold calibrated for each kind selects them.
+
+No labels of personal data exist, so the trees learn from what the rules of the base kinds know. Candidates of base
+kinds are examples, valid ones of personal data, refused ones (a wrong checksum, a part over 255, too few digits) of
+none. A further candidate is an example where it overlaps a valid base span: of personal data if that is of its own
+family, of none if it is another's, as a piece of an address of the network is no telephone number. What overlaps no
+valid span has no label and is what the model then decides on. Labels come from spans and checksums, features from the
+format and the characters around, so the trees cannot repeat the rule. A family without examples of its own is scored
+by trees over the examples of all. The trees are fitted on counts of feature combinations, whose number is bounded by
+the features' values, and compiled to CASE expressions. Nothing is shuffled but those counts.
 """
 
 from __future__ import annotations
@@ -31,15 +38,21 @@ ADDED = tuple(k for k in _PATTERNS if k not in BASE)
 KINDS = (*BASE, *ADDED)
 #: A text without these strings or matches has no span of the kind; spares the replacement.
 _NEEDS = {"email": "contains(text, '@')", "phone": "contains(text, '+')", "id_like": "digits", "phone_like": "digits", "ip": "digits", "card": "digits", "account_like": "digits", "email_like": r"(contains(text, '(at)') OR contains(text, '(AT)') OR contains(text, '[at]') OR contains(text, '[AT]'))"}
+#: The base kind whose valid spans are examples of personal data for candidates of an added kind.
+_FAMILY = {"phone_like": "phone", "email_like": "email", "account_like": "card", "id_like": None}
 #: Words before a span that speak for a kind.
 _CONTEXT = {
+    "email": "mail|contact|write|reach|address",
+    "ip": "host|server|client|addr|login",
+    "card": "card|karte|carte|tarjeta|visa|master|pay",
+    "phone": "tel|phone|call|mobil|fax|cell|contact|whatsapp|anruf|appel",
     "phone_like": "tel|phone|call|mobil|fax|cell|contact|whatsapp|anruf|appel",
     "id_like": "ssn|social|tax|identi|insured|passport",
     "account_like": "iban|account|bank|konto|compte|cuenta",
     "email_like": "mail|contact|write|reach|address",
 }
 BEFORE, TREES, RATE, PRECISION = 24, 12, 0.3, 0.9
-FEATURES = ("keyword", "glued_left", "glued_right", "separators", "digits", "parenthesis", "line_start", "longer")
+FEATURES = ("keyword", "glued_left", "glued_right", "separators", "digits", "first_group", "last_group", "parenthesis", "line_start")
 
 
 def _sql(text: str) -> str:
@@ -85,19 +98,35 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def featured(kind: str) -> str:
-    """SQL: the candidates of an added kind with their features as small integers."""
+    """SQL: the candidates of a kind with their features as small integers; longer tells that a refused run of digits goes on around."""
     before = f"lower(substring(text, greatest(x.a - {BEFORE}, 0) + 1, least(x.a, {BEFORE})))"
     return rf"""transform(all_{kind}, x -> named_struct('a', x.a, 'b', x.b,
       'keyword', CAST({before} RLIKE '{_CONTEXT[kind]}' AS INT),
-      'glued_left', CAST(x.a > 0 AND substring(text, x.a, 1) RLIKE '[A-Za-z0-9+/.,:=_-]' AS INT),
+      'glued_left', CAST(x.a > 0 AND substring(text, x.a, 1) RLIKE '[A-Za-z0-9/.,:=_-]' AS INT),
       'glued_right', CAST(substring(text, x.b + 1, 2) RLIKE '^([A-Za-z0-9/=_]|[.,:-][0-9])' AS INT),
       'separators', least(length(regexp_replace(x.m, '[A-Za-z0-9]', '')), 5),
-      'digits', least(length({_DIGITS}), 15),
+      'digits', least(length({_DIGITS}), 20),
+      'first_group', least(length(regexp_extract(x.m, '[0-9]+', 0)), 7),
+      'last_group', least(length(regexp_extract(x.m, '[0-9]+$', 0)), 7),
       'parenthesis', CAST(contains(x.m, '(') AS INT),
-      'line_start', CAST(x.a = 0 OR substring(text, x.a, 1) = '\n' AS INT),
+      'line_start', CAST(x.a = 0 OR substring(text, x.a, 1) = '
+' AS INT),
       'longer', CAST(exists(refused, y -> y.a <= x.a AND y.b >= x.b AND y.b - y.a > x.b - x.a) AS INT)))"""
 
 
+def labelled(kind: str) -> str:
+    """SQL: the candidates of a kind that are examples, each with kind, label (1: personal data) and features."""
+    over = lambda spans: f"exists({spans}, y -> y.a < x.b AND x.a < y.b)"
+    if kind in BASE:
+        label = f"CASE WHEN exists({kind}, y -> y.a = x.a) THEN 1 ELSE 0 END"
+    else:
+        own = _FAMILY[kind]
+        others = [k for k in BASE if k != own]
+        label = f"CASE WHEN {over(own) if own else 'false'} THEN 1 WHEN {over('concat(' + ', '.join(others) + ')')} THEN 0 END"
+    fields = ", ".join(f"'{f}', x.{f}" for f in FEATURES)
+    return f"filter(transform({featured(kind)}, x -> named_struct('kind', '{kind}', 'label', {label}, {fields})), x -> x.label IS NOT NULL)"
+
+
 @dataclass(frozen=True)
 class Tree:
     """Two levels: feature <= cut, then on each side another; values of the four leaves."""
@@ -119,7 +148,7 @@ class Tree:
 
 @dataclass(frozen=True)
 class Boosted:
-    """The trees of one kind, their prior, and the calibrated threshold; without a threshold nothing is selected."""
+    """The trees of one kind, their prior, and the calibrated threshold; without trees there is no threshold, and without one nothing is selected."""
 
     prior: float
     trees: tuple[Tree, ...]
@@ -179,34 +208,32 @@ def boost(rows: list[dict], trees: int = TREES, rate: float = RATE) -> tuple[flo
 def fit(docs: DataFrame) -> dict[str, Boosted]:
     """Trees and threshold for each added kind, from all documents.
 
-    Candidates that overlap a valid base span of phone or email, or stand alone behind a keyword, count as personal;
-    those inside a longer run of digits that a base rule refused, or glued to other characters, count as not; the rest
-    has no label. Half of the documents fit the trees; the other half calibrates: the threshold is the lowest score
-    from which on the precision reaches PRECISION.
+    Half of the documents, by a hash of the text, fits the trees; the other half calibrates: the threshold is the lowest
+    score from which on the precision reaches PRECISION there.
     """
     d = base(docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")))
+    each = d.select(F.expr("pmod(xxhash64(text), 2)").alias("half"), F.explode(F.expr(f"concat({', '.join(map(labelled, KINDS))})")).alias("x"))
+    counts = each.groupBy("half", "x.kind", *(F.col(f"x.{f}").alias(f) for f in FEATURES))
+    table = [r.asDict() for r in counts.agg(F.sum("x.label").alias("up"), F.sum(1 - F.col("x.label")).alias("down")).collect()]  # combinations of features
+    table.sort(key=lambda r: (r["kind"], r["half"], *(r[f] for f in FEATURES)))
+    pooled = trained(table)
     models = {}
-    each = None
-    for kind in ADDED:
-        rows = d.select(F.lit(kind).alias("kind"), F.expr("pmod(xxhash64(text), 2)").alias("half"), "phone", "email", F.explode(F.expr(featured(kind))).alias("x"))
-        each = rows if each is None else each.unionByName(rows)
-    overlaps = F.expr("exists(concat(phone, email), y -> y.a < x.b AND x.a < y.b)")
-    not_personal = F.expr("x.longer = 1 OR x.glued_right = 1")
-    label = F.when(not_personal & ~overlaps, 0).when(overlaps | F.expr("x.keyword = 1 AND x.glued_left = 0"), 1)
-    counts = each.withColumn("label", label).filter("label IS NOT NULL").groupBy("kind", "half", *(F.col(f"x.{f}").alias(f) for f in FEATURES))
-    table = [r.asDict() for r in counts.agg(F.sum("label").alias("up"), F.sum(1 - F.col("label")).alias("down")).collect()]
     for kind in ADDED:
-        own = sorted((r for r in table if r["kind"] == kind), key=lambda r: tuple(r[f] for f in FEATURES))
-        learn, rest = ([r for r in own if r["half"] == h] for h in (0, 1))
-        if not learn or not sum(r["up"] for r in learn):
-            models[kind] = Boosted(0.0, (), None)
-            continue
-        prior, trees = boost(learn)
-        model = Boosted(prior, trees, None)
-        models[kind] = Boosted(prior, trees, calibrated([(model.value(r), r["up"], r["down"]) for r in rest or learn]))
+        own = [r for r in table if r["kind"] == kind]
+        models[kind] = trained(own) if sum(r["up"] for r in own) and sum(r["down"] for r in own) else pooled
     return models
 
 
+def trained(rows: list[dict]) -> Boosted:
+    """Trees from the first half's counts, the threshold from the other's."""
+    learn, rest = ([r for r in rows if r["half"] == h] for h in (0, 1))
+    if not sum(r["up"] for r in learn) or not sum(r["down"] for r in learn):
+        return Boosted(0.0, (), None)
+    prior, trees = boost(learn)
+    model = Boosted(prior, trees, None)
+    return Boosted(prior, trees, calibrated([(model.value(r), r["up"], r["down"]) for r in rest]) if trees else None)
+
+
 def calibrated(scored: list[tuple[float, float, float]], precision: float = PRECISION) -> float | None:
     """The lowest score from which on at least ``precision`` of the weight is of the upper class; None if there is none."""
     best, up, down = None, 0.0, 0.0
@@ -221,15 +248,15 @@ def calibrated(scored: list[tuple[float, float, float]], precision: float = PREC
 def personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", models: dict[str, Boosted] | None = None) -> DataFrame:
     """id_col, text_col, base and spans (arrays of struct<k, a, b>; k a place in KINDS) of every row.
 
-    Base spans are always there; an added one only where no base span overlaps it and its score reaches the kind's
-    threshold. A null or empty text has none. Rows stay as many as they are and nothing is shuffled, so nulls and
+    Base spans are always there; an added one only where no base span overlaps it, no refused run of digits goes on
+    around it, and its score reaches the kind's threshold. A null or empty text has none. Rows stay as many as they are and nothing is shuffled, so nulls and
     repeats in id_col do not matter; other columns are not read.
     """
     models = models if models is not None else fit(docs.select(F.col(text_col).alias("text")))
     d = base(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("original"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     tagged = lambda kind, which: f"transform({which}, x -> named_struct('k', {KINDS.index(kind)}, 'a', x.a, 'b', x.b))"
     added = [
-        tagged(kind, f"filter({featured(kind)}, x -> {m.sql('x')} >= {m.threshold!r}D AND NOT exists(valid, y -> y.a < x.b AND x.a < y.b))")
+        tagged(kind, f"filter({featured(kind)}, x -> x.longer = 0 AND {m.sql('x')} >= {m.threshold!r}D AND NOT exists(valid, y -> y.a < x.b AND x.a < y.b))")
         for kind, m in models.items()
         if m.threshold is not None
     ]

@@ -99,6 +99,47 @@ def test_boosting_selects_national_numbers(spark):
     assert "[PHONE_LIKE]" in pii.redact(df, models=models).first().text
 
 
+def numbered(i, rng, planted):
+    """Prose with valid base kinds, decoys of digits, and, where planted, a telephone number without a plus; its place."""
+    n = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+    words = [rng.choice(["and", "the", "of", "stone", "river", "blue"]) for _ in range(30)]
+    words[3] = f"+1 ({n(3)}) 555-{n(4)}" if not planted else "plain"
+    words[8] = ".".join(str(rng.randint(1, 255)) for _ in range(4))
+    words[12] = "".join(rng.choice("0123456789abcdef") for _ in range(24)) + "f"
+    words[16] = n(20)
+    words[20] = f"v{n(2)}.{n(3)}.{n(4)}"
+    text = " ".join(words)
+    if not planted:
+        return text, None
+    number = f"({n(3)}) 555-{n(4)}"
+    return f"{text} {number} end", (len(text) + 1, len(text) + 1 + len(number))
+
+
+def test_planted_numbers_without_a_plus(spark):
+    """Trees that are fitted on other texts find held-back numbers, and nothing else."""
+    rng = random.Random(5)
+    learn = spark.createDataFrame([(i, numbered(i, rng, False)[0]) for i in range(120)], "doc_id long, text string")
+    models = pii.fit(learn)
+    assert models["phone_like"].trees and models["phone_like"].threshold is not None
+    held = [numbered(i, rng, True) for i in range(80)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(held)], "doc_id long, text string")
+    found, planted = set(), {(i, *place) for i, (_, place) in enumerate(held)}
+    for r in pii.personal(df, models=models).collect():
+        base = {(x.k, x.a, x.b) for x in r.base}
+        assert {pii.KINDS[x.k] for x in r.base} == {"ip"}
+        found |= {(r.doc_id, x.a, x.b) for x in r.spans if (x.k, x.a, x.b) not in base}
+    assert len(found & planted) >= 0.9 * len(planted), "recall"
+    assert len(found & planted) >= 0.9 * len(found), "precision"
+
+
+def test_no_threshold_without_trees(spark):
+    """Examples of one class alone teach nothing, so nothing is added."""
+    df = spark.createDataFrame([(i, f"call +1 (603) 555-{1000 + i} or (603) 555-1234") for i in range(20)], "doc_id long, text string")
+    models = pii.fit(df)
+    assert all(m.threshold is None for m in models.values() if not m.trees)
+    assert all(r.n_added == 0 for r in pii.report(df).collect() if not models["phone_like"].trees)
+
+
 def test_trees_learn_a_feature():
     base = dict.fromkeys(pii.FEATURES, 0)
     rows = [{**base, "keyword": k, "digits": n, "up": 10 * k, "down": 10 * (1 - k)} for k in (0, 1) for n in (5, 9)]
