@@ -1,10 +1,15 @@
 """Operator 9: approximate nearest neighbours with a hash-prefix forest.
 
-Every tree has its own random hyperplanes; a vector's hash string in a tree is the string of signs, kept as an
-integer, and a tree is the sorted array of all strings. A query descends by binary search to its longest matching
-prefix in every tree, then all trees ascend in step, one bit shorter at a time, until they hold enough candidates.
-Candidates are ranked by exact cosine in double precision. Rows are dealt into blocks of bounded size, each with its
-own forest; every query visits every block, and the best of all blocks are merged.
+A pool of random hyperplanes gives every vector a row of signs; a tree's hash string is a random choice of them in a
+random order, kept as an integer, and a tree is the sorted array of all strings. A query descends by binary search to
+its longest matching prefix in every tree, then all trees ascend in step, one bit shorter at a time, until together
+they hold SEEN * n ** FALL entries of a forest of n rows: a share that falls with n. Candidates are ranked by exact
+cosine in double precision.
+
+Rows are dealt into blocks, each with its own forest, and queries into parts; each block meets each part in one task, and
+the best of all blocks are merged. Rows travel once for a part of queries and queries once for a block, so what is sent
+grows with rows times queries, by 1 / PART and 1 / BLOCK: on vectors without structure, as random ones are, no routing
+of queries to a few blocks keeps the recall.
 """
 
 from __future__ import annotations
@@ -16,51 +21,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, BITS, SEED = 64, 24, 11
-#: Ascent stops when the trees together hold this multiple of a block's rows and this many rows, repeats between trees counted.
-ENOUGH, LEAST = 1.0, 20_000
-BLOCK, QUERY_BATCH = 16_384, 128
+TREES, BITS, POOL, SEED = 128, 24, 512, 11
+#: Ascent stops when the trees together hold SEEN * n ** FALL entries, a row counted in each tree, or every row.
+SEEN, FALL = 6.0, 0.75
+#: Rows of a block, queries of a part, and queries answered at once.
+BLOCK, PART, QUERY_BATCH = 131_072, 131_072, 128
 
 
 class Forest:
     """Sorted hash strings of a block of vectors."""
 
     def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = SEED) -> None:
-        self.vectors = vectors
-        self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        self.vectors = scaled(vectors)
+        self.unit = self.vectors / np.linalg.norm(self.vectors, axis=1, keepdims=True)
         self.trees, self.bits = trees, bits
-        self.planes = np.random.default_rng(seed).normal(size=(vectors.shape[1], trees * bits)).astype(np.float32)
-        codes = self.strings(self.unit)
-        self.order = np.argsort(codes, axis=0, kind="stable").T
-        self.sorted = np.take_along_axis(codes.T, self.order, 1)
+        rng = np.random.default_rng(seed)
+        self.planes = rng.normal(size=(vectors.shape[1], max(POOL, bits))).astype(np.float32)
+        self.picks = np.stack([rng.permutation(self.planes.shape[1])[:bits] for _ in range(trees)])
+        codes = self.strings(self.unit).T
+        self.order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(codes, self.order, 1)
 
     def strings(self, unit: np.ndarray) -> np.ndarray:
         """The hash string of each vector in each tree."""
-        out = np.empty((len(unit), self.trees), np.int64)
-        weights = (1 << np.arange(self.bits - 1, -1, -1)).astype(np.int64)
+        out = np.empty((len(unit), self.trees), np.int32)
+        weights = (1 << np.arange(self.bits - 1, -1, -1)).astype(np.int32)
         for at in range(0, len(unit), 2048):
-            signs = unit[at : at + 2048].astype(np.float32) @ self.planes > 0
-            out[at : at + 2048] = signs.reshape(-1, self.trees, self.bits) @ weights
+            signs = (unit[at : at + 2048].astype(np.float32) @ self.planes > 0).astype(np.int32)
+            for t, pick in enumerate(self.picks):
+                out[at : at + 2048, t] = signs[:, pick] @ weights
         return out
 
-    def candidates(self, unit: np.ndarray, enough: float = ENOUGH) -> Iterator[np.ndarray]:
+    def candidates(self, unit: np.ndarray, seen: float = SEEN) -> Iterator[np.ndarray]:
         """For each query the rows that share the longest prefixes with it."""
         codes = self.strings(unit)
-        low = np.empty((self.bits + 1, self.trees, len(unit)), np.int64)
+        low = np.empty((self.bits + 1, self.trees, len(unit)), np.int32)
         high = np.empty_like(low)
         for level in range(self.bits + 1):  # bits that are dropped from the end
             first = (codes >> level) << level
             for t in range(self.trees):
                 low[level, t] = np.searchsorted(self.sorted[t], first[:, t])
                 high[level, t] = np.searchsorted(self.sorted[t], first[:, t] + (1 << level))
-        held = (high - low).sum(1)
-        goal = min(max(enough * len(self.vectors), LEAST), self.trees * len(self.vectors))
-        stop = (held < goal).sum(0)
+        counts = (high - low).astype(np.int64)
+        goal = min(seen * len(self.vectors) ** FALL, self.trees * len(self.vectors))
+        stop = (counts.sum(1) < goal).sum(0)
         for q, level in enumerate(stop):
-            seen = np.zeros(len(self.vectors), bool)
-            for t in range(self.trees):
-                seen[self.order[t, low[level, t, q] : high[level, t, q]]] = True
-            yield np.flatnonzero(seen)
+            levels = np.full(self.trees, level)
+            if level:  # the trees take the last step one after another, until there are enough
+                gained = counts[level - 1, :, q].sum() + np.cumsum(counts[level, :, q] - counts[level - 1, :, q])
+                levels[np.searchsorted(gained, goal) + 1 :] -= 1
+            found = np.zeros(len(self.vectors), bool)
+            for t, own in enumerate(levels.tolist()):
+                found[self.order[t, low[own, t, q] : high[own, t, q]]] = True
+            yield np.flatnonzero(found)
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that squares neither overflow nor vanish; no digit changes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -70,30 +88,30 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return v.filter(f"id IS NOT NULL AND {finite} AND exists(v, x -> x <> 0)")
 
 
-def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, enough: float = ENOUGH) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, seen: float = SEEN, part: int = PART) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by cosine, ties to the smaller id.
 
     is_query is a condition on ``id``. Rows with the query's id are not its candidates; vectors of other lengths than
     the query's aren't either; an empty table or no query gives no rows; with fewer than k candidates all are returned
-    that the forest finds. Only the two columns are read. ``enough`` at or over the number of trees makes it exact.
+    that the forest finds. Only the two columns are read. An infinite ``seen`` makes it exact.
     """
     rows = usable(vectors, id_col, vector_col)
-    blocks = max(1, -(-rows.count() // block))
-    data = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")).withColumn("query", F.lit(False))
-    asked = rows.filter(is_query).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(True))
-    both = data.unionByName(asked).repartition("block").sortWithinPartitions("block", "query", "id")
+    n, asked_n = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    blocks, parts = max(1, -(-n // block)), max(1, -(-asked_n // part))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    own = lambda m, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
+    data = rows.withColumn("block", own(blocks, 3)).withColumn("part", every(parts)).withColumn("query", F.lit(False))
+    asked = rows.filter(is_query).withColumn("block", every(blocks)).withColumn("part", own(parts, 4)).withColumn("query", F.lit(True))
+    both = data.unionByName(asked).withColumn("key", F.col("block") * F.lit(parts) + F.col("part")).select("id", "v", "key", "query")
+    both = both.repartitionById(blocks * parts, F.col("key")).sortWithinPartitions("query", "id")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, forests, asked_ids, asked_v = None, [], None, [], []
-        for b in batches:
-            ids, own, marks = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
+        held, forests, asked_ids, asked_v = [], None, [], []
+        for b in batches:  # of one block and part: its rows, then the queries
+            ids, marks = b.column(0).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
             flat = b.column(1)
             for i in range(b.num_rows):
-                if own[i] != now:
-                    if asked_ids:
-                        yield _answer(forests, asked_ids, asked_v, k, enough, schema)
-                    now, held, forests, asked_ids, asked_v = own[i], [], None, [], []
                 v = np.asarray(flat[i].values)
                 if not marks[i]:
                     held.append((ids[i], v))
@@ -103,12 +121,12 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "v
                 asked_ids.append(ids[i])
                 asked_v.append(v)
                 if len(asked_ids) == QUERY_BATCH:
-                    yield _answer(forests, asked_ids, asked_v, k, enough, schema)
+                    yield _answer(forests, asked_ids, asked_v, k, seen, schema)
                     asked_ids, asked_v = [], []
         if asked_ids:
-            yield _answer(forests, asked_ids, asked_v, k, enough, schema)
+            yield _answer(forests, asked_ids, asked_v, k, seen, schema)
 
-    found = both.select("id", "v", "block", "query").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = both.mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -122,16 +140,16 @@ def _forests(held: list[tuple[int, np.ndarray]]) -> dict[int, tuple[np.ndarray,
     return out
 
 
-def _answer(forests: dict, ids: list[int], vectors: list[np.ndarray], k: int, enough: float, schema: pa.Schema) -> pa.RecordBatch:
+def _answer(forests: dict, ids: list[int], vectors: list[np.ndarray], k: int, seen: float, schema: pa.Schema) -> pa.RecordBatch:
     out: list[tuple[int, int, float]] = []
     for n in {len(v) for v in vectors}:
         if n not in (forests or {}):
             continue
         own, forest = forests[n]
         which = [i for i, v in enumerate(vectors) if len(v) == n]
-        q = np.stack([vectors[i] for i in which])
+        q = scaled(np.stack([vectors[i] for i in which]))
         norms = np.linalg.norm(q, axis=1)
-        for i, one, norm, rows in zip(which, q, norms, forest.candidates(q / norms[:, None], enough), strict=True):
+        for i, one, norm, rows in zip(which, q, norms, forest.candidates(q / norms[:, None], seen), strict=True):
             rows = rows[own[rows] != ids[i]]
             rough = forest.unit[rows] @ (one / norm)
             if len(rows) > k:
