@@ -50,14 +50,19 @@ def words_of(text_col: str) -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
-def with_copies(rows: DataFrame, sizes: DataFrame, id_col: str, source_col: str, seed: str) -> DataFrame:
-    """rows with __source_size, __target and __copies, by the rates that follow from sizes(source, size)."""
+def _mark(text_col: str) -> F.Column:
+    """What tells texts of one id apart."""
+    return F.substring(F.md5(F.coalesce(F.col(text_col), F.lit(""))), 1, 16)
+
+
+def with_copies(rows: DataFrame, sizes: DataFrame, id_col: str, source_col: str, seed: str, mark: F.Column) -> DataFrame:
+    """rows with __source_size, __target and __copies, by the rates that follow from sizes(source, size). A row draws by its id and mark."""
     per_source = targets(sizes)
     per_source = stored(per_source.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")), "targets")
     if per_source.count() <= BROADCAST_SOURCES:
         per_source = F.broadcast(per_source)
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), mark)
     draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     copies = F.floor("__rate") + F.when(draw < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
     joined = rows.join(per_source, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__rate", rate)
@@ -68,10 +73,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """docs' columns with __source_size, __target and __copies for every row.
 
     A null or empty text has size 0; a source without words has target 0 and gives no copies; a null id draws as an
-    empty one, and rows of equal ids draw alike; an empty table gives no rows. Texts are read once to be counted and
+    empty one; rows draw by id and text, so only rows that are equal in both draw alike; an empty table gives no rows. Texts are read once to be counted and
     once to be passed on.
     """
-    return with_copies(docs, docs.select(F.col(source_col).alias("source"), words_of(text_col).alias("size")), id_col, source_col, seed)
+    return with_copies(docs, docs.select(F.col(source_col).alias("source"), words_of(text_col).alias("size")), id_col, source_col, seed, _mark(text_col))
 
 
 def emit(docs: DataFrame, **names: str) -> DataFrame:
@@ -82,14 +87,14 @@ def emit(docs: DataFrame, **names: str) -> DataFrame:
 
 def report(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken (words taken, repeats counted) of every document; texts are read once."""
-    sized = stored(docs.select("doc_id", "source", words_of("text").alias("size")), "sizes")
-    mixed = with_copies(sized, sized, "doc_id", "source", seed)
+    sized = stored(docs.select("doc_id", "source", words_of("text").alias("size"), _mark("text").alias("mark")), "sizes")
+    mixed = with_copies(sized, sized, "doc_id", "source", seed, F.col("mark"))
     return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
 
 
 #: DuckDB: the rows of report().
 REPORT_SQL = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^{SPACE}]+')), 0) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^{SPACE}]+')), 0) AS size, substr(md5(coalesce(text, '')), 1, 16) AS mark FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([{", ".join(map(str, WEIGHTS))}])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}]::DOUBLE AS weight,
         row_number() OVER (ORDER BY source NULLS LAST) AS place, source_size * {MOST}::DOUBLE AS cap FROM s),
@@ -99,7 +104,7 @@ o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, place) AS k,
 f AS (SELECT min(k) AS k, arg_min(level, k) AS level FROM o WHERE level * weight < cap),
 t AS (SELECT source, source_size, CASE WHEN f.k IS NULL OR o.k < f.k THEN cap ELSE f.level * weight END AS target FROM o LEFT JOIN f ON true),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-        ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
+        ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.mark), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
        (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
