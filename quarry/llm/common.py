@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.operators.graph import gone_at_exit
+
 #: White space of the word definition used throughout: blank and the five ASCII controls.
 SPACE = r"\x20\x09-\x0D"
 #: Rows and bytes of text that are handled at once in Python.
@@ -24,9 +26,11 @@ ARROW_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master one of our own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = spark.conf.get("spark.quarry.own.dir", None)
         if path is None:
             path = tempfile.mkdtemp(prefix="quarry-")
@@ -38,13 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = shared_dir(spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone_at_exit(spark, folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clean_shared(spark: SparkSession) -> None:
-    """Remove every table that this application stored; call it once the results have been written."""
+    """Remove every table that this application stored, once the results have been written; at its end it does so by itself."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -118,7 +124,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     top = Path(__file__).resolve().parents[2]
-    path = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry.zip"
+    folder = tempfile.mkdtemp(prefix="quarry-")  # of code alone; Spark serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "quarry.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted((top / "quarry").rglob("*.py")):
             z.write(f, f.relative_to(top))

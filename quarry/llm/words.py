@@ -5,35 +5,12 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Distinct words whose numbers a worker keeps; the memo starts anew beyond that.
-MEMO = 500_000
-
-
-class Words:
-    """Maps words (bytes without ASCII white space) to 64-bit hashes, and texts to arrays of them."""
-
-    def __init__(self) -> None:
-        self.memo: dict[bytes, int] = {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-    def of(self, texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all words in order, and where each text's words start (one more than texts)."""
-        cut = [(t.encode().lower() if lower else t.encode()).split() for t in texts]
-        starts = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
-        return self.hashes([w for c in cut for w in c]), starts
-
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTES = np.random.default_rng(31).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
+#: Bytes of a word from which on it is hashed by xxh3: sums modulo 2**64 collide on long words of a regular build.
+LONG = 256
 #: Bytes that are hashed at once: the arrays stay in cache.
 _PIECE = 1 << 17
 _powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
@@ -50,7 +27,7 @@ def _up_down(n: int) -> list[np.ndarray]:
 
 
 def hash_words(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """As Words.of, without a memo: polynomial hashes of all words at once, from sums over the bytes modulo 2**64."""
+    """The 64-bit hashes of all words in order, and where each text's words start (one more than texts): polynomial hashes of all words at once, from sums over the bytes modulo 2**64, but for long words."""
     raw = [t.encode() for t in texts]
     data = b"\n".join(raw)
     data = np.frombuffer(data.lower() if lower else data, np.uint8)
@@ -70,7 +47,10 @@ def hash_words(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.nd
         first, end = edges[::2], edges[1::2]
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTES[part] * up[: len(part)], out=sums[1:])
-        out.append((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
+        own = (sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64)
+        for i in np.flatnonzero(end - first > LONG).tolist():
+            own[i] = xxhash.xxh3_64_intdigest(part[first[i] : end[i]])
+        out.append(own)
         at_byte.append(first + a)
         a = b
     hashes = np.concatenate(out) if out else np.zeros(0, np.uint64)

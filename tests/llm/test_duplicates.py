@@ -152,6 +152,28 @@ def test_classes_of_a_large_group(spark, monkeypatch, column):
     assert shown(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == classes(rows)
 
 
+def test_links_of_different_texts(spark, docs, nothing):
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 999)}" for _ in range(120)]
+    near = [" ".join(x if rng.random() > rng.choice([0.005, 0.03]) else f"e{rng.randint(0, 10**6)}" for x in base) for _ in range(40)]
+    rows = [r for r in plain(docs) if r[0] is not None] + [(1000 + i, t) for i, t in enumerate(near + near[:5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    own = {}
+    for (i, _), s in zip(rows, sets_of(rows), strict=True):
+        if s:
+            own.setdefault(s, set()).add(i)
+    every = list(own)
+    want = {frozenset([min(own[x]), min(own[y])]) for k, x in enumerate(every) for y in every[k + 1 :] if 100 * len(x & y) >= 75 * len(x | y)}
+    pairs, members = jaccard.links(df)
+    names, copies = {}, {}
+    for r in members.collect():
+        names[r.sig] = min(names.get(r.sig, r.doc_id), r.doc_id)
+        copies.setdefault(r.sig, set()).add(r.doc_id)
+    assert {frozenset([names[r.a], names[r.b]]) for r in pairs.collect()} == want and len(want) > 50
+    assert sorted(map(sorted, copies.values())) == sorted(map(sorted, own.values()))
+    assert jaccard.links(nothing)[0].count() == 0
+
+
 def test_distinct_documents(docs):
     kept = jaccard.distinct_documents(docs)
     assert kept.columns == docs.columns
@@ -168,12 +190,18 @@ def test_components(spark):
 
 
 def test_words_by_bytes(docs):
+    """Equal words have equal numbers and different ones different numbers, short and long, of any build."""
     from quarry.llm import words
 
-    texts = [t for _, t in plain(docs)]
-    memo, starts = words.Words().of(texts)
-    sums, same = words.hash_words(texts)
-    assert starts.tolist() == same.tolist()
-    pairs = set(zip(memo.tolist(), sums.tolist(), strict=True))
+    def thue_morse(first, n=12):
+        w = first
+        for _ in range(n):
+            w += w.translate(str.maketrans("ab", "ba"))
+        return w
+
+    texts = [t for _, t in plain(docs)] + [thue_morse("a"), thue_morse("b"), f"x{thue_morse('a')} x{thue_morse('b')}", "é" * 200, "é" * 100 + "e" * 200]
+    sums, starts = words.hash_words(texts)
+    cut = [t.encode().split() for t in texts]
+    assert starts.tolist() == np.concatenate([[0], np.cumsum([len(c) for c in cut])]).tolist()
+    pairs = set(zip([w for c in cut for w in c], sums.tolist(), strict=True))
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
-    assert F is not None

@@ -31,6 +31,18 @@ TOKENIZER, PIECES = Tokenizer.from_str(DEFINITION), tokenfile.PieceEncoder(DEFIN
 TEXT = st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60) | st.text(alphabet=" \n\t'sreavé1ß՘　😀don't", max_size=40)
 
 
+def test_every_kind_of_character_like_the_libraries():
+    """Each code point between letters, numbers and spaces; of the large blocks of one kind every 16th."""
+    wide = [(0x3400, 0xD7FF), (0xE000, 0xF8FF), (0x17000, 0x18FFF), (0x20000, 0x10FFFF)]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c % 16 == 0 or not any(a <= c <= b for a, b in wide))]
+    texts = [f"a{x}1{x} {x}b" for x in map(chr, points)]
+    for i in range(0, len(texts), 20_000):
+        part = texts[i : i + 20_000]
+        theirs = [e.ids for e in TOKENIZER.encode_batch(part, add_special_tokens=False)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in PIECES.encode_all(part)] == theirs
+        assert [ENCODER.encode(t) for t in part] == LIBRARY.encode_ordinary_batch(part, num_threads=1)
+
+
 @settings(max_examples=400, deadline=None)
 @given(TEXT)
 def test_any_text_like_the_libraries(text):
