@@ -111,7 +111,10 @@ def secrets(
     max_owners: int = MAX_OWNERS,
     max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
-    """id_col, all (array of start, kind, end), base_sha256, n_assign, n_access, n_hex, n_live, n_copied of every row.
+    """id_col, all (array of start, kind, end), base_sha256, n_assign, n_access, n_hex, n_live, n_copied, judged of every row.
+
+    judged has a, b and verdict of every value that could be a credential, those inside base spans too: copied (more
+    owners or repositories than a live one has), live (few of them, and it looks random) or own (few of them).
 
     A null or empty text has no spans. Rows are kept apart by a number given when the scan is stored, so repeated ids
     and rows stay as they are. A value's repositories and owners are counted exactly over the whole table.
@@ -119,10 +122,12 @@ def secrets(
     scanned = stored(scan(docs, id_col, text_col, list(repository_cols), list(owner_cols)).withColumn("row", F.monotonically_increasing_id()), "secrets")
     live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     verdict = ownership(scanned).select("h", live.alias("few"))
+    said = F.when(~F.col("few"), "copied").when(F.col("random") == 1, "live").otherwise("own").alias("verdict")
     each = scanned.filter(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
     judged = each.join(verdict, "h").groupBy("row").agg(
         F.collect_list(F.when(F.col("few") & (F.col("random") == 1), F.struct("a", F.lit(3).alias("k"), "b"))).alias("live"),
         F.count_if(~F.col("few")).alias("n_copied"),
+        F.array_sort(F.collect_list(F.struct("a", "b", said))).alias("judged"),
     )
     out = scanned.drop("repository", "owner", "found").join(judged, "row", "left")
     bare = "filter(coalesce(live, array()), x -> NOT exists(spans, y -> y.a < x.b AND x.a < y.b))"
@@ -136,6 +141,7 @@ def secrets(
         count(2).alias("n_hex"),
         F.expr("CAST(size(coalesce(live, array())) AS LONG)").alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
+        F.coalesce("judged", F.array().cast("array<struct<a:int,b:int,verdict:string>>")).alias("judged"),
     )
 
 
@@ -146,8 +152,9 @@ def span_string(spans: str) -> F.Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied of every document."""
-    return secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", span_string("all").alias("spans"), "n_live", "n_copied")
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied and verdicts (start:end:verdict, comma-joined) of every document."""
+    verdicts = F.expr("array_join(transform(judged, x -> concat_ws(':', x.a, x.b, x.verdict)), ',')").alias("verdicts")
+    return secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", span_string("all").alias("spans"), "n_live", "n_copied", verdicts)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
