@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,11 +28,20 @@ def written(df: DataFrame) -> DataFrame:
         top = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, top, ignore_errors=True)
         spark.conf.set("spark.quarry.loops.dir", top)
-    path = f"{top.rstrip('/')}/loop-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    folder = f"{top.rstrip('/')}/loops-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone_at_exit(spark, folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@lru_cache(maxsize=64)
+def gone_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have a folder that is there removed when the application ends, by which time its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def calls(chunks: DataFrame) -> Column:
     """Call names of a chunk: the stored list, else every name before a parenthesis but keywords and the chunk's own symbol."""
     seen = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?<![A-Za-z0-9_$])([A-Za-z_$][A-Za-z0-9_$]*)\s*\("), 1))

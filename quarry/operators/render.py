@@ -47,11 +47,22 @@ def structured(rows: DataFrame, score: Column, file: Column, start: Column, end:
 
 
 def cards(rows: DataFrame, mode: str = "minimal") -> DataFrame:
-    """JSON of result rows: minimal has id, file, lines, symbol, rank, relevance; content adds the text, full everything. Nulls are left out."""
+    """JSON of result rows: minimal (or compact) has id, file, lines, symbol, kind if there is one, rank, relevance; content
+    adds the text, diagnostic what is known of the ranking, full everything. Nulls are left out."""
     if mode == "full":
         return rows.select(F.to_json(F.struct(*rows.columns)).alias("card"))
     base = [F.col("id"), F.col("file"), F.concat_ws("-", "start", "end").alias("lines"), F.when(F.col("symbol") != "", F.col("symbol")).alias("symbol"), F.col("rank"), F.col("score").alias("relevance")]
-    return rows.select(F.to_json(F.struct(*base, *([F.col("content")] if mode == "content" else []))).alias("card"))
+    base += [F.coalesce(*(F.col(c) for c in ("semantic_kind", "symbol_type", "kind") if c in rows.columns)).alias("kind")] if {"semantic_kind", "symbol_type", "kind"} & {*rows.columns} else []
+    known = [c for c in ("distance", "metric", "language", "symbol_type", "semantic_kind", "similarity", "lexical", "fused", "rerank", "confidence", "why_matched") if c in rows.columns]
+    more = [F.col("content")] if mode == "content" else [F.struct(*known).alias("diagnostic")] if mode == "diagnostic" and known else []
+    return rows.select(F.to_json(F.struct(*base, *more)).alias("card"))
+
+
+def graph_cards(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """JSON of edges as references, impact and traces show them: both ends with file and lines, kind and confidence."""
+    end = lambda s: nodes.select(F.col("node").alias(s), F.struct(F.col("name").alias("symbol"), "file", F.concat_ws("-", "start", "end").alias("lines")).alias(f"__{s}"))
+    both = edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    return both.select("src", "dst", "kind", F.to_json(F.struct(F.col("__src").alias("from"), F.col("__dst").alias("to"), "kind", "confidence")).alias("card"))
 
 
 def markdown(rows: DataFrame, content: str | None = "content") -> DataFrame:

@@ -652,6 +652,19 @@ def agent_cards(spark, d):
     return render.cards(rows).select(F.get_json_object("card", "$.id").cast("long").alias("doc_id"), "card")
 
 
+@query(f"""WITH {_GRAPH}, m AS (SELECT node, concat('{{"symbol":"', name, '","file":"', file, '","lines":"', k, '-', k, '"}}') AS j FROM c UNION SELECT dst, concat('{{"symbol":"', dst, '","file":"', dst, '","lines":"0-0"}}') FROM e WHERE kind IN ('import', 'schema-table'))
+SELECT e.src, e.dst, e.kind, concat('{{"from":', a.j, ',"to":', b.j, ',"kind":"', e.kind, '","confidence":"', e.confidence, '"}}') AS card FROM e JOIN m a ON a.node = e.src JOIN m b ON b.node = e.dst""")
+def graph_cards(spark, d):
+    nodes, edges, _ = graph.build(_calls(spark, d))
+    return render.graph_cards(edges, nodes)
+
+
+@query("""SELECT doc_id, concat('{"id":"', doc_id, '","file":"', source, '","lines":"1-2","rank":1,"relevance":0.5,"kind":"', lang, '","diagnostic":{"semantic_kind":"', lang, '","lexical":0.25}}') AS card FROM documents""")
+def diagnostic_cards(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("source").alias("file"), F.lit(1).alias("start"), F.lit(2).alias("end"), F.lit("").alias("symbol"), F.lit(1).alias("rank"), F.lit(0.5).alias("score"), F.col("lang").alias("semantic_kind"), F.lit(0.25).alias("lexical"))
+    return render.cards(rows, "diagnostic").select(F.get_json_object("card", "$.id").cast("long").alias("doc_id"), "card")
+
+
 @query("SELECT doc_id::VARCHAR AS id, concat('### ', source, ':1-2 `', lang, '`', chr(10), '```', chr(10), text, chr(10), '```') AS text FROM documents")
 def markdown_output(spark, d):
     rows = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("file"), F.lit(1).alias("start"), F.lit(2).alias("end"), F.col("lang").alias("symbol"), F.col("text").alias("content"))

@@ -8,8 +8,6 @@ import pytest
 
 from quarry.plans import catalogue
 
-SLOW = {"self_knn"}
-
 
 @pytest.fixture(scope="module")
 def db(sf):
