@@ -304,10 +304,29 @@ def brace_complexity(code: str) -> int:
     return 1 + len(_BRANCH.findall(blanked(code)))
 
 
+#: Words that may stand right before a call.
+_BEFORE_CALL = {"return", "await", "yield", "throw", "new", "else", "do", "in", "of", "case", "typeof", "delete", "void", "default", "and", "or", "not", "if", "instanceof"}
+
+
 def call_targets(code: str, most: int = 200) -> list[str]:
-    """Distinct names and member chains that are called."""
-    found = re.findall(r"(?<![\w$.])([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(", blanked(code))
-    return list(dict.fromkeys(f for f in found if f.split(".")[-1] not in _NO_MEMBER and f not in ("import", "typeof")))[:most]
+    """Distinct names and member chains that are called; a name before a body, behind a type or behind ``function`` is declared, not called."""
+    code, found = blanked(code), []
+    for m in re.finditer(r"(?<![\w$.])([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(", code):
+        if m[1].split(".")[-1] in _NO_MEMBER or m[1] in ("import", "typeof"):
+            continue
+        before = re.search(r"([A-Za-z_$][\w$]*|[>\]])[ \t]+$", code[max(0, m.start() - 80) : m.start()])
+        if before and before[1] not in _BEFORE_CALL:
+            continue
+        depth, at = 0, m.end() - 1
+        while at < len(code):
+            depth += (code[at] == "(") - (code[at] == ")")
+            at += 1
+            if not depth:
+                break
+        if "." not in m[1] and re.match(r"\s*(?::[^;{}=()]+|throws[\s\w.,]+)?\{", code[at : at + 200]):
+            continue
+        found.append(m[1])
+    return list(dict.fromkeys(found))[:most]
 
 
 def import_list(code: str) -> dict[str, list[str]]:
@@ -423,15 +442,15 @@ def register(extensions: list[str], chunker, replace_known: bool = False) -> Non
     _PLUGINS.update(dict.fromkeys(extensions, chunker))
 
 
-def parse(path: str, content: str, lim: Limits | None = None) -> Parsed:
+def parse(path: str, content: str, lim: Limits | None = None, plugins: dict[str, object] | None = None) -> Parsed:
     """Chunks and regions of a file; what can't be parsed is cut by boundaries, and a short file is one chunk."""
-    lim = lim or limits()
+    lim, plugins = lim or limits(), _PLUGINS if plugins is None else plugins
     name = path.replace("\\", "/").rsplit("/", 1)[-1]
     ext = "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
     if not content.strip():
         return Parsed()
-    if ext in _PLUGINS:
-        return _PLUGINS[ext](content, path, lim)
+    if ext in plugins:
+        return plugins[ext](content, path, lim)
     prose = ext in ("", ".md", ".mdx", ".txt", ".rst")
     out = Parsed()
     try:
@@ -461,13 +480,13 @@ _REGIONS = "file string, type string, name string, start int, end int, signature
 
 def chunk_files(files: DataFrame, lim: Limits | None = None, path: str = "path", text: str = "text") -> DataFrame:
     """One row a chunk of files(path, text); a null or blank text has none."""
-    lim = lim or limits()
+    lim, plugins = lim or limits(), dict(_PLUGINS)  # the driver's go along to the workers
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
         for frame in frames:
-            rows = [{"file": p, "chunk_index": i, **asdict(c)} for p, t in zip(frame[path], frame[text], strict=True) for i, c in enumerate(parse(p or "", t or "", lim).chunks)]
+            rows = [{"file": p, "chunk_index": i, **asdict(c)} for p, t in zip(frame[path], frame[text], strict=True) for i, c in enumerate(parse(p or "", t or "", lim, plugins).chunks)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
     return files.select(path, text).mapInPandas(run, _SCHEMA)
@@ -475,12 +494,13 @@ def chunk_files(files: DataFrame, lim: Limits | None = None, path: str = "path",
 
 def fold_regions(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """One row a region that can be folded."""
+    plugins = dict(_PLUGINS)
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
         for frame in frames:
-            rows = [{"file": p, **asdict(r)} for p, t in zip(frame[path], frame[text], strict=True) for r in parse(p or "", t or "").regions]
+            rows = [{"file": p, **asdict(r)} for p, t in zip(frame[path], frame[text], strict=True) for r in parse(p or "", t or "", None, plugins).regions]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _REGIONS.split(", ")])
 
     return files.select(path, text).mapInPandas(run, _REGIONS)

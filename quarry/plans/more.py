@@ -752,3 +752,98 @@ def investigate(spark, d):
     chunks = _calls(spark, d).withColumn("score", F.when(F.col("start").between(41, 59), F.col("start")).otherwise(F.lit(-1)))
     return evaluate.investigate(chunks, *graph.build(chunks)[:2])[0].select("symbol", "src", "kind")
 
+
+# source code
+
+
+#: Files of each language, in which ID stands for a document's id.
+_SOURCES = {
+    "py": 'import os\nfrom libID import helper\n\n\nclass StoreID(Base):\n    """Doc."""\n\n    def load(self, key):\n        if key:\n            return helper(key)\n        return None\n\n    async def saveID(self):\n        pass\n\n\ndef runID(x):\n    for i in x:\n        print(i)\n    return StoreID()\n',
+    "ts": 'import { api } from "libID"\n\n/** Doc. */\nexport class StoreID extends Base {\n  private items = []\n  load(key: string) {\n    if (key) {\n      return api(key)\n    }\n    return null\n  }\n  static async saveID() {\n    await api()\n  }\n}\n\nexport async function runID(x: number[]) {\n  for (const i of x) {\n    print(i)\n  }\n}\n\nconst useID = (a) => {\n  return a && runID(a)\n}\n',
+    "test.ts": 'import { run } from "libID"\n\ndescribe("storeID", () => {\n  it("loads", () => {\n    expect(run()).toBe(7)\n  })\n  it("saves", () => {\n    expect(1).toBe(1)\n  })\n})\n',
+    "java": 'package p;\nimport java.util.List;\n\npublic class StoreID extends Base {\n  private int n;\n  public int load(int key) {\n    if (key > 0) {\n      return helper(key);\n    }\n    return 0;\n  }\n  static void saveID() {\n  }\n}\n\ninterface ShapeID {\n  int area();\n}\n',
+    "vue": '<template>\n  <div>ID</div>\n</template>\n<script setup>\nimport { ref } from "vue"\nfunction runID() {\n  return ref(1)\n}\n</script>\n',
+}
+#: What their chunks are, told by hand: language, place, first and last line, symbol, type, variant, parent, depth, exported, async, static, documented, complexity, imports, calls.
+_EXPECTED = [
+    ("py", 0, 5, 14, "StoreID", "class", "class", "", 0, True, False, False, True, 2, "", ""),
+    ("py", 1, 8, 11, "load", "method", "function", "StoreID", 1, True, False, False, False, 2, "", ""),
+    ("py", 2, 17, 20, "runID", "function", "function", "", 0, True, False, False, False, 2, "", ""),
+    ("ts", 0, 4, 15, "StoreID", "class", "class", "", 0, True, False, False, True, 2, "libID", "api"),
+    ("ts", 1, 6, 11, "load", "method", "method", "StoreID", 1, False, False, False, False, 2, "libID", "api"),
+    ("ts", 2, 12, 14, "saveID", "method", "static", "StoreID", 1, False, True, True, False, 1, "libID", "api"),
+    ("ts", 3, 17, 21, "runID", "function", "async", "", 0, True, True, False, False, 2, "", "print"),
+    ("ts", 4, 23, 25, "useID", "function", "arrow", "", 0, False, False, False, False, 1, "", "runID"),
+    ("test.ts", 0, 3, 10, "storeID", "function", "test", "", 0, False, False, False, False, 0, "", ""),
+    ("test.ts", 1, 4, 6, "storeID > loads", "function", "test", "storeID", 0, False, False, False, False, 0, "", ""),
+    ("test.ts", 2, 7, 9, "storeID > saves", "function", "test", "storeID", 0, False, False, False, False, 0, "", ""),
+    ("java", 0, 4, 14, "StoreID", "class", "class", "", 0, True, False, False, False, 2, "", "helper"),
+    ("java", 1, 6, 11, "load", "method", "method", "StoreID", 1, True, False, False, False, 2, "", "helper"),
+    ("java", 2, 12, 13, "saveID", "method", "static", "StoreID", 1, False, False, True, False, 1, "", ""),
+    ("java", 3, 16, 18, "ShapeID", "type", "interface", "", 0, False, False, False, False, 1, "", ""),
+    ("vue", 0, 1, 10, "fID", "class", "component", "", 0, True, False, False, False, 0, "vue", ""),
+    ("vue", 1, 6, 8, "runID", "function", "function", "fID", 0, False, False, False, False, 1, "vue", "ref"),
+]
+_FOLDS = [("py", "method", "load", 8, 11, 8), ("py", "method", "saveID", 13, 14, 13), ("py", "function", "runID", 17, 20, 17), ("ts", "method", "load", 6, 11, 6), ("ts", "method", "saveID", 12, 14, 12), ("ts", "function", "runID", 17, 21, 17), ("ts", "function", "useID", 23, 25, 23), ("java", "method", "load", 6, 11, 6), ("java", "method", "saveID", 12, 13, 12), ("vue", "function", "runID", 6, 8, 6)]
+
+
+def _literal(v) -> str:
+    return str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    return f"(VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) v({names})"
+
+
+def _code_files(spark, d) -> DataFrame:
+    """Every source for every document: path, text."""
+    made = F.explode(F.array(*(F.struct(F.lit(ext).alias("ext"), F.lit(code).alias("code")) for ext, code in _SOURCES.items())))
+    i = F.col("doc_id").cast("string")
+    return read(spark, d, "documents").select("doc_id", made.alias("s")).select(F.concat(F.lit("a/f"), i, F.lit("."), F.col("s.ext")).alias("path"), F.replace(F.col("s.code"), F.lit("ID"), i).alias("text"))
+
+
+_OF = "replace({0}, 'ID', doc_id::VARCHAR)"
+
+
+@query(f"""SELECT concat('a/f', doc_id, '.', v.ext) AS file, chunk_index, v.a AS start, v.b AS "end", {_OF.format("v.symbol")} AS symbol, symbol_type, variant, {_OF.format("v.parent")} AS parent, depth, exported, is_async, is_static, documented, complexity, {_OF.format("v.imports")} AS imports, {_OF.format("v.calls")} AS calls,
+ md5(rtrim(trim(array_to_string(string_split({_OF.format("c.code")}, chr(10))[v.a:v.b], chr(10))), ')')) AS content FROM documents, {_values(_EXPECTED, "ext, chunk_index, a, b, symbol, symbol_type, variant, parent, depth, exported, is_async, is_static, documented, complexity, imports, calls")} JOIN (SELECT * FROM {_values(list(_SOURCES.items()), "ext, code")}) c ON c.ext = v.ext""")
+def code_chunks(spark, d):
+    """Chunks of Python, TypeScript, Java, Vue and test files with what is known of them."""
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    found = chunking.chunk_files(_code_files(spark, d))
+    return found.select("file", "chunk_index", "start", "end", "symbol", "symbol_type", "variant", "parent", "depth", "exported", "is_async", "is_static", "documented", "complexity", joined("imports"), joined("calls"), F.md5(F.regexp_replace(F.trim("content"), r"\)+$", "")).alias("content"))
+
+
+@query(f"SELECT concat('a/f', doc_id, '.', ext) AS file, type, {_OF.format('name')} AS name, a AS start, b AS \"end\", signature_end FROM documents, {_values(_FOLDS, 'ext, type, name, a, b, signature_end')}")
+def code_regions(spark, d):
+    return chunking.fold_regions(_code_files(spark, d)).select("file", "type", "name", "start", "end", "signature_end")
+
+
+_PROSE = [(0, 1, 3, 302), (1, 4, 6, 403), (2, 7, 7, 8800), (3, 7, 7, 8800), (4, 7, 7, 3168)]
+
+
+@query(f"SELECT concat('f', doc_id, '.md') AS file, chunk_index, a AS start, b AS \"end\", chars + CASE WHEN chunk_index = 0 THEN length(doc_id::VARCHAR) ELSE 0 END AS chars FROM documents, {_values(_PROSE, 'chunk_index, a, b, chars')}")
+def prose_chunks(spark, d):
+    """Prose that is cut at headings, with a line that is too long and is sliced, and a short rest that is dropped."""
+    i = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("# "), i, F.lit("\n" + "alpha " * 49 + "beta\n\n# B\n" + "gamma " * 66 + "ab\n\n"), F.repeat(F.lit("x"), 20_000), F.lit("\n# rest\nshort"))
+    return chunking.chunk_files(read(spark, d, "documents").select(F.concat(F.lit("f"), i, F.lit(".md")).alias("path"), text.alias("text"))).select("file", "chunk_index", "start", "end", F.length("content").alias("chars"))
+
+
+@query("SELECT concat(source, '/', doc_id, '.txt:0') AS id, sha1(text) AS hash, text = text AS raw, 'doc' AS file_kind, 'documentation' AS file_role FROM documents WHERE length(text) < 200 AND regexp_matches(text, '\\S')")
+def chunk_table(spark, d):
+    """Short documents, each of one chunk, as rows of the fact table."""
+    f = files.documents_as_files(read(spark, d, "documents").filter(F.length("text") < 200))
+    return chunking.rows(chunking.chunk_files(f), f).select("id", "hash", (F.col("content_raw") == F.col("content")).alias("raw"), "file_kind", "file_role")
+
+
+@query("SELECT concat('f', doc_id, '.zz') AS file, 'plugin' AS symbol, length(text) AS chars FROM documents")
+def plugin_chunks(spark, d):
+    """Files of an extension that a registered chunker cuts."""
+
+    def whole(content: str, path: str, lim: chunking.Limits) -> chunking.Parsed:
+        return chunking.Parsed([chunking.Chunk(content, 1, 1, symbol="plugin")])
+
+    chunking.register([".zz"], whole, replace_known=True)
+    f = read(spark, d, "documents").filter("trim(text) <> ''").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".zz")).alias("path"), "text")
+    return chunking.chunk_files(f).select("file", "symbol", F.length("content").alias("chars"))
