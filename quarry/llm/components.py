@@ -1,27 +1,5 @@
-"""Connected components of a graph of links, by DataFrame joins."""
+"""Connected components of a graph of links: those of the library's graphs."""
 
-from __future__ import annotations
+from quarry.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quarry.llm.common import stored
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node of edges(a, b), longs; self-links and repeats are allowed.
-
-    Labels go along the edges and jump to their label's label, so rounds grow with the logarithm of a component's
-    diameter. Each round is a stored table: no lineage grows, and nothing but whether a row changed comes to the driver.
-    A hub's rows are met by partial minima.
-    """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        up = labels.select(F.col("node").alias("at"), F.col("component").alias("up"))
-        jumped = stored(lower.join(up, lower["component"] == up["at"], "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"), "was"), "labels")
-        labels = jumped.select("node", "component")
-        if jumped.filter("component <> was").isEmpty():
-            return labels
+__all__ = ["components"]

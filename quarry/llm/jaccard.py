@@ -110,12 +110,12 @@ def column_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             for i, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 sums[i] = sums.get(i, 0) + np.frombuffer(data.as_buffer(), np.uint16).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], names=["block", "cells"])
 
     schema = "block int, cells binary"
     out = np.zeros(((CELLS + FIRST_CELLS) // CELL_BLOCK, CELL_BLOCK), np.int64)
-    for r in docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toLocalIterator():  # CELLS + FIRST_CELLS numbers
-        out[r["block"]] += np.frombuffer(r["cells"], np.int64)
+    for r in docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():  # CELLS + FIRST_CELLS numbers
+        out[r["block"]] += np.frombuffer(r["cells"], np.uint32)
     return out.ravel()[:CELLS], out.ravel()[CELLS:]
 
 
@@ -375,7 +375,8 @@ def hubs(incidence: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that reach the bound on their whole sets. names: sig and a doc_id that has the set; a repeated id's other texts are told apart by sig."""
     spark = docs.sparkSession
-    wanted = stored(pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct().join(names, "sig").select("sig", F.col("doc_id").alias("id")), "wanted")
+    pairs = stored(pairs, "pairs")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(names, "sig").select("sig", F.col("doc_id").alias("id")), "wanted")
     few = wanted.count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"] == wanted["id"]).select("sig", "text")
     fields = _arrow_schema(spark, "sig long, own binary")
@@ -411,14 +412,39 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return _classed(docs, percent).drop("sig")
 
 
+def _met_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, np.ndarray]:
+    """The stored rows of met, and the counts of columns by cell."""
+    counts, firsts = column_counts(docs)
+    context = docs.sparkSession.sparkContext
+    common, parts = context.broadcast(common_cells(counts)), context.broadcast(salts(firsts, SALT_AFTER))  # CELLS and FIRST_CELLS numbers
+    rows = stored(met(docs, common, parts, percent), "met")
+    common.destroy()
+    parts.destroy()
+    return rows, counts
+
+
+def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The join itself: a, b (names of sets, a < b) of every two different sets that reach the bound, and the membership
+    doc_id, sig of every row that has words and an id.
+
+    No pair is spared here, so a group of n near copies that all link gives n * (n - 1) / 2 pairs; copies of one set are
+    one name and are not expanded. A document's number of links is the sum of the members of the sets that its own
+    links with, and its own set's other members.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, counts = _met_rows(docs, percent)
+    one = rows.filter("star IS NOT NULL").dropDuplicates(["sig"]).select("sig", F.col("sig").alias("star"), "n", "columns")
+    incidence = stored(shared_columns(one, counts).select("o", "sig", F.col("star").alias("group"), "at"), "incidence")
+    several = incidence.groupBy("o").agg(F.count("*").alias("rows")).filter("rows > 1")
+    members = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "sig")
+    names = members.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    return verified(product(incidence.join(several, "o"), percent), docs, names, percent), members
+
+
 def _classed(docs: DataFrame, percent: int) -> DataFrame:
     """The rows of classes with the signature of each row's set."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts, firsts = column_counts(docs)
-    common = spark.sparkContext.broadcast(common_cells(counts))  # CELLS booleans
-    parts = spark.sparkContext.broadcast(salts(firsts, SALT_AFTER))  # FIRST_CELLS numbers
-    rows = stored(met(docs, common, parts, percent), "met")
+    rows, counts = _met_rows(docs, percent)
     sets = rows.filter("star IS NOT NULL").select("sig", "star", "star_n", "n", "columns", "doc_id")
     names = sets.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     incidence = stored(shared_columns(sets, counts), "incidence")
@@ -427,7 +453,7 @@ def _classed(docs: DataFrame, percent: int) -> DataFrame:
     same = sets.groupBy("sig").agg(F.min("star").alias("a"), F.max("star").alias("b")).filter("a <> b").select("a", "b")
     # a pivot is compared with the pivot of the largest group with which its own shares most columns
     first = stored(verified(hubs(incidence), docs, names, percent).union(same), "links")
-    groups = stored(components(first), "groups")
+    groups = components(first)
     grouped = incidence.join(groups, incidence["star"] == groups["node"], "left").withColumn("group", F.coalesce("component", "star")).select("o", "sig", "group", "at")
     # whatever is still in different groups is multiplied
     several = grouped.groupBy("o").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("rows")).filter("low <> high").select("o", "rows")
