@@ -154,12 +154,14 @@ class PieceEncoder:
         self.memo = PieceMemo(self.resolve, MEMO)
 
     def resolve(self, new: list[str]) -> list[bytes]:
+        """Each piece's ids, packed: many pieces are one input, cut already, of which the library tells each id's piece."""
         out: list[bytes] = []
-        code = "H" if self.width == 2 else "I"
         for at in range(0, len(new), 4096):
-            for e in self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False):
-                ids = e.ids
-                out.append(struct.pack(f"<{len(ids)}{code}", *ids))
+            part = new[at : at + 4096]
+            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            cuts = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)) * self.width).tolist()
+            packed = np.array(e.ids, f"<u{self.width}").tobytes()
+            out += [packed[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
     def packed(self, texts: list[str]) -> list[bytes]:
@@ -209,10 +211,32 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
             yield out()
 
     fields = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    n, bounds = _bounds(rows)
+    dealt = rows.repartitionById(n, _range_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id")
     dealt.mapInArrow(run, "shard int, block int, n_docs long, n_tokens long, data binary").write.parquet(path)
 
 
+def _bounds(rows: DataFrame) -> tuple[int, list[int]]:
+    """The number of ranges, and the last id of each but the last: quantiles of the ids alone, so that no text is read for them."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n == 1:
+        return n, []
+    found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
+    return n, sorted(set(found))
+
+
+def _range_of(key: F.Column, bounds: list[int]) -> F.Column:
+    """The range that a key falls into, by bisection; nulls are in the first one."""
+    if not bounds:
+        return F.lit(0)
+    table, steps = F.array(*map(F.lit, bounds)), len(bounds).bit_length()
+    mid = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
+    lower = lambda s: F.coalesce(F.get(table, mid(s)) >= key, F.lit(True))
+    step = lambda s, _: F.when(s["low"] >= s["high"], s).when(lower(s), F.struct(s["low"].alias("low"), mid(s).alias("high"))).otherwise(F.struct((mid(s) + 1).alias("low"), s["high"].alias("high")))
+    return F.aggregate(F.array_repeat(F.lit(0), steps), F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), step, lambda s: s["low"])
+
+
 def _placed(spark: SparkSession, path: str) -> DataFrame:
     """The blocks at path with the number of ids before each: sums inside a shard, and over the shards, which are as many as write tasks."""
     blocks = spark.read.schema("shard int, block int, n_docs long, n_tokens long, data binary").parquet(path)
