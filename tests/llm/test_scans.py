@@ -56,6 +56,22 @@ def luhn(d):
     return sum((v := int(c) * (1 + i % 2)) - 9 * (v > 9) for i, c in enumerate(reversed(d))) % 10 == 0
 
 
+def test_secret_verdicts(docs):
+    """Owners and repositories of every candidate value counted by hand, and what follows from them."""
+    rows = [(r.doc_id, r.text or "", str(r.source), (str(r.source), str(r.lang))) for r in docs.collect()]
+    rows += [(5000 + i, f"note {i} key AKIA{'ABCDEFGH' * 2} and token = zX9{'q7Lw2Rt8' * 2}{i % 2}", f"s{i % 9}", (f"s{i % 9}", "en")) for i in range(30)]
+    df = docs.sparkSession.createDataFrame([(i, t, s, repository[1]) for i, t, s, repository in rows], "doc_id long, text string, source string, lang string")
+    owners, repositories = {}, {}
+    for _, t, owner, repository in rows:
+        for h, *_ in secrets.candidates(t):
+            owners.setdefault(h, set()).add(owner)
+            repositories.setdefault(h, set()).add(repository)
+    few = {h for h in owners if len(owners[h]) <= secrets.MAX_OWNERS and len(repositories[h]) <= secrets.MAX_REPOSITORIES}
+    want = sorted((i is not None, i or 0, ",".join(f"{a}:{b}:{'copied' if h not in few else 'live' if r else 'own'}" for h, a, b, r in secrets.candidates(t))) for i, t, *_ in rows)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.verdicts) for r in secrets.report(df).collect())
+    assert got == want and any("copied" in v for *_, v in want)
+
+
 def pii_spans(t):
     digits = lambda m: re.sub("[^0-9]", "", m[0])
     out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -157,6 +173,41 @@ def surface(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
 
 
+def test_quality_ratio(docs, labels):
+    """Both multinomials, the ratio, every score and the verdict by loops over words and pairs."""
+    from quarry.llm.common import mix64
+    from quarry.llm.words import hash_words
+
+    buckets = quality.buckets_for(docs.select("doc_id", "text"))
+    known = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality in (0, 1):
+            known[r.doc_id] = max(known.get(r.doc_id, 0), r.quality)
+    third = {r.doc_id: r.m for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)).alias("m")).collect()}
+    place = lambda h: int(mix64(np.array([h], np.uint64))[0]) >> (64 - buckets.bit_length() + 1)
+    golden, whole = 0x9E3779B97F4A7C15, 1 << 64
+
+    def grams(t):
+        h = [int(x) for x in hash_words([t])[0]]
+        pairs = [mix64(np.array([(a * golden + int(mix64(np.array([b], np.uint64))[0])) % whole], np.uint64))[0] for a, b in zip(h, h[1:], strict=False)]
+        return [place(x) for x in h] + [int(p) >> (64 - buckets.bit_length() + 1) for p in pairs] + ([place(h[-1])] if h else [])
+
+    rows = [(r.doc_id, grams(r.text or "")) for r in docs.collect()]
+    raw, target = np.zeros(buckets), np.zeros(buckets)
+    for i, own in rows:
+        for g in own:
+            raw[g] += 1
+            target[g] += known.get(i) == 1 and third[i] > 0
+    p_raw = (raw + 1) / (raw.sum() + buckets)
+    weight = 5.0 * buckets * target.sum() / raw.sum() + 100.0
+    ratio = np.log((target + weight * p_raw) / (target.sum() + weight)) - np.log(p_raw)
+    want = sorted((i is not None, i or 0, round(float(np.mean(ratio[own])), 9) if own else 0.0) for i, own in rows)
+    out = quality.judged(docs, labels).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, round(r.score, 9)) for r in out) == want
+    threshold = quality.fit(docs, labels).threshold
+    assert all(r.kept == (not r.base_failed and r.score >= threshold) for r in out)
+
+
 def test_quality_base(docs, labels, nothing):
     short = docs.filter(F.length(F.coalesce("text", F.lit(""))) < 3000)
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.report(short, labels).collect())
