@@ -567,8 +567,9 @@ def with_spans(docs: DataFrame, make, schema: str) -> DataFrame:
     """make(batch of doc_id and text, raw bytes, maximal spans of repeated bytes of each text) as a batch, over docs (doc_id, text, k1, k2)."""
     spark = docs.sparkSession
     parts = _parts(spark)
-    runs_ = stored(equal_runs(sent_runs(docs, parts), parts), "runs")
-    wanted = stored(different_runs(runs_.filter(F.col("kind") == RUNS), parts, HOT), "wanted")
+    files = max(1, parts // 4)  # a task takes its parts one after another; few files are better than many small ones
+    runs_ = stored(equal_runs(sent_runs(docs, parts), parts).coalesce(files), "runs")
+    wanted = stored(different_runs(runs_.filter(F.col("kind") == RUNS), parts, HOT).coalesce(files), "wanted")
     most = [np.frombuffer(r["data"], "<u8") for r in wanted.filter(F.col("kind") == HOTS).select("data").collect()]
     hot = spark.sparkContext.broadcast(np.concatenate([np.zeros(0, "<u8"), *most]))  # one hash for HOT different runs at most
     known = sorted_runs(cut_runs(docs.filter(F.octet_length("text") >= LENGTH), wanted.filter(F.col("kind") == RUNS), hot, parts), parts)
