@@ -527,10 +527,48 @@ def semantic_kind(path: Column, symbol: Column, symbol_type: Column, content: Co
     return out.when(callable_ & content.rlike(r"^(?:export\s+)?(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*=\s*[A-Za-z_$][\w$]*\s*\("), "wrappedFunction")
 
 
-def keywords(content: Column) -> Column:
-    """Tags by what the text mentions."""
-    tests = {"async": r"\b(async|await|Promise)\b", "error-handling": r"\b(try|catch|throw|raise|except)\b", "test": r"\b(describe|it|test|expect|assert)\s*\(", "http": r"\b(fetch|axios|http|request|response)\b", "filesystem": r"\b(readFile|writeFile|fs\.|open\()", "database": r"(?i)\b(select|insert|update|delete)\b.*\b(from|into|set)\b|\bdb\."}
-    return F.array_compact(F.array(*(F.when(content.rlike(p), F.lit(t)) for t, p in tests.items())))
+# Tags by what a text mentions, and names before a parenthesis that are no calls.
+TAGS = (
+    ("async", r"async |await "),
+    ("error-handling", r"throw |catch\s*\("),
+    ("test", r"(?<![A-Za-z0-9_])(?:test|describe|it|expect)\("),
+    ("http", r"(?i)(?<![A-Za-z0-9_])(?:fetch|http|api|request|response)(?![A-Za-z0-9_])"),
+    ("filesystem", r"(?<![A-Za-z0-9_])(?:readFile|writeFile|readdir|unlink|mkdir|Bun\.file)(?![A-Za-z0-9_])"),
+    ("database", r"(?i)(?<![A-Za-z0-9_])(?:query|database|sql|insert|update|delete|select)(?![A-Za-z0-9_])"),
+)
+NO_CALLS = ("if", "for", "while", "switch", "catch", "function", "async", "await", "return", "throw", "new", "typeof", "instanceof")
+
+
+def keywords(content: Column, name: Column | None = None) -> Column:
+    """A chunk's name, the parameters and the result of its documentation, tags by what it mentions, up to five calls and types and three modules that it imports itself."""
+    doc = F.regexp_extract(content, r"(?s)/\*\*(.*?)\*/", 1)
+    params = F.transform(F.regexp_extract_all(doc, F.lit(r"@param\s+(?:\{[^}]+\}\s+)?([A-Za-z0-9_]+)"), 1), lambda p: F.concat(F.lit("param:"), p))
+    result = F.regexp_extract(doc, r"@returns?\s+(?:\{([^}]+)\})?", 1)
+    called = F.array_distinct(F.regexp_extract_all(content, F.lit(r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1))
+    calls = F.slice(F.filter(called, lambda c: ~c.isin(*NO_CALLS) & (F.length(c) > 2)), 1, 5)
+    named = F.lit(None).cast("string") if name is None else F.when(name != "", name)
+    single = F.array_compact(F.array(F.when(result != "", F.concat(F.lit("returns:"), result)), *(F.when(content.rlike(p), F.lit(t)) for t, p in TAGS)))
+    found = F.regexp_extract_all(content, F.lit(r":\s*([A-Z][a-zA-Z0-9]*(?:<[^>]+>)?(?:\[\])?)"), 1)
+    types = F.slice(F.filter(F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, r"<.*>|\[\]", ""))), lambda t: F.length(t) > 1), 1, 5)
+    modules = F.slice(F.array_distinct(F.regexp_extract_all(content, F.lit(r"(?m)^\s*import\s[^'\"]*['\"]([^'\"]+)['\"]"), 1)), 1, 3)
+    listed = lambda label, names: F.when(F.size(names) > 0, F.concat(F.lit(label), F.array_join(names, ",")))
+    return F.concat(F.array_compact(F.array(named)), params, single, F.array_compact(F.array(listed("calls:", calls), listed("types:", types), listed("imports:", modules))))
+
+
+def with_header(chunks: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """chunks with contextual: comment lines that tell file, type, name, exported and keywords, then the import lines of the
+    modules that the chunk uses (imports: file, module, line), then the content."""
+    words = keywords(F.col("content"), F.col("symbol"))
+    head = F.concat(
+        F.lit("// File: "), F.regexp_replace("file", r"\\", "/"), F.lit("\n// Type: "), "symbol_type", F.when(F.col("symbol") != "", F.concat(F.lit("\n// Name: "), "symbol")).otherwise(""),
+        F.lit("\n// Exported: "), F.col("exported").cast("string"), F.when(F.size(words) > 0, F.concat(F.lit("\n// Keywords: "), F.array_join(words, ", "))).otherwise(""), F.lit("\n\n"),
+    )
+    if imports is None:
+        return chunks.withColumn("contextual", F.concat(head, "content"))
+    lines = imports.groupBy("file").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("module", "line")))).alias("__lines"))
+    used = F.filter(F.transform("imports", lambda m: F.element_at("__lines", m)), lambda x: x.isNotNull())
+    own = F.when(F.size(used) > 0, F.concat(F.array_join(used, "\n"), F.lit("\n\n"))).otherwise("")
+    return chunks.join(lines, "file", "left").withColumn("contextual", F.concat(head, F.coalesce(own, F.lit("")), "content")).drop("__lines")
 
 
 def rows(chunks: DataFrame, files: DataFrame, file: str = "file") -> DataFrame:

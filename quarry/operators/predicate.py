@@ -217,7 +217,14 @@ def suggest(value: str, allowed: list[str]) -> str | None:
     return best[1] if best and best[0] <= -(-len(value) // 2) else None
 
 
-def nearest_names(values: DataFrame, allowed: DataFrame, value: str = "value", name: str = "name") -> DataFrame:
-    """value, suggestion, distance: the nearest of allowed by Levenshtein distance, ties by name, over all of allowed; meant for a short list."""
-    pairs = values.join(allowed, how="cross").withColumn("distance", F.levenshtein(F.lower(value), F.lower(name)))
-    return pairs.groupBy(value).agg(F.min(F.struct("distance", F.col(name).alias("suggestion"))).alias("best")).select(value, "best.suggestion", "best.distance")
+def nearest_names(values: DataFrame, allowed: DataFrame, value: str = "value", name: str = "name", chunk: int = 1024) -> DataFrame:
+    """value, suggestion, distance: the nearest of allowed by Levenshtein distance, ties by name, over all of allowed.
+
+    Names go in arrays of about ``chunk``, each a key of an equi-join, and an array tells its nearest name, so there is
+    one row for a value and array and not one for each pair. Without names there are no rows.
+    """
+    chunks = max(1, -(-allowed.count() // chunk))
+    packed = allowed.groupBy(F.pmod(F.xxhash64(name), F.lit(chunks)).cast("int").alias("__c")).agg(F.collect_list(name).alias("__names"))
+    rows = values.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(packed, "__c")
+    near = F.array_min(F.transform("__names", lambda n: F.struct(F.levenshtein(F.lower(value), F.lower(n)).alias("distance"), n.alias("suggestion"))))
+    return rows.groupBy(value).agg(F.min(near).alias("best")).select(value, "best.suggestion", "best.distance")

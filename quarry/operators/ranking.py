@@ -191,6 +191,12 @@ def byte_fit(rows: DataFrame, max_bytes: int, order: list[str], content: str = "
 
 
 def prefix_budget(rows: DataFrame, size: Column, budget: int, order: list[str]) -> DataFrame:
-    """The longest beginning of rows whose sizes add up to the budget at most."""
+    """The longest beginning of rows, by columns ascending, whose sizes (whole numbers from 0 on) add up to the budget at most.
+
+    At most budget + 1 rows of any size can matter: those alone are summed, and where the sum goes over is a filter on
+    the table, which itself isn't sorted. Of rows with equal columns either all stay or none.
+    """
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__sum", F.sum(size).over(w)).filter(F.col("__sum") <= budget).drop("__sum")
+    first = rows.withColumn("__size", size).filter("__size > 0").orderBy(*order).limit(budget + 1)
+    over = first.withColumn("__sum", F.sum("__size").over(w)).filter(F.col("__sum") > budget).orderBy(*order).select(*order).first()
+    return rows if over is None else rows.filter(F.struct(*order) < F.struct(*(F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, over, strict=True))))

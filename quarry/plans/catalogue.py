@@ -468,7 +468,9 @@ def duplicate_text_similarity(spark, d):
     return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), r6(value).alias("similarity"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, text, {_BIG.format("text")} AS k FROM documents WHERE text IS NOT NULL), b AS (SELECT *, list_distinct(list_transform(range(1, len(k)), lambda i: hash(concat(k[i], ' ', k[i + 1])))) AS g FROM t WHERE len(k) > 0),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, CASE WHEN x.text = y.text THEN 1 ELSE len(list_intersect(x.g, y.g))::DOUBLE / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) * sqrt(least(len(x.k), len(y.k))::DOUBLE / greatest(len(x.k), len(y.k))) END AS s
+ FROM b x JOIN b y ON x.doc_id < y.doc_id AND 10 * least(len(x.g), len(y.g)) >= 7 * greatest(len(x.g), len(y.g)) WHERE x.text = y.text OR (len(x.g) > 0 AND len(y.g) > 0)) SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.7""")
 def duplicate_text_pairs(spark, d):
     """Text similarity over the whole table, without the blocks that duplicate_text_similarity has from its SQL."""
     return duplicates.text_pairs(read(spark, d, "documents")).withColumn("similarity", r6("similarity"))

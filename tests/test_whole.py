@@ -97,7 +97,7 @@ def test_cluster_attachment_means_over_all_members(spark, tmp_path):
         if len(members[least[i]]) == 1 and max(means)[0] >= 0.35 - groups.ATTACH_SLACK:
             want[i] = -max(means)[1]
     assert sum(want[i] != least[i] for i in gauss) == 2
-    assert {r.id: r.cluster for r in catalogue.cluster_attachment(spark, str(tmp_path)).collect()} == want
+    assert {r.id: r.cluster for r in catalogue.queries()["cluster_attachment"](spark, str(tmp_path)).collect()} == want
     rows = spark.createDataFrame(list(gauss.items()), "id long, v array<double>")
     pairs = knn.similar_pairs(rows, 0.35, "v", "id")
     assert {r.id: r.cluster for r in groups.clusters(pairs, rows.select("id"), 0.35, vectors=rows, chunk=2).collect()} == want
