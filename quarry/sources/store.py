@@ -16,7 +16,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 REQUIRED = ("id", "content", "file", "start", "end", "symbol", "embedding")
 READABLE = ("id", "content", "file", "start", "end")
@@ -110,24 +110,25 @@ class Store:
 
     # buckets
 
-    def _rows(self, generation: str) -> DataFrame:
-        """All rows of a generation, with their bucket."""
-        found = self._map(generation)
+    def _rows(self, generation: str, buckets: set[int] | None = None) -> DataFrame:
+        """The rows of a generation, or of some buckets of it, with their bucket; other folders are not read."""
+        found = {b: folders for b, folders in self._map(generation).items() if buckets is None or int(b) in buckets}
         schema = StructType.fromJson(json.loads(self._read_json(f"{generation}/_map.json")["schema"]))
         paths = [f"{self.path}/{g}/{_BUCKET}={b}" for b, folders in sorted(found.items()) for g in folders]
         if not paths:
-            return self.spark.createDataFrame([], schema.add(_BUCKET, "int"))
+            return self.spark.createDataFrame([], schema.add(_BUCKET, IntegerType()))
         rows = self.spark.read.schema(schema).parquet(*paths)
         return rows.withColumn(_BUCKET, _bucket())
 
     def _change(self, touched: DataFrame, key: str, new: DataFrame | None) -> str:
         """Write anew the buckets that have rows of touched(key) or get new ones, and publish them beside all others."""
         active = self._active()
-        old, gone = self._rows(active), touched.select(key).distinct()
-        hit = old.join(gone, key, "left_semi").select(_BUCKET)
+        gone = touched.select(key).distinct()
+        # a file tells its bucket; for other keys the rows that have them are looked up, by key and file alone
+        hit = gone.select(_bucket()) if key == "file" else self._rows(active).join(gone, key, "left_semi").select(_BUCKET)
         hit = hit if new is None else hit.union(new.select(_bucket()))
-        buckets = [r[0] for r in hit.distinct().collect()]  # BUCKETS at most
-        kept = old.filter(F.col(_BUCKET).isin(buckets)).drop(_BUCKET).join(gone, key, "left_anti")
+        buckets = {r[0] for r in hit.distinct().collect()}  # BUCKETS at most
+        kept = self._rows(active, buckets).drop(_BUCKET).join(gone, key, "left_anti")
         rows = kept if new is None else kept.unionByName(new, allowMissingColumns=True)
         name = f"chunks_{int(time.time() * 1000):013d}_{uuid.uuid4().hex[:8]}"
         self._write(rows, name, False)
