@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -140,6 +142,18 @@ _held: dict[str, object] = {}
 def held(name: str, build: Callable[[], object]) -> object:
     """A worker's state from task to task: only the operator that ran last keeps any, so that memory is not taken twice."""
     if name not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            _give_back()
         _held[name] = build()
     return _held[name]
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the system, which allocators otherwise keep for a worker's life."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
