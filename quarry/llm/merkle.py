@@ -146,7 +146,7 @@ def _in_ranges(grown: Grown, heads: DataFrame, links: DataFrame | None) -> DataF
     rows = heads.withColumn("kind", F.lit(HEAD)).unionByName(grown.leaves.withColumn("kind", F.lit(LEAF)), allowMissingColumns=True)
     if links is not None:
         rows = rows.unionByName(links.withColumn("kind", F.lit(LINK)), allowMissingColumns=True)
-    return rows.repartitionById(grown.parts, F.col("part")).sortWithinPartitions("group", "kind", "place")
+    return rows.repartitionById(grown.parts, F.col("part")).sortWithinPartitions("part", "group", "kind", "place")
 
 
 _NODES = "group {}, n long, level int, index long, digest string, done boolean, origin long"
@@ -157,7 +157,8 @@ def grow(leaves: DataFrame, order: list[str], name: str, least_parts: int = 1, r
     kind = leaves.schema["group"].dataType.simpleString()
     # a number makes equal rows differ, so that a range may end between them
     leaves = stored(leaves.withColumn("__row", F.monotonically_increasing_id()), f"{name}-leaves")
-    parts = max(least_parts, -(-leaves.count() // rows), 1)
+    count = leaves.count()
+    parts = max(least_parts, -(-count // rows), 1)
     keys = ["group", *order, "digest", "__row"]
     at = F.monotonically_increasing_id()
     ranged = leaves.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__at", at)
@@ -186,9 +187,7 @@ def grow(leaves: DataFrame, order: list[str], name: str, least_parts: int = 1, r
     slim = Grown(ranged.select("part", "group", "place", "digest"), heads, parts, [], leaves)
     out = stored(_in_ranges(slim, heads, None).mapInArrow(first, schema), f"{name}-frontier")
     grown.roots = out.filter("done")
-    levels = 1
-    while ARITY**levels < rows:
-        levels += 1
+    levels = len(level_sizes(-(-count // parts))) - 1  # as many as a range's leaves need
     while not out.filter("NOT done").isEmpty():
         levels += step
         nodes = out.filter("NOT done").drop("done")
@@ -274,7 +273,7 @@ def _down(table: pa.Table) -> pa.Table:
 
 
 def proofs(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, id_col: str = "doc_id", group_col: str = "source", carry: dict[str, Column] | None = None, rows: int = ROWS, step: int = STEP) -> DataFrame:
-    """The manifest: doc_id, source, leaf, index and n (in its source's tree), path, subroot, rank and groups (in the tree of sources), root.
+    """The manifest: doc_id, source, leaf, leaf_index and n (in its source's tree), path, subroot, rank and groups (in the tree of sources), root.
 
     path has the hex digests of all siblings from the leaf to the root, left to right. ``carry`` adds columns. A null id
     comes first in its source and a null source first of all; rows of one id are ordered by their digest, and equal
@@ -289,7 +288,7 @@ def proofs(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, id_col: str = "d
     root = top.roots.select("group", F.lit("").alias("path"), F.col("digest").alias("root"))
     above = paths(top, root, ["root"]).select(F.col("source").alias("group"), "path", F.col("digest").alias("subroot"), F.col("index").alias("rank"), F.col("n").alias("groups"), "root")
     out = paths(own, stored(above, "merkle-above"), ["subroot", "rank", "groups", "root"])
-    names = {"group": "source", "id": "doc_id", "digest": "leaf"}
+    names = {"group": "source", "id": "doc_id", "digest": "leaf", "index": "leaf_index"}
     return out.select(*(F.col(c).alias(names.get(c, c)) for c in ("id", "group", "digest", "index", "n", "path", "subroot", "rank", "groups", "root", *(carry or {}))))
 
 
@@ -309,7 +308,7 @@ def verified(manifest: DataFrame, shown: str = "leaf") -> DataFrame:
             columns = [b.column(i) for i in range(4)] + [proof, folded, same]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
-    wanted = manifest.select("doc_id", "leaf", "subroot", "root", F.col(shown).alias("shown"), "index", "n", "rank", "groups", "path")
+    wanted = manifest.select("doc_id", "leaf", "subroot", "root", F.col(shown).alias("shown"), "leaf_index", "n", "rank", "groups", "path")
     return wanted.mapInArrow(run, schema)
 
 
