@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, bpe, jaccard, merkle, mixing, pii, quality, secrets, substrings, tokenfile, toxicity
+from quarry.llm import ann, bpe, decontaminate, jaccard, merkle, mixing, pii, quality, ranked, secrets, substrings, tokenfile, toxicity
 from quarry.llm.common import ship
 
 
@@ -59,10 +59,18 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.REPORT_SQL, "op11_merkle": merkle.REPORT_SQL}
+    return {"op10_mixing": mixing.REPORT_SQL, "op11_merkle": merkle.REPORT_SQL, "op12_decontamination": decontaminate.REPORT_SQL, "op13_ranked": ranked.REPORT_SQL}
