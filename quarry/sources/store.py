@@ -1,27 +1,44 @@
-"""A versioned table on plain Parquet: generations, a manifest that is swapped atomically, differences, plans, retention.
-
-Rows are dealt into BUCKETS folders by a hash of their file. A change writes only the buckets that it touches; for the
-others the generation's map names the folder of an older generation, so a batch costs what it touches, not the table.
+"""A versioned table on plain Parquet: numbered manifests, generations, buckets that split, deletion vectors, compaction.
+
+A commit is the creation of the next numbered manifest, which succeeds only if nobody else made it first; readers take
+the highest number, so they see the whole of one generation or of the one before it. A generation's map names a page for
+each of PAGES groups of buckets, and a page names the segments (folders of Parquet files) of its buckets. Rows are dealt
+into buckets by the low bits of a hash of their file; a bucket that has grown splits by further bits while the others
+stay as they are. A change writes its new rows as further segments, and for rows that go only their places, as deletion
+vectors, which readers take off the segments that have any; so it writes what it touches, whatever the table's size.
+``maintain`` rewrites buckets of many segments or many dead rows, and splits large ones.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import json
+import math
 import os
 import time
 import uuid
+from collections.abc import Callable, Iterable
 from contextlib import contextmanager
-from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import StructType
 
 REQUIRED = ("id", "content", "file", "start", "end", "symbol", "embedding")
 READABLE = ("id", "content", "file", "start", "end")
 INDEX_ROWS, KEEP, KEEP_S = 10_000, 2, 24 * 3600
-BUCKETS, _BUCKET = 64, "__bucket"
+_BUCKET, _VECTOR = "__bucket", "segment string, __file string, __row long"
+#: Buckets of a page agree in these low bits, and no bucket has fewer; a bucket's number is its depth in bits above DEPTH_AT and its value below.
+PAGE_BITS, MOST_DEPTH, DEPTH_AT = 4, 20, 24
+PAGES = 1 << PAGE_BITS
+#: Bytes of a bucket beyond which it splits; dead share and segments beyond which it is written anew.
+SPLIT_BYTES, MOST_DEAD, MOST_SEGMENTS = 1 << 30, 0.2, 8
+#: Attempts at a commit that others keep overtaking; manifests that are kept.
+ATTEMPTS, LOG = 20, 100
+#: Files of a change that are looked up as a list, which skips row groups, rather than by a join.
+FEW_FILES = 1000
 
 
 class SchemaMismatch(ValueError):
@@ -32,53 +49,175 @@ class Locked(RuntimeError):
     """Another process writes."""
 
 
+class Conflict(RuntimeError):
+    """Somebody else has published since."""
+
+
+class Fenced(RuntimeError):
+    """The writer's lock has been taken over."""
+
+
 def store_path(warehouse: str, root: str, profile: str = "") -> str:
     """The folder of a root's table; profiles are tables side by side."""
     name = hashlib.sha256(root.encode()).hexdigest()[:24]
     return f"{warehouse.rstrip('/')}/{name}" + (f"-{hashlib.sha256(profile.encode()).hexdigest()[:12]}" if profile else "")
 
 
+def _new_name() -> str:
+    return f"chunks_{int(time.time() * 1000):013d}_{uuid.uuid4().hex[:8]}"
+
+
+def _numbers(label: int) -> tuple[int, int]:
+    """depth and bits of a bucket."""
+    return label >> DEPTH_AT, label & ((1 << DEPTH_AT) - 1)
+
+
+class Layout:
+    """A generation's buckets with their segments, and the pages that describe them.
+
+    A segment is {path, rows, bytes, dead, vectors}: its folder, how many rows and bytes it has, how many of the rows are
+    dead, and the tables that hold their places.
+    """
+
+    def __init__(self, schema: str, buckets: dict[int, dict], pages: dict[int, str]) -> None:
+        self.schema, self.buckets, self.pages = schema, buckets, pages
+        self.changed: set[int] = set()
+
+    @classmethod
+    def empty(cls, schema: str, depth: int) -> Layout:
+        out = cls(schema, {(depth << DEPTH_AT) + bits: {"segments": []} for bits in range(1 << depth)}, {})
+        out.changed = set(range(PAGES))
+        return out
+
+    def at(self, label: int) -> dict:
+        """A bucket that is going to be changed."""
+        self.changed.add(_numbers(label)[1] % PAGES)
+        return self.buckets[label]
+
+    def column(self) -> Column | DataFrame:
+        """Each row's bucket by its file: an expression where all buckets are equally deep, else the directory as rows (slot, bucket)."""
+        h = F.xxhash64("file")
+        depths = {_numbers(b)[0] for b in self.buckets}
+        most = max(depths)
+        slot = h.bitwiseAND(F.lit((1 << most) - 1))
+        if len(depths) == 1:
+            return (F.lit(most << DEPTH_AT) + slot).cast("int")
+        table = [0] * (1 << most)
+        for label in self.buckets:
+            depth, bits = _numbers(label)
+            for i in range(bits, 1 << most, 1 << depth):
+                table[i] = label
+        if most <= 10:
+            return F.get(F.array(*map(F.lit, table)), slot.cast("int"))
+        labels = F.lit(b"".join(x.to_bytes(4, "big") for x in table))  # four bytes a slot, 4 MB at most
+        return F.conv(F.hex(F.substring(labels, (slot * 4 + 1).cast("int"), F.lit(4))), 16, 10).cast("int")
+
+    def segments(self, labels: Iterable[int] | None = None) -> list[dict]:
+        return [s for b in (self.buckets if labels is None else labels) for s in self.buckets[b]["segments"]]
+
+
 class Store:
-    """A table of chunks under one folder, of which the manifest names the generation that readers see."""
+    """A table of chunks under one folder, of which the last manifest names the generation that readers see."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self._conf)
+        self._token: int | None = None
 
     def _at(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    # the manifest
+    # files
 
-    def manifest(self) -> dict | None:
-        """The snapshot that counts now, read once per query; None for a new table."""
-        rows = self.spark.read.text(f"{self.path}/manifest.json", wholetext=True).first() if self._fs.exists(self._at("manifest.json")) else None
-        return json.loads(rows[0]) if rows else None
-
-    def publish(self, generation: str, **more) -> dict:
-        """Make a generation the one that readers see: a temporary file, then a rename over the old one."""
-        entry = {"generation": generation, "updated_ms": int(time.time() * 1000), **more}
-        temporary = self._at(f".manifest-{uuid.uuid4().hex}")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(json.dumps(entry).encode()))
+    def _put(self, name: str, text: str) -> None:
+        out = self._fs.create(self._at(name), True)
+        out.write(bytearray(text.encode()))
         out.close()
-        target = self._at("manifest.json")
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(temporary, target):
-            raise OSError(f"can't publish {generation}")
-        return entry
+
+    def _get(self, name: str) -> dict:
+        stream = self._fs.open(self._at(name))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _put_once(self, name: str, text: str) -> bool:
+        """Create a file with its whole content, unless it exists: then nothing happens, and that is told.
+
+        On a local or mounted file system it is a link, elsewhere a rename that doesn't overwrite; both are atomic there.
+        """
+        folder, _, last = name.rpartition("/")
+        temporary = f"{folder}/.{last}-{uuid.uuid4().hex}"
+        self._put(temporary, text)
+        try:
+            resolved = self._fs.resolvePath(self._at(temporary))
+            if resolved.toUri().getScheme() == "file":
+                old = self._jvm.java.io.File(resolved.toUri().getPath())
+                self._jvm.java.nio.file.Files.createLink(self._jvm.java.io.File(old.getParent(), last).toPath(), old.toPath())
+            else:
+                none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(self._at(temporary), self._at(name), none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        finally:
+            self._fs.delete(self._at(temporary), False)
+        return True
+
+    def _names(self, folder: str) -> list[str]:
+        if not self._fs.exists(self._at(folder)):
+            return []
+        return [s.getPath().getName() for s in self._fs.listStatus(self._at(folder))]
+
+    # manifests
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self._names("_log") if n.endswith(".json") and n[:-5].isdigit())
+
+    def manifest(self) -> dict | None:
+        """The manifest that counts now, read once per query; None for a new table."""
+        while found := self._versions():
+            try:
+                return self._get(f"_log/{found[-1]:012d}.json")
+            except Py4JJavaError as e:  # trimmed while we looked: there are newer ones
+                if "FileNotFound" not in e.java_exception.getClass().getName() or self._versions()[-1:] == found[-1:]:
+                    raise
+        return None
+
+    def publish(self, generation: str, expected: int | None = None, marks: dict[str, int] | None = None, **more) -> dict:
+        """Make a generation the one that readers see: the next manifest, created only if it isn't there.
+
+        ``expected`` is the version that the generation was made from; if others have published since, that is a Conflict.
+        Without it the generation follows whatever is there. ``marks`` are numbers that later manifests keep.
+        """
+        for _ in range(ATTEMPTS):
+            before = self.manifest() or {"version": 0}
+            if expected is not None and before["version"] != expected:
+                raise Conflict(f"version {before['version']} instead of {expected} of {self.path}")
+            self._check_fence(before)
+            kept = dict(before.get("marks", {}))
+            for k, v in (marks or {}).items():
+                kept[k] = max(v, kept.get(k, v))
+            entry = {"version": before["version"] + 1, "generation": generation, "updated_ms": int(time.time() * 1000), "fence": self._token or before.get("fence", 0), "marks": kept, **more}
+            if self._put_once(f"_log/{entry['version']:012d}.json", json.dumps(entry)):
+                for v in self._versions()[:-LOG]:
+                    self._fs.delete(self._at(f"_log/{v:012d}.json"), False)
+                return entry
+        raise Conflict(f"others publish all the time in {self.path}")
+
+    def _check_fence(self, manifest: dict) -> None:
+        """A writer that holds a lock must hold the newest one, and nobody with a newer one may have published."""
+        if self._token is not None and (manifest.get("fence", 0) > self._token or self._locks()[-1:] != [self._token]):
+            raise Fenced(f"lock {self._token} of {self.path} was taken over")
 
     # generations
 
     def read(self, generation: str | None = None, columns: list[str] | None = None, required: tuple[str, ...] = READABLE) -> DataFrame:
         """The rows of a generation, or of the published one."""
-        found = generation or (self.manifest() or {}).get("generation")
-        if found is None:
-            raise FileNotFoundError(f"nothing is published in {self.path}")
-        df = self._rows(found)
+        df = self._rows(self._layout(generation or self._active()))
         check_schema(df, required)
-        df = df.drop(_BUCKET)
         return df.select(*columns) if columns else df
 
     def scan(self, where: Column | None = None, limit: int | None = None, columns: list[str] | None = None, generation: str | None = None) -> DataFrame:
@@ -88,17 +227,20 @@ class Store:
         df = df if limit is None else df.limit(limit)
         return df.select(*columns) if columns else df
 
-    def write(self, df: DataFrame, generation: str | None = None, append: bool = False) -> str:
-        """Rows as a new generation (or added to one); readers see it once it is published."""
-        name = generation or f"chunks_{int(time.time() * 1000):013d}_{uuid.uuid4().hex[:8]}"
-        before = self._map(name) if append else {}
-        self._write(df, name, append)
-        self._put_map(name, before | {b: sorted({*before.get(b, ()), name}) for b in self._own(name)}, df.schema.json())
+    def write(self, df: DataFrame, generation: str | None = None, append: bool = False, depth: int | None = None) -> str:
+        """Rows as a new generation (or added to one); readers see it once it is published.
+
+        A new one gets as many buckets as Spark's estimate of the rows' size needs, or 2 ** depth; later they split.
+        """
+        name = generation or _new_name()
+        layout = self._layout(name) if append else Layout.empty(df.schema.json(), min(max(_depth_for(df) if depth is None else depth, PAGE_BITS), MOST_DEPTH))
+        self._add(df, layout, name)
+        self._put_layout(name, layout)
         return name
 
-    def replace_files(self, new: DataFrame, touched: DataFrame, file: str = "file") -> str:
+    def replace_files(self, new: DataFrame, touched: DataFrame, file: str = "file", marks: dict[str, int] | None = None) -> str:
         """A generation in which rows of touched(file) give way to new; nothing changes if that fails."""
-        return self._change(touched, file, new)
+        return self._change(touched, file, new, marks)
 
     def upsert(self, new: DataFrame, key: str = "id") -> str:
         """A generation in which rows of equal key give way to new."""
@@ -108,34 +250,131 @@ class Store:
         """A generation without rows of gone(key)."""
         return self._change(gone, key, None)
 
-    # buckets
-
-    def _rows(self, generation: str, buckets: set[int] | None = None) -> DataFrame:
-        """The rows of a generation, or of some buckets of it, with their bucket; other folders are not read."""
-        found = {b: folders for b, folders in self._map(generation).items() if buckets is None or int(b) in buckets}
-        schema = StructType.fromJson(json.loads(self._read_json(f"{generation}/_map.json")["schema"]))
-        paths = [f"{self.path}/{g}/{_BUCKET}={b}" for b, folders in sorted(found.items()) for g in folders]
-        if not paths:
-            return self.spark.createDataFrame([], schema.add(_BUCKET, IntegerType()))
-        rows = self.spark.read.schema(schema).parquet(*paths)
-        return rows.withColumn(_BUCKET, _bucket())
-
-    def _change(self, touched: DataFrame, key: str, new: DataFrame | None) -> str:
-        """Write anew the buckets that have rows of touched(key) or get new ones, and publish them beside all others."""
-        active = self._active()
+    def maintain(self, split_bytes: int = SPLIT_BYTES, most_dead: float = MOST_DEAD, most_segments: int = MOST_SEGMENTS) -> str | None:
+        """A generation in which large buckets are split and those of many dead rows or segments are written anew; None if there is nothing to do."""
+
+        def work(layout: Layout, name: str) -> bool:
+            todo: dict[int, int] = {}  # bucket: its depth afterwards
+            for label, b in layout.buckets.items():
+                depth, rows = _numbers(label)[0], sum(s["rows"] for s in b["segments"])
+                dead, size = sum(s["dead"] for s in b["segments"]), sum(s["bytes"] for s in b["segments"])
+                live = size * (rows - dead) / max(rows, 1)
+                if live > split_bytes and not b.get("whole") and depth < MOST_DEPTH:
+                    todo[label] = min(MOST_DEPTH, depth + math.ceil(math.log2(live / split_bytes)))
+                elif dead > most_dead * rows or len(b["segments"]) > most_segments:
+                    todo[label] = depth
+            if not todo:
+                return False
+            rows = self._rows(layout, todo)
+            for label, deeper in todo.items():
+                depth, bits = _numbers(label)
+                layout.at(label)
+                del layout.buckets[label]
+                for high in range(1 << (deeper - depth)):
+                    layout.buckets[(deeper << DEPTH_AT) + (high << depth) + bits] = {"segments": []}
+            self._add(rows, layout, name)
+            for label, deeper in todo.items():  # rows of one file can't be told apart by further bits
+                depth, bits = _numbers(label)
+                own = [(deeper << DEPTH_AT) + (high << depth) + bits for high in range(1 << (deeper - depth))]
+                full = [x for x in own if layout.buckets[x]["segments"]]
+                if deeper > depth and len(full) == 1:
+                    layout.buckets[full[0]]["whole"] = True
+            return True
+
+        return self._commit(work)
+
+    # segments and deletion vectors
+
+    def _rows(self, layout: Layout, labels: Iterable[int] | None = None) -> DataFrame:
+        """The live rows of all buckets, or of some; segments without dead rows are a plain scan."""
+        schema = StructType.fromJson(json.loads(layout.schema))
+        found = layout.segments(labels)
+        clean = [s["path"] for s in found if not s["vectors"]]
+        out = self.spark.read.schema(schema).parquet(*(f"{self.path}/{p}" for p in clean)) if clean else None
+        if any(s["vectors"] for s in found):
+            live = self._placed(schema, [s for s in found if s["vectors"]]).select(*(f"`{c}`" for c in schema.names))
+            out = live if out is None else out.unionByName(live)
+        return self.spark.createDataFrame([], schema) if out is None else out
+
+    def _placed(self, schema: StructType, segments: list[dict]) -> DataFrame:
+        """Live rows with __file (the end of their file's path) and __row, their place in it."""
+        rows = self.spark.read.schema(schema).parquet(*(f"{self.path}/{s['path']}" for s in segments))
+        rows = rows.select("*", F.substring_index("_metadata.file_path", "/", -3).alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        vectors = sorted({v for s in segments for v in s["vectors"]})
+        if not vectors:
+            return rows
+        dead = self.spark.read.schema(_VECTOR).parquet(*(f"{self.path}/{v}" for v in vectors))
+        return rows.join(dead.select("__file", "__row"), ["__file", "__row"], "left_anti")
+
+    def _add(self, df: DataFrame, layout: Layout, name: str) -> None:
+        """Write rows as one more segment of each bucket that they fall into; Spark splits and merges tasks by size."""
+        dealt = df.withColumn(_BUCKET, layout.column())
+        folder = f"{name}/{uuid.uuid4().hex}"
+        dealt.hint("rebalance", F.col(_BUCKET)).sortWithinPartitions(_BUCKET, "file").write.partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
+        if not any(n.startswith(_BUCKET) for n in self._names(folder)):
+            return
+        rows = self.spark.read.schema(f"{_BUCKET} int").parquet(f"{self.path}/{folder}").groupBy(_BUCKET).count().collect()  # a row a bucket that is written
+        for label, n in rows:
+            path = f"{folder}/{_BUCKET}={label}"
+            size = self._fs.getContentSummary(self._at(path)).getLength()
+            layout.at(label)["segments"].append({"path": path, "rows": n, "bytes": size, "dead": 0, "vectors": []})
+
+    def _kill(self, layout: Layout, name: str, touched: DataFrame, key: str) -> None:
+        """Write the places of the rows of touched(key) as a deletion vector, of those segments alone that have any."""
         gone = touched.select(key).distinct()
-        # a file tells its bucket; for other keys the rows that have them are looked up, by key and file alone
-        hit = gone.select(_bucket()) if key == "file" else self._rows(active).join(gone, key, "left_semi").select(_BUCKET)
-        hit = hit if new is None else hit.union(new.select(_bucket()))
-        buckets = {r[0] for r in hit.distinct().collect()}  # BUCKETS at most
-        kept = self._rows(active, buckets).drop(_BUCKET).join(gone, key, "left_anti")
-        rows = kept if new is None else kept.unionByName(new, allowMissingColumns=True)
-        name = f"chunks_{int(time.time() * 1000):013d}_{uuid.uuid4().hex[:8]}"
-        self._write(rows, name, False)
-        others = {b: folders for b, folders in self._map(active).items() if int(b) not in buckets}
-        self._put_map(name, others | {b: [name] for b in self._own(name)}, rows.schema.json())
-        self.publish(name)
-        return name
+        few = [r[0] for r in gone.limit(FEW_FILES + 1).collect()] if key == "file" else []
+        if key == "file":  # a file tells its bucket, so other buckets aren't looked at
+            labels = [r[0] for r in gone.select(layout.column()).distinct().collect()]
+        else:
+            labels = None
+        segments = layout.segments(labels)
+        if not segments:
+            return
+        schema = StructType.fromJson(json.loads(layout.schema))
+        rows = self._placed(schema, segments)
+        hit = rows.filter(F.col(key).isin(few)) if key == "file" and len(few) <= FEW_FILES else rows.join(gone, key, "left_semi")
+        path = f"{name}/_dead-{uuid.uuid4().hex[:8]}"
+        # the file's path ends in <write>/<bucket>/<file>, and the first two are its segment
+        hit.select(F.substring_index("__file", "/", 2).alias("segment"), "__file", "__row").coalesce(max(1, len(segments) // 64)).write.parquet(f"{self.path}/{path}")
+        counts = dict(self.spark.read.schema(_VECTOR).parquet(f"{self.path}/{path}").groupBy("segment").count().collect())  # a row a segment that is hit
+        for label in list(layout.buckets) if labels is None else labels:
+            for s in layout.buckets[label]["segments"]:
+                if n := counts.get(s["path"].split("/", 1)[1]):
+                    layout.at(label)
+                    s["dead"] += n
+                    s["vectors"] = [*s["vectors"], path]
+
+    def _change(self, touched: DataFrame, key: str, new: DataFrame | None, marks: dict[str, int] | None = None) -> str:
+        """Rows of touched(key) die and new ones come, as one commit."""
+
+        def work(layout: Layout, name: str) -> bool:
+            if new is not None:
+                layout.schema = _merged(layout.schema, new.schema)
+            self._kill(layout, name, touched, key)
+            if new is not None:
+                self._add(new, layout, name)
+            return True
+
+        return self._commit(work, marks)
+
+    def _commit(self, work: Callable[[Layout, str], bool], marks: dict[str, int] | None = None) -> str | None:
+        """Make a generation from the published one by work, and publish it; if others were faster, again from theirs."""
+        for _ in range(ATTEMPTS):
+            before = self.manifest()
+            if before is None:
+                raise FileNotFoundError(f"nothing is published in {self.path}")
+            layout, name = self._layout(before["generation"]), _new_name()
+            if not work(layout, name):
+                return None
+            self._put_layout(name, layout)
+            try:
+                self.publish(name, before["version"], marks)
+                return name
+            except (Conflict, Fenced) as e:
+                self._fs.delete(self._at(name), True)
+                if isinstance(e, Fenced):
+                    raise
+        raise Conflict(f"others publish all the time in {self.path}")
 
     def _active(self) -> str:
         found = (self.manifest() or {}).get("generation")
@@ -143,30 +382,22 @@ class Store:
             raise FileNotFoundError(f"nothing is published in {self.path}")
         return found
 
-    def _write(self, df: DataFrame, name: str, append: bool) -> None:
-        """Few files a bucket: rows of one bucket meet in a task, or in several if there are many."""
-        dealt = df.withColumn(_BUCKET, _bucket())
-        dealt.repartition(_BUCKET, F.pmod(F.xxhash64("file", F.lit(1)), F.lit(4))).write.partitionBy(_BUCKET).mode("append" if append else "errorifexists").parquet(f"{self.path}/{name}")
+    # layouts
 
-    def _own(self, name: str) -> list[str]:
-        """The buckets that a generation's own folder has."""
-        return [s.getPath().getName().split("=")[1] for s in self._fs.listStatus(self._at(name)) if s.isDirectory() and s.getPath().getName().startswith(_BUCKET)]
+    def _layout(self, generation: str) -> Layout:
+        top = self._get(f"{generation}/_map.json")
+        pages = {int(k): v for k, v in top["pages"].items()}
+        buckets = {int(k): b for path in pages.values() for k, b in self._get(path).items()}
+        return Layout(top["schema"], buckets, pages)
 
-    def _map(self, generation: str) -> dict[str, list[str]]:
-        """Bucket to the generations whose folders hold it."""
-        return self._read_json(f"{generation}/_map.json")["buckets"]
-
-    def _put_map(self, generation: str, buckets: dict[str, list[str]], schema: str) -> None:
-        out = self._fs.create(self._at(f"{generation}/_map.json"), True)
-        out.write(bytearray(json.dumps({"buckets": buckets, "schema": schema}).encode()))
-        out.close()
-
-    def _read_json(self, name: str) -> dict:
-        stream = self._fs.open(self._at(name))
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+    def _put_layout(self, generation: str, layout: Layout) -> None:
+        """Write the pages that have changed, then the map: with it the generation exists."""
+        for page in layout.changed:
+            path = f"{generation}/_page-{page}-{uuid.uuid4().hex[:8]}.json"
+            self._put(path, json.dumps({k: b for k, b in layout.buckets.items() if _numbers(k)[1] % PAGES == page}))
+            layout.pages[page] = path
+        layout.changed = set()
+        self._put(f"{generation}/_map.json", json.dumps({"schema": layout.schema, "pages": layout.pages}))
 
     def generations(self) -> DataFrame:
         """generation, modified_ms, active."""
@@ -176,44 +407,87 @@ class Store:
         return self.spark.createDataFrame([(n, t, n == active) for n, t in found], "generation string, modified_ms long, active boolean")
 
     def collect_garbage(self, keep: int = KEEP, older_s: float = KEEP_S, now_ms: int | None = None) -> list[str]:
-        """Drop inactive generations beyond the newest ``keep`` that are older than older_s, but for buckets that a kept one uses."""
-        dropped = [r["generation"] for r in expired(self.generations(), keep, older_s, now_ms or int(time.time() * 1000)).collect()]
-        kept = [r["generation"] for r in self.generations().collect() if r["generation"] not in dropped]
-        used = {(g, b) for name in kept for b, folders in self._map(name).items() for g in folders}
-        for name in dropped:
-            own = self._own(name)
-            for b in own:
-                if (name, b) not in used:
-                    self._fs.delete(self._at(f"{name}/{_BUCKET}={b}"), True)
-            if not any((name, b) in used for b in own):
+        """Drop inactive generations beyond the newest ``keep`` that are older than older_s, but for what a kept one uses.
+
+        What failed commits left goes as well once it is older than KEEP_S.
+        """
+        now = now_ms or int(time.time() * 1000)
+        every = [r["generation"] for r in self.generations().collect()]
+        dropped = [r["generation"] for r in expired(self.generations(), keep, older_s, now).collect()]
+        used: set[str] = set()
+        for name in set(every) - set(dropped):
+            layout = self._layout(name)
+            used |= {*layout.pages.values(), *(s["path"] for s in layout.segments()), *(v for s in layout.segments() for v in s["vectors"])}
+        lost = [s.getPath().getName() for s in self._fs.listStatus(self._at(".")) if s.isDirectory() and s.getModificationTime() < min(now, time.time() * 1000) - KEEP_S * 1000]
+        for name in {*dropped, *(n for n in lost if n.startswith("chunks_") and n not in every)}:
+            self._fs.delete(self._at(f"{name}/_map.json"), False)  # as a generation it is gone
+            if not any(u.startswith(f"{name}/") for u in used):
                 self._fs.delete(self._at(name), True)
-            else:  # its buckets live on, as a generation it is gone
-                self._fs.delete(self._at(f"{name}/_map.json"), False)
+                continue
+            for first in self._names(name):
+                inner = [f"{name}/{first}/{n}" for n in self._names(f"{name}/{first}")] if not first.startswith("_") else []
+                for path in [p for p in (inner or [f"{name}/{first}"]) if p not in used]:
+                    self._fs.delete(self._at(path), True)
         return dropped
 
     def stats(self) -> DataFrame:
         """One row: chunks, files."""
         return self.read().agg(F.count("*").alias("chunks"), F.countDistinct("file").alias("files"))
 
+    # the writer's lock
+
+    def _locks(self) -> list[int]:
+        return sorted(int(n) for n in self._names("_lock") if n.isdigit())
+
     @contextmanager
     def lock(self, stale_s: float = 600.0):
-        """One writer at a time; a lock older than stale_s is taken over."""
-        target = self._at("writer.lock")
-        if self._fs.exists(target):
-            if time.time() * 1000 - self._fs.getFileStatus(target).getModificationTime() < stale_s * 1000:
+        """One writer at a time; a lock that has not been renewed for stale_s is taken over.
+
+        Locks are numbered, and the number is a fencing token: what is published under a lock fails once a newer lock is
+        there, and letting go of a lock that was taken over frees nobody else's.
+        """
+        last = (self._locks() or [0])[-1]
+        if last and not self._fs.exists(self._at(f"_lock/{last:012d}.free")):
+            try:
+                age = time.time() * 1000 - self._fs.getFileStatus(self._at(f"_lock/{last:012d}")).getModificationTime()
+            except Py4JJavaError:  # its holder has let go meanwhile
+                age = 0
+            if age < stale_s * 1000:
                 raise Locked(self.path)
-            self._fs.delete(target, False)
-        out = self._fs.create(target, False)
-        out.write(bytearray(json.dumps({"pid": os.getpid(), "token": uuid.uuid4().hex}).encode()))
-        out.close()
+        own = last + 1
+        if not self._put_once(f"_lock/{own:012d}", json.dumps({"pid": os.getpid()})):
+            raise Locked(self.path)
+        for name in self._names("_lock"):
+            if name.split(".")[0].isdigit() and int(name.split(".")[0]) < last:
+                self._fs.delete(self._at(f"_lock/{name}"), False)
+        before, self._token = self._token, own
         try:
             yield self
         finally:
-            self._fs.delete(target, False)
-
-
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("file"), F.lit(BUCKETS)).cast("int").alias(_BUCKET)
+            self._token = before
+            self._put(f"_lock/{own:012d}.free", "")
+
+    def renew(self) -> None:
+        """Tell others that the lock is still in use; Fenced if it was taken over."""
+        self._check_fence(self.manifest() or {})
+        if self._token is not None:
+            self._fs.setTimes(self._at(f"_lock/{self._token:012d}"), int(time.time() * 1000), -1)
+
+
+def _depth_for(df: DataFrame) -> int:
+    """Bits that keep buckets under half of what splits, by Spark's estimate of a table's size; an unknown one is told as the largest number."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return math.ceil(math.log2(max(2 * size / SPLIT_BYTES, 1))) if size < 1 << 60 else PAGE_BITS
+
+
+def _merged(schema: str, other: StructType) -> str:
+    """A schema with the further columns of another one."""
+    own = StructType.fromJson(json.loads(schema))
+    out = copy.deepcopy(own)
+    for f in other:
+        if f.name not in own.names:
+            out.add(f.name, f.dataType, True)
+    return out.json()
 
 
 def check_schema(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> None:
