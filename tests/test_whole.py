@@ -4,10 +4,7 @@ import math
 import random
 import re
 
-import numpy as np
-
 from quarry.functions import text as T
-from quarry.llm import jaccard, quality
 from quarry.operators import groups, knn, predicate
 from quarry.plans import catalogue
 
@@ -122,21 +119,7 @@ def test_text_pairs_across_sources_languages_and_sizes(spark, tmp_path):
     assert len(across) > 20 and any(want[p] < 1 for p in across)
 
 
-def test_distinct_documents_of_repeated_ids(spark):
-    a, b = ("one two three four five six seven " + w for w in ("eight nine", "other words follow"))
-    b = "quite different " + b[::-1]
-    rows = [(3, a), (5, a), (5, b), (9, b), (10, "alone here"), (10, "alone here"), (None, a)]
-    kept = jaccard.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(0, a), (3, a), (5, b), (10, "alone here")])
-
-
 def test_nearest_names_of_a_long_list(spark):
     names = spark.createDataFrame([(f"name {i:04d} and more",) for i in range(1500)] + [("target",)], "name string")
     got = predicate.nearest_names(spark.createDataFrame([("targets",)], "value string"), names).first()
     assert (got.suggestion, got.distance) == ("target", 1)
-
-
-def test_repeated_words_among_very_many():
-    ids = np.array([5, 0, 0, 1 << 21, 7, 8, 0, 1, 0, 9])  # no window is there twice
-    assert quality.repeat_words(ids) == 0
-    assert quality.repeat_words(np.concatenate([ids, [6, 0, 0, 1 << 21]])) == 6
