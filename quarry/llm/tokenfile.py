@@ -185,7 +185,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
     """Encode every text, append end_id, and write blocks in ascending order of id_col to a table at path.
 
     Texts are range-partitioned before they are encoded, so ids are computed once; nulls come first in both columns'
-    sense: a null id sorts before all others, a null text is empty and leaves only end_id. Rows of equal ids all stay.
+    sense: a null id sorts before all others, a null text is empty and leaves only end_id. Rows of equal ids all stay, in the
+    order of a hash of their texts, so equal tables give equal files however their rows are dealt.
     """
     with open(tokenizer or public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())  # grows with the vocabulary only
@@ -213,7 +214,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
     fields = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n, bounds = _bounds(rows)
-    dealt = rows.repartitionById(n, _range_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id")
+    dealt = rows.repartitionById(n, _range_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     dealt.mapInArrow(run, "shard int, block int, n_docs long, n_tokens long, data binary").write.parquet(path)
 
 
