@@ -3,11 +3,11 @@
 A pool of random hyperplanes gives every vector a row of signs; a tree's hash string is a random choice of them in a
 random order, kept as an integer, and a tree is the sorted array of all strings. A query descends by binary search to
 its longest matching prefix in every tree, then all trees ascend in step, one bit shorter at a time, until together
-they hold SEEN * n ** FALL entries of a forest of n rows: a share that falls with n. Candidates are ranked by exact
-cosine in double precision.
+they hold their share of SEEN * n ** FALL entries, n being all rows of the table: a share that falls with n. Candidates
+are ranked by exact cosine in double precision.
 
 Rows are dealt into blocks, each with its own forest, and queries into parts; each block meets each part in one task, and
-the best of all blocks are merged. Rows travel once for a part of queries and queries once for a block, so what is sent
+the best of all blocks are merged. A table that would fit one block is dealt into several as well. Rows travel once for a part of queries and queries once for a block, so what is sent
 grows with rows times queries, by 1 / PART and 1 / BLOCK: on vectors without structure, as random ones are, no routing
 of queries to a few blocks keeps the recall.
 """
@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TREES, BITS, POOL, SEED = 128, 24, 512, 11
-#: Ascent stops when the trees together hold SEEN * n ** FALL entries, a row counted in each tree, or every row.
+#: Ascent stops when the trees of all blocks together hold SEEN * n ** FALL entries, a row counted in each tree, or every row.
 SEEN, FALL = 6.0, 0.75
 #: Rows of a block, queries of a part, and queries answered at once.
 BLOCK, PART, QUERY_BATCH = 131_072, 131_072, 128
+#: Smaller tables are dealt into so many blocks of so many rows at least.
+BLOCKS, LEAST = 16, 512
 
 
 class Forest:
@@ -52,8 +54,8 @@ class Forest:
                 out[at : at + 2048, t] = signs[:, pick] @ weights
         return out
 
-    def candidates(self, unit: np.ndarray, seen: float = SEEN) -> Iterator[np.ndarray]:
-        """For each query the rows that share the longest prefixes with it."""
+    def candidates(self, unit: np.ndarray, seen: float = SEEN, n: int | None = None) -> Iterator[np.ndarray]:
+        """For each query the rows that share the longest prefixes with it; n are the rows of all forests, None for this one alone."""
         codes = self.strings(unit)
         low = np.empty((self.bits + 1, self.trees, len(unit)), np.int32)
         high = np.empty_like(low)
@@ -63,7 +65,8 @@ class Forest:
                 low[level, t] = np.searchsorted(self.sorted[t], first[:, t])
                 high[level, t] = np.searchsorted(self.sorted[t], first[:, t] + (1 << level))
         counts = (high - low).astype(np.int64)
-        goal = min(seen * len(self.vectors) ** FALL, self.trees * len(self.vectors))
+        n = n or len(self.vectors)
+        goal = min(seen * n**FALL * len(self.vectors) / n, self.trees * len(self.vectors))
         stop = (counts.sum(1) < goal).sum(0)
         for q, level in enumerate(stop):
             levels = np.full(self.trees, level)
@@ -88,6 +91,11 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return v.filter(f"id IS NOT NULL AND {finite} AND exists(v, x -> x <> 0)")
 
 
+def blocks_for(n: int, block: int = BLOCK) -> int:
+    """Into how many blocks n rows are dealt."""
+    return max(1, -(-n // block), min(BLOCKS, n // LEAST))
+
+
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, seen: float = SEEN, part: int = PART) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by cosine, ties to the smaller id.
 
@@ -97,7 +105,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "v
     """
     rows = usable(vectors, id_col, vector_col)
     n, asked_n = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    blocks, parts = max(1, -(-n // block)), max(1, -(-asked_n // part))
+    blocks, parts = blocks_for(n, block), max(1, -(-asked_n // part))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     own = lambda m, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
     data = rows.withColumn("block", own(blocks, 3)).withColumn("part", every(parts)).withColumn("query", F.lit(False))
@@ -121,10 +129,10 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "v
                 asked_ids.append(ids[i])
                 asked_v.append(v)
                 if len(asked_ids) == QUERY_BATCH:
-                    yield _answer(forests, asked_ids, asked_v, k, seen, schema)
+                    yield _answer(forests, asked_ids, asked_v, k, seen, n, schema)
                     asked_ids, asked_v = [], []
         if asked_ids:
-            yield _answer(forests, asked_ids, asked_v, k, seen, schema)
+            yield _answer(forests, asked_ids, asked_v, k, seen, n, schema)
 
     found = both.mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -140,7 +148,7 @@ def _forests(held: list[tuple[int, np.ndarray]]) -> dict[int, tuple[np.ndarray,
     return out
 
 
-def _answer(forests: dict, ids: list[int], vectors: list[np.ndarray], k: int, seen: float, schema: pa.Schema) -> pa.RecordBatch:
+def _answer(forests: dict, ids: list[int], vectors: list[np.ndarray], k: int, seen: float, total: int, schema: pa.Schema) -> pa.RecordBatch:
     out: list[tuple[int, int, float]] = []
     for n in {len(v) for v in vectors}:
         if n not in (forests or {}):
@@ -149,7 +157,7 @@ def _answer(forests: dict, ids: list[int], vectors: list[np.ndarray], k: int, se
         which = [i for i, v in enumerate(vectors) if len(v) == n]
         q = scaled(np.stack([vectors[i] for i in which]))
         norms = np.linalg.norm(q, axis=1)
-        for i, one, norm, rows in zip(which, q, norms, forest.candidates(q / norms[:, None], seen), strict=True):
+        for i, one, norm, rows in zip(which, q, norms, forest.candidates(q / norms[:, None], seen, total), strict=True):
             rows = rows[own[rows] != ids[i]]
             rough = forest.unit[rows] @ (one / norm)
             if len(rows) > k:
