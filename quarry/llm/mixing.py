@@ -1,7 +1,8 @@
 """Operator 10: mixing sources to target weights.
 
 Word counts are summed by source, each source's target and repetition rate follow from them, and a document is taken
-floor(rate) times plus once more if a draw seeded by its id falls below the fraction. All of it is DataFrame code:
+floor(rate) times plus once more if a draw seeded by its id falls below the fraction; of rows that are equal in id and
+text each has a draw of its own in report(), which numbers them. All of it is DataFrame code:
 partial sums before the shuffle, then a join with one row a source, broadcast if there are few sources and else split by
 AQE where a source is hot.
 """
@@ -86,9 +87,14 @@ def emit(docs: DataFrame, **names: str) -> DataFrame:
 
 
 def report(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words taken, repeats counted) of every document; texts are read once."""
+    """doc_id, size, source_size, target, taken (words taken, repeats counted) of every document; texts are read once.
+
+    Rows that are equal in id, source and text are counted and numbered, and from the second on draw by their number too.
+    """
     sized = stored(docs.select("doc_id", "source", words_of("text").alias("size"), _mark("text").alias("mark")), "sizes")
-    mixed = with_copies(sized, sized, "doc_id", "source", seed, F.col("mark"))
+    counted = sized.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("n"))
+    each = counted.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
+    mixed = with_copies(each, sized, "doc_id", "source", seed, F.concat("mark", F.when(F.col("nth") > 0, F.concat(F.lit(":"), F.col("nth").cast("string"))).otherwise("")))
     return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
 
 
@@ -103,9 +109,10 @@ o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, place) AS k,
         / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT min(k) AS k, arg_min(level, k) AS level FROM o WHERE level * weight < cap),
 t AS (SELECT source, source_size, CASE WHEN f.k IS NULL OR o.k < f.k THEN cap ELSE f.level * weight END AS target FROM o LEFT JOIN f ON true),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, mark) - 1 AS nth FROM d),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-        ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.mark), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.mark || CASE WHEN nth > 0 THEN ':' || nth ELSE '' END), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
+      FROM n AS d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
        (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
