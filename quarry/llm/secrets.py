@@ -27,6 +27,8 @@ MAX_OWNERS, MAX_REPOSITORIES = 2, 4
 MIN_ENTROPY = 3.0
 #: Rows with spans that are broadcast at most (about 100 bytes each).
 BROADCAST_SPANS = 100_000
+#: Copies from which on a value is hot; hot values up to this number are broadcast with their verdicts, more are joined by a shuffle.
+HOT_COPIES, BROADCAST_HOT = 10_000, 1_000_000
 
 
 def _either_case(word: str) -> str:
@@ -121,10 +123,10 @@ def secrets(
     """
     scanned = stored(scan(docs, id_col, text_col, list(repository_cols), list(owner_cols)).withColumn("row", F.monotonically_increasing_id()), "secrets")
     live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
-    verdict = ownership(scanned).select("h", live.alias("few"))
+    verdict = stored(ownership(scanned).select("h", live.alias("few"), (F.col("copies") >= HOT_COPIES).alias("hot")), "verdicts")
     said = F.when(~F.col("few"), "copied").when(F.col("random") == 1, "live").otherwise("own").alias("verdict")
     each = scanned.filter(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
-    judged = each.join(verdict, "h").groupBy("row").agg(
+    judged = _with_verdicts(each, verdict).groupBy("row").agg(
         F.collect_list(F.when(F.col("few") & (F.col("random") == 1), F.struct("a", F.lit(3).alias("k"), "b"))).alias("live"),
         F.count_if(~F.col("few")).alias("n_copied"),
         F.array_sort(F.collect_list(F.struct("a", "b", said))).alias("judged"),
@@ -145,6 +147,17 @@ def secrets(
     )
 
 
+def _with_verdicts(each: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The verdict of every row's value: rows of hot values, of which there are few, stay where they are, the others meet their verdicts by a shuffle."""
+    hot = verdict.filter("hot").select("h", "few")
+    n = hot.count()
+    if not 0 < n <= BROADCAST_HOT:
+        return each.join(verdict.drop("hot"), "h")
+    marked = each.join(F.broadcast(hot), "h", "left")
+    rest = marked.filter("few IS NULL").drop("few").join(verdict.filter("NOT hot").drop("hot"), "h")
+    return marked.filter("few IS NOT NULL").unionByName(rest)
+
+
 def span_string(spans: str) -> F.Column:
     """spans (array of start, kind, end) as kind:start:end, comma-joined."""
     names = ", ".join(f"'{k}'" for k in KINDS)
