@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import _arrow_schema, held, mix64, slices, stored
@@ -135,8 +135,14 @@ PLACES, TEXTS, RUNS, HOTS, BYTES, WINDOWS = range(6)
 _DEALT = "part int, kind int, data binary, bytes binary"
 
 
-def _parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of text of a part at most on average: some half of them in records.
+PART_TEXT = 256 << 20
+
+
+def _parts(docs: DataFrame) -> int:
+    """The parts that records are dealt into: by the bytes of the texts, and as many as Spark's shuffles have at least."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_TEXT))
 
 
 def _cut(x: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -566,7 +572,7 @@ def sorted_runs(cut: DataFrame, parts: int) -> DataFrame:
 def with_spans(docs: DataFrame, make, schema: str) -> DataFrame:
     """make(batch of doc_id and text, raw bytes, maximal spans of repeated bytes of each text) as a batch, over docs (doc_id, text, k1, k2)."""
     spark = docs.sparkSession
-    parts = _parts(spark)
+    parts = _parts(docs)
     files = max(1, parts // 4)  # a task takes its parts one after another; few files are better than many small ones
     runs_ = stored(equal_runs(sent_runs(docs, parts), parts).coalesce(files), "runs")
     wanted = stored(different_runs(runs_.filter(F.col("kind") == RUNS), parts, HOT).coalesce(files), "wanted")
