@@ -187,7 +187,9 @@ def grow(leaves: DataFrame, order: list[str], name: str, least_parts: int = 1, r
     slim = Grown(ranged.select("part", "group", "place", "digest"), heads, parts, [], leaves)
     out = stored(_in_ranges(slim, heads, None).mapInArrow(first, schema), f"{name}-frontier")
     grown.roots = out.filter("done")
-    levels = len(level_sizes(-(-count // parts))) - 1  # as many as a range's leaves need
+    levels = 0
+    while ARITY ** (levels + 1) * parts <= count:  # as many as a range's leaves fill
+        levels += 1
     while not out.filter("NOT done").isEmpty():
         levels += step
         nodes = out.filter("NOT done").drop("done")
