@@ -19,9 +19,10 @@ def norm(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """Cosine similarity; 0 for empty vectors, different lengths and zero norms. Norms that are known are taken over."""
+    """Cosine similarity; 0 for empty vectors, different lengths and norms that are zero or not finite. Norms that are known are taken over."""
     na, nb = norm(a) if norm_a is None else norm_a, norm(b) if norm_b is None else norm_b
-    return F.when((F.size(a) == F.size(b)) & (na > 0) & (nb > 0), dot(a, b) / (na * nb)).otherwise(F.lit(0.0))
+    finite = (na < F.lit(float("inf"))) & (nb < F.lit(float("inf")))  # not a number is above all numbers
+    return F.when((F.size(a) == F.size(b)) & (na > 0) & (nb > 0) & finite, dot(a, b) / (na * nb)).otherwise(F.lit(0.0))
 
 
 def l2_normalize(v: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
+from quarry.operators import cells
+from quarry.operators.graph import written
 
 
 def top_k(df: DataFrame, query: list[float], k: int = 20, vector: str = "embedding", key: str = "vec_id", where: Column | None = None) -> DataFrame:
@@ -28,18 +32,66 @@ def normalized(df: DataFrame, vector: str = "embedding", key: str = "vec_id", bl
     return df.select(F.col(key).alias("id"), (F.col(block) if block else F.lit(0)).alias("block"), V.l2_normalize(F.col(vector)).alias("v"))
 
 
-def _tiles(rows: DataFrame, chunk: int):
-    """Rows (id, block, v) on both sides of tiles (block, i, j) with i <= j, each pair of chunks of a block in one tile.
+#: Cells at most, and steps of distance that a cell's rows are told apart by before a hash deals them further.
+MOST_CELLS, STEPS = 256, 64
+
+
+@dataclass
+class Tiles:
+    """Rows (id, block, v) in chunks c, and the pairs of chunks (block, i, j), i <= j, that can hold rows within reach.
 
-    A block of m rows has ceil(m / chunk) chunks; a row of chunk c is on the left of the tiles (c, j) and on the right of
-    the tiles (i, c), so every pair of rows meets once, and a task has two chunks, whatever the block's size.
+    A chunk has the rows of one cell between two distances from its centre, ``chunk`` of them or so, so a task has two
+    chunks whatever the block's size. A block of no more rows is one chunk.
     """
-    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
-    dealt = rows.join(sizes, "block").withColumn("c", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
-    left = dealt.select("block", F.col("c").alias("i"), F.explode(F.sequence("c", F.col("chunks") - 1)).alias("j"), "id", "v")
-    new = [F.col(c).alias(c) for c in ("block", "id", "v")]  # the sides are of one table
-    right = dealt.select(new[0], F.explode(F.sequence(F.lit(0), "c")).alias("i"), F.col("c").alias("j"), *new[1:])
-    return left.groupBy("block", "i", "j").cogroup(right.groupBy("block", "i", "j"))
+
+    placed: DataFrame
+    chunks: DataFrame | None
+    apart: DataFrame | None
+
+    @classmethod
+    def of(cls, rows: DataFrame, chunk: int) -> Tiles:
+        n = rows.count()
+        if n <= chunk:
+            return cls(rows.withColumn("c", F.lit(0).cast("long")), None, None)
+        found = cells.Cells.of(rows, min(MOST_CELLS, 2 * -(-n // chunk)))
+        dealt = written(found.dealt(rows))
+        steps = F.percentile_approx("r", [i / STEPS for i in range(1, STEPS)], 1000)
+        sizes = dealt.groupBy("block", "cell").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("pieces"), steps.alias("steps"))
+        step = F.size(F.filter(F.coalesce("steps", F.array().cast("array<double>")), lambda x: x < F.col("r")))
+        ring = F.when(F.col("r").isNull(), 0).otherwise(F.floor(step * F.least("pieces", F.lit(STEPS)) / STEPS))
+        salt = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("pieces") / F.when(F.col("r").isNull(), 1).otherwise(STEPS))))
+        c = F.shiftleft((F.col("cell") + 1).cast("long"), 40) + F.shiftleft(ring.cast("long"), 30) + salt
+        placed = written(dealt.join(sizes, ["block", "cell"]).select("id", "block", "v", "cell", "r", c.cast("long").alias("c")))
+        chunks = placed.groupBy("block", "cell", "c").agg(F.min("r").alias("near"), F.max("r").alias("far"))
+        between = rows.sparkSession.createDataFrame(found.distances() or [(0, 0, 0.0)], "cell_a int, cell_b int, d double")  # MOST_CELLS ** 2 rows
+        return cls(placed, chunks, between)
+
+    def pairs(self, reach: float | DataFrame) -> DataFrame:
+        """block, i, j of the chunks that can hold rows within reach: one number, or block, c, reach of each chunk."""
+        chunks = self.chunks.withColumn("reach", F.lit(reach)) if isinstance(reach, float) else self.chunks.join(reach, ["block", "c"])
+        side = lambda df, s: df.select("block", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "block"))
+        within = (F.col("cell_a") == cells.ODD) | (F.col("d").isNotNull() & (cells.apart(F.col("d"), *(F.col(c) for c in ("near_a", "far_a", "near_b", "far_b"))) <= F.greatest("reach_a", "reach_b")))
+        # whole cells first, so that chunks of cells that are too far apart are never paired
+        whole = chunks.groupBy("block", "cell").agg(F.min("near").alias("near"), F.max("far").alias("far"), F.max("reach").alias("reach"))
+        near = side(whole, "a").join(side(whole, "b"), "block").filter("cell_a <= cell_b").join(F.broadcast(self.apart), ["cell_a", "cell_b"], "left")
+        near = near.filter(within).select("block", "cell_a", "cell_b", "d")
+        tiles = near.join(side(chunks, "a"), ["block", "cell_a"]).join(side(chunks, "b"), ["block", "cell_b"])
+        return tiles.filter((F.col("c_a") <= F.col("c_b")) & within).select("block", F.col("c_a").alias("i"), F.col("c_b").alias("j"))
+
+    def met(self, pairs: DataFrame | None):
+        """Both sides' rows of each pair of chunks, cogrouped; None: a block's only chunk with itself."""
+        rows = self.placed.select("id", "block", "v", "c")
+        if pairs is None:
+            left = rows.select("block", F.col("c").alias("i"), F.col("c").alias("j"), "id", "v")
+        else:
+            left = rows.withColumnRenamed("c", "i").join(pairs, ["block", "i"]).select("block", "i", "j", "id", "v")
+        again = rows.select(*(F.col(c).alias(c) for c in rows.columns))  # the sides are of one table
+        if pairs is None:
+            right = again.select("block", F.col("c").alias("i"), F.col("c").alias("j"), "id", "v")
+        else:
+            other = pairs.select(*(F.col(c).alias(c) for c in pairs.columns))
+            right = again.withColumnRenamed("c", "j").join(other, ["block", "j"]).select("block", "i", "j", "id", "v")
+        return left.groupBy("block", "i", "j").cogroup(right.groupBy("block", "i", "j"))
 
 
 def _products(best: int | None, threshold: float):
@@ -95,23 +147,54 @@ def _products(best: int | None, threshold: float):
     return tile
 
 
+def _rows(df: DataFrame, vector: str, key: str, block: str | None) -> DataFrame:
+    return normalized(df, vector, key, block).filter("id IS NOT NULL AND v IS NOT NULL AND block IS NOT NULL")
+
+
+def tile_counts(df: DataFrame, threshold: float, vector: str = "embedding", key: str = "vec_id", block: str | None = None, chunk: int = 2048) -> DataFrame:
+    """One row: kept and all pairs of chunks that similar_pairs() would look at and that there are."""
+    tiles = Tiles.of(_rows(df, vector, key, block), chunk)
+    if tiles.chunks is None:
+        return tiles.placed.agg(F.countDistinct("block").alias("kept"), F.countDistinct("block").alias("all"))
+    every = tiles.chunks.groupBy("block").count().agg(F.sum(F.col("count") * (F.col("count") + 1) / 2).cast("long").alias("all"))
+    return tiles.pairs(cells.reach_of(threshold)).agg(F.count("*").alias("kept")).join(every, how="cross")  # one row each
+
+
 def similar_pairs(df: DataFrame, threshold: float, vector: str = "embedding", key: str = "vec_id", block: str | None = None, chunk: int = 2048) -> DataFrame:
     """a, b, similarity of all pairs (a < b) of one block with at least the threshold.
 
-    Each pair of chunks of a block is one tile, whose products are one matrix product in numpy: no cross join of the
-    table, each pair is looked at once, and only pairs over the threshold leave a tile. Equal keys are no pair.
+    Rows are dealt into chunks by cell and distance from its centre; pairs of chunks that are too far apart for the
+    threshold are left out before any vector moves, and each of the others is one tile, whose products are one matrix
+    product in numpy. Only pairs over the threshold leave a tile, by the products themselves. Equal keys are no pair.
     """
-    rows = normalized(df, vector, key, block).filter("id IS NOT NULL AND v IS NOT NULL AND block IS NOT NULL")
+    rows = _rows(df, vector, key, block)
+    rows = rows.filter(F.exists("v", lambda x: x != 0) | F.exists("v", lambda x: x.isNull())) if threshold > 0 else rows  # a zero vector's products are 0
     kind = rows.schema["id"].dataType.simpleString()
-    found = _tiles(rows, chunk).applyInArrow(_products(None, float(threshold)), f"a {kind}, b {kind}, similarity double")
+    tiles = Tiles.of(rows, chunk)
+    pairs = None if tiles.chunks is None else tiles.pairs(cells.reach_of(float(threshold)))
+    found = tiles.met(pairs).applyInArrow(_products(None, float(threshold)), f"a {kind}, b {kind}, similarity double")
     return found.filter("a < b")
 
 
 def self_knn(df: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", block: str | None = None, include_self: bool = False, threshold: float = -2.0, chunk: int = 2048) -> DataFrame:
-    """a, b, similarity, rank: the k nearest of every row among the others of its block, ties by id. A tile hands on k a row."""
-    rows = normalized(df, vector, key, block).filter("id IS NOT NULL AND v IS NOT NULL AND block IS NOT NULL")
+    """a, b, similarity, rank: the k nearest of every row among the others of its block, ties by id.
+
+    First each chunk meets itself, which tells every row how far its k-th neighbour is at most; of the other pairs of
+    chunks only those are looked at that can hold anything closer for any row of either. A tile hands on k a row.
+    """
+    rows = _rows(df, vector, key, block)
     kind = rows.schema["id"].dataType.simpleString()
-    both = _tiles(rows, chunk).applyInArrow(_products(k, float(threshold)), f"a {kind}, b {kind}, similarity double")
+    schema, tiles = f"a {kind}, b {kind}, similarity double", Tiles.of(rows, chunk)
+    best = _products(k, float(threshold))
+    if tiles.chunks is None:
+        both = tiles.met(None).applyInArrow(best, schema)
+    else:
+        own = written(tiles.met(tiles.chunks.select("block", F.col("c").alias("i"), F.col("c").alias("j"))).applyInArrow(best, schema))
+        w = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
+        kth = own.withColumn("n", F.row_number().over(w)).filter(F.col("n") == k).select(F.col("a").alias("id"), F.col("similarity").alias("kth"))
+        least = F.greatest(F.coalesce("kth", F.lit(-1.0)), F.lit(max(float(threshold), -1.0)))
+        reach = tiles.placed.select("id", "block", "c").join(kth, "id", "left").groupBy("block", "c").agg(F.max(cells.reach_of(least)).alias("reach"))
+        both = own.unionByName(tiles.met(tiles.pairs(reach).filter("i < j")).applyInArrow(best, schema))
     if include_self:
         both = both.unionByName(df.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("similarity")))
     w = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")

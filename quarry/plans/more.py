@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import uuid
 
@@ -13,19 +15,25 @@ from quarry.functions import classify
 from quarry.functions import text as T
 from quarry.operators import chunking, duplicates, evaluate, graph, groups, knn, lexical, predicate, ranking, render
 from quarry.operators.predicate import Condition as C
-from quarry.plans.catalogue import _C10, _COMPONENTS, _LINES, _PATH, _SEG, _SIM, _TOK, QUERY, _chunks10, _paths, first_vector, query, r6, read
+from quarry.plans.catalogue import _C10, _COMPONENTS, _KNN, _LINES, _PATH, _SEG, _SIM, _TOK, QUERY, _chunks10, _paths, first_vector, query, r6, read
 from quarry.sources import embed, files, store
+from quarry.sources.vector_index import VectorIndex
 from quarry.streaming import watch
 
 
 def shared(spark, name: str) -> str:
-    """A new folder that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder that driver and executors share, which goes when the application ends."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.quarry.queries.dir", None)
     if top is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="quarry-")
-    return f"{top.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, top, ignore_errors=True)
+        spark.conf.set("spark.quarry.queries.dir", top)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/queries-{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    graph.gone_at_exit(spark, folder.toString())
+    return f"{folder.toString()}/{name}-{uuid.uuid4().hex}"
 
 
 # the store
@@ -277,6 +285,22 @@ def hyperplane_buckets(spark, d):
     return knn.hyperplane_buckets(read(spark, d, "embeddings"), 64, bits=4, tables=2).select("vec_id", F.array_join("buckets", ",").alias("buckets"))
 
 
+def _ranked(where: str, k: int) -> str:
+    return f"SELECT vec_id, round(s, 6) AS similarity, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM ({_KNN}) WHERE {where} ORDER BY s DESC, vec_id LIMIT {k}"
+
+
+@query(_ranked("true", 10))
+def knn_cells(spark, d):
+    """Written by cells and searched exactly: the cells and rows that the triangle bound leaves."""
+    return VectorIndex.build(read(spark, d, "embeddings"), shared(spark, "cells")).exact(first_vector(spark, d), 10).select("vec_id", r6("similarity").alias("similarity"), "rank")
+
+
+@query(_ranked("label IN (1, 2, 3)", 10))
+def knn_cells_filtered(spark, d):
+    index = VectorIndex.build(read(spark, d, "embeddings"), shared(spark, "cells"))
+    return index.exact(first_vector(spark, d), 10, where=F.col("label").isin(1, 2, 3)).select("vec_id", r6("similarity").alias("similarity"), "rank")
+
+
 @query(f"WITH b AS (SELECT *, [{', '.join(_B)}] AS k FROM embeddings), q AS (SELECT embedding::DOUBLE[] AS q, k AS kq FROM b WHERE vec_id = 0) SELECT vec_id, round({_SIM}, 6) AS similarity, row_number() OVER (ORDER BY {_SIM} DESC, vec_id) AS rank FROM b, q WHERE list_has_any(k, kq) ORDER BY {_SIM} DESC, vec_id LIMIT 10")
 def knn_bucketed(spark, d):
     indexed = knn.hyperplane_buckets(read(spark, d, "embeddings"), 64, bits=4, tables=2)
