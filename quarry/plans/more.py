@@ -15,8 +15,9 @@ from quarry.functions import classify
 from quarry.functions import text as T
 from quarry.operators import chunking, duplicates, evaluate, graph, groups, knn, lexical, predicate, ranking, render
 from quarry.operators.predicate import Condition as C
-from quarry.plans.catalogue import _C10, _COMPONENTS, _KNN, _LINES, _PATH, _SEG, _SIM, _TOK, QUERY, _chunks10, _paths, first_vector, query, r6, read
+from quarry.plans.catalogue import _C10, _COMPONENTS, _KNN, _LINES, _PATH, _SEG, _SIM, _TOK, QUERY, _chunks10, _SQL, _paths, first_vector, query, r6, read
 from quarry.sources import embed, files, store
+from quarry.sources.trigrams import TrigramIndex
 from quarry.sources.vector_index import VectorIndex
 from quarry.streaming import watch
 
@@ -269,6 +270,25 @@ def search_by_text_and_pattern(spark, d):
     return embed.search(_embedded(spark, d), QUERY, e, 10, key="doc_id", cache=cache, pattern="license|the", content="text").select("doc_id", "rank")
 
 
+def _trigrams(spark, d) -> TrigramIndex:
+    return TrigramIndex.build(read(spark, d, "documents"), shared(spark, "trigrams"))
+
+
+@query(_SQL["literal_lines"])
+def literal_lines_indexed(spark, d):
+    return _trigrams(spark, d).grep("License", ["doc_id"], fixed=True)
+
+
+@query(_SQL["regex_lines"])
+def regex_lines_indexed(spark, d):
+    return _trigrams(spark, d).grep(T.whole_word("this"), ["doc_id"], ignore_case=True)
+
+
+@query(_SQL["lexical_topk"])
+def lexical_topk_indexed(spark, d):
+    return _trigrams(spark, d).retrieve(QUERY, 50, "source", "doc_id").select("doc_id", r6("lexical").alias("lexical"), "rank")
+
+
 def _bucket_sql(bits: int, tables: int, vector: str = "embedding::DOUBLE[]") -> list[str]:
     out = []
     for t, normals in enumerate(knn.planes(64, bits, tables)):

@@ -29,10 +29,13 @@ class VectorIndex:
 
     @classmethod
     def build(cls, df: DataFrame, path: str, vector: str = "embedding", key: str = "vec_id", count: int | None = None) -> VectorIndex:
-        """Write df's rows by cell; ``count`` cells, or the root of the number of rows."""
+        """Write df's rows by cell; ``count`` cells, or the root of the number of rows. A table without rows is a ValueError."""
         spark, path = df.sparkSession, path.rstrip("/")
+        n = df.count()
+        if not n:
+            raise ValueError("there are no vectors to index")
         packed = df.select(F.struct("*").alias("row"), F.col(key).alias("id"), V.l2_normalize(F.col(vector)).alias("v"))
-        found = cells.Cells.of(packed, min(MOST_CELLS, count or max(1, round(df.count() ** 0.5))))
+        found = cells.Cells.of(packed, min(MOST_CELLS, count or max(1, round(n**0.5))))
         dealt = found.dealt(packed).select("row.*", F.col("cell").alias(_CELL), F.col("r").alias(_R))
         dealt.hint("rebalance", F.col(_CELL)).sortWithinPartitions(_CELL, _R).write.partitionBy(_CELL).parquet(f"{path}/rows")
         centres = [(found.first[n] + i, x.tolist()) for n, c in found.centres.items() for i, x in enumerate(c)]
