@@ -82,22 +82,26 @@ def annotate(rows: DataFrame, reasons: dict[str, Column], matched: dict[str, tup
 
 
 def drop_overlaps(rows: DataFrame, threshold: float = 0.6, slack: float = 0.02, file: str = "file", order: str = "rank") -> DataFrame:
-    """file, rank, start, end, score, symbol_type of what stays when a row that overlaps an earlier one of its file gives way.
+    """file, place, rank, start, end, score, symbol_type of what stays when a row that overlaps an earlier one of its file gives way.
 
-    Rows are folded in rank order. A row meets the first kept one that it overlaps by the threshold of the shorter; it
-    takes that place if its score is better by more than slack, or about as good and the row is a method or function
-    against a class, or shorter; else it goes. A file's rows are a result list, so the fold is short.
+    Rows are folded in rank order. A row meets the first kept one that it overlaps by the threshold (over 0) of the
+    shorter; it takes that place if its score is better by more than slack, or about as good and the row is a method or
+    function against a class, or shorter; else it goes. Rows that share no line, not even through others, have nothing
+    to do with each other: a sweep over the starts cuts a file into such stretches, and each is folded alone.
     """
-    item = F.struct(F.col(order).alias("rank"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("score").cast("double").alias("score"), F.coalesce("symbol_type", F.lit("")).alias("type"))
-    folded = rows.groupBy(file).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    item = F.struct(F.col(order).alias("rank"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("score").cast("double").alias("score"), F.coalesce("symbol_type", F.lit("")).alias("type"), F.col(order).alias("slot"))
+    swept = islands(rows, [file], 0, order=order)
+    folded = swept.groupBy(file, "island").agg(F.array_sort(F.collect_list(item)).alias("items"))
     ratio = "greatest(0, least(x.end, k.end) - greatest(x.start, k.start) + 1) / least(greatest(1, x.end - x.start + 1), greatest(1, k.end - k.start + 1))"
     better = f"""(x.score - k.score > {slack}D OR (abs(x.score - k.score) <= {slack}D AND ((x.type IN ('method', 'function') AND k.type = 'class') OR x.end - x.start < k.end - k.start)))"""
     expr = f"""aggregate(items, filter(items, x -> false), (kept, x) -> CASE
         WHEN NOT exists(kept, k -> {ratio} >= {threshold}D) THEN array_append(kept, x)
         ELSE transform(kept, (k, i) -> CASE
-          WHEN {ratio} >= {threshold}D AND NOT exists(slice(kept, 1, i), e -> {ratio.replace('k.', 'e.')} >= {threshold}D) AND {better} THEN x ELSE k END) END)"""
-    out = folded.select(file, F.posexplode(F.expr(expr)).alias("place", "k"))
-    return out.select(file, "place", "k.rank", "k.start", "k.end", "k.score", F.col("k.type").alias("symbol_type"))
+          WHEN {ratio} >= {threshold}D AND NOT exists(slice(kept, 1, i), e -> {ratio.replace('k.', 'e.')} >= {threshold}D) AND {better}
+          THEN named_struct('rank', x.rank, 'start', x.start, 'end', x.end, 'score', x.score, 'type', x.type, 'slot', k.slot) ELSE k END) END)"""
+    out = folded.select(file, F.explode(F.expr(expr)).alias("k"))
+    place = F.row_number().over(Window.partitionBy(file).orderBy("k.slot")) - 1  # places are taken in the order of rank
+    return out.select(file, place.alias("place"), "k.rank", "k.start", "k.end", "k.score", F.col("k.type").alias("symbol_type"))
 
 
 def diversify(rows: DataFrame, order: list[str | Column], per_file: int = 2, per_symbol: int = 2, file: str = "file", symbol: str = "symbol") -> DataFrame:
@@ -138,21 +142,68 @@ def tokens_of(content: Column, file: Column, symbol: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil((F.length(content) + F.length(F.coalesce(file, F.lit(""))) + F.length(F.coalesce(symbol, F.lit(""))) + 80) / 4).cast("int"))
 
 
-def within_budget(rows: DataFrame, cost: Column, budget: int, order: list[str], by: list[str] | None = None, first_always: bool = True) -> DataFrame:
+def within_budget(rows: DataFrame, cost: Column, budget: int, order: list[str | Column], by: list[str] | None = None, first_always: bool = True) -> DataFrame:
     """Rows in order as long as they fit: one that would not is passed over, and nothing comes once the budget is full.
 
-    by: budgets apart for each key. The first row comes in any case unless first_always is off. Rows of one key are a
-    result list; they are folded as an array of costs, and their place tells what stays.
+    by: budgets apart for each key. The first row comes in any case unless first_always is off. A cost is 1 at least.
+
+    What is used never falls, so once a row of some cost is passed over, all later ones of that cost are: of the rows of
+    cost c only the first budget // c can come. Each task keeps those before anything is shuffled, which leaves some
+    budget * ln(budget) rows a key, whatever the table's size, and those are folded in order.
     """
     by = by or []
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*order)
-    placed = rows.withColumn("__place", F.row_number().over(w)).withColumn("__cost", cost.cast("int"))
-    first = "size(s.kept) = 0" if first_always else "false"
-    keep = F.expr(f"""aggregate(costs, named_struct('used', 0, 'kept', CAST(array() AS array<int>)),
-        (s, c) -> CASE WHEN s.used < {budget} AND ({first} OR s.used + c.__cost <= {budget}) THEN named_struct('used', s.used + c.__cost, 'kept', array_append(s.kept, c.__place)) ELSE s END, s -> s.kept)""")
-    costs = placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__place", "__cost"))).alias("costs")) if by else placed.agg(F.array_sort(F.collect_list(F.struct("__place", "__cost"))).alias("costs"))
-    kept = costs.select(*by, F.explode(keep).alias("__place"))
-    return placed.join(kept, [*by, "__place"], "left_semi").drop("__place", "__cost")
+    costed = rows.withColumn("__cost", F.greatest(cost.cast("long"), F.lit(1)))
+    fit = costed.filter(F.col("__cost") <= budget)
+    if budget > int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):  # beyond it Spark doesn't limit in its tasks
+        fit = fit.sortWithinPartitions(*by, "__cost", *order).mapInArrow(_first_of_each([*by, "__cost"], budget), fit.schema)
+    nth = F.row_number().over(Window.partitionBy(*by, "__cost").orderBy(*order))
+    some = fit.withColumn("__nth", nth).filter(F.col("__nth") <= budget).filter(F.col("__nth") * F.col("__cost") <= budget).drop("__nth")
+    if first_always:  # a first row that fits comes anyway
+        first = costed.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("__n = 1").drop("__n") if by else costed.orderBy(*order).limit(1)
+        some = some.unionByName(first.filter(F.col("__cost") > budget))
+    dealt = some.repartition(*by) if by else some.coalesce(1)
+    ordered = dealt.sortWithinPartitions(*by, *order)
+    return ordered.mapInArrow(_fold(by, budget), ordered.schema).drop("__cost")
+
+
+def _columns(batch, names: list[str]) -> list[tuple]:
+    return list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True)) if names else [()] * batch.num_rows
+
+
+def _first_of_each(keys: list[str], budget: int):
+    """Of each key of sorted batches, the last of which is a cost, the first budget // cost rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, n = object(), 0
+        for batch in batches:
+            keep = []
+            for key in _columns(batch, keys):
+                now, n = key, n + 1 if key == now else 1
+                keep.append(n * key[-1] <= budget)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _fold(by: list[str], budget: int):
+    """Which of the rows of sorted batches come, key by key. A row over the budget is a first one."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, used = object(), 0
+        for batch in batches:
+            keep = []
+            for *key, cost in _columns(batch, [*by, "__cost"]):
+                if key != now:
+                    now, used = key, 0
+                keep.append(used + cost <= budget or (cost > budget and used == 0))
+                used += cost if keep[-1] else 0
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def truncated(content: Column, budget: int, file: Column, symbol: Column) -> Column:
@@ -178,16 +229,45 @@ def at_least(rows: DataFrame, least: float, score: str = "similarity", rerank: s
 def byte_fit(rows: DataFrame, max_bytes: int, order: list[str], content: str = "content", frame: Column | None = None) -> DataFrame:
     """prefix_budget by bytes of content (and frame), and of the next row the beginning of its content that still fits; adds partial.
 
-    Cut between characters. Rows of no size count too, so the table is one result list.
+    Cut between characters. Only the keys and sizes of max_bytes + 1 rows at most are ever ordered.
     """
     own = F.octet_length(content) + (F.lit(0) if frame is None else frame)
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("__before", F.coalesce(F.sum(own).over(w), F.lit(0))).withColumn("__room", F.lit(max_bytes) - F.col("__before"))
-    whole = own <= F.col("__room")
-    ends = F.aggregate(F.transform(F.split(content, ""), F.octet_length), F.struct(F.lit(0).alias("n"), F.lit(0).alias("b"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + ((s["b"] + x <= F.col("__room") - (F.lit(0) if frame is None else frame)) & s["on"]).cast("int")).alias("n"), (s["b"] + x).alias("b"), (s["on"] & (s["b"] + x <= F.col("__room") - (F.lit(0) if frame is None else frame))).alias("on")), lambda s: s["n"])
-    # only the first row that does not fit whole may be cut: all before it fit, so its room is what they left
-    cut = placed.filter(F.col("__before") <= max_bytes).withColumn("partial", ~whole).withColumn(content, F.when(whole, F.col(content)).otherwise(F.substring(content, F.lit(1), ends)))
-    return cut.filter(~F.col("partial") | (F.length(content) > 0)).drop("__before", "__room")
+    over = _overflow(rows, own, max_bytes, order)
+    if over is None:
+        return rows.withColumn("partial", F.lit(False))
+    at, room = _at(rows, order, over), F.lit(max_bytes - over["__before"]) - (F.lit(0) if frame is None else frame)
+    step = lambda s, x: F.struct((s["n"] + ((s["b"] + x <= room) & s["on"]).cast("int")).alias("n"), (s["b"] + x).alias("b"), (s["on"] & (s["b"] + x <= room)).alias("on"))
+    ends = F.aggregate(F.transform(F.split(content, ""), F.octet_length), F.struct(F.lit(0).alias("n"), F.lit(0).alias("b"), F.lit(True).alias("on")), step, lambda s: s["n"])
+    whole = rows.filter(F.struct(*order) < at).withColumn("partial", F.lit(False))
+    cut = rows.filter((F.struct(*order) == at) & (own > 0)).limit(1).withColumn(content, F.substring(content, F.lit(1), ends)).withColumn("partial", F.lit(True))
+    return whole.unionByName(cut.filter(F.length(content) > 0))
+
+
+def _at(rows: DataFrame, order: list[str], row) -> Column:
+    return F.struct(*(F.lit(row[c]).cast(rows.schema[c].dataType).alias(c) for c in order))
+
+
+def _overflow(rows: DataFrame, size: Column, budget: int, order: list[str]):
+    """The first row, by columns ascending, with which sizes add up to more than the budget: its columns and __before, the sum before it."""
+    sized = rows.select(*order, size.cast("long").alias("__size")).filter("__size > 0").orderBy(*order).limit(budget + 1)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        used = 0
+        for batch in batches:
+            sums = used + np.cumsum(batch.column(batch.num_columns - 1).to_numpy())
+            at = int(np.searchsorted(sums, budget, side="right"))
+            if at < len(sums):
+                one = batch.slice(at, 1)
+                before = int(sums[at]) - one.column(batch.num_columns - 1)[0].as_py()
+                yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([before], pa.int64())], names=[*order, "__before"])
+                return
+            used = int(sums[-1]) if len(sums) else used
+
+    found = sized.coalesce(1).sortWithinPartitions(*order).mapInArrow(run, rows.select(*order, F.lit(0).cast("long").alias("__before")).schema)
+    return found.first()
 
 
 def prefix_budget(rows: DataFrame, size: Column, budget: int, order: list[str]) -> DataFrame:
@@ -196,7 +276,5 @@ def prefix_budget(rows: DataFrame, size: Column, budget: int, order: list[str])
     At most budget + 1 rows of any size can matter: those alone are summed, and where the sum goes over is a filter on
     the table, which itself isn't sorted. Of rows with equal columns either all stay or none.
     """
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    first = rows.withColumn("__size", size).filter("__size > 0").orderBy(*order).limit(budget + 1)
-    over = first.withColumn("__sum", F.sum("__size").over(w)).filter(F.col("__sum") > budget).orderBy(*order).select(*order).first()
-    return rows if over is None else rows.filter(F.struct(*order) < F.struct(*(F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, over, strict=True))))
+    over = _overflow(rows, size, budget, order)
+    return rows if over is None else rows.filter(F.struct(*order) < _at(rows, order, over))

@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -497,10 +497,11 @@ def check_schema(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> None:
 
 
 def expired(generations: DataFrame, keep: int, older_s: float, now_ms: int) -> DataFrame:
-    """generation of inactive ones beyond the newest ``keep`` and older than older_s."""
-    w = Window.orderBy(F.col("modified_ms").desc(), "generation")
-    old = generations.filter(~F.col("active")).withColumn("n", F.row_number().over(w))
-    return old.filter((F.col("n") > keep) & (F.col("modified_ms") < now_ms - int(older_s * 1000))).select("generation")
+    """generation of inactive ones beyond the newest ``keep`` and older than older_s; of ``keep`` rows the names alone are ordered."""
+    inactive = generations.filter(~F.col("active"))
+    newest = inactive.orderBy(F.col("modified_ms").desc(), "generation").limit(keep).select("generation")
+    old = inactive.filter(F.col("modified_ms") < now_ms - int(older_s * 1000))
+    return old.join(newest, "generation", "left_anti").select("generation")
 
 
 def difference(now: DataFrame, before: DataFrame, key: str = "path", mark: str = "hash") -> DataFrame:
