@@ -105,6 +105,15 @@ def looks_like_simple_identifier(query: str) -> bool:
     return 2 <= len(q := query.strip()) <= 120 and re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_$]*", q) is not None
 
 
+def identifier_like(text: Column) -> tuple[Column, Column]:
+    """looks_like_identifier and looks_like_simple_identifier of a column; false for null."""
+    q = F.trim(text)
+    name = F.length(q).between(3, 120) & q.rlike(r"\A[A-Za-z_$][A-Za-z0-9_$.:#-]*\z") & q.rlike("[A-Za-z]")
+    marked = q.rlike("(?s)^.+[A-Z]") | q.rlike("[_.-]") | q.rlike(r"\A(use|define|get|set|is|has)[A-Z_]")
+    simple = F.length(q).between(2, 120) & q.rlike(r"\A[A-Za-z_$][A-Za-z0-9_$]*\z")
+    return F.coalesce(name & marked, F.lit(False)), F.coalesce(simple, F.lit(False))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Whether a pattern matches without regard to case; a pattern that isn't valid counts as plain text."""
     try:

@@ -42,6 +42,15 @@ def cases_table(spark: SparkSession, cases: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "query string, kind string, item string")
 
 
+def cases_of(rows: DataFrame, case: str = "case") -> DataFrame:
+    """query, kind, item of a column of cases, each one JSON object; a text that is none gives no rows."""
+    kinds = {"expectedFirstFiles": "file", "requiredSymbols": "symbol", "requiredKinds": "semantic_kind"}
+    parsed = rows.select(F.from_json(case, "query string, " + ", ".join(f"{k} array<string>" for k in kinds)).alias("c")).filter("c.query IS NOT NULL")
+    demands = F.array(*(F.struct(F.lit(kind).alias("kind"), F.coalesce(f"c.{k}", F.array().cast("array<string>")).alias("items")) for k, kind in kinds.items()))
+    each = parsed.select(F.col("c.query").alias("query"), F.explode(demands).alias("d"))
+    return each.select("query", F.col("d.kind").alias("kind"), F.explode("d.items").alias("item"))
+
+
 def scores(hits: DataFrame, demanded: DataFrame, limit: int = 10, query: str = "query") -> DataFrame:
     """query, hits, relevant, found, demanded, recall, first_rank, precision, passed.
 

@@ -84,7 +84,7 @@ def one(df: DataFrame, x: Condition, compat: bool = False) -> Column | None:
     return OPERATORS[x.operator](F.col(x.column), x.value)
 
 
-# What parameters of a search may be.
+# What parameters of a search may be. Names, ranges and defaults are those that callers use.
 SYMBOL_TYPES = ("function", "class", "method", "type", "variable", "enum", "module")
 FILE_ROLES = ("implementation", "test", "generated", "contract", "configuration", "documentation", "migration", "fixture", "build-artifact")
 CHOICES = {
@@ -134,6 +134,28 @@ def equality(values: dict[str, Any]) -> Predicate:
     return Predicate(all=[Condition(k, "equals", v) for k, v in values.items()])
 
 
+def faults(rows: DataFrame, parameters: dict[str, str]) -> Column:
+    """The parameters of each row that checked() would name, in order: ``parameters`` has the column of each; null is not given."""
+    found = []
+    for key, column in sorted(parameters.items()):
+        c, kind = F.col(column), rows.schema[column].dataType.simpleString()
+        if key == "query" or key in TEXTS:
+            good = F.trim(c) != "" if kind == "string" and key in ("query", "language") else F.lit(kind == "string")
+        elif key in FLAGS:
+            good = F.lit(kind == "boolean")
+        elif key in CHOICES:
+            good = c.isin(*CHOICES[key]) if kind == "string" else F.lit(False)
+        elif key in RANGES:
+            low, high, of = RANGES[key]
+            numeric = kind in ("tinyint", "smallint", "int", "bigint") or (of is float and kind in ("float", "double"))
+            good = (c >= low) & (c <= high if high is not None else F.lit(True)) if numeric else F.lit(False)
+        else:
+            good = F.lit(False)
+        bad = c.isNotNull() & ~good
+        found.append(F.when(bad | c.isNull() if key == "query" else bad, F.lit(key)))
+    return F.array_compact(F.array(*found, *([] if "query" in parameters else [F.lit("query")])))
+
+
 def expand_kinds(text: str) -> list[str]:
     """Kinds by name or alias without regard to case; a star at the end makes it a beginning; unknown text stays itself."""
     low = text.strip().lower()

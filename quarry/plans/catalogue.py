@@ -476,6 +476,14 @@ def duplicate_text_pairs(spark, d):
     return duplicates.text_pairs(read(spark, d, "documents")).withColumn("similarity", r6("similarity"))
 
 
+@query(_SQL["duplicate_text_pairs"].rsplit(" SELECT a, b", 1)[0] + ", m AS (SELECT a.doc_id AS id, min(b.doc_id) AS rep FROM b AS a JOIN b ON a.text = b.text GROUP BY a.doc_id) SELECT a AS u, b AS v, round(s, 6) AS similarity FROM p WHERE s >= 0.7 AND a IN (SELECT rep FROM m) AND b IN (SELECT rep FROM m) UNION ALL SELECT rep, id, 1 FROM m WHERE rep <> id")
+def duplicate_text_links(spark, d):
+    """The pairs of different texts, one row of each text standing for its copies, and the copies: a row each."""
+    near, member = duplicates.text_links(read(spark, d, "documents"))
+    copies = member.filter("rep <> id").select(F.col("rep").alias("u"), F.col("id").alias("v"), F.lit(1.0).alias("similarity"))
+    return near.unionByName(copies).withColumn("similarity", r6("similarity"))
+
+
 @query(f"{_PAIRS} SELECT CASE WHEN s >= 0.5 THEN 'exact' WHEN s >= 0.45 THEN 'high' WHEN s >= 0.4 THEN 'medium' WHEN s >= 0.35 THEN 'low' END AS level, count(*) AS n FROM p GROUP BY ALL")
 def duplicate_levels(spark, d):
     found = knn.similar_pairs(read(spark, d, "embeddings"), 0.35)

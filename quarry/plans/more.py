@@ -7,6 +7,7 @@ import json
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -222,17 +223,17 @@ def set_union(spark, d):
     return files.union_of(docs.filter("lang = 'en'").select("doc_id"), read(spark, d, "labels").filter("quality = 1").select("doc_id"), docs.filter("source = 'src2'").select("doc_id"))
 
 
-@query("SELECT 128 AS dimension, 'hashing' AS provider, 'm2' AS model, true AS include_docs, 'a,b' AS include")
+@query("SELECT doc_id, 128 AS dimension, 'm2' AS model FROM documents WHERE source IN ('src1', 'src3')")
 def configuration(spark, d):
-    """A file, the environment's absence and flags, in their order."""
+    """Documents of the sources that a configuration includes: a file, the environment's absence and flags, in their order."""
     import os
 
-    with tempfile.TemporaryDirectory() as folder:
+    with tempfile.TemporaryDirectory() as folder:  # on the driver, where configurations are
         with open(f"{folder}/.quarryrc.json", "w") as f:
-            json.dump({"dimension": "128", "model": "m1", "include": ["a", "b"], "unknown": 1}, f)
+            json.dump({"dimension": "128", "model": "m1", "include": ["src1", "src3"], "unknown": 1}, f)
         assert "QUARRY_MODEL" not in os.environ
         c = files.Config.load(folder, model="m2", include_docs="yes", provider=None)
-    return spark.createDataFrame([(c.dimension, c.provider, c.model, c.include_docs, ",".join(c.include))], "dimension int, provider string, model string, include_docs boolean, include string")
+    return read(spark, d, "documents").filter(F.col("source").isin(*c.include)).select("doc_id", F.lit(c.dimension).alias("dimension"), F.lit(c.model).alias("model"))
 
 
 _UNITS = f"""t AS (SELECT {{id}} AS id, {_TOK.format("text")} AS k FROM {{table}}), u AS (SELECT id, unnest(k) AS unit, 1.0::DOUBLE AS w FROM t UNION ALL SELECT id, unnest(list_transform(range(1, len(k)), lambda i: concat(k[i], ' ', k[i + 1]))), 0.5 FROM t WHERE len(k) > 1),
@@ -263,11 +264,18 @@ def search_by_text(spark, d):
 
 @query(f"{_SEARCHED} SELECT r.doc_id, rank FROM r JOIN documents d USING (doc_id) WHERE rank <= 30 AND regexp_matches(d.text, '(?i)license|the') ORDER BY rank LIMIT 10")
 def search_by_text_and_pattern(spark, d):
-    """With a pattern and the cache of query vectors, asked twice."""
-    folder, e = tempfile.mkdtemp(prefix="quarry-"), embed.HashingEmbedder()
+    """With a pattern that is looked for among the rows that were fetched, and the cache of query vectors, asked twice."""
+    folder, e = tempfile.mkdtemp(prefix="quarry-"), embed.HashingEmbedder()  # the driver's, whose cache it is
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     cache = embed.QueryCache(folder)
     cache.vector(e, QUERY)
-    return embed.search(_embedded(spark, d), QUERY, e, 10, key="doc_id", cache=cache, pattern="license|the", content="text").select("doc_id", "rank")
+    return embed.search(_embedded(spark, d), QUERY, e, 10, key="doc_id", cache=cache, pattern="license|the", content="text", compat=True).select("doc_id", "rank")
+
+
+@query(f"{_SEARCHED} SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM (SELECT r.* FROM r JOIN documents d USING (doc_id) WHERE regexp_matches(d.text, '(?i)licensed')) ORDER BY s DESC, doc_id LIMIT 10")
+def search_by_text_with_pattern(spark, d):
+    """The nearest of all rows that a pattern fits, however far down they are."""
+    return embed.search(_embedded(spark, d), QUERY, embed.HashingEmbedder(), 10, key="doc_id", pattern="licensed", content="text").select("doc_id", "rank")
 
 
 def _trigrams(spark, d) -> TrigramIndex:
@@ -352,10 +360,12 @@ def code_normal_form(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(T.normal_code(F.translate("text", "$", ""))).alias("normal"))
 
 
-@query("SELECT unnest(['f(1)', 'f(x)', 'if (a) { return \"b\" } // c']) AS code, unnest(['$ID($$ID)', '$ID($ID)', 'if ($ID) { return \"$$ID\" }']) AS normal")
+@query("SELECT doc_id, 'if ($ID) { return \"$$ID\" } $ID($$ID)' AS normal FROM documents")
 def code_normal_forms(spark, d):
-    rows = spark.createDataFrame([("f(1)",), ("f(x)",), ('if (a) { return "b" } // c',)], "code string")
-    return rows.select("code", T.normal_code(F.col("code")).alias("normal"))
+    """A line of code for every document, with its id as a name, a string and a number, and its language in a comment."""
+    i = F.col("doc_id").cast("string")
+    code = F.concat(F.lit("if (a"), i, F.lit(') { return "b'), i, F.lit('" } f('), i, F.lit(")  // "), "lang")
+    return read(spark, d, "documents").select("doc_id", T.normal_code(code).alias("normal"))
 
 
 _PAIR = "FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"
@@ -399,10 +409,13 @@ def import_hints(spark, d):
     return read(spark, d, "pages").select("page_id", F.get(T.import_hints(F.array("url")), 0).alias("hint"))
 
 
-@query("SELECT unnest(['useUser', 'user', 'get_name', 'some words', 'a-b', 'Ab', 'isOpen']) AS query, unnest([true, false, true, false, true, false, true]) AS identifier, unnest([true, true, true, false, false, true, true]) AS simple")
+@query(r'''SELECT query, length(query) BETWEEN 3 AND 120 AND regexp_full_match(query, '[A-Za-z_$][A-Za-z0-9_$.:#-]*') AND regexp_matches(query, '[A-Za-z]') AND (regexp_matches(query[2:], '[A-Z]') OR regexp_matches(query, '[_.-]') OR regexp_matches(query, '^(use|define|get|set|is|has)[A-Z_]')) AS identifier,
+ length(query) BETWEEN 2 AND 120 AND regexp_full_match(query, '[A-Za-z_$][A-Za-z0-9_$]*') AS simple FROM (SELECT DISTINCT unnest(string_split_regex(text, '[ \t\r\n]+')) AS query FROM documents)''')
 def identifier_heuristics(spark, d):
-    words = ["useUser", "user", "get_name", "some words", "a-b", "Ab", "isOpen"]
-    return spark.createDataFrame([(w, T.looks_like_identifier(w), T.looks_like_simple_identifier(w)) for w in words], "query string, identifier boolean, simple boolean")
+    '''Every different word of the documents.'''
+    words = read(spark, d, "documents").select(F.explode(F.split("text", "[ \\t\\r\\n]+")).alias("query")).distinct()
+    identifier, simple = T.identifier_like(F.col("query"))
+    return words.select("query", identifier.alias("identifier"), simple.alias("simple"))
 
 
 @query("SELECT doc_id, regexp_matches(text, '(?i)licen[cs]e') AS a, contains(lower(text), '(the') AS b FROM documents")
@@ -438,14 +451,23 @@ def filter_groups_and(spark, d):
     return p.where(read(spark, d, "documents")).select("doc_id")
 
 
-@query("SELECT unnest(['convexInternal*', 'ROUTEHANDLER', 'convexPrivateQuery', 'nothing', 'zz*']) AS text, unnest(['convexInternalQuery,convexInternalMutation,convexInternalAction', 'routeHandler', 'convexInternalQuery', 'nothing', '']) AS kinds")
+@query("SELECT doc_id, text FROM (SELECT doc_id, (['query', 'routeHandler', 'hook', 'convexInternalQuery', 'convexInternalMutation', 'convexInternalAction', 'nothing'])[doc_id % 7 + 1] AS kind FROM documents) d JOIN (SELECT unnest(['convexInternal*', 'convexInternal*', 'convexInternal*', 'ROUTEHANDLER', 'convexPrivateQuery', 'nothing']) AS text, unnest(['convexInternalQuery', 'convexInternalMutation', 'convexInternalAction', 'routeHandler', 'convexInternalQuery', 'nothing']) AS kind) k USING (kind)")
 def kind_expansion(spark, d):
-    return spark.createDataFrame([(t, ",".join(predicate.expand_kinds(t))) for t in ("convexInternal*", "ROUTEHANDLER", "convexPrivateQuery", "nothing", "zz*")], "text string, kinds string")
+    """Documents of the kinds that each text stands for; kinds go by the id."""
+    kinds = F.array(*map(F.lit, ['query', 'routeHandler', 'hook', 'convexInternalQuery', 'convexInternalMutation', 'convexInternalAction', 'nothing']))
+    docs = read(spark, d, "documents").withColumn("kind", F.get(kinds, (F.col("doc_id") % 7).cast("int")))
+    texts = ("convexInternal*", "ROUTEHANDLER", "convexPrivateQuery", "nothing", "zz*")
+    found = [docs.filter(F.col("kind").isin(*predicate.expand_kinds(t))).select("doc_id", F.lit(t).alias("text")) for t in texts]
+    return reduce(DataFrame.unionByName, found)
 
 
-@query("SELECT unnest(['@scope/pkg', '''react''', 'a/b/c']) AS text, unnest(['@scope/pkg,scope/pkg,pkg', 'react', 'a/b/c,c']) AS names")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN '@scope/pkg' ELSE 'a/b/c' END AS text FROM documents WHERE doc_id % 5 <> 4")
 def import_expansion(spark, d):
-    return spark.createDataFrame([(t, ",".join(predicate.expand_imports(t))) for t in ("@scope/pkg", "'react'", "a/b/c")], "text string, names string")
+    """Documents that import what each text stands for; imports go by the id."""
+    names = F.array(*map(F.lit, ["@scope/pkg", "scope/pkg", "pkg", "c", "b"]))
+    docs = read(spark, d, "documents").withColumn("import", F.get(names, (F.col("doc_id") % 5).cast("int")))
+    found = [docs.filter(F.col("import").isin(*predicate.expand_imports(t))).select("doc_id", F.lit(t).alias("text")) for t in ("'@scope/pkg'", "a/b/c")]
+    return reduce(DataFrame.unionByName, found).withColumn("text", F.translate("text", "'", ""))
 
 
 @query("SELECT doc_id FROM documents WHERE lang = 'en' OR source = 'src3'")
@@ -454,17 +476,12 @@ def strict_imports(spark, d):
     return rows.filter(predicate.strict_imports(F.col("imports"), ["en", '"xSRC3"'])).select("doc_id")
 
 
-@query("SELECT unnest(['limit', 'query', 'nothing']) AS given, unnest(['invalid parameters: limit, minScore, purpose', 'invalid parameters: query', 'limit=10 hybrid=True']) AS said")
+@query("SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 600 NOT BETWEEN 1 AND 500 THEN 'limit' END, CASE WHEN n_chars / 1000.0 > 1 THEN 'minScore' END, CASE WHEN lang = 'fr' THEN 'purpose' END, CASE WHEN trim(text) = '' OR text IS NULL THEN 'query' END], lambda x: x IS NOT NULL), ', ') AS said FROM documents")
 def parameter_checks(spark, d):
-    def said(given: dict) -> str:
-        try:
-            out = predicate.checked(given)
-            return f"limit={out['limit']} hybrid={out['hybrid']}"
-        except ValueError as e:
-            return str(e)
-
-    rows = [("limit", said({"query": "q", "limit": 0, "minScore": 2, "purpose": "x"})), ("query", said({"query": "  "})), ("nothing", said({"query": "q", "limit": None}))]
-    return spark.createDataFrame(rows, "given string, said string")
+    """Every document as a query with a limit, a least score and a purpose, some of which are out of range."""
+    rows = read(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 600).alias("n"), (F.col("n_chars") / 1000).alias("least"), F.when(F.col("lang") == "fr", "read").otherwise("review").alias("why"))
+    found = predicate.faults(rows, {"query": "text", "limit": "n", "minScore": "least", "purpose": "why"})
+    return rows.select("doc_id", F.array_join(found, ", ").alias("said"))
 
 
 @query(f"SELECT vec_id, round(s, 6) AS similarity FROM (SELECT vec_id, label, {_SIM} AS s FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)) WHERE CASE WHEN label = 1 THEN 0.9 ELSE s END >= 0.15")
@@ -476,9 +493,11 @@ def least_score(spark, d):
     return ranking.at_least(rows, 0.15).select("vec_id", r6("similarity").alias("similarity"))
 
 
-@query("SELECT unnest(['search', 'pattern', 'survey', 'cluster']) AS what, unnest([20, 30, 60, 80]) AS rows")
+@query(f"WITH r AS (SELECT s, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM ({_KNN})), w AS (SELECT unnest(['search', 'pattern', 'survey', 'cluster']) AS what, unnest([20, 30, 60, 80]) AS n) SELECT what, count(*) AS n, round(min(s), 6) + 0.0::DOUBLE AS least FROM r JOIN w ON rank <= w.n GROUP BY what")
 def over_fetch(spark, d):
-    return spark.createDataFrame([(w, ranking.over_fetch(10, w)) for w in ("search", "pattern", "survey", "cluster")], "what string, rows int")
+    """How far down a search for ten rows looks, by what it is for."""
+    found = [knn.top_k(read(spark, d, "embeddings"), first_vector(spark, d), ranking.over_fetch(10, w)).agg(F.lit(w).alias("what"), F.count("*").alias("n"), r6(F.min("similarity")).alias("least")) for w in ("search", "pattern", "survey", "cluster")]
+    return reduce(DataFrame.unionByName, found)
 
 
 # literal and exact retrieval
@@ -761,20 +780,24 @@ def cluster_titles(spark, d):
     return groups.cluster_titles(rows)
 
 
-@query("SELECT unnest(['a', 'a', 'b']) AS query, unnest(['file', 'symbol', 'semantic_kind']) AS kind, unnest(['x.ts', 'f', 'k']) AS item")
+@query("SELECT text AS query, unnest(['file', 'file', 'symbol']) AS kind, unnest([item_id || '.ts', 'all.ts', upper(text[1:5])]) AS item FROM benchmark")
 def eval_cases(spark, d):
-    """The same cases from JSON and from the YAML form."""
-    given = [{"query": "a", "expectedFirstFiles": ["x.ts"], "requiredSymbols": ["f"]}, {"query": "b", "requiredKinds": ["k"]}]
+    """Each benchmark item as a case in JSON; the YAML form of some cases is read alike."""
     yaml = "- query: a\n  expectedFirstFiles: [x.ts]\n  requiredSymbols:\n    - f\n- query: 'b'\n  requiredKinds: [k]\n"
-    cases = evaluate.read_cases(json.dumps(given))
-    assert cases == evaluate.read_cases(yaml)
-    return evaluate.cases_table(spark, cases)
+    given = [{"query": "a", "expectedFirstFiles": ["x.ts"], "requiredSymbols": ["f"]}, {"query": "b", "requiredKinds": ["k"]}]
+    assert evaluate.read_cases(yaml) == evaluate.read_cases(json.dumps(given))
+    own = F.concat(F.col("item_id").cast("string"), F.lit(".ts"))
+    case = F.struct(F.col("text").alias("query"), F.array(own, F.lit("all.ts")).alias("expectedFirstFiles"), F.array(F.upper(F.substring("text", 1, 5))).alias("requiredSymbols"))
+    return evaluate.cases_of(read(spark, d, "benchmark").select(F.to_json(case).alias("case")))
 
 
-@query("SELECT unnest(['async', 'enum']) AS name, unnest(['function', 'type']) AS category, unnest(['python,typescript', 'typescript']) AS languages")
+@query("SELECT name, category, languages, count(*) AS documents FROM (SELECT unnest(['async', 'enum']) AS name, unnest(['function', 'type']) AS category, unnest(['de,en', 'en']) AS languages) JOIN documents ON list_contains(string_split(languages, ','), lang) GROUP BY ALL")
 def capabilities(spark, d):
-    found = evaluate.capabilities(spark, {"typescript": {"async": "function", "enum": "type"}, "python": {"async": "function"}})
-    return found.withColumn("languages", F.array_join("languages", ","))
+    """What variants the documents' languages can have, with how many documents."""
+    found = evaluate.capabilities(spark, {"en": {"async": "function", "enum": "type"}, "de": {"async": "function"}})
+    n = read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    each = found.withColumn("lang", F.explode("languages")).join(n, "lang")
+    return each.groupBy("name", "category", F.array_join("languages", ",").alias("languages")).agg(F.sum("n").alias("documents"))
 
 
 _TAGGED = """list_concat(list_filter([CASE WHEN regexp_matches({0}, 'async |await ') THEN 'async' END, CASE WHEN regexp_matches({0}, 'throw |catch\\s*\\(') THEN 'error-handling' END, CASE WHEN regexp_matches({0}, '\\b(test|describe|it|expect)\\(') THEN 'test' END,
@@ -892,6 +915,15 @@ def chunk_table(spark, d):
     return chunking.rows(chunking.chunk_files(f), f).select("id", "hash", (F.col("content_raw") == F.col("content")).alias("raw"), "file_kind", "file_role")
 
 
+@query("SELECT concat(source, '/', doc_id, '.txt') AS file, 1 AS start, true AS numbered, true AS hashed, 'doc' AS file_kind, 'documentation' AS file_role FROM documents WHERE regexp_matches(text, '\\S') AND strlen(text) > 0")
+def chunk_rows(spark, d):
+    """All documents as rows of the fact table: where each begins, that its chunks are numbered from 0 on, and that ids and hashes are theirs."""
+    f = files.documents_as_files(read(spark, d, "documents"))
+    rows = chunking.rows(chunking.chunk_files(f), f)
+    whole = (F.min("chunk_index") == 0) & (F.max("chunk_index") == F.count("*") - 1) & (F.countDistinct("id") == F.count("*"))
+    return rows.groupBy("file").agg(F.min("start").alias("start"), whole.alias("numbered"), F.bool_and(F.col("hash") == F.sha1("content")).alias("hashed"), F.min("file_kind").alias("file_kind"), F.max("file_role").alias("file_role"))
+
+
 @query("SELECT concat('f', doc_id, '.zz') AS file, 'plugin' AS symbol, length(text) AS chars FROM documents")
 def plugin_chunks(spark, d):
     """Files of an extension that a registered chunker cuts."""

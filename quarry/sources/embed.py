@@ -158,10 +158,14 @@ def embed_column(df: DataFrame, embedder: Embedder, text: str = "content", to: s
     return df.mapInArrow(run, schema)
 
 
-def search(table: DataFrame, query: str, embedder: Embedder, k: int = 20, vector: str = "embedding", key: str = "vec_id", where: Column | None = None, least: float | None = None, cache: QueryCache | None = None, deadline_s: float = QUERY_DEADLINE_S, pattern: str | None = None, content: str = "content") -> DataFrame:
-    """The k rows nearest to a text: it is embedded (or taken from the cache), then more rows than k are fetched, and those
-    that a pattern or the least similarity refuse fall out. DeadlineExceeded if no vector is there in time."""
+def search(table: DataFrame, query: str, embedder: Embedder, k: int = 20, vector: str = "embedding", key: str = "vec_id", where: Column | None = None, least: float | None = None, cache: QueryCache | None = None, deadline_s: float = QUERY_DEADLINE_S, pattern: str | None = None, content: str = "content", compat: bool = False) -> DataFrame:
+    """The k rows nearest to a text, among those that fit a pattern: the text is embedded (or taken from the cache), then
+    more rows than k are fetched, and those that the least similarity refuses fall out. DeadlineExceeded if no vector is
+    there in time. With compat the pattern is looked for only among the rows that were fetched, as the reference does."""
     found = within(deadline_s, lambda: cache.vector(embedder, query) if cache else embedder.embed([query])[0])
+    if pattern is not None and not compat:
+        fits = T.matches(F.col(content), pattern)
+        where, pattern = (fits if where is None else fits & where), None
     hits = knn.top_k(table, [float(x) for x in found], ranking.over_fetch(k, "pattern" if pattern else "search"), vector, key, where)
     hits = hits if pattern is None else hits.filter(T.matches(F.col(content), pattern))
     hits = ranking.at_least(hits, least) if least is not None else hits
