@@ -20,7 +20,7 @@ from quarry.plans.catalogue import _C10, _COMPONENTS, _KNN, _LINES, _PATH, _SEG,
 from quarry.sources import embed, files, store
 from quarry.sources.trigrams import TrigramIndex
 from quarry.sources.vector_index import VectorIndex
-from quarry.streaming import watch
+from quarry.streaming import state, watch
 
 
 def shared(spark, name: str) -> str:
@@ -165,6 +165,20 @@ def watch_loop(spark, d):
     return s.read().join(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source"), "id").select("id", F.md5("content").alias("h"), F.col("source").alias("file"))
 
 
+@query(_SQL["latest_state"])
+def latest_state_stream(spark, d):
+    """The events as a stream of three files, one a batch: each key's state goes from batch to batch, and its last change counts."""
+    e, feed, out = read(spark, d, "events"), shared(spark, "events"), shared(spark, "changes")
+    e.repartition(3).write.parquet(feed)
+    changes = state.latest(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(feed), late="400 days")
+    keep = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+    with state.state_store(spark):
+        q = changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", shared(spark, "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = spark.read.parquet(out).groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "event_type"), "batch").alias("m"))
+    return last.select("user_id", "m.*")
+
+
 # sources
 
 

@@ -250,6 +250,16 @@ class Store:
         """A generation without rows of gone(key)."""
         return self._change(gone, key, None)
 
+    def add(self, new: DataFrame, marks: dict[str, int] | None = None) -> str:
+        """A generation with further rows."""
+
+        def work(layout: Layout, name: str) -> bool:
+            layout.schema = _merged(layout.schema, new.schema)
+            self._add(new, layout, name)
+            return True
+
+        return self._commit(work, marks)
+
     def maintain(self, split_bytes: int = SPLIT_BYTES, most_dead: float = MOST_DEAD, most_segments: int = MOST_SEGMENTS) -> str | None:
         """A generation in which large buckets are split and those of many dead rows or segments are written anew; None if there is nothing to do."""
 

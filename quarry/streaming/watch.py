@@ -34,24 +34,49 @@ class Backoff:
                 time.sleep(self.interval_s * 2 ** (self.failures - 1))
 
 
-def incremental_index(store: Store, chunk: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A step that replaces the chunks of a batch of files(path, text) in the store; the latest version of a path counts."""
+def incremental_index(store: Store, chunk: Callable[[DataFrame], DataFrame], feed: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A step that replaces the chunks of a batch of files(path, text) in the store; the latest version of a path counts.
 
-    def step(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
+    ``feed`` names the stream, and its checkpoint, in the store: the manifest that a batch makes records the batch's
+    number, so one that is handed over again after a crash is known and left out, and a build goes on where it stopped.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        if done(store, feed, number) or batch.isEmpty():
             return
         w = Window.partitionBy("path").orderBy(F.col("modified_ms").desc(), F.col("text"))
         latest = batch.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+        marks = {feed: number} if feed else None
         with store.lock():
             new = chunk(latest.filter("text IS NOT NULL"))
             if store.manifest() is None:
-                store.publish(store.write(new))
+                store.publish(store.write(new), marks=marks)
+            else:
+                store.replace_files(new, latest.select(F.col("path").alias("file")), marks=marks)
+
+    return step
+
+
+def appended(store: Store, feed: str, rows: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
+    """A step that adds a batch's rows to the store, once whatever happens: rows and the batch's number are one commit."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        if done(store, feed, number):
+            return
+        with store.lock():
+            if store.manifest() is None:
+                store.publish(store.write(rows(batch)), marks={feed: number})
             else:
-                store.replace_files(new, latest.select(F.col("path").alias("file")))
+                store.add(rows(batch), marks={feed: number})
 
     return step
 
 
+def done(store: Store, feed: str | None, number: int) -> bool:
+    """Whether the store has a batch of a feed already."""
+    return feed is not None and (store.manifest() or {}).get("marks", {}).get(feed, -1) >= number
+
+
 def watch(feed: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = INTERVAL) -> StreamingQuery:
     """Run step on every batch of a streaming feed; ticks that overlap are one batch. Without interval all there is now, then it ends."""
     writer = feed.writeStream.foreachBatch(Backoff(step)).option("checkpointLocation", checkpoint)
