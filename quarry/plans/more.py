@@ -182,21 +182,37 @@ def latest_state_stream(spark, d):
 # sources
 
 
-@query("""SELECT 'src/' || n_name || '.py' AS path, length('name = ' || n_name || chr(10)) AS size FROM nation WHERE n_nationkey % 5 <> 0
-UNION ALL SELECT 'src/keep_' || n_name || '.py', length('name = ' || n_name || chr(10)) FROM nation WHERE n_nationkey % 5 = 0""")
-def file_scan(spark, d):
-    """A small tree written from nation, with ignored folders and ignore files, read again."""
+_TREE = """SELECT 'src/' || n_name || '.py' AS path, length('name = ' || n_name || chr(10)) AS size FROM nation WHERE n_nationkey % 5 <> 0
+UNION ALL SELECT 'src/keep_' || n_name || '.py', length('name = ' || n_name || chr(10)) FROM nation WHERE n_nationkey % 5 = 0"""
+
+
+def _tree(spark, d) -> str:
+    """A small tree written from nation, with ignored folders and ignore files and files that begin with a dot."""
     jvm, root = spark.sparkContext._jvm, shared(spark, "tree")
     fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    tree = {".gitignore": "/docs/\n*.txt\nskip_*\n!keep_*\n", "src/.ignore": "gen/\n", "readme.txt": "x\n"}
+    tree = {".gitignore": "/docs/\n*.txt\nskip_*\n!keep_*\n", "src/.ignore": "gen/\n", "readme.txt": "x\n", ".git/config.py": "x = 1\n"}
     for r in read(spark, d, "nation").collect():  # 25 rows
         text = f"name = {r.n_name}\n"
-        tree |= {f"src/{'keep_' if r.n_nationkey % 5 == 0 else ''}{r.n_name}.py": text, f"docs/{r.n_name}.py": text, f"src/gen/{r.n_name}.py": text, f"node_modules/{r.n_name}.js": text, f"src/skip_{r.n_name}.py": text}
+        tree |= {f"src/{'keep_' if r.n_nationkey % 5 == 0 else ''}{r.n_name}.py": text, f"docs/{r.n_name}.py": text, f"src/gen/{r.n_name}.py": text, f"node_modules/{r.n_name}.js": text, f"src/skip_{r.n_name}.py": text, f".conf/.{r.n_name}.py": text}
     for path, text in tree.items():
         out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/{path}"), True)
         out.write(bytearray(text.encode()))
         out.close()
-    return files.file_tree(spark, root).select("path", "size")
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{path}").getParent().suffix(f"/.{path.rsplit('/', 1)[-1]}.crc"), False)
+    return root
+
+
+@query(_TREE)
+def file_scan(spark, d):
+    """A tree read again, without files that begin with a dot."""
+    return files.file_tree(spark, _tree(spark, d), hidden=False).select("path", "size")
+
+
+@query(f"{_TREE} UNION ALL SELECT '.conf/.' || n_name || '.py', length('name = ' || n_name || chr(10)) FROM nation UNION ALL SELECT unnest(['.gitignore', 'src/.ignore']), unnest([28, 5])")
+def file_scan_hidden(spark, d):
+    """The whole tree, but for what is ignored and version control's own files."""
+    found = files.file_tree(spark, _tree(spark, d))
+    return found.filter(~F.col("path").endswith(".crc")).select("path", "size")
 
 
 @query(rf"SELECT page_id, regexp_replace({_PATH}, '/', '//', 'g') <> '' AS there, {_PATH} AS path FROM pages")

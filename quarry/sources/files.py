@@ -14,15 +14,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import classify
+from quarry.sources import tree
 
 
-def file_tree(spark: SparkSession, root: str, glob: str | None = None, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+def file_tree(spark: SparkSession, root: str, glob: str | None = None, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), hidden: bool = True) -> DataFrame:
     """path, size, modified_ms, text of readable files under root that aren't ignored; paths are relative to root.
 
-    The listing and the reading are Spark's own, so root may be on any file system that it knows. Ignored files are
-    those of fixed folders and globs and of the rules in .gitignore, .ignore and .rgignore files; they are listed, but
-    their content is not read. ``include`` overrides the fixed ones only.
+    Folders are listed and files read by the executors, on every file system that Python reaches from them; on others
+    Spark lists the tree, without files whose names begin with a dot or an underscore. Ignored are fixed folders and
+    globs and what the rules in .gitignore, .ignore and .rgignore files say; what is ignored isn't read. ``include``
+    overrides the fixed ones only; without ``hidden`` files and folders are left out whose names begin with a dot.
     """
+    try:
+        tree.opened(root)
+    except ValueError:
+        return _listed_by_spark(spark, root, glob, include, exclude)
+    found = tree.listing(spark, root, hidden, () if include else classify.IGNORED_FOLDERS)
+    found = tree.named(found, glob) if glob else found
+    kept = found.filter((F.col("size") <= classify.MAX_BYTES) & ~classify.is_ignored(F.col("path"), include, exclude))
+    text = tree.contents(kept.repartition(F.col("path")), root).select("path", "size", "modified_ms", F.col("content").cast("string").alias("text"))
+    return text.filter(classify.is_readable(F.col("path"), F.col("text")))
+
+
+def _listed_by_spark(spark: SparkSession, root: str, glob: str | None, include: tuple[str, ...], exclude: tuple[str, ...]) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     full = F.regexp_replace("path", "^[a-z]+:/*", "/")
     top = "/" + root.split(":", 1)[-1].strip("/")
@@ -36,6 +50,7 @@ def file_tree(spark: SparkSession, root: str, glob: str | None = None, include:
         return spark.createDataFrame([], "path string, size long, modified_ms long, text string")
     raw = spark.read.format("binaryFile").load([p.replace("{", "?").replace("[", "?").replace("*", "?") for p in paths])
     text = raw.select(relative.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_ms"), F.col("content").cast("string").alias("text"))
+    text = text.join(kept.select("path"), "path", "left_semi")  # a name with a question mark may have brought in others
     return text.dropDuplicates(["path"]).filter(classify.is_readable(F.col("path"), F.col("text")))
 
 

@@ -22,7 +22,7 @@ def test_ignore_files(spark, tmp_path):
     for path, text in tree.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(text)
-    assert sorted(r.path for r in files.file_tree(spark, str(tmp_path)).collect()) == ["b.py", "src/a.py", "src/docs/r.py", "src/keep.tmp"]
+    assert sorted(r.path for r in files.file_tree(spark, str(tmp_path), hidden=False).collect()) == ["b.py", "src/a.py", "src/docs/r.py", "src/keep.tmp"]
     assert files.file_tree(spark, str(tmp_path / "node_modules")).count() == 1
 
 
