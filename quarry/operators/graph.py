@@ -72,6 +72,70 @@ def nodes(chunks: DataFrame) -> DataFrame:
     return merged.select(node.alias("node"), F.col("symbol").alias("name"), "file", "parent", "start", "end")
 
 
+def placed(chunks: DataFrame, n: DataFrame) -> DataFrame:
+    """chunks with src: the node that each is of, or a name of its own place where it has no symbol."""
+    own = n.select(F.col("node").alias("src"), F.col("file").alias("nf"), F.col("parent").alias("np"), F.col("name").alias("ns"), F.col("start").alias("n0"), F.col("end").alias("n1"))
+    c = chunks.withColumn("parent", F.coalesce("parent", F.lit(""))).withColumn("symbol", F.coalesce("symbol", F.lit("")))
+    out = c.join(own, (c["file"] == own["nf"]) & (c["parent"] == own["np"]) & (c["symbol"] == own["ns"]) & c["start"].between(F.col("n0"), F.col("n1")), "left")
+    return out.withColumn("called", calls(c)).withColumn("src", F.coalesce("src", F.concat_ws(":", "file", "start", "end", F.lit(""))))
+
+
+def wanted(chunks: DataFrame) -> DataFrame:
+    """src, file, target, kind: what placed chunks call and extend, by name."""
+    called = chunks.select("src", "file", F.explode("called").alias("target"), "content").select("src", "file", "target", edge_kind(F.col("target"), F.col("content")).alias("kind"))
+    bases = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?<![A-Za-z0-9_])extends\s+([A-Za-z_$][A-Za-z0-9_$]*)"), 1))
+    return called.unionByName(chunks.select("src", "file", F.explode(bases).alias("target"), F.lit("inheritance").alias("kind"))).distinct()
+
+
+def made(chunks: DataFrame) -> DataFrame:
+    """src, file, dst, kind: tables and modules that placed chunks use, which are nodes by themselves."""
+    tables = F.transform(F.regexp_extract_all("content", F.lit(r"(?<![A-Za-z0-9_])db\.(?:query|insert|patch|replace|delete|get)\s*\(\s*[\"']([^\"']+)[\"']"), 1), lambda t: F.concat(F.lit("table:"), t))
+    out = chunks.select("src", "file", F.explode(tables).alias("dst"), F.lit("schema-table").alias("kind"))
+    if "imports" in chunks.columns:
+        modules = F.filter(F.transform(F.split(F.coalesce("imports", F.lit("")), ","), lambda t: F.trim(t)), lambda i: i != "")
+        out = out.unionByName(chunks.select("src", "file", F.explode(F.transform(modules, lambda i: F.concat(F.lit("module:"), i))).alias("dst"), F.lit("import").alias("kind")))
+    return out
+
+
+def last_part(target: str = "target") -> Column:
+    """The name behind the last dot."""
+    return F.element_at(F.split(target, "[.]"), -1)
+
+
+def resolved(wants: DataFrame, definitions: DataFrame) -> DataFrame:
+    """wants with n2 (definitions of the name that counts), dst and confidence: the one definition of a name (high), or
+    the only one in the same file (medium); null where there is none or more. definitions: node, name, file."""
+    names = definitions.groupBy("name").agg(F.count("*").alias("n"), F.min("node").alias("only"))
+    in_file = definitions.groupBy("name", "file").agg(F.count("*").alias("n_here"), F.min("node").alias("here"))
+    full = wants.join(names.select(F.col("name").alias("target"), "n", "only"), "target", "left").withColumn("key", F.when(F.col("n").isNotNull() | (F.col("kind") == "inheritance"), F.col("target")).otherwise(last_part()))
+    last = names.select(F.col("name").alias("key"), F.col("n").alias("n2"), F.col("only").alias("only2"))
+    full = full.join(last, "key", "left").join(in_file.withColumnRenamed("name", "key"), ["key", "file"], "left")
+    return full.withColumn("dst", F.when(F.col("n2") == 1, F.col("only2")).when(F.col("n_here") == 1, F.col("here"))).withColumn("confidence", F.when(F.col("n2") == 1, "high").when(F.col("n_here") == 1, "medium"))
+
+
+def joined(found: DataFrame, own: DataFrame, *by: str) -> DataFrame:
+    """src, dst, kind, confidence (and by) of what was resolved and made, each edge once."""
+    every = found.filter("dst IS NOT NULL AND dst <> src").select(*by, "src", "dst", "kind", "confidence").unionByName(own.select(*by, "src", "dst", "kind", F.lit("high").alias("confidence")))
+    return every.groupBy(*by, "src", "dst", "kind").agg(F.min("confidence").alias("confidence"))
+
+
+def extra_nodes(own: DataFrame) -> DataFrame:
+    return own.select(F.col("dst").alias("node"), F.col("dst").alias("name"), F.col("dst").alias("file"), F.lit("").alias("parent"), F.lit(0).alias("start"), F.lit(0).alias("end")).distinct()
+
+
+def metrics(edges: DataFrame, missing: DataFrame) -> DataFrame:
+    """One row: resolved, unresolved, ambiguous, coverage. missing has one row of the middle two."""
+    totals = edges.agg(F.count("*").alias("resolved")).join(missing, how="cross")  # one row each
+    coverage = F.when(F.col("resolved") + F.col("unresolved") + F.col("ambiguous") == 0, F.lit(1.0)).otherwise(F.col("resolved") / (F.col("resolved") + F.col("unresolved") + F.col("ambiguous")))
+    return totals.withColumn("coverage", coverage)
+
+
+def missing(found: DataFrame, *by: str) -> DataFrame:
+    """unresolved and ambiguous (for each by) of resolved wants."""
+    counts = F.count_if(F.col("dst").isNull() & (F.coalesce("n2", F.lit(0)) == 0)).alias("unresolved"), F.count_if(F.col("dst").isNull() & (F.col("n2") > 1)).alias("ambiguous")
+    return found.groupBy(*by).agg(*counts) if by else found.agg(*counts)
+
+
 def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges (src, dst, kind, confidence) and one row of metrics.
 
@@ -80,31 +144,10 @@ def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunk_id, file, start, end, symbol, parent, content and, if there, calls and imports.
     """
     n = written(nodes(chunks))
-    own = n.select(F.col("node").alias("src"), F.col("file").alias("nf"), F.col("parent").alias("np"), F.col("name").alias("ns"), F.col("start").alias("n0"), F.col("end").alias("n1"))
-    c = chunks.withColumn("parent", F.coalesce("parent", F.lit(""))).withColumn("symbol", F.coalesce("symbol", F.lit("")))
-    placed = c.join(own, (c["file"] == own["nf"]) & (c["parent"] == own["np"]) & (c["symbol"] == own["ns"]) & c["start"].between(F.col("n0"), F.col("n1")), "left")
-    placed = placed.withColumn("src", F.coalesce("src", F.concat_ws(":", "file", "start", "end", F.lit(""))))
-    called = placed.select("src", "file", F.explode(calls(c)).alias("target"), "content").select("src", "file", "target", edge_kind(F.col("target"), F.col("content")).alias("kind"))
-    bases = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?<![A-Za-z0-9_])extends\s+([A-Za-z_$][A-Za-z0-9_$]*)"), 1))
-    inherited = placed.select("src", "file", F.explode(bases).alias("target"), F.lit("inheritance").alias("kind"))
-    wanted = called.unionByName(inherited).distinct()
-    names = n.groupBy("name").agg(F.count("*").alias("n"), F.min("node").alias("only"))
-    in_file = n.groupBy("name", "file").agg(F.count("*").alias("n_here"), F.min("node").alias("here"))
-    full = wanted.join(names.select(F.col("name").alias("target"), "n", "only"), "target", "left").withColumn("key", F.when(F.col("n").isNotNull() | (F.col("kind") == "inheritance"), F.col("target")).otherwise(F.element_at(F.split("target", "[.]"), -1)))
-    last = names.select(F.col("name").alias("key"), F.col("n").alias("n2"), F.col("only").alias("only2"))
-    full = full.join(last, "key", "left").join(in_file.withColumnRenamed("name", "key"), ["key", "file"], "left")
-    found = full.withColumn("dst", F.when(F.col("n2") == 1, F.col("only2")).when(F.col("n_here") == 1, F.col("here"))).withColumn("confidence", F.when(F.col("n2") == 1, "high").when(F.col("n_here") == 1, "medium"))
-    made = placed.select("src", F.explode(F.transform(F.regexp_extract_all("content", F.lit(r"(?<![A-Za-z0-9_])db\.(?:query|insert|patch|replace|delete|get)\s*\(\s*[\"']([^\"']+)[\"']"), 1), lambda t: F.concat(F.lit("table:"), t))).alias("dst"), F.lit("schema-table").alias("kind"))
-    if "imports" in chunks.columns:
-        modules = F.filter(F.transform(F.split(F.coalesce("imports", F.lit("")), ","), lambda t: F.trim(t)), lambda i: i != "")
-        made = made.unionByName(placed.select("src", F.explode(F.transform(modules, lambda i: F.concat(F.lit("module:"), i))).alias("dst"), F.lit("import").alias("kind")))
-    resolved = found.filter("dst IS NOT NULL AND dst <> src").select("src", "dst", "kind", "confidence").unionByName(made.withColumn("confidence", F.lit("high")))
-    edges = resolved.groupBy("src", "dst", "kind").agg(F.min("confidence").alias("confidence"))
-    extra = made.select(F.col("dst").alias("node"), F.col("dst").alias("name"), F.col("dst").alias("file"), F.lit("").alias("parent"), F.lit(0).alias("start"), F.lit(0).alias("end")).distinct()
-    missing = found.agg(F.count_if(F.col("dst").isNull() & (F.coalesce("n2", F.lit(0)) == 0)).alias("unresolved"), F.count_if(F.col("dst").isNull() & (F.col("n2") > 1)).alias("ambiguous"))
-    totals = edges.agg(F.count("*").alias("resolved")).join(missing, how="cross")  # one row each
-    coverage = F.when(F.col("resolved") + F.col("unresolved") + F.col("ambiguous") == 0, F.lit(1.0)).otherwise(F.col("resolved") / (F.col("resolved") + F.col("unresolved") + F.col("ambiguous")))
-    return n.unionByName(extra), edges, totals.withColumn("coverage", coverage)
+    at = placed(chunks, n)
+    own, found = made(at), resolved(wanted(at), n)
+    edges = joined(found, own)
+    return n.unionByName(extra_nodes(own)), edges, metrics(edges, missing(found))
 
 
 def extracted(rows: DataFrame, src: str, content: str, pattern: str) -> DataFrame:

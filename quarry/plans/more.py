@@ -18,6 +18,7 @@ from quarry.operators import chunking, duplicates, evaluate, graph, groups, knn,
 from quarry.operators.predicate import Condition as C
 from quarry.plans.catalogue import _C10, _COMPONENTS, _KNN, _LINES, _PATH, _SEG, _SIM, _TOK, QUERY, _chunks10, _SQL, _paths, first_vector, query, r6, read
 from quarry.sources import embed, files, store
+from quarry.sources.graph_index import GraphIndex
 from quarry.sources.trigrams import TrigramIndex
 from quarry.sources.vector_index import VectorIndex
 from quarry.streaming import state, watch
@@ -253,6 +254,30 @@ def set_union(spark, d):
     return files.union_of(docs.filter("lang = 'en'").select("doc_id"), read(spark, d, "labels").filter("quality = 1").select("doc_id"), docs.filter("source = 'src2'").select("doc_id"))
 
 
+@query("SELECT 'n' || n_nationkey || '.py' AS path FROM nation WHERE n_nationkey % 5 < 3")
+def git_changed(spark, d):
+    """A work tree of a file a nation: some changed in a branch's commit, some in the tree, some new; others as they were or gone."""
+    import subprocess
+
+    names = {r.n_nationkey: r.n_name for r in read(spark, d, "nation").collect()}  # 25 rows
+    with tempfile.TemporaryDirectory() as root:  # on the driver, where work trees are
+        git = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=q", "-c", "user.email=q@localhost", "-c", "commit.gpgsign=false", *a], check=True, capture_output=True)
+        put = lambda keys, text: [(files.Path(root) / f"n{k}.py").write_text(f"{text} = '{names[k]}'\n") for k in names if k % 5 in keys]
+        git("init", "-q", "-b", "main")
+        put((0, 1, 3, 4), "a")
+        git("add", "-A")
+        git("commit", "-qm", "first")
+        git("checkout", "-qb", "work")
+        put((0,), "b")
+        git("commit", "-qam", "second")
+        put((1,), "c")
+        put((2,), "d")
+        for k in names:
+            if k % 5 == 4:
+                (files.Path(root) / f"n{k}.py").unlink()
+        return graph.written(files.changed_files(spark, root, "main"))
+
+
 @query("SELECT doc_id, 128 AS dimension, 'm2' AS model FROM documents WHERE source IN ('src1', 'src3')")
 def configuration(spark, d):
     """Documents of the sources that a configuration includes: a file, the environment's absence and flags, in their order."""
@@ -638,6 +663,26 @@ def graph_metrics(spark, d):
     return graph.build(_calls(spark, d))[2].withColumn("coverage", r6("coverage"))
 
 
+def _kept_graph(spark, d) -> GraphIndex:
+    """The graph of half of the files, which then takes in the others and some of the first once more."""
+    chunks = _calls(spark, d)
+    first, index = F.pmod(F.xxhash64("file"), F.lit(2)) == 0, GraphIndex(spark, shared(spark, "graph"))
+    index.build(chunks.filter(first))
+    again = ~first | (F.pmod(F.xxhash64("file"), F.lit(10)) == 0)
+    index.update(chunks.filter(again), chunks.filter(again).select("file"))
+    return index
+
+
+@query(_SQL["graph_build"])
+def graph_kept(spark, d):
+    return _kept_graph(spark, d).edges()
+
+
+@query(_SQL["graph_metrics"])
+def graph_kept_metrics(spark, d):
+    return _kept_graph(spark, d).metrics().withColumn("coverage", r6("coverage"))
+
+
 @query(f"WITH {_GRAPH} SELECT node FROM c WHERE file = 'n3' AND k BETWEEN 5 AND 80")
 def graph_range(spark, d):
     return graph.selected(graph.nodes(_calls(spark, d)), "n3", 5, 80).select("node")
@@ -854,6 +899,41 @@ def semantic_kinds(spark, d):
     return rows.select("doc_id", chunking.semantic_kind(by("a.ts", "a.ts", "app/route.ts"), by("useThing", "list", "GET"), F.lit("function"), by("f", "export const list = query({", "export async function GET() {")).alias("kind"))
 
 
+_KIND_ROWS = [  # path, symbol, type and content of each kind, in which ID stands for a document's id
+    ("app/route.ts", "POST", "function", "export async function POST() { return ID }", "routeHandler"),
+    ("a.ts", "saveID", "variable", "export const saveID = internalMutation({", "convexInternalMutation"),
+    ("a.ts", "runID", "variable", "const runID = internalAction ({", "convexInternalAction"),
+    ("a.ts", "listID", "variable", "let listID = internalQuery({", "convexInternalQuery"),
+    ("a.ts", "hookID", "variable", "export const hookID = httpAction({", "convexHttpAction"),
+    ("a.ts", "addID", "variable", "export const addID=mutation({", "convexMutation"),
+    ("a.ts", "doID", "variable", "export const doID = action({", "convexAction"),
+    ("a.ts", "getID", "variable", "export const getID = query({", "convexQuery"),
+    ("a.ts", "useThingID", "function", "function useThingID() {}", "reactHook"),
+    ("a.tsx", "CardID", "function", "function CardID() { return (<p>ID</p>) }", "reactComponent"),
+    ("a.ts", "safeID", "variable", "const safeID = wrap(() => ID)", "wrappedFunction"),
+    ("app/router.ts", "POST", "function", "export async function POST() { return ID }", None),
+    ("a.ts", "useThingID", "class", "class useThingID {}", None),
+]
+
+
+@query(f"SELECT doc_id, ([{', '.join('NULL' if r[-1] is None else repr(r[-1]) for r in _KIND_ROWS)}])[doc_id % {len(_KIND_ROWS)} + 1] AS kind FROM documents")
+def semantic_kinds_of_all(spark, d):
+    """Every kind, and rows that are close to one, with the document's id in their names."""
+    place = (F.col("doc_id") % len(_KIND_ROWS)).cast("int")
+    part = lambda i: F.replace(F.get(F.array(*(F.lit(r[i]) for r in _KIND_ROWS)), place), F.lit("ID"), F.col("doc_id").cast("string"))
+    return read(spark, d, "documents").select("doc_id", chunking.semantic_kind(*(part(i) for i in range(4))).alias("kind"))
+
+
+@query("""WITH m AS (SELECT doc_id % 7 AS cluster, 'load ' || lang AS phrase FROM documents), n AS (SELECT cluster, phrase, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, phrase) AS r FROM m GROUP BY ALL)
+SELECT cluster, (['middleware / guards', 'stores / state', 'services / api', 'types / contracts', 'composables / hooks', 'endpoints / routing', 'persistence / data'])[cluster + 1] || ' / ' || phrase AS title FROM n WHERE r = 1""")
+def cluster_titles_named(spark, d):
+    """Documents in folders of seven domains with a symbol by their language; a few lie elsewhere."""
+    folder = F.get(F.array(*map(F.lit, ("guards", "state", "clients", "dtos", "composables", "routers", "database"))), (F.col("doc_id") % 7).cast("int"))
+    own = F.when(F.col("doc_id") % 35 < 7, F.lit("pages")).otherwise(folder)
+    rows = read(spark, d, "documents").select((F.col("doc_id") % 7).alias("cluster"), F.concat(F.lit("src/"), own, F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("file"), F.concat(F.lit("load"), F.initcap("lang")).alias("symbol"))
+    return groups.cluster_titles(rows)
+
+
 @query(f"""WITH RECURSIVE {_GRAPH}, h AS (SELECT node, name, k FROM c ORDER BY CASE WHEN k BETWEEN 41 AND 59 THEN k ELSE -1 END DESC, file, k LIMIT 3) SELECT DISTINCT h.name AS symbol, e.src, e.kind FROM h JOIN e ON e.dst = h.node""")
 def investigate(spark, d):
     """References of the strongest symbols of a search, the step after it."""
