@@ -16,6 +16,7 @@ from quarry.functions import text as T
 from quarry.functions import vectors as V
 from quarry.operators import chunking, duplicates, evaluate, graph, groups, knn, lexical, predicate, ranking, render
 from quarry.operators.predicate import Condition as C
+from quarry.ship import ship
 from quarry.sources import embed, files, store
 from quarry.streaming import watch
 
@@ -37,6 +38,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

@@ -924,11 +924,11 @@ def semantic_kinds_of_all(spark, d):
     return read(spark, d, "documents").select("doc_id", chunking.semantic_kind(*(part(i) for i in range(4))).alias("kind"))
 
 
-@query("""WITH m AS (SELECT doc_id % 7 AS cluster, 'load ' || lang AS phrase FROM documents), n AS (SELECT cluster, phrase, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, phrase) AS r FROM m GROUP BY ALL)
+@query("""WITH m AS (SELECT doc_id % 7 AS cluster, 'load ' || lang AS phrase FROM documents), n AS (SELECT cluster, phrase, row_number() OVER (PARTITION BY cluster ORDER BY c DESC, phrase) AS r FROM (SELECT cluster, phrase, count(*) AS c FROM m GROUP BY cluster, phrase))
 SELECT cluster, (['middleware / guards', 'stores / state', 'services / api', 'types / contracts', 'composables / hooks', 'endpoints / routing', 'persistence / data'])[cluster + 1] || ' / ' || phrase AS title FROM n WHERE r = 1""")
 def cluster_titles_named(spark, d):
     """Documents in folders of seven domains with a symbol by their language; a few lie elsewhere."""
-    folder = F.get(F.array(*map(F.lit, ("guards", "state", "clients", "dtos", "composables", "routers", "database"))), (F.col("doc_id") % 7).cast("int"))
+    folder = F.get(F.array(*map(F.lit, ("guards", "state", "clients", "dtos", "composables", "router", "database"))), (F.col("doc_id") % 7).cast("int"))
     own = F.when(F.col("doc_id") % 35 < 7, F.lit("pages")).otherwise(folder)
     rows = read(spark, d, "documents").select((F.col("doc_id") % 7).alias("cluster"), F.concat(F.lit("src/"), own, F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("file"), F.concat(F.lit("load"), F.initcap("lang")).alias("symbol"))
     return groups.cluster_titles(rows)
