@@ -409,6 +409,10 @@ class Store:
         layout.changed = set()
         self._put(f"{generation}/_map.json", json.dumps({"schema": layout.schema, "pages": layout.pages}))
 
+    def own_buckets(self, generation: str) -> list[int]:
+        """The buckets of which a generation has written segments itself; the others' are older."""
+        return [b for b, found in self._layout(generation).buckets.items() if any(s["path"].startswith(f"{generation}/") for s in found["segments"])]
+
     def generations(self) -> DataFrame:
         """generation, modified_ms, active."""
         active = (self.manifest() or {}).get("generation")

@@ -29,10 +29,10 @@ def test_ignore_files(spark, tmp_path):
 def test_a_change_writes_only_its_buckets(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "t"))
     rows = spark.range(300).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("content"), F.concat(F.lit("f"), (F.col("id") % 100).cast("string")).alias("file"), F.lit(1).alias("start"), F.lit(1).alias("end"))
-    first = s.write(rows)
+    first = s.write(rows, depth=6)
     s.publish(first)
     last = s.replace_files(rows.filter("file = 'f7'").withColumn("content", F.lit("new")), spark.createDataFrame([("f7",)], "file string"))
-    assert len(s._own(last)) == 1 and len(s._own(first)) > 20
+    assert len(s.own_buckets(last)) == 1 and len(s.own_buckets(first)) > 20
     got = s.read()
     assert got.count() == 300 and got.filter("content = 'new'").count() == 3
     assert sorted(s.collect_garbage(0, 0.0, 1 << 50)) == [first] and s.read().count() == 300
