@@ -190,7 +190,8 @@ class Store:
         """Make a generation the one that readers see: the next manifest, created only if it isn't there.
 
         ``expected`` is the version that the generation was made from; if others have published since, that is a Conflict.
-        Without it the generation follows whatever is there. ``marks`` are numbers that later manifests keep.
+        Without it the generation follows whatever is there. ``marks`` are numbers that later manifests keep, and
+        they keep ``metric``, what the vectors' distances are measured by, until another one is given.
         """
         for _ in range(ATTEMPTS):
             before = self.manifest() or {"version": 0}
@@ -200,7 +201,7 @@ class Store:
             kept = dict(before.get("marks", {}))
             for k, v in (marks or {}).items():
                 kept[k] = max(v, kept.get(k, v))
-            entry = {"version": before["version"] + 1, "generation": generation, "updated_ms": int(time.time() * 1000), "fence": self._token or before.get("fence", 0), "marks": kept, **more}
+            entry = {"version": before["version"] + 1, "generation": generation, "updated_ms": int(time.time() * 1000), "fence": self._token or before.get("fence", 0), "marks": kept, "metric": before.get("metric", "cosine"), **more}
             if self._put_once(f"_log/{entry['version']:012d}.json", json.dumps(entry)):
                 for v in self._versions()[:-LOG]:
                     self._fs.delete(self._at(f"_log/{v:012d}.json"), False)

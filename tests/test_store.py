@@ -246,6 +246,9 @@ def test_manifests_are_trimmed_and_marks_stay(spark, tmp_path, monkeypatch):
     for i in range(6):
         s.publish(name, marks={"feed": 5 - i})
     assert s._versions() == [4, 5, 6] and s.manifest()["marks"] == {"feed": 5}
+    s.publish(name, metric="dot")
+    s.upsert(rows(spark, ("b", "y", "b", 1, 1)))
+    assert s.manifest()["metric"] == "dot" and s.manifest()["version"] == 8
 
 
 def test_difference_and_plan(spark):
