@@ -12,9 +12,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import statements
+
 # Sizes in tokens of four characters; the smaller ones are for models with a short input.
 CHARS, SAFETY = 4, 0.85
 TARGETS = {"simple": 1800, "medium": 1200, "complex": 800, "max": 2200, "min": 50, "overlap": 96}
@@ -32,11 +35,15 @@ _BOUNDARY = re.compile("|".join(f"(?:{b})" for b in BOUNDARIES))
 
 @dataclass(frozen=True)
 class Limits:
-    """Characters of a chunk."""
+    """Characters of a chunk; sizes are those of code that branches little, more and much."""
 
     max: int
     min: int
     overlap: int
+    sizes: tuple[int, int, int] = ()
+
+    def fitting(self, score: int) -> int:
+        return (self.sizes[0] if score < 5 else self.sizes[1] if score < 15 else self.sizes[2]) if self.sizes else self.max
 
 
 def limits(model: str = "", provider: str = "", max_tokens: int | None = None) -> Limits:
@@ -44,7 +51,8 @@ def limits(model: str = "", provider: str = "", max_tokens: int | None = None) -
     usable = max(1, int(known * SAFETY))
     t = SMALL_TARGETS if usable < TARGETS["max"] else TARGETS
     most = min(t["max"], usable)
-    return Limits(most * CHARS, min(t["min"], most) * CHARS, max(1, min(t["overlap"], int(most * 0.15))) * CHARS)
+    sizes = tuple(min(t[k], most) * CHARS for k in ("simple", "medium", "complex"))
+    return Limits(most * CHARS, min(t["min"], most) * CHARS, max(1, min(t["overlap"], int(most * 0.15))) * CHARS, sizes)
 
 
 @dataclass(frozen=True)
@@ -69,6 +77,7 @@ class Chunk:
     decorators: tuple[str, ...] = ()
     imports: tuple[str, ...] = ()
     calls: tuple[str, ...] = ()
+    score: int = 0  # branches as the language's definition counts them, from 0
 
 
 @dataclass(frozen=True)
@@ -221,7 +230,7 @@ def python_parsed(content: str, lim: Limits, least: int = 50) -> Parsed:
                     Chunk(
                         body, start, n.end_lineno, "code", n.name, kind, variant, parent, depth, not n.name.startswith("_"), isinstance(n, ast.AsyncFunctionDef),
                         variant in ("staticmethod", "classmethod"), variant == "abstract" or any(d.endswith("abstractmethod") for d in decorators),
-                        ast.get_docstring(n) is not None, python_complexity(n), tuple(f"@{d}" for d in decorators),
+                        ast.get_docstring(n) is not None, python_complexity(n), tuple(f"@{d}" for d in decorators), score=statements.python_score(n),
                     )
                 )
             if not is_class and n.end_lineno > max(n.lineno, n.body[0].lineno - 1):
@@ -346,9 +355,29 @@ def used_imports(code: str, imports: dict[str, list[str]]) -> tuple[str, ...]:
     return tuple(m for m, names in imports.items() if not names or any(re.search(rf"(?<![\w$]){re.escape(n)}(?![\w$])", code) for n in names))
 
 
-def brace_parsed(content: str, lim: Limits, least: int = 20, first_line: int = 1) -> Parsed:
-    """Top-level declarations of TypeScript, JavaScript or Java, and the members of classes, interfaces and namespaces."""
+#: A field of a Java class: modifiers, a type and names, with or without values.
+_FIELD = re.compile(rf"(?P<deco>(?:@[\w.]+(?:\([^()\n]*\))?\s+)*){_MODIFIERS}(?P<type>[\w$][\w$.]*(?:\s*<[^;=()]*>)?(?:\s*\[\])*)\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?:[=,\[][^;]*)?;")
+
+
+def merged(chunks: list[Chunk], most: int = 200) -> list[Chunk]:
+    """Small declarations of variables that aren't exported go to the front of the next chunk if that names them."""
+    out: list[Chunk] = []
+    for c in chunks:
+        d = out[-1] if out else None
+        if d and d.symbol and d.variant in ("const", "arrow") and not d.exported and not d.parent and len(d.content) <= most and d.symbol in c.content:
+            out[-1] = replace(c, content=f"{d.content}\n\n{c.content}", start=min(d.start, c.start))
+        else:
+            out.append(c)
+    return out
+
+
+def brace_parsed(content: str, lim: Limits, first_line: int = 1, java: bool = False) -> Parsed:
+    """Top-level declarations of TypeScript, JavaScript or Java, and the members of classes, interfaces and namespaces.
+
+    But for Java, what is larger than its branches let it be is cut: functions, methods and namespaces by statements, classes
+    before their first method; and small variables are merged with the chunk behind them."""
     code, out, imports = blanked(content), Parsed(), import_list(content)
+    least = 20 if java else 1  # a fixed value
     line_of = lambda at: first_line + content.count("\n", 0, at)
 
     def add(m: re.Match, at: int, end: int, name: str, kind: str, variant: str, parent: str, depth: int) -> None:
@@ -356,11 +385,21 @@ def brace_parsed(content: str, lim: Limits, least: int = 20, first_line: int = 1
         body = content[begin : end + 1]
         words = set(m["mods"].split())
         documented = content[:begin].rstrip().endswith("*/")
-        if len(body) >= least:
+        score = statements.score(code[begin : end + 1], "java" if java else "indexer")
+        most, pieces = lim.fitting(score), [(body, line_of(begin), line_of(end))]
+        if not java and len(body) > most and code[at] == "{":
+            if kind in ("function", "method", "module"):
+                pieces = [(t, x + first_line, y + first_line) for t, x, y in statements.dealt(content, code, begin, at, end, name, most)]
+            elif kind == "class" and (first := next((x for x in _MEMBER.finditer(code, at + 1, end) if x["name"] not in _NO_MEMBER), None)):
+                cut = first.start() + len(first[0]) - len(first[0].lstrip())
+                cut = content.rfind("\n", 0, cut) + 1
+                if cut > begin:
+                    pieces = [(content[begin : cut - 1], line_of(begin), line_of(cut - 1))]
+        for text, x, y in pieces if len(body) >= least else ():
             out.chunks.append(
                 Chunk(
-                    body, line_of(begin), line_of(end), "code", name, kind, variant, parent, depth, bool({"export", "public"} & words), "async" in words or bool(re.match(r"[^{]*=\s*async\b", body)),
-                    "static" in words, "abstract" in words, documented, brace_complexity(body), tuple(re.findall(r"@[\w.]+", m["deco"] or "")), used_imports(body, imports), tuple(call_targets(body)),
+                    text, x, y, "code", name, kind, variant, parent, depth, bool({"export", "public"} & words), "async" in words or bool(re.match(r"[^{]*=\s*async\b", body)),
+                    "static" in words, "abstract" in words, documented, brace_complexity(body), tuple(re.findall(r"@[\w.]+", m["deco"] or "")), used_imports(text, imports), tuple(call_targets(text)), score,
                 )
             )
         if kind in ("function", "method") and line_of(end) > line_of(at):
@@ -375,9 +414,8 @@ def brace_parsed(content: str, lim: Limits, least: int = 20, first_line: int = 1
             end = matching(code, brace) if opened else (semicolon if semicolon >= 0 else b - 1)
             if kind == "var":
                 arrow = re.match(r"\s*(?:async\s*)?(?:function\b|\(|[\w$]+\s*=>)", code[m.end() :]) is not None
-                if opened and (semi := code.find(";", end, b)) >= 0 and not code[end + 1 : semi].strip(" )],\n\t"):
-                    end = semi
-                add(m, brace if opened else m.start(), end, name, "function" if arrow else "variable", "arrow" if arrow else "const", parent, depth)
+                end = next((y - 1 for _, y in statements.statements(code, m.start("var"), b, 1)), end)
+                add(m, brace if opened and brace < end else m.start(), end, name, "function" if arrow else "variable", "arrow" if arrow else "const", parent, depth)
             elif kind.startswith("function"):
                 add(m, max(brace, m.start()), end, name, "function", "async" if "async" in m["mods"] else "function", parent, depth)
             else:
@@ -397,8 +435,12 @@ def brace_parsed(content: str, lim: Limits, least: int = 20, first_line: int = 1
                 variant = next((w for w in ("static", "abstract", "async") if w in m["mods"].split()), "constructor" if m["name"] in ("constructor", parent) else "method")
                 add(m, brace, end, m["name"], "method", variant, parent, depth)
             at = end + 1
+        for x, y in statements.statements(code, a, b) if java else ():
+            if (m := _FIELD.fullmatch(code, x, y)) and m["type"] not in ("return", "throw", "package", "import"):
+                add(m, x, y - 1, m["name"], "variable", "field", parent, depth)
 
     scan(0, len(content), "", 0)
+    out.chunks = sorted(out.chunks, key=lambda c: (c.start, -c.end)) if java else merged(out.chunks)
     out.chunks = [p for c in out.chunks for p in split_oversized(c, lim)]
     return out
 
@@ -461,7 +503,7 @@ def parse(path: str, content: str, lim: Limits | None = None, plugins: dict[str,
         elif re.search(r"\.(test|spec)\.[cm]?[jt]sx?$", name):
             out = Parsed(test_chunks(content, lim), brace_parsed(content, lim).regions)
         elif ext in (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".java"):
-            out = brace_parsed(content, lim)
+            out = brace_parsed(content, lim, java=ext == ".java")
     except (SyntaxError, ValueError, RecursionError):
         out = Parsed()
     if not out.chunks:
@@ -473,7 +515,7 @@ def parse(path: str, content: str, lim: Limits | None = None, plugins: dict[str,
 
 _SCHEMA = (
     "file string, chunk_index int, content string, start int, end int, type string, symbol string, symbol_type string, variant string, parent string, depth int, exported boolean, "
-    "is_async boolean, is_static boolean, is_abstract boolean, documented boolean, complexity int, decorators array<string>, imports array<string>, calls array<string>"
+    "is_async boolean, is_static boolean, is_abstract boolean, documented boolean, complexity int, decorators array<string>, imports array<string>, calls array<string>, score int"
 )
 _REGIONS = "file string, type string, name string, start int, end int, signature_end int, indentation string"
 
@@ -483,8 +525,6 @@ def chunk_files(files: DataFrame, lim: Limits | None = None, path: str = "path",
     lim, plugins = lim or limits(), dict(_PLUGINS)  # the driver's go along to the workers
 
     def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
         for frame in frames:
             rows = [{"file": p, "chunk_index": i, **asdict(c)} for p, t in zip(frame[path], frame[text], strict=True) for i, c in enumerate(parse(p or "", t or "", lim, plugins).chunks)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
@@ -492,13 +532,22 @@ def chunk_files(files: DataFrame, lim: Limits | None = None, path: str = "path",
     return files.select(path, text).mapInPandas(run, _SCHEMA)
 
 
+def scored(chunks: DataFrame, definition: str, content: str = "content") -> DataFrame:
+    """chunks with score by another definition of statements.score: indexer, language or java; 0 for null."""
+    statements.score("", definition)  # an unknown one is an error here, not in a task
+
+    @F.pandas_udf("int")
+    def branches(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: statements.score(blanked(t or ""), definition)).astype("int32")
+
+    return chunks.withColumn("score", branches(content))
+
+
 def fold_regions(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """One row a region that can be folded."""
     plugins = dict(_PLUGINS)
 
     def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
         for frame in frames:
             rows = [{"file": p, **asdict(r)} for p, t in zip(frame[path], frame[text], strict=True) for r in parse(p or "", t or "", None, plugins).regions]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _REGIONS.split(", ")])
@@ -555,9 +604,17 @@ def keywords(content: Column, name: Column | None = None) -> Column:
     return F.concat(F.array_compact(F.array(named)), params, single, F.array_compact(F.array(listed("calls:", calls), listed("types:", types), listed("imports:", modules))))
 
 
+def import_lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """file, module, line: ES imports that give names, over several lines too, as lines for with_header."""
+    found = F.regexp_extract_all(text, F.lit(r"""(?m)^[ \t]*(import\s+[\w$*{}\s,]+?\sfrom\s*['"][^'"\n]+['"];?)"""), 1)
+    line = F.regexp_replace(F.col("__line"), r"\s*\n\s*", " ")
+    each = files.select(F.col(path).alias("file"), F.explode(found).alias("__line"))
+    return each.select("file", F.regexp_extract("__line", r"""['"]([^'"]+)['"];?$""", 1).alias("module"), line.alias("line"))
+
+
 def with_header(chunks: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """chunks with contextual: comment lines that tell file, type, name, exported and keywords, then the import lines of the
-    modules that the chunk uses (imports: file, module, line), then the content."""
+    modules that the chunk uses (imports: file, module, line; lines of one module in their own order), then the content."""
     words = keywords(F.col("content"), F.col("symbol"))
     head = F.concat(
         F.lit("// File: "), F.regexp_replace("file", r"\\", "/"), F.lit("\n// Type: "), "symbol_type", F.when(F.col("symbol") != "", F.concat(F.lit("\n// Name: "), "symbol")).otherwise(""),
@@ -565,8 +622,8 @@ def with_header(chunks: DataFrame, imports: DataFrame | None = None) -> DataFram
     )
     if imports is None:
         return chunks.withColumn("contextual", F.concat(head, "content"))
-    lines = imports.groupBy("file").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("module", "line")))).alias("__lines"))
-    used = F.filter(F.transform("imports", lambda m: F.element_at("__lines", m)), lambda x: x.isNotNull())
+    lines = imports.groupBy("file").agg(F.sort_array(F.collect_set(F.struct("module", "line"))).alias("__lines"))
+    used = F.flatten(F.transform("imports", lambda m: F.transform(F.filter("__lines", lambda x: x["module"] == m), lambda x: x["line"])))
     own = F.when(F.size(used) > 0, F.concat(F.array_join(used, "\n"), F.lit("\n\n"))).otherwise("")
     return chunks.join(lines, "file", "left").withColumn("contextual", F.concat(head, F.coalesce(own, F.lit("")), "content")).drop("__lines")
 

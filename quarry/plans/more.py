@@ -1044,3 +1044,69 @@ def plugin_chunks(spark, d):
     chunking.register([".zz"], whole, replace_known=True)
     f = read(spark, d, "documents").filter("trim(text) <> ''").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".zz")).alias("path"), "text")
     return chunking.chunk_files(f).select("file", "symbol", F.length("content").alias("chars"))
+
+
+#: Functions of 20 to 139 statements of 100 characters that branch never, eight times or always, so that they may have 7,200, 4,800 or 3,200 characters.
+_LONG = """d AS (SELECT doc_id AS i, 20 + doc_id % 120 AS n, CASE doc_id % 3 WHEN 0 THEN 7200 WHEN 1 THEN 4800 ELSE 3200 END AS most, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 8 ELSE 20 + doc_id % 120 END AS b, concat('export function big', doc_id, '(x) {') AS sig FROM documents),
+ s AS (SELECT *, list_transform(range(n), lambda k: concat(rpad(concat(CASE WHEN k < b THEN '  if (q' ELSE '  const v' END, lpad(k::VARCHAR, 3, '0'), CASE WHEN k < b THEN ') call("' ELSE ' = call("' END), 98, 'x'), '")')) AS st, (most - length(sig)) // 100 AS g, length(sig) + n * 101 + 2 > most AS cut FROM d),
+ j AS (SELECT *, unnest(range(CASE WHEN cut THEN (n + g - 1) // g ELSE 1 END)) AS j, CASE WHEN cut THEN (n + g - 1) // g ELSE 1 END AS m FROM s)"""
+
+
+@query(f"""WITH {_LONG} SELECT concat('f', i, '.ts') AS file, j::INT AS chunk_index, CASE WHEN cut THEN 2 + j * g ELSE 1 END AS start, CASE WHEN j = m - 1 THEN n + 2 ELSE 1 + (j + 1) * g END AS "end", b AS score, md5(concat(CASE WHEN j > 0 AND j < m - 1 THEN concat('// Context: big', i, chr(10), chr(10)) ELSE '' END, sig, chr(10),
+ CASE WHEN j > 0 THEN concat('// ... previous:', chr(10), array_to_string(list_transform(st[j * g - 2:j * g], lambda t: concat('//   ', left(trim(t), 57), '...', chr(10))), '')) ELSE '' END, array_to_string(CASE WHEN cut THEN st[j * g + 1:(j + 1) * g] ELSE st END, chr(10)), CASE WHEN j = m - 1 THEN concat(chr(10), '}}') ELSE '' END)) AS content FROM j""")
+def code_statements(spark, d):
+    """A long function for every document, cut by statements as its branches let it be, each piece with the signature and three statements before it."""
+    i, n = F.col("doc_id").cast("string"), (F.lit(20) + F.col("doc_id") % 120).cast("int")
+    branches = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, 8).otherwise(n)
+
+    def line(k):
+        no, is_branch = F.lpad(k.cast("string"), 3, "0"), k < branches
+        head = F.concat(F.when(is_branch, "  if (q").otherwise("  const v"), no, F.when(is_branch, ') call("').otherwise(' = call("'))
+        return F.concat(F.rpad(head, 98, "x"), F.lit('")'))
+
+    body = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), line), "\n")
+    made = read(spark, d, "documents").select(F.concat(F.lit("f"), i, F.lit(".ts")).alias("path"), F.concat(F.lit("export function big"), i, F.lit("(x) {\n"), body, F.lit("\n}\n")).alias("text"))
+    return chunking.chunk_files(made).select("file", "chunk_index", "start", "end", "score", F.md5("content").alias("content"))
+
+
+#: A function's beginning, two lines that occur as often as its document tells, and its end.
+_BRANCHES = {
+    "ts": ("export function fID(a) {\n", "  if (a && b) { g(a + 1) }\n", "  for (const k of a) { while (k) { k-- } }\n", "}\n"),
+    "py": ("def fID(x, y):\n    z = 0\n", "    if x:\n        pass\n    elif y:\n        pass\n", "    z = [k for k in x if k and y]\n", "    return z\n"),
+    "java": ("class AID {\n  int f(int a, int b) {\n    switch (a) {\n", "      case 1: case 2: return a;\n", "      default: if (a > 1 && b > 1) { return b; }\n", "    }\n    return 0;\n  }\n}\n"),
+}
+
+
+@query("""SELECT concat('f', doc_id, '.', ext) AS file, CASE ext WHEN 'java' THEN 'f' ELSE concat('f', doc_id) END AS symbol, CASE ext WHEN 'ts' THEN x + 2 * y WHEN 'py' THEN x + 4 * y ELSE 2 + x + 3 * y END AS score, CASE ext WHEN 'ts' THEN 4 * x + 2 * y END AS language_score FROM (SELECT doc_id, 1 + doc_id % 7 AS x, doc_id % 4 AS y, unnest(['ts', 'py', 'java']) AS ext FROM documents)""")
+def complexity_scores(spark, d):
+    """Branches of functions of three languages by the definition of each, those of TypeScript by both of its definitions."""
+    i = F.col("doc_id").cast("string")
+    times = lambda t, n: F.repeat(F.lit(t), n.cast("int"))
+    made = [F.struct(F.concat(F.lit("f"), i, F.lit(f".{ext}")).alias("path"), F.replace(F.concat(F.lit(a), times(x, 1 + F.col("doc_id") % 7), times(y, F.col("doc_id") % 4), F.lit(z)), F.lit("ID"), i).alias("text")) for ext, (a, x, y, z) in _BRANCHES.items()]
+    found = chunking.chunk_files(read(spark, d, "documents").select("doc_id", F.explode(F.array(*made)).alias("f")).select("f.*")).filter("symbol_type IN ('function', 'method')")
+    both = chunking.scored(found.withColumn("own", F.col("score")), "language")
+    return both.select("file", "symbol", F.col("own").alias("score"), F.when(F.col("file").endswith(".ts"), F.col("score")).alias("language_score"))
+
+
+_JAVA = "package p;\n\npublic class AID {\n  private final List<String> names = make();\n  static int[] sizesID = {1, 2};\n  int n;\n\n  /** Makes one. */\n  public AID(int x) {\n    this.n = x;\n  }\n\n  @Override\n  protected int pick(int y) {\n    return y;\n  }\n}\n"
+_MEMBERS = [(0, 3, 17, "AID", "class", "class", "", True, False, False), (1, 4, 4, "names", "variable", "field", "AID", False, False, False), (2, 5, 5, "sizesID", "variable", "field", "AID", False, True, False), (3, 9, 11, "AID", "method", "constructor", "AID", True, False, True), (4, 13, 16, "pick", "method", "method", "AID", False, False, False)]
+
+
+@query(f"SELECT concat('f', doc_id, '.java') AS file, chunk_index, a AS start, b AS \"end\", {_OF.format('name')} AS symbol, symbol_type, variant, {_OF.format('p')} AS parent, exported, is_static, documented FROM documents, {_values(_MEMBERS, 'chunk_index, a, b, name, symbol_type, variant, p, exported, is_static, documented')}")
+def java_members(spark, d):
+    """Fields of 20 characters and more, constructors and methods of Java classes in the order of the file."""
+    i = F.col("doc_id").cast("string")
+    made = read(spark, d, "documents").select(F.concat(F.lit("f"), i, F.lit(".java")).alias("path"), F.replace(F.lit(_JAVA), F.lit("ID"), i).alias("text"))
+    return chunking.chunk_files(made).select("file", "chunk_index", "start", "end", "symbol", "symbol_type", "variant", "parent", "exported", "is_static", "documented")
+
+
+_USES = "import def, { one as first,\n  two } from 'one'\nimport * as ns from \"mID\";\nimport 'effect'\n\nconst low = 1234567\nfunction sumID(x) {\n  return low + first(x) + ns.f(x)\n}\n"
+
+
+@query("SELECT concat('f', doc_id, '.js') AS file, concat('sum', doc_id) AS symbol, 6 AS start, 9 AS \"end\", concat('import def, { one as first, two } from ''one''', chr(10), 'import * as ns from \"m', doc_id, '\";', chr(10), chr(10), 'const low = 1234567', chr(10), chr(10), 'function sum', doc_id, '(x) {', chr(10), '  return low + first(x) + ns.f(x)', chr(10), '}') AS code FROM documents")
+def code_imports(spark, d):
+    """The import lines that a chunk uses before its content."""
+    i = F.col("doc_id").cast("string")
+    made = read(spark, d, "documents").select(F.concat(F.lit("f"), i, F.lit(".js")).alias("path"), F.replace(F.lit(_USES), F.lit("ID"), i).alias("text"))
+    found = chunking.with_header(chunking.chunk_files(made), chunking.import_lines(made))
+    return found.select("file", "symbol", "start", "end", F.regexp_extract("contextual", r"(?s)\n\n(import.*)", 1).alias("code"))
