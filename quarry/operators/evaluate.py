@@ -8,10 +8,11 @@ import time
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators import graph
+from quarry.functions import ids
+from quarry.operators import answers, graph, lexical, ranking
 
 
 def read_cases(text: str) -> list[dict]:
@@ -103,6 +104,31 @@ def investigate(hits: DataFrame, nodes: DataFrame, edges: DataFrame, symbols: in
     return used.distinct().orderBy("symbol", "src", "kind").limit(references * symbols), reduce(lambda a, b: a.unionByName(b), reached, empty)
 
 
+def investigation(hits: DataFrame, files: DataFrame, nodes: DataFrame, edges: DataFrame, max_tokens: int = 8000, matches: int = 200, file: str = "file", text: str = "text") -> DataFrame:
+    """The whole answer about the hits of a search (symbol, file, start, end, score, content): part, symbol, at, card.
+
+    discovery has the ten best, references and impact those of their first three symbols, literal the lines that hold the
+    name of the best symbol, evidence the hits' contents as far as max_tokens go. Files are read by one scan for that name;
+    all parts but it are bounded by their limits, and it by matches."""
+    order = [F.col("score").desc(), "file", "start"]
+    top = hits.orderBy(*order).limit(50)
+    ranked = top.withColumn("at", F.row_number().over(Window.orderBy(*order)))  # 50 rows
+    place = lambda r: r.withColumns({"id": ids.result_id(F.col("file"), F.col("start"), F.col("end"), F.col("symbol")), "rank": F.col("at")})
+    own = F.struct("id", "file", F.array("start", "end").alias("lines"), F.when(F.col("symbol") != "", F.col("symbol")).alias("symbol"), "rank", F.col("score").alias("relevance"))
+    parts = [place(ranked.filter("at <= 10")).select(F.lit("discovery").alias("part"), "symbol", "at", F.to_json(own).alias("card"))]
+    used, reached = investigate(top, nodes, edges)
+    reached = reached.withColumnRenamed("symbol", "__for")
+    parts.append(used.select(F.lit("references").alias("part"), "symbol", F.lit(0).alias("at"), F.to_json(F.struct(F.col("src").alias("fromId"), "kind")).alias("card")))
+    parts.append(answers.impact_cards(reached, nodes, F.col("__for").alias("symbol")).select(F.lit("impact").alias("part"), "symbol", F.col("depth").alias("at"), "card"))
+    best = ranked.filter(F.coalesce("symbol", F.lit("")) != "").orderBy("at").limit(1).select("symbol").first()
+    if best:
+        found = lexical.grep(files.withColumnRenamed(file, "file"), best["symbol"], ["file"], text, fixed=True).orderBy("file", "line").limit(matches)
+        parts.append(answers.literal_cards(found).select(F.lit("literal").alias("part"), F.lit(best["symbol"]).alias("symbol"), F.col("line").alias("at"), "card"))
+    kept = ranking.within_budget(ranked, ranking.tokens_of(F.col("content"), F.col("file"), F.col("symbol")), max_tokens, ["at"])
+    parts.append(answers.show_cards(kept, "symbol", "at").select(F.lit("evidence").alias("part"), "symbol", "at", "card"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def token_estimate(content: Column) -> Column:
     """A quarter of the characters, rounded up."""
     return F.ceil(F.length(content) / 4)

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import classify
 from quarry.functions import text as T
-from quarry.operators import chunking, duplicates, evaluate, graph, groups, knn, lexical, predicate, ranking, render
+from quarry.operators import answers, chunking, duplicates, evaluate, graph, groups, knn, lexical, predicate, ranking, render
 from quarry.operators.predicate import Condition as C
-from quarry.plans.catalogue import _C10, _COMPONENTS, _KNN, _LINES, _PATH, _SEG, _SIM, _TOK, QUERY, _chunks10, _SQL, _paths, first_vector, query, r6, read
+from quarry.plans.catalogue import _C10, _COMPONENTS, _DIFF, _KNN, _LINES, _PATH, _SEG, _SIM, _TOK, QUERY, _chunks10, _SQL, _paths, _versions, first_vector, query, r6, read
 from quarry.sources import embed, files, store
 from quarry.sources.graph_index import GraphIndex
 from quarry.sources.trigrams import TrigramIndex
@@ -1110,3 +1110,69 @@ def code_imports(spark, d):
     made = read(spark, d, "documents").select(F.concat(F.lit("f"), i, F.lit(".js")).alias("path"), F.replace(F.lit(_USES), F.lit("ID"), i).alias("text"))
     found = chunking.with_header(chunking.chunk_files(made), chunking.import_lines(made))
     return found.select("file", "symbol", "start", "end", F.regexp_extract("contextual", r"(?s)\n\n(import.*)", 1).alias("code"))
+
+
+# answers of the commands
+
+
+_LIT = f"""m AS (SELECT doc_id::VARCHAR AS file, line, trim(content) AS content FROM ({_LINES}) l WHERE contains(content, 'License'))"""
+_ID = "concat('r:', translate(rtrim(base64(encode(concat({file}, chr(0), {start}, chr(0), {end}, chr(0), {symbol}))), '='), '+/', '-_'))"
+
+
+@query(f"""WITH {_LIT} SELECT file, line, concat('{{"id":"', {_ID.format(file="file", start="line", end="line", symbol="''")}, '","file":"', file, '","line":', line, ',"text":', to_json(content), '}}') AS card FROM m""")
+def literal_cards(spark, d):
+    """Every line of the documents with a word, as the literal command shows it."""
+    docs = read(spark, d, "documents").withColumn("file", F.col("doc_id").cast("string"))
+    return answers.literal_cards(lexical.grep(docs, "License", ["file"], fixed=True))
+
+
+@query(f"""WITH {_LIT}, c AS (SELECT *, concat('{{"id":"', {_ID.format(file="file", start="line", end="line", symbol="''")}, '","file":"', file, '","line":', line, ',"text":', to_json(content), '}}') AS card, row_number() OVER (ORDER BY file, line) AS n FROM m), t AS (SELECT count(*) AS total, least(count(*), 25) AS returned FROM c)
+SELECT concat('{{"schemaVersion":2,"command":"literal","status":"', CASE WHEN returned < total THEN 'incomplete' ELSE 'complete' END, '","warnings":[{{"code":"INDEX_STALE","message":"index is stale"}}],"summary":{{"total":', total, ',"returned":', returned, ',"truncated":', returned < total, ',"exhaustive":', returned = total, '}},"matches":[', (SELECT string_agg(card, ',' ORDER BY n) FROM c WHERE n <= 25), ']}}') AS reply FROM t""")
+def literal_reply(spark, d):
+    """The envelope of the literal command with its first 25 lines."""
+    warned = answers.warning_cards(read(spark, d, "region").select(F.when(F.col("r_regionkey") == 0, "index is stale").otherwise("").alias("message")))
+    return answers.reply(literal_cards(spark, d), "literal", ["file", "line"], 25, "matches", warned)
+
+
+@query("""WITH g AS (SELECT source AS label, count(*) AS matches, count(DISTINCT lang) AS files, list_sort(list(DISTINCT lang)) AS terms FROM documents GROUP BY source), r AS (SELECT *, row_number() OVER (ORDER BY matches DESC, label) AS rank FROM g),
+p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents), i AS (SELECT source, list(doc_id ORDER BY n) AS ids FROM p WHERE n <= 3 GROUP BY source)
+SELECT label, rank, concat('{"label":"', label, '","rank":', rank, ',"matches":', matches, ',"files":', files, ',"terms":["', array_to_string(terms, '","'), '"]}') AS head, array_to_string(ids, ',') AS starts FROM r JOIN i ON i.source = r.label""")
+def group_cards(spark, d):
+    """Groups of a survey with three representatives each."""
+    docs = read(spark, d, "documents")
+    g = docs.groupBy(F.col("source").alias("label")).agg(F.count("*").alias("matches"), F.countDistinct("lang").alias("files"), F.array_sort(F.collect_set("lang")).alias("terms"))
+    ranked = g.withColumn("rank", F.row_number().over(Window.orderBy(F.col("matches").desc(), "label")))  # one row a source
+    w = Window.partitionBy("label").orderBy("start")
+    r = docs.select(F.col("source").alias("label"), F.col("doc_id").alias("start"), F.col("doc_id").alias("end"), F.col("lang").alias("symbol"), F.col("source").alias("file"), F.lit("x").alias("content")).withColumn("rank", F.row_number().over(w))
+    cards = answers.group_cards(ranked, r)
+    return cards.select("label", "rank", F.concat(F.regexp_extract("card", r'^(.*?),"representativeIds"', 1), F.lit("}")).alias("head"), F.array_join(F.transform(F.from_json("card", "representatives array<struct<lines:array<bigint>>>")["representatives"], lambda x: x["lines"][0]), ",").alias("starts"))
+
+
+@query(f"""WITH g AS (SELECT text, min(doc_id) AS component FROM documents GROUP BY text HAVING count(*) > 1) SELECT g.component, concat('{{"level":"exact","similarity":1.0,"type":"text","savings":', any_value(length(g.text)), ',"instances":[', string_agg(concat('{{"id":"', {_ID.format(file="d.source", start="d.doc_id", end="d.doc_id + 1", symbol="d.lang")}, '","file":"', d.source, '","lines":[', d.doc_id, ',', d.doc_id + 1, '],"symbol":"', d.lang, '","complexity":1}}'), ',' ORDER BY d.source, d.doc_id), ']}}') AS card FROM g JOIN documents d ON d.text = g.text GROUP BY g.component""")
+def duplicate_cards(spark, d):
+    """Groups of equal documents with their members, as the duplicates command shows them."""
+    docs = read(spark, d, "documents")
+    g = docs.filter("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("component"), F.count("*").alias("n")).filter("n > 1")
+    groups_ = g.select("component", F.lit("exact").alias("level"), F.lit(1.0).alias("similarity"), F.lit("text").alias("type"), F.length("text").alias("savings"))
+    members = docs.join(g.select("text", "component"), "text").select("component", F.col("source").alias("file"), F.col("doc_id").alias("start"), (F.col("doc_id") + 1).alias("end"), F.col("lang").alias("symbol"), F.lit(1).alias("complexity"), F.lit(None).cast("string").alias("content"))
+    return answers.duplicate_cards(groups_, members)
+
+
+@query(f"SELECT added, removed, true AS stale, concat('Warning: index may be stale (changed=', changed, ', missing=', added, ', removed=', removed, ', chunkMismatch=', (SELECT count(*) FROM documents WHERE source <> 'src0') <> (SELECT count(*) FROM labels), '). Index it again.') AS warning FROM (SELECT count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE status = 'removed') AS removed, count(*) FILTER (WHERE status = 'changed') AS changed FROM ({_DIFF}))")
+def stale_warning(spark, d):
+    """What goes before an answer if the index is behind its files."""
+    now, before = (v.withColumnRenamed("doc_id", "path") for v in _versions(spark, d))
+    return store.stale_warning(store.freshness(now, before.withColumn("chunks", F.lit(1)), read(spark, d, "labels"))).select("added", "removed", "stale", "warning")
+
+
+@query(f"""WITH RECURSIVE {_GRAPH}, s AS (SELECT *, CASE WHEN k BETWEEN 41 AND 59 THEN k ELSE -1 END AS score FROM c), o AS (SELECT *, row_number() OVER (ORDER BY score DESC, file, k) AS n FROM s), h AS (SELECT * FROM o WHERE n <= 3), b AS (SELECT name FROM o WHERE n = 1)
+SELECT 'discovery' AS part, name AS symbol, n::INT AS "at", {_ID.format(file="file", start="k", end="k", symbol="name")} AS id FROM o WHERE n <= 10
+UNION ALL SELECT DISTINCT 'references', h.name, 0, e.src FROM h JOIN e ON e.dst = h.node
+UNION ALL SELECT 'literal', b.name, 1, {_ID.format(file="c.file, '/', c.k", start="1", end="1", symbol="''")} FROM c, b WHERE contains(concat('class A extends s', c.k % 71, ' '), b.name)
+UNION ALL SELECT 'evidence', name, n::INT, {_ID.format(file="file", start="k", end="k", symbol="name")} FROM o WHERE n <= 50""")
+def investigation(spark, d):
+    """Everything about the hits of a search but what a change would reach, which graph_impact tells."""
+    chunks = _calls(spark, d).withColumn("score", F.when(F.col("start").between(41, 59), F.col("start")).otherwise(F.lit(-1)))
+    sources = chunks.select(F.concat_ws("/", "file", "chunk_id").alias("file"), F.col("content").alias("text"))
+    found = evaluate.investigation(chunks, sources, *graph.build(chunks)[:2], matches=1_000_000, max_tokens=100_000).filter("part <> 'impact'")
+    return found.select("part", "symbol", "at", F.coalesce(F.get_json_object("card", "$.id"), F.get_json_object("card", "$.fromId")).alias("id"))

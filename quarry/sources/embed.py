@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import os
+import random
 import re
 import time
 import urllib.error
@@ -68,24 +69,57 @@ class RetryLater(OSError):
         self.after = after
 
 
+class Pace:
+    """Requests and tokens that a provider takes in a window of time; what would be more waits until the oldest leave it.
+
+    Every Python worker keeps a pace of its own, so share is the number of tasks that embed at once. A request that has more
+    tokens than the whole window goes alone."""
+
+    def __init__(self, requests: int, tokens: int, window_s: float = 60.0, share: int = 1, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.requests, self.tokens, self.window_s, self.clock, self.sleep = max(1, requests // share), max(1, tokens // share), window_s, clock, sleep
+        self._sent: list[tuple[float, int]] = []
+
+    def wait(self, tokens: int) -> None:
+        tokens = min(tokens, self.tokens)
+        while True:
+            now = self.clock()
+            self._sent = [(t, n) for t, n in self._sent if t > now - self.window_s]
+            if len(self._sent) < self.requests and sum(n for _, n in self._sent) + tokens <= self.tokens:
+                self._sent.append((now, tokens))
+                return
+            self.sleep(max(0.001, self._sent[0][0] + self.window_s - now))
+
+
+def shortened(text: str, max_tokens: int) -> str:
+    """text if its estimated tokens (four characters each) are no more than max_tokens, else its beginning with a margin of a twentieth."""
+    tokens = -(-len(text) // 4)
+    return text if tokens <= max_tokens else text[: int(max_tokens / tokens * len(text) * 0.95)]
+
+
 class HttpEmbedder:
-    """A remote provider over HTTP, by one of two public forms of request: ``openai`` (base/embeddings, data[].embedding) or
-    ``ollama`` (base/api/embed, embeddings[]).
+    """A remote provider over HTTP, by one of three public forms of request: ``openai`` (base/embeddings, data[].embedding),
+    ``ollama`` (base/api/embed, embeddings[]) or ``gemini`` (base/models/name:batchEmbedContents, embeddings[].values).
 
     Answers 429 and 5xx and a lost connection are passing failures, which Guarded tries again; any other refusal is a
     ValueError. The key is read from the environment variable named by key_env where the request is made.
     """
 
     def __init__(self, base: str, model: str, dimension: int, style: str = "openai", key_env: str = "", timeout_s: float = 30.0) -> None:
-        if style not in ("openai", "ollama"):
+        if style not in ("openai", "ollama", "gemini"):
             raise ValueError(f"unknown form of request: {style}")
         self.base, self.model, self.dimension, self.style, self.key_env, self.timeout_s = base.rstrip("/"), model, dimension, style, key_env, timeout_s
         self.name = f"{style}:{model}"
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        path = "/embeddings" if self.style == "openai" else "/api/embed"
-        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {os.environ[self.key_env]}"} if self.key_env else {})
-        request = urllib.request.Request(self.base + path, json.dumps({"model": self.model, "input": texts}).encode(), headers)
+        path = {"openai": "/embeddings", "ollama": "/api/embed", "gemini": f"/models/{self.model}:batchEmbedContents"}[self.style]
+        headers = {"Content-Type": "application/json"}
+        if self.key_env:
+            key = os.environ[self.key_env]
+            headers |= {"x-goog-api-key": key} if self.style == "gemini" else {"Authorization": f"Bearer {key}"}
+        asked: dict = {"model": self.model, "input": texts}
+        if self.style == "gemini":
+            asked = {"requests": [{"model": f"models/{self.model}", "content": {"parts": [{"text": t}]}, "outputDimensionality": self.dimension} for t in texts]}
+        request = urllib.request.Request(self.base + path, json.dumps(asked).encode(), headers)
         try:
             with urllib.request.urlopen(request, timeout=self.timeout_s) as answer:
                 body = json.load(answer)
@@ -96,24 +130,34 @@ class HttpEmbedder:
             raise ValueError(f"{self.name}: {e.code}") from e
         if self.style == "ollama":
             return body["embeddings"]
+        if self.style == "gemini":
+            return [e["values"] for e in body["embeddings"]]
         return [d["embedding"] for d in sorted(body["data"], key=lambda d: d.get("index", 0))]
 
 
 class Guarded:
-    """An embedder with batches, retries with growing pauses, and a breaker that fails fast for a while after repeated failures."""
+    """An embedder with batches, retries with growing pauses, and a breaker that fails fast for a while after repeated failures.
+
+    Texts longer than max_tokens are shortened, requests keep to a pace, and no retry begins after deadline_s."""
 
-    def __init__(self, inner: Embedder, batch: int = 256, retries: int = 3, pause: float = 0.5, breaker_after: int = 3, breaker_s: float = 15.0) -> None:
+    def __init__(self, inner: Embedder, batch: int = 256, retries: int = 3, pause: float = 0.5, breaker_after: int = 3, breaker_s: float = 15.0, pace: Pace | None = None, max_tokens: int | None = None, deadline_s: float = math.inf) -> None:
+        self.pace, self.max_tokens, self.deadline_s = pace, max_tokens, deadline_s
         self.inner, self.batch, self.retries, self.pause, self.breaker_after, self.breaker_s = inner, batch, retries, pause, breaker_after, breaker_s
         self.name, self.dimension = inner.name, inner.dimension
         self._failures, self._open_until = 0, 0.0
 
     def embed(self, texts: list[str]) -> list[list[float]]:
+        if self.max_tokens:
+            texts = [shortened(t, self.max_tokens) for t in texts]
         return [v for at in range(0, len(texts), self.batch) for v in self._batch(texts[at : at + self.batch])]
 
     def _batch(self, texts: list[str]) -> list[list[float]]:
         if time.monotonic() < self._open_until:
             raise ProviderError(f"{self.name} failed {self._failures} times; next attempt later")
+        began = time.monotonic()
         for attempt in range(self.retries + 1):
+            if self.pace:
+                self.pace.wait(sum(-(-len(t) // 4) for t in texts))
             try:
                 out = check_vectors(self.inner.embed(texts), len(texts), self.dimension)
                 self._failures = 0
@@ -126,7 +170,10 @@ class Guarded:
                     self._open_until = time.monotonic() + self.breaker_s
                 if attempt == self.retries or time.monotonic() < self._open_until:
                     raise ProviderError(str(e)) from e
-                time.sleep(min(max(self.pause * 2**attempt, getattr(e, "after", 0.0)), 60.0))
+                delay = min(max(self.pause * 2**attempt * random.uniform(0.5, 1.0), getattr(e, "after", 0.0)), 60.0)
+                if time.monotonic() - began + delay >= self.deadline_s:
+                    raise ProviderError(f"{self.name}: no time for another attempt after {attempt + 1}") from e
+                time.sleep(delay)
         raise AssertionError
 
 

@@ -19,9 +19,11 @@ import os
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -573,3 +575,38 @@ def freshness(now: DataFrame, before: DataFrame, chunks: DataFrame) -> DataFrame
     counts = difference(now, before).agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("added", "changed", "removed", "unchanged")))
     expected = before.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("expected")).join(chunks.agg(F.count("*").alias("there")), how="cross")
     return counts.join(expected, how="cross").withColumn("fresh", (F.col("added") + F.col("changed") + F.col("removed") == 0) & (F.col("expected") == F.col("there")))
+
+
+def stale_warning(state: DataFrame, hint: str = "Index it again.") -> DataFrame:
+    """freshness with stale and, if so, the warning that goes before an answer (null if not)."""
+    stale = (F.col("added") + F.col("changed") + F.col("removed") > 0) | (F.col("expected") != F.col("there"))
+    counts = F.format_string("changed=%d, missing=%d, removed=%d, chunkMismatch=%s", "changed", "added", "removed", (F.col("expected") != F.col("there")).cast("string"))
+    text = F.concat(F.lit("Warning: index may be stale ("), counts, F.lit(f"). {hint}"))
+    return state.withColumns({"stale": stale, "warning": F.when(stale, text)})
+
+
+def checked_in_time(state: DataFrame, seconds: float = 2.0) -> dict:
+    """The row of stale_warning as a dict with checked; if it takes longer, its jobs are cancelled and nothing is said to be stale.
+
+    An answer must not wait for a look at all files, nor fail with it."""
+    context = state.sparkSession.sparkContext
+    tag = f"freshness-{uuid.uuid4().hex}"
+    unknown = {"added": 0, "changed": 0, "removed": 0, "stale": False, "warning": None, "checked": False}
+
+    def look() -> dict:
+        context.addJobTag(tag)
+        try:
+            return state.first().asDict() | {"checked": True}
+        finally:
+            context.removeJobTag(tag)
+
+    aside = ThreadPoolExecutor(1)
+    try:
+        return aside.submit(look).result(timeout=seconds)
+    except TimeoutError:
+        context.cancelJobsWithTag(tag)
+        return unknown
+    except PySparkException:
+        return unknown
+    finally:
+        aside.shutdown(wait=False)

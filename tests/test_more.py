@@ -62,21 +62,22 @@ def test_deadline_of_a_query():
     assert embed.within(5, lambda: [1.0]) == [1.0]
 
 
-@pytest.mark.parametrize("style", ["openai", "ollama"])
+@pytest.mark.parametrize("style", ["openai", "ollama", "gemini"])
 def test_a_provider_over_http(style):
     class Answers(BaseHTTPRequestHandler):
         asked = 0
 
         def do_POST(self):
             Answers.asked += 1
-            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            texts = [r["content"]["parts"][0]["text"] for r in asked["requests"]] if style == "gemini" else asked["input"]
             if Answers.asked == 1:
                 self.send_response(429)
                 self.send_header("Retry-After", "0")
                 self.end_headers()
                 return
             vectors = [[float(len(t)), 1.0] for t in texts]
-            body = {"embeddings": vectors} if style == "ollama" else {"data": [{"index": i, "embedding": v} for i, v in reversed(list(enumerate(vectors)))]}
+            body = {"embeddings": [{"values": v} for v in vectors]} if style == "gemini" else {"embeddings": vectors} if style == "ollama" else {"data": [{"index": i, "embedding": v} for i, v in reversed(list(enumerate(vectors)))]}
             self.send_response(200 if "bad" not in texts else 400)
             self.end_headers()
             self.wfile.write(json.dumps(body).encode())
