@@ -81,8 +81,8 @@ def annotate(rows: DataFrame, reasons: dict[str, Column], matched: dict[str, tup
     return rows.withColumn("why_matched", F.array_distinct(why)).withColumn("filter_matches", F.create_map(*entries) if entries else F.lit(None))
 
 
-def drop_overlaps(rows: DataFrame, threshold: float = 0.6, slack: float = 0.02, file: str = "file", order: str = "rank") -> DataFrame:
-    """file, place, rank, start, end, score, symbol_type of what stays when a row that overlaps an earlier one of its file gives way.
+def drop_overlaps(rows: DataFrame, threshold: float = 0.6, slack: float = 0.02, file: str = "file", order: str = "rank", slots: bool = False) -> DataFrame:
+    """file, place, rank, start, end, score, symbol_type (and slot, the rank whose place it has) of what stays when a row that overlaps an earlier one of its file gives way.
 
     Rows are folded in rank order. A row meets the first kept one that it overlaps by the threshold (over 0) of the
     shorter; it takes that place if its score is better by more than slack, or about as good and the row is a method or
@@ -101,7 +101,7 @@ def drop_overlaps(rows: DataFrame, threshold: float = 0.6, slack: float = 0.02,
           THEN named_struct('rank', x.rank, 'start', x.start, 'end', x.end, 'score', x.score, 'type', x.type, 'slot', k.slot) ELSE k END) END)"""
     out = folded.select(file, F.explode(F.expr(expr)).alias("k"))
     place = F.row_number().over(Window.partitionBy(file).orderBy("k.slot")) - 1  # places are taken in the order of rank
-    return out.select(file, place.alias("place"), "k.rank", "k.start", "k.end", "k.score", F.col("k.type").alias("symbol_type"))
+    return out.select(file, place.alias("place"), "k.rank", "k.start", "k.end", "k.score", F.col("k.type").alias("symbol_type"), *([F.col("k.slot").alias("slot")] if slots else []))
 
 
 def diversify(rows: DataFrame, order: list[str | Column], per_file: int = 2, per_symbol: int = 2, file: str = "file", symbol: str = "symbol") -> DataFrame:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import classify
 from quarry.functions import text as T
-from quarry.operators import answers, chunking, duplicates, evaluate, graph, groups, knn, lexical, predicate, ranking, render
+from quarry.operators import answers, chunking, duplicates, evaluate, graph, groups, knn, lexical, predicate, ranking, render, retrieval
 from quarry.operators.predicate import Condition as C
-from quarry.plans.catalogue import _C10, _COMPONENTS, _DIFF, _KNN, _LINES, _PATH, _SEG, _SIM, _TOK, QUERY, _chunks10, _SQL, _paths, _versions, first_vector, query, r6, read
+from quarry.plans.catalogue import _C10, _COMPONENTS, _DIFF, _KNN, _LEX, _LINES, _PATH, _SEG, _SIM, _TOK, QUERY, _chunks10, _SQL, _paths, _versions, first_vector, query, r6, read
 from quarry.sources import embed, files, store
 from quarry.sources.graph_index import GraphIndex
 from quarry.sources.trigrams import TrigramIndex
@@ -1176,3 +1176,24 @@ def investigation(spark, d):
     sources = chunks.select(F.concat_ws("/", "file", "chunk_id").alias("file"), F.col("content").alias("text"))
     found = evaluate.investigation(chunks, sources, *graph.build(chunks)[:2], matches=1_000_000, max_tokens=100_000).filter("part <> 'impact'")
     return found.select("part", "symbol", "at", F.coalesce(F.get_json_object("card", "$.id"), F.get_json_object("card", "$.fromId")).alias("id"))
+
+
+_ROLES = "CASE lang WHEN 'de' THEN 'test' WHEN 'fr' THEN 'contract' ELSE 'implementation' END"
+_BOOST = f"CASE {_ROLES} " + " ".join(f"WHEN '{r}' THEN {w}::DOUBLE" for r, w in classify.PURPOSES["implement"].items()) + " ELSE 0.0::DOUBLE END"
+
+
+@query(f"""WITH s AS (SELECT vec_id AS doc_id, s AS v, row_number() OVER (ORDER BY s DESC, vec_id) AS r FROM ({_KNN}) WHERE vec_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, 'License|Version')) ORDER BY s DESC, vec_id LIMIT 36),
+u AS (SELECT doc_id, l AS v, 0 AS list, row_number() OVER (ORDER BY l DESC, doc_id) AS r FROM ({_LEX}) QUALIFY r <= 50 UNION ALL SELECT doc_id, 1.08, 1, row_number() OVER (ORDER BY source, doc_id) AS r FROM documents WHERE lang = 'es' QUALIFY r <= 20
+ UNION ALL SELECT doc_id, 1.04, 2, row_number() OVER (ORDER BY source, doc_id) AS r FROM documents WHERE regexp_matches(text, 'License|Version') QUALIFY r <= 20),
+o AS (SELECT doc_id, max(v) AS v, max(n) AS n FROM (SELECT doc_id, v::DOUBLE AS v, row_number() OVER (ORDER BY list, r) AS n FROM u) GROUP BY doc_id),
+j AS (SELECT coalesce(s.doc_id, o.doc_id) AS doc_id, greatest(s.v, o.v) AS base, (coalesce(1.0::DOUBLE / (60 + s.r), 0) + coalesce(1.0::DOUBLE / (60 + o.n), 0)) / (2.0::DOUBLE / 61) AS rrf, concat_ws(',', CASE WHEN doc_id IN (SELECT doc_id FROM u WHERE list = 1) THEN 'exact symbol' END, CASE WHEN doc_id IN (SELECT doc_id FROM u WHERE list = 2) THEN 'pattern' END, CASE WHEN s.doc_id IS NOT NULL THEN 'semantic similarity' END, CASE WHEN doc_id IN (SELECT doc_id FROM u WHERE list = 0) THEN 'words' END) AS why FROM s FULL JOIN o USING (doc_id)),
+f AS (SELECT doc_id, source, lang, why, round(greatest(0.0::DOUBLE, least(1.1::DOUBLE, CASE WHEN base > 1 THEN base ELSE least(1, 0.65::DOUBLE * base + 0.35::DOUBLE * rrf) END + {_BOOST})), 9) AS score FROM j JOIN documents USING (doc_id)),
+a AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) <= 5), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) <= 4), t AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b ORDER BY score DESC, doc_id LIMIT 12)
+SELECT doc_id, round(score, 6) AS score, why, rank, round((count(*) OVER () - rank + 1)::DOUBLE / count(*) OVER (), 6) AS rank_score FROM t""")
+def whole_search(spark, d):
+    """Five lists of candidates over all documents with a vector, words, a symbol and a pattern, to the twelve best."""
+    docs, vectors = read(spark, d, "documents"), read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    role = F.when(F.col("lang") == "de", "test").when(F.col("lang") == "fr", "contract").otherwise("implementation")
+    chunks = docs.join(vectors, "doc_id", "left").select("doc_id", F.col("source").alias("file"), (F.col("doc_id") * 10).alias("start"), (F.col("doc_id") * 10).alias("end"), F.col("lang").alias("symbol"), F.lit("function").alias("symbol_type"), F.lit(True).alias("exported"), F.col("text").alias("content"), "embedding", "lang")
+    found = retrieval.search(chunks, QUERY, first_vector(spark, d), 12, "License|Version", "es", role=role, purpose="implement", per_file=5, per_symbol=4, key="doc_id")
+    return found.select("doc_id", r6("score").alias("score"), F.array_join("why_matched", ",").alias("why"), "rank", "rank_score")
