@@ -1052,7 +1052,7 @@ _LONG = """d AS (SELECT doc_id AS i, 20 + doc_id % 120 AS n, CASE doc_id % 3 WHE
  j AS (SELECT *, unnest(range(CASE WHEN cut THEN (n + g - 1) // g ELSE 1 END)) AS j, CASE WHEN cut THEN (n + g - 1) // g ELSE 1 END AS m FROM s)"""
 
 
-@query(f"""WITH {_LONG} SELECT concat('f', i, '.ts') AS file, j::INT AS chunk_index, CASE WHEN cut THEN 2 + j * g ELSE 1 END AS start, CASE WHEN j = m - 1 THEN n + 2 ELSE 1 + (j + 1) * g END AS "end", b AS score, md5(concat(CASE WHEN j > 0 AND j < m - 1 THEN concat('// Context: big', i, chr(10), chr(10)) ELSE '' END, sig, chr(10),
+@query(f"""WITH {_LONG} SELECT concat('f', i, '.ts') AS file, j::INT AS chunk_index, (CASE WHEN cut THEN 2 + j * g ELSE 1 END)::INT AS start, (CASE WHEN j = m - 1 THEN n + 2 ELSE 1 + (j + 1) * g END)::INT AS "end", b::INT AS score, md5(concat(CASE WHEN j > 0 AND j < m - 1 THEN concat('// Context: big', i, chr(10), chr(10)) ELSE '' END, sig, chr(10),
  CASE WHEN j > 0 THEN concat('// ... previous:', chr(10), array_to_string(list_transform(st[j * g - 2:j * g], lambda t: concat('//   ', left(trim(t), 57), '...', chr(10))), '')) ELSE '' END, array_to_string(CASE WHEN cut THEN st[j * g + 1:(j + 1) * g] ELSE st END, chr(10)), CASE WHEN j = m - 1 THEN concat(chr(10), '}}') ELSE '' END)) AS content FROM j""")
 def code_statements(spark, d):
     """A long function for every document, cut by statements as its branches let it be, each piece with the signature and three statements before it."""
@@ -1077,7 +1077,7 @@ _BRANCHES = {
 }
 
 
-@query("""SELECT concat('f', doc_id, '.', ext) AS file, CASE ext WHEN 'java' THEN 'f' ELSE concat('f', doc_id) END AS symbol, CASE ext WHEN 'ts' THEN x + 2 * y WHEN 'py' THEN x + 4 * y ELSE 2 + x + 3 * y END AS score, CASE ext WHEN 'ts' THEN 4 * x + 2 * y END AS language_score FROM (SELECT doc_id, 1 + doc_id % 7 AS x, doc_id % 4 AS y, unnest(['ts', 'py', 'java']) AS ext FROM documents)""")
+@query("""SELECT concat('f', doc_id, '.', ext) AS file, CASE ext WHEN 'java' THEN 'f' ELSE concat('f', doc_id) END AS symbol, CASE ext WHEN 'ts' THEN x + 2 * y WHEN 'py' THEN x + 4 * y ELSE 2 + x + 3 * y END::INT AS score, (CASE ext WHEN 'ts' THEN 4 * x + 2 * y END)::INT AS language_score FROM (SELECT doc_id, 1 + doc_id % 7 AS x, doc_id % 4 AS y, unnest(['ts', 'py', 'java']) AS ext FROM documents)""")
 def complexity_scores(spark, d):
     """Branches of functions of three languages by the definition of each, those of TypeScript by both of its definitions."""
     i = F.col("doc_id").cast("string")
@@ -1182,9 +1182,9 @@ _ROLES = "CASE lang WHEN 'de' THEN 'test' WHEN 'fr' THEN 'contract' ELSE 'implem
 _BOOST = f"CASE {_ROLES} " + " ".join(f"WHEN '{r}' THEN {w}::DOUBLE" for r, w in classify.PURPOSES["implement"].items()) + " ELSE 0.0::DOUBLE END"
 
 
-@query(f"""WITH s AS (SELECT vec_id AS doc_id, s AS v, row_number() OVER (ORDER BY s DESC, vec_id) AS r FROM ({_KNN}) WHERE vec_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, 'License|Version')) ORDER BY s DESC, vec_id LIMIT 36),
+@query(f"""WITH s AS (SELECT vec_id AS doc_id, s AS v, row_number() OVER (ORDER BY s DESC, vec_id) AS r FROM ({_KNN}) WHERE vec_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, 'License|Version', 'i')) ORDER BY s DESC, vec_id LIMIT 36),
 u AS (SELECT doc_id, l AS v, 0 AS list, row_number() OVER (ORDER BY l DESC, doc_id) AS r FROM ({_LEX}) QUALIFY r <= 50 UNION ALL SELECT doc_id, 1.08, 1, row_number() OVER (ORDER BY source, doc_id) AS r FROM documents WHERE lang = 'es' QUALIFY r <= 20
- UNION ALL SELECT doc_id, 1.04, 2, row_number() OVER (ORDER BY source, doc_id) AS r FROM documents WHERE regexp_matches(text, 'License|Version') QUALIFY r <= 20),
+ UNION ALL SELECT doc_id, 1.04, 2, row_number() OVER (ORDER BY source, doc_id) AS r FROM documents WHERE regexp_matches(text, 'License|Version', 'i') QUALIFY r <= 20),
 o AS (SELECT doc_id, max(v) AS v, max(n) AS n FROM (SELECT doc_id, v::DOUBLE AS v, row_number() OVER (ORDER BY list, r) AS n FROM u) GROUP BY doc_id),
 j AS (SELECT coalesce(s.doc_id, o.doc_id) AS doc_id, greatest(s.v, o.v) AS base, (coalesce(1.0::DOUBLE / (60 + s.r), 0) + coalesce(1.0::DOUBLE / (60 + o.n), 0)) / (2.0::DOUBLE / 61) AS rrf, concat_ws(',', CASE WHEN doc_id IN (SELECT doc_id FROM u WHERE list = 1) THEN 'exact symbol' END, CASE WHEN doc_id IN (SELECT doc_id FROM u WHERE list = 2) THEN 'pattern' END, CASE WHEN s.doc_id IS NOT NULL THEN 'semantic similarity' END, CASE WHEN doc_id IN (SELECT doc_id FROM u WHERE list = 0) THEN 'words' END) AS why FROM s FULL JOIN o USING (doc_id)),
 f AS (SELECT doc_id, source, lang, why, round(greatest(0.0::DOUBLE, least(1.1::DOUBLE, CASE WHEN base > 1 THEN base ELSE least(1, 0.65::DOUBLE * base + 0.35::DOUBLE * rrf) END + {_BOOST})), 9) AS score FROM j JOIN documents USING (doc_id)),
