@@ -29,7 +29,7 @@ def candidates(chunks: DataFrame, query: str, vector: list[float] | None = None,
     if vector is None:
         semantic = one(chunks.limit(0), 0.0, [key], "semantic similarity")
     else:
-        near = knn.top_k(chunks, vector, ranking.over_fetch(k, "pattern" if pattern else "search"), "embedding", key, fits)
+        near = knn.top_k(chunks.filter(F.col("embedding").isNotNull()), vector, ranking.over_fetch(k, "pattern" if pattern else "search"), "embedding", key, fits)
         semantic = near.select(key, F.col("similarity").cast("double").alias("score"), "rank", F.lit("semantic similarity").alias("why"))
     place = ["file", "start", key]
     parts: list[DataFrame] = []
