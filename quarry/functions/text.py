@@ -146,6 +146,22 @@ def normal_code(code: Column, language: str = "javascript") -> Column:
     return F.trim(reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, code))
 
 
+#: Small letters whose capitals are younger than the Unicode of DuckDB's upper().
+_YOUNG = "\u019b\u0264\u1c8a\ua7cd\ua7db" + "".join(map(chr, range(0x10D70, 0x10D86)))
+
+
+def upper_by_letter(text: Column) -> Column:
+    """Capitals of DuckDB's upper(), each letter for itself and by one letter: \u00df becomes \u1e9e, where Spark's upper() gives SS, and \ufb01 stays."""
+    one = lambda c: (
+        F.when(c == "\u00df", F.lit("\u1e9e"))
+        .when(F.contains(F.lit(_YOUNG), c), c)
+        .when(F.length(F.upper(c)) == 1, F.upper(c))
+        .when(F.length(F.initcap(c)) == 1, F.initcap(c))
+        .otherwise(c)
+    )
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), one), "")
+
+
 def code_tokens(text: Column) -> Column:
     """Names, runs of digits, single other characters."""
     return F.regexp_extract_all(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*|\d+|[^\s]"), 0)
