@@ -14,14 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import _arrow_schema, held, map_batches, mix64, slices, texts_of
+from quarry.llm.common import _arrow_schema, held, map_batches, mix64, slices, stored, texts_of
 from quarry.llm.words import hash_words
 
 #: Bits of the number of buckets: the least, for less than 1 GB, and the most. Between them it grows with the root of the
 #: input. What is collected and broadcast is two vectors of that length.
 BITS, MOST_BITS = 16, 20
-#: Labelled documents, by smallest hash of the id, from a third of which the threshold is chosen.
-LABELLED = 20_000
 #: Labelled documents up to this number are broadcast to where they are counted (9 bytes each), more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 #: Share of trusted documents that the threshold may reject.
@@ -66,27 +64,22 @@ def clean_labels(labels: DataFrame) -> DataFrame:
     return clean.select(F.col("doc_id").alias("__id"), "trusted")
 
 
-def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """At most ``most`` of the clean labels, by smallest hash. Small enough to broadcast."""
-    return clean_labels(labels).orderBy(F.xxhash64("__id"), "__id").limit(most)
-
-
 def buckets_for(docs: DataFrame, text_col: str = "text") -> int:
     """The number of buckets for a table, by the bytes of its texts, so that it depends on the documents alone and not on how they are stored."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     return 1 << min(BITS + (size >> 30).bit_length() // 2, MOST_BITS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, most: int = LABELLED) -> Rules:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> Rules:
     """Count both multinomials and choose the threshold.
 
     Raw counts cover every document; the target covers two thirds of all trusted labelled documents, by a hash of the
-    id. The threshold, from a bounded sample of the others, rejects at most LOSS of the trusted documents and lies
-    halfway to the next rejected low-quality score, or under all of them if there are none. Without labels nothing is
+    id. The threshold, from all others, rejects at most LOSS of the trusted documents and lies halfway to the next rejected
+    low-quality score, or under all of them if there are none. Their scores stay on Spark. Without labels nothing is
     rejected.
     """
     buckets = buckets or buckets_for(docs, text_col)
-    sample, every = F.broadcast(labelled_sample(labels, most)), clean_labels(labels)
+    every = clean_labels(labels)
     every = F.broadcast(every) if every.count() <= BROADCAST_LABELS else every
     marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(every, F.col("doc_id") == F.col("__id"), "left")
     marked = marked.select("text", F.when(F.col("trusted") == 1, F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) > 0).otherwise(False).alias("target"))
@@ -117,14 +110,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     weight = 5.0 * buckets * target.sum() / max(raw.sum(), 1) + 100.0
     p_target = (target + weight * p_raw) / (target.sum() + weight)
     rules = Rules(np.log(p_target) - np.log(p_raw), float("-inf"))
-    rest = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sample, F.col("doc_id") == F.col("__id"))
+    rest = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(every, F.col("doc_id") == F.col("__id"))
     rest = rest.filter((F.col("trusted") == 0) | (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0))
-    known = score(rest.select("doc_id", "text", "trusted"), rules, keep=["trusted"]).filter("n_words > 0")
-    known = known.groupBy("doc_id").agg(F.max("trusted").alias("trusted"), F.min("score").alias("score")).toPandas()  # a row a sampled id, however often it occurs
-    rules.threshold = choose_threshold(known["score"].to_numpy()[known["trusted"] == 1], known["score"].to_numpy()[known["trusted"] == 0])
+    known = ratios(rest.select("doc_id", "trusted", "text"), rules)
+    rules.threshold = threshold_of(known.groupBy("doc_id").agg(F.max("trusted").alias("trusted"), F.min("score").alias("score")))  # a row an id, however often it occurs
     return rules
 
 
+def ratios(labelled: DataFrame, rules: Rules) -> DataFrame:
+    """doc_id, trusted, score of rows (doc_id, trusted, text) with words."""
+    shared = labelled.sparkSession.sparkContext.broadcast(rules)
+    kinds = ", ".join(f"{c} {labelled.schema[c].dataType.simpleString()}" for c in ("doc_id", "trusted"))
+
+    def run(batches):
+        held("quality", dict)
+        for batch in slices(batches):
+            hashes, starts = hash_words(texts_of(batch))
+            own = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared.value.scores(hashes, starts))], names=["doc_id", "trusted", "score"])
+            yield own.filter(pa.array(np.diff(starts) > 0))
+
+    return labelled.mapInArrow(run, f"{kinds}, score double")
+
+
 def choose_threshold(good: np.ndarray, bad: np.ndarray, loss: float = LOSS) -> float:
     """The threshold, over which documents are kept: in the widest gap of bad scores under the loss-quantile of good ones."""
     if not len(good) or not len(bad):
@@ -134,6 +141,34 @@ def choose_threshold(good: np.ndarray, bad: np.ndarray, loss: float = LOSS) -> f
     return (low + float(under.max())) / 2 if len(under) else float("-inf")
 
 
+def threshold_of(known: DataFrame, loss: float = LOSS) -> float:
+    """choose_threshold() of the rows of known (trusted, score), however many: the loss-quantile of the good ones and the
+    largest bad score under it come to the driver, no others do."""
+    known = stored(known.select("trusted", "score"), "scores")
+    good, bad = known.filter("trusted = 1"), known.filter("trusted = 0")
+    n = good.count()
+    if not n:
+        return float("-inf")
+    low = nth_smallest(good, "score", int(loss * n))
+    under = bad.filter(F.col("score") < low).agg(F.max("score")).first()[0]
+    return choose_threshold(np.array([low]), np.array([] if under is None else [under]))
+
+
+def nth_smallest(rows: DataFrame, column: str, n: int, bins: int = 4096) -> float:
+    """The n-th smallest value (from 0): counts in equal bins between the least and the largest, again inside the bin that holds it."""
+    while True:
+        low, high = rows.agg(F.min(column), F.max(column)).first()
+        width = (high - low) / bins
+        if not width:
+            return float(low)
+        at = F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1))
+        for r in rows.groupBy(at.alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect():
+            if n < r.n:
+                break
+            n -= r.n
+        rows = rows.filter(at == r.bin)
+
+
 def surface(text: str, hashes: np.ndarray) -> tuple[int, int, int, int]:
     """word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
     spaces = sum(map(text.count, " \t\n\v\f\r"))
