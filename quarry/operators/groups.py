@@ -60,11 +60,12 @@ def clusters(pairs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, l
     the cluster of at least ``least`` rows to which its mean similarity is highest, if that is high enough.
 
     Without vectors, pairs must have every pair that counts for that mean; members that a row is not paired with count as
-    0. With vectors(id, v), where similarity is the cosine of v, pairs need only those over the threshold: the mean is a
+    0. With vectors(id, v), where similarity is the cosine of v, pairs need only those over the threshold, or links(a, b)
+    of the same components (as without attaching): the mean is a
     row's product with the sum of a cluster's unit vectors. All single rows are attached at once to the clusters as they
     were, so the result does not depend on an order.
     """
-    linked = graph.components(pairs.filter(F.col("similarity") >= threshold))
+    linked = graph.components(pairs.filter(F.col("similarity") >= threshold) if "similarity" in pairs.columns else pairs)
     own = nodes.select("id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
     sizes = own.groupBy("cluster").agg(F.count("*").alias("n"))
     sized = graph.written(own.join(sizes, "cluster"))
