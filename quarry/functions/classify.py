@@ -150,12 +150,12 @@ def is_ignored(path: Column, include: tuple[str, ...] = (), exclude: tuple[str,
     return (folders | matches_any(path, [*IGNORED_GLOBS, *exclude])) & ~matches_any(path, include)
 
 
-def is_minified(path: Column, content: Column) -> Column:
-    """A .min. name, or 50,000 characters and more in few or in very long lines."""
+def is_minified(path: Column, content: Column, long_lines: bool = True) -> Column:
+    """A .min. name, or 50,000 characters and more in few or, unless long_lines is off, in very long lines."""
     lengths = F.transform(F.split(content, "\n"), F.length)
     average = F.ceil(F.length(content) / F.size(lengths))
-    long = (F.size(lengths) <= 5) | (F.array_max(lengths) >= 20_000) | ((average >= 2_000) & F.exists(lengths, lambda n: n >= 10_000))
-    return path.rlike(r"(?i)\.min\.(js|mjs|cjs|css)$") | ((F.length(content) >= 50_000) & long)
+    few, long = F.size(lengths) <= 5, (F.array_max(lengths) >= 20_000) | ((average >= 2_000) & F.exists(lengths, lambda n: n >= 10_000))
+    return path.rlike(r"(?i)\.min\.(js|mjs|cjs|css)$") | ((F.length(content) >= 50_000) & (few | long if long_lines else few))
 
 
 def is_readable(path: Column, content: Column) -> Column:

@@ -92,10 +92,11 @@ def union_of(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts).distinct()
 
 
-def indexable(files: DataFrame, include_docs: bool = False, include_config: bool = False, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
-    """files(path, text) that are to be indexed, with language, kind and role."""
+def indexable(files: DataFrame, include_docs: bool = False, include_config: bool = False, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), readable: Column | None = None) -> DataFrame:
+    """files(path, text) that are to be indexed, with language, kind and role. readable: which texts may be, if another rule than is_readable's holds."""
     p = F.col("path")
-    kept = files.filter(classify.should_index(p, include_docs, include_config) & ~classify.is_ignored(p, include, exclude) & classify.is_readable(p, F.col("text")))
+    readable = classify.is_readable(p, F.col("text")) if readable is None else readable
+    kept = files.filter(classify.should_index(p, include_docs, include_config) & ~classify.is_ignored(p, include, exclude) & readable)
     return kept.withColumns({"language": classify.language(p), "kind": classify.file_kind(p), "role": classify.file_role(p)})
 
 
