@@ -1,4 +1,4 @@
-"""Queries over odd and long documents against their SQL in DuckDB, which the small tables don't have."""
+"""Queries over odd and long rows, and more of them than a cap left, which the small tables don't have; against their SQL in DuckDB."""
 
 from collections import Counter
 
@@ -28,3 +28,13 @@ def differences(spark, folder, name):
 @pytest.mark.parametrize("name", ["indexable_files", "language_share", "plugin_chunks"])
 def test_odd_documents(spark, tmp_path, name):
     assert differences(spark, tmp_path, name) == ({}, {})
+
+
+def test_references_are_all_returned(spark, tmp_path):
+    rows = [(i, [1.0, 1.0 + i / 1000], 0) for i in range(460)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.src, r.dst) for r in catalogue.graph_references(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = c.execute(f"SELECT src, dst FROM ({catalogue.oracle_sql()['graph_references']})").fetchall()
+    assert got == set(want) == {(a, b) for b in (300, 400, 450) for a in range(b)} and len(want) == 1150
